@@ -55,8 +55,12 @@ def true_only(pred: Column) -> Column:
     return F.coalesce(pred, F.lit(False))
 
 
-def rnd(c: str | Column, places: int = 4) -> Column:
-    return F.round(col(c).cast("double"), places)
+def rnd(c: str | Column, places: int = 2) -> Column:
+    """Round the binary value (as pandas/NumPy and DuckDB do), not its decimal
+    text: ``F.round(1.005, 2)`` gives 1.01 in Spark, this gives 1.0."""
+    scale = float(10 ** places)
+    # + 0.0 turns a negative zero into zero, as every engine prints it
+    return F.round(col(c).cast("double") * scale) / scale + F.lit(0.0)
 
 
 def money_sum(c: str | Column) -> Column:
