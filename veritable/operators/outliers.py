@@ -1,8 +1,8 @@
 """IQR outliers.
 
 Bounds are Q1 - 1.5 IQR and Q3 + 1.5 IQR from linear-interpolated quartiles.
-Quartiles for many columns come from one fused aggregation; the row
-operators attach the one-row bounds by a broadcast cross join.
+Quartiles are exact and shared across columns (bounded-memory bracket
+method); the row operators attach the one-row bounds by a broadcast cross join.
 """
 
 from __future__ import annotations
@@ -10,6 +10,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from veritable.functions.quantiles import global_quantiles
+
 # Fixed values of the outlier rule.
 IQR_MULTIPLIER = 1.5
 MIN_ROWS_FOR_OUTLIERS = 30
@@ -19,46 +21,62 @@ UNUSUAL_SUFFIX = "_is_unusual"
 
 
 def outlier_bounds(df: DataFrame, columns: list[str], exact: bool = True) -> DataFrame:
-    """O1/O2 facts for many columns in two passes (quartiles, then counts).
+    """O1/O2 facts for many columns.
 
-    Columns: column_name, n, distinct_count, q1, q3, iqr, lower, upper,
+    Columns: column_name, n, enough_distinct, q1, q3, iqr, lower, upper,
     low_count, high_count, count, share, eligible (>=30 values, >=5 distinct,
     IQR > 0 and at least one flagged value).
+
+    Quartiles are exact (fused ``percentile`` for low-cardinality columns, the
+    bounded-memory bracket method above that) and come back to the driver as
+    a handful of numbers; the flagged counts are then one fused
+    aggregation with literal bounds. The ">= 5 distinct" test uses a sketch
+    and falls back to an exact distinct count only for columns the sketch
+    puts near the limit.
     """
-    aggs = []
-    for i, name in enumerate(columns):
-        x = F.col(name).try_cast("double")
-        q = F.percentile(x, F.array(F.lit(0.25), F.lit(0.75))) if exact else F.percentile_approx(x, [0.25, 0.75], 100000)
-        aggs += [F.count(x).alias(f"n{i}"), F.count_distinct(x).alias(f"d{i}"), q.alias(f"q{i}")]
-    wide = df.agg(*aggs)
-    rows = [
-        F.struct(F.lit(name).alias("column_name"), F.col(f"n{i}").alias("n"), F.col(f"d{i}").alias("distinct_count"),
-                 F.col(f"q{i}")[0].alias("q1"), F.col(f"q{i}")[1].alias("q3"))
-        for i, name in enumerate(columns)
-    ]
-    q = wide.select(F.explode(F.array(*rows)).alias("s")).select("s.*")
-    iqr = F.col("q3") - F.col("q1")
-    q = q.select("*", iqr.alias("iqr"), (F.col("q1") - IQR_MULTIPLIER * iqr).alias("lower"),
-                 (F.col("q3") + IQR_MULTIPLIER * iqr).alias("upper"))
-    # second pass: flagged counts for every column at once (bounds are one row per column)
-    bounds_wide = q.groupBy().pivot("column_name", columns).agg(F.first("lower").alias("lo"), F.first("upper").alias("hi"))
+    spark = df.sparkSession
+    first = df.agg(*[agg for i, c in enumerate(columns) for agg in (
+        F.count(F.col(c).try_cast("double")).alias(f"n{i}"),
+        F.approx_count_distinct(F.col(c).try_cast("double")).alias(f"a{i}"))]).first()
+    counts_n = {c: int(first[f"n{i}"]) for i, c in enumerate(columns)}
+    if exact:
+        hint = {c: int(first[f"a{i}"]) for i, c in enumerate(columns)}
+        quart = global_quantiles(df, {c: [0.25, 0.75] for c in columns}, distinct_hint=hint, counts=counts_n)
+    else:
+        row = df.agg(*[F.percentile_approx(F.col(c).try_cast("double"), [0.25, 0.75], 100000).alias(f"q{i}")
+                       for i, c in enumerate(columns)]).first()
+        quart = {c: (row[f"q{i}"] or [None, None]) for i, c in enumerate(columns)}
+    near_limit = [c for i, c in enumerate(columns) if int(first[f"a{i}"]) < 2 * MIN_DISTINCT]
+    exact_distinct = {}
+    if near_limit:
+        row = df.agg(*[F.count_distinct(F.col(c).try_cast("double")).alias(f"d{i}") for i, c in enumerate(near_limit)]).first()
+        exact_distinct = {c: int(row[f"d{i}"]) for i, c in enumerate(near_limit)}
+    rows = []
+    for c in columns:
+        enough = exact_distinct[c] >= MIN_DISTINCT if c in exact_distinct else True
+        q1, q3 = quart[c]
+        rows.append((c, counts_n[c], enough, q1, q3))
+    q = spark.createDataFrame(rows, "column_name string, n bigint, enough_distinct boolean, q1 double, q3 double")
     counts = []
-    for i, name in enumerate(columns):
-        x = F.col(name).try_cast("double")
-        lo, hi = F.col(f"`{name}_lo`"), F.col(f"`{name}_hi`")
-        counts += [F.count_if(x < lo).alias(f"l{i}"), F.count_if(x > hi).alias(f"h{i}")]
-    c_wide = df.crossJoin(F.broadcast(bounds_wide)).agg(*counts)
-    c_rows = [F.struct(F.lit(name).alias("column_name"), F.col(f"l{i}").alias("low_count"), F.col(f"h{i}").alias("high_count"))
-              for i, name in enumerate(columns)]
+    for i, (c, n, d, q1, q3) in enumerate(rows):
+        if q1 is None:
+            counts += [F.lit(0).alias(f"l{i}"), F.lit(0).alias(f"h{i}")]
+            continue
+        lo, hi = q1 - IQR_MULTIPLIER * (q3 - q1), q3 + IQR_MULTIPLIER * (q3 - q1)
+        x = F.col(c).try_cast("double")
+        counts += [F.count_if(x < F.lit(lo)).alias(f"l{i}"), F.count_if(x > F.lit(hi)).alias(f"h{i}")]
+    c_wide = df.agg(*counts)
+    c_rows = [F.struct(F.lit(c).alias("column_name"), F.col(f"l{i}").cast("bigint").alias("low_count"),
+                       F.col(f"h{i}").cast("bigint").alias("high_count")) for i, (c, *_r) in enumerate(rows)]
     c_long = c_wide.select(F.explode(F.array(*c_rows)).alias("s")).select("s.*")
-    out = q.join(c_long, "column_name")
+    iqr = F.col("q3") - F.col("q1")
+    out = q.select("*", iqr.alias("iqr"), (F.col("q1") - IQR_MULTIPLIER * iqr).alias("lower"),
+                   (F.col("q3") + IQR_MULTIPLIER * iqr).alias("upper")).join(F.broadcast(c_long), "column_name")
     total = F.col("low_count") + F.col("high_count")
-    eligible = (F.col("n") >= MIN_ROWS_FOR_OUTLIERS) & (F.col("distinct_count") >= MIN_DISTINCT) & (F.col("iqr") > 0) & (total > 0)
+    eligible = (F.col("n") >= MIN_ROWS_FOR_OUTLIERS) & F.col("enough_distinct") & (F.col("iqr") > 0) & (total > 0)
     return out.select(
-        "column_name", F.col("n").cast("bigint").alias("n"), F.col("distinct_count").cast("bigint").alias("distinct_count"),
-        "q1", "q3", "iqr", "lower", "upper",
-        F.col("low_count").cast("bigint").alias("low_count"), F.col("high_count").cast("bigint").alias("high_count"),
-        total.cast("bigint").alias("count"), (total / F.col("n")).alias("share"), eligible.alias("eligible"),
+        "column_name", "n", "enough_distinct", "q1", "q3", "iqr", "lower", "upper", "low_count", "high_count",
+        total.cast("bigint").alias("count"), (total / F.col("n")).alias("share"), F.coalesce(eligible, F.lit(False)).alias("eligible"),
     )
 
 

@@ -98,7 +98,7 @@ def _bounds_sql(table: str, columns: list[str]) -> str:
 WITH q AS ({q}),
 bq AS (SELECT *, q3 - q1 AS iqr, q1 - 1.5 * (q3 - q1) AS lower, q3 + 1.5 * (q3 - q1) AS upper FROM q),
 cnt AS ({counts})
-SELECT bq.column_name, CAST(n AS BIGINT) AS n, CAST(dc AS BIGINT) AS distinct_count,
+SELECT bq.column_name, CAST(n AS BIGINT) AS n, dc >= 5 AS enough_distinct,
        round(q1, 6) AS q1, round(q3, 6) AS q3, round(iqr, 6) AS iqr, round(lower, 6) AS lower, round(upper, 6) AS upper,
        CAST(lo_c AS BIGINT) AS low_count, CAST(hi_c AS BIGINT) AS high_count, CAST(lo_c + hi_c AS BIGINT) AS count,
        round(CAST(lo_c + hi_c AS DOUBLE) / n, 6) AS share,
@@ -108,7 +108,7 @@ FROM bq JOIN cnt USING (column_name)
 
 
 def _round_bounds(b):
-    return b.select("column_name", "n", "distinct_count", *[F.round(c, 6).alias(c) for c in ("q1", "q3", "iqr", "lower", "upper")],
+    return b.select("column_name", "n", "enough_distinct", *[F.round(c, 6).alias(c) for c in ("q1", "q3", "iqr", "lower", "upper")],
                     "low_count", "high_count", "count", F.round("share", 6).alias("share"), "eligible")
 
 
