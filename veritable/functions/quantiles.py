@@ -6,8 +6,9 @@ sketch (``percentile_approx``: bounded memory, distributed) brackets each
 needed order statistic; one conditional count gives the rank of every
 bracket's lower edge; only the rows inside the brackets - a few per ten
 thousand of the column by the sketch's rank guarantee - are read to pick the
-exact values. A bracket still holding more than ``max_rows`` rows is narrowed
-again on its own rows; one that misses (ties can crowd it) is widened. All
+exact values from the bracket's (value, count) histogram. A bracket holding
+more than ``max_rows`` distinct values is narrowed again on its own rows; one
+that misses (ties can crowd it) is widened. All
 columns and probabilities share the same three or four jobs.
 
 The result equals linear interpolation between order statistics (pandas
@@ -63,7 +64,7 @@ def _order_stats(df: DataFrame, wanted: dict[str, list[int]], counts: dict[str,
             x, (lo, hi) = _vals(df, c), brackets[i]
             aggs += [F.count_if(x < F.lit(lo)).alias(f"b{i}"), F.count_if((x >= F.lit(lo)) & (x <= F.lit(hi))).alias(f"i{i}")]
         cnt = df.agg(*aggs).first()
-        retry, small, wide = [], [], []
+        retry, small = [], []
         for i, (c, r) in enumerate(pending):
             below, inside = cnt[f"b{i}"], cnt[f"i{i}"]
             lo, hi = brackets[i]
@@ -71,33 +72,36 @@ def _order_stats(df: DataFrame, wanted: dict[str, list[int]], counts: dict[str,
                 retry.append((c, r))
             elif lo == hi:
                 out[(c, r)] = float(lo)           # every row in the bracket holds this value
-            elif inside > max_rows:
-                wide.append((i, c, r, below, inside))
             else:
-                small.append((i, c, r, below))
+                small.append((i, c, r, below, inside))
         if small:
-            # one job returns each small bracket's distinct values with counts
-            # (at most max_rows entries per bracket; ties collapse to one)
+            # each bracket's distinct values with counts (ties collapse to one
+            # entry); brackets with at most max_rows distinct values are read,
+            # wider ones are narrowed again on their own rows
             parts = [F.when((_vals(df, c) >= F.lit(brackets[i][0])) & (_vals(df, c) <= F.lit(brackets[i][1])),
                             F.struct(F.lit(i).alias("k"), _vals(df, c).alias("v")))
-                     for i, c, _r, _b in small]
-            rows = (df.select(F.explode(F.array_compact(F.array(*parts))).alias("s"))
-                    .groupBy("s.k", "s.v").count().collect())
+                     for i, c, _r, _b, _n in small]
+            hist = (df.select(F.explode(F.array_compact(F.array(*parts))).alias("s"))
+                    .groupBy("s.k", "s.v").count())
+            sizes = {row["k"]: row["count"] for row in hist.groupBy("k").count().collect()}
+            fetch = [i for i, *_rest in small if sizes.get(i, 0) <= max_rows]
             by_k: dict[int, list[tuple[float, int]]] = {}
-            for row in rows:
-                by_k.setdefault(row["k"], []).append((row["v"], row["count"]))
-            for i, c, r, below in small:
-                seen = below
-                for v, n in sorted(by_k.get(i, [])):
-                    seen += n
-                    if r < seen:
-                        out[(c, r)] = float(v)
-                        break
-        for i, c, r, below, inside in wide:
-            lo, hi = brackets[i]
-            sub = df.filter((_vals(df, c) >= F.lit(lo)) & (_vals(df, c) <= F.lit(hi)))
-            got = _order_stats(sub, {c: [r - below]}, {c: inside}, accuracy, max_rows)
-            out[(c, r)] = got[(c, r - below)]
+            if fetch:
+                for row in hist.filter(F.col("k").isin(fetch)).collect():
+                    by_k.setdefault(row["k"], []).append((row["v"], row["count"]))
+            for i, c, r, below, inside in small:
+                if i in by_k:
+                    seen = below
+                    for v, n in sorted(by_k[i]):
+                        seen += n
+                        if r < seen:
+                            out[(c, r)] = float(v)
+                            break
+                else:
+                    lo, hi = brackets[i]
+                    sub = df.filter((_vals(df, c) >= F.lit(lo)) & (_vals(df, c) <= F.lit(hi)))
+                    got = _order_stats(sub, {c: [r - below]}, {c: inside}, accuracy, max_rows)
+                    out[(c, r)] = got[(c, r - below)]
         pending = retry
         eps = min(eps * 4, 1.0)
     return out

@@ -100,19 +100,20 @@ def tidy(df: DataFrame) -> DataFrame:
     """Drop all-null rows and columns, name blank columns ``column_<i>``
     and make repeated names unique with ``_1``, ``_2``. One aggregate finds the
     empty columns."""
-    df = df.na.drop(how="all")
-    counts = df.agg(*[F.count(F.col(f"`{c}`")).alias(f"n{i}") for i, c in enumerate(df.columns)]).first()
-    keep = [i for i, _ in enumerate(df.columns) if counts is not None and counts[f"n{i}"] > 0]
+    original = list(df.columns)
+    df = df.toDF(*[f"_p{i}" for i in range(len(original))]).na.drop(how="all")  # positional names: duplicates are legal
+    counts = df.agg(*[F.count(F.col(f"_p{i}")).alias(f"n{i}") for i in range(len(original))]).first()
+    keep = [i for i in range(len(original)) if counts is not None and counts[f"n{i}"] > 0]
     names, seen = [], {}
     for i in keep:
-        name = str(df.columns[i]).strip() or f"column_{i + 1}"
+        name = str(original[i]).strip() or f"column_{i + 1}"
         if name in seen:
             seen[name] += 1
             name = f"{name}_{seen[name]}"
         else:
             seen[name] = 0
         names.append(name)
-    return df.select(*[F.col(f"`{df.columns[i]}`").alias(n) for i, n in zip(keep, names)])
+    return df.select(*[F.col(f"_p{i}").alias(n) for i, n in zip(keep, names)])
 
 
 def load_many(spark: SparkSession, paths: list[str], **options) -> dict[str, DataFrame]:
