@@ -238,23 +238,27 @@ def numeric_stats(df: DataFrame, columns: list[str], exact: bool = True) -> Data
 def category_stats(hist: DataFrame, columns: list[str] | None = None, top: int = TOP_VALUES) -> DataFrame:
     """Top values (count desc, value asc), top share and distinct count.
 
-    Works on the histogram, so it is a window over one row per distinct value.
+    Works on the histogram: per column a top-k (``orderBy().limit()``, a
+    per-partition top-k and merge, so a column with billions of distinct
+    values is never sorted in one task) and one partially aggregated summary.
     """
+    h = hist.filter(F.col("value").isNotNull())
+    names = columns or [r["column_name"] for r in h.select("column_name").distinct().collect()]  # bounded by schema
+    if not names:
+        return hist.sparkSession.createDataFrame(
+            [], "column_name string, rank int, value string, cnt bigint, distinct_count bigint, top_share double")
+    summary = h.filter(F.col("column_name").isin(*names)).groupBy("column_name").agg(
+        F.count(F.lit(1)).alias("distinct_count"), F.sum("cnt").alias("non_null"), F.max("cnt").alias("top_cnt"))
+    heads = None
+    for name in names:
+        head = (h.filter(F.col("column_name") == name).orderBy(F.col("cnt").desc(), F.col("value").asc())
+                .limit(top).select("column_name", "value", "cnt"))
+        heads = head if heads is None else heads.unionByName(head)
     from pyspark.sql import Window as W
 
-    h = hist.filter(F.col("value").isNotNull())
-    if columns:
-        h = h.filter(F.col("column_name").isin(*columns))
-    w = W.partitionBy("column_name").orderBy(F.col("cnt").desc(), F.col("value").asc())
-    totals = W.partitionBy("column_name")
-    ranked = h.select(
-        "column_name", "value", "cnt",
-        F.row_number().over(w).alias("rank"),
-        F.sum("cnt").over(totals).alias("non_null"),
-        F.count(F.lit(1)).over(totals).alias("distinct_count"),
-        F.max("cnt").over(totals).alias("top_cnt"),
-    )
-    return ranked.filter(F.col("rank") <= top).select(
+    ranked = heads.select("*", F.row_number().over(
+        W.partitionBy("column_name").orderBy(F.col("cnt").desc(), F.col("value").asc())).alias("rank"))  # <= top rows each
+    return ranked.join(F.broadcast(summary), "column_name").select(
         "column_name", F.col("rank").cast("int").alias("rank"), "value", F.col("cnt").cast("bigint").alias("cnt"),
         F.col("distinct_count").cast("bigint").alias("distinct_count"),
         F.round(F.col("top_cnt") / F.col("non_null"), 4).alias("top_share"),

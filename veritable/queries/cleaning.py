@@ -280,8 +280,11 @@ SELECT CAST(NULL AS VARCHAR) AS column_name, CAST(NULL AS VARCHAR) AS value WHER
 """)
 def excludable_status(spark, sf_dir):
     e = load(spark, sf_dir, "events")
-    prof = P.profile_dataset(e)
-    tops = P.category_stats(P.histogram(e))
+    # only status-like names can qualify, so only they are profiled
+    names = [c for c in e.columns if any(w in c.casefold() for w in C.STATUS_NAME_WORDS)]
+    sub = e.select(*names)
+    prof = P.profile_dataset(sub)
+    tops = P.category_stats(P.histogram(sub), names)
     return C.excludable_values(prof, tops)
 
 
