@@ -57,3 +57,26 @@ def sum_of_top(df: DataFrame, column: str, k: int, n: int | None = None) -> floa
             )
             return float(stats["above_sum"]) + float(top_inside or 0.0)
         eps *= 4
+
+
+def global_rank(df: DataFrame, order_cols: list[str], partitions: int | None = None) -> DataFrame:
+    """0-based global position of every row in ``order_cols`` order (distinct keys).
+
+    Range partitioning spreads the rows over ``partitions`` tasks in key
+    order; each task numbers its own rows and the offsets are the sizes of the
+    partitions before it (one row per partition). No task ever sees more than
+    its range. The range-partitioned frame is checkpointed into the shared
+    folder first, so the counting and the numbering read the same split.
+    """
+    from pyspark.sql import Window as W
+
+    from veritable.session import cut_lineage
+
+    spark = df.sparkSession
+    parts = partitions or int(spark.conf.get("spark.sql.shuffle.partitions", "200"))
+    ranged = cut_lineage(df.repartitionByRange(parts, *order_cols).withColumn("_pid", F.spark_partition_id()))
+    sizes = ranged.groupBy("_pid").agg(F.count(F.lit(1)).alias("_n"))
+    offsets = sizes.select("_pid", (F.sum("_n").over(W.orderBy("_pid").rowsBetween(W.unboundedPreceding, -1))).alias("_off"))
+    local = ranged.withColumn("_local", F.row_number().over(W.partitionBy("_pid").orderBy(*order_cols)) - 1)
+    return local.join(F.broadcast(offsets), "_pid").select(
+        *df.columns, (F.coalesce(F.col("_off"), F.lit(0)) + F.col("_local")).alias("_rank"))

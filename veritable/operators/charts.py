@@ -17,6 +17,7 @@ from pyspark.sql import functions as F
 
 from veritable.functions.dates import parse_datetime
 from veritable.functions.exprs import is_time_type, num, rnd
+from veritable.functions.ranking import global_rank
 
 # Fixed values of the chart rules.
 TOP_N = 8
@@ -311,9 +312,8 @@ def colour_groups(df: DataFrame, group: str, top: int = 3) -> DataFrame:
 def line_table(df: DataFrame, x: str, y: str, how: str = "sum", max_points: int = MAX_POINTS) -> DataFrame:
     """Y aggregated per x. A time x is bucketed to months when it spans
     more than 180 days, to days when more than 3; then the ordered points are
-    thinned to ``max_points`` evenly spaced positions floor(k (n-1) / (m-1)).
-    The x axis of a chart is bounded (calendar buckets or chart categories),
-    so the numbering window runs over at most that many rows."""
+    thinned to ``max_points`` evenly spaced positions floor(k (n-1) / (m-1)),
+    numbered by a distributed global rank (never one task for all points)."""
     ys = num(y)
     if is_time_type(df.schema[x].dataType):
         ts = F.col(x).cast("timestamp")
@@ -325,12 +325,18 @@ def line_table(df: DataFrame, x: str, y: str, how: str = "sum", max_points: int
         base = df.select(F.col(x).alias("x"), ys.alias("_y"))
     g = base.filter(F.col("x").isNotNull() & F.col("_y").isNotNull()).groupBy("x").agg(
         _agg(how, F.col("_y")).cast("double").alias("y"))
-    ranked = g.select("x", "y", (F.row_number().over(W.orderBy("x")) - 1).alias("i"),
-                      F.count(F.lit(1)).over(W.partitionBy()).alias("n"))
+    n = g.count()
+    if n < 2:
+        return g.limit(0).select(F.col("x").alias(x), F.col("y").alias(y))
+    if n <= max_points:
+        return g.select(F.col("x").alias(x), F.col("y").alias(y))
+    # positions floor(k (n-1) / (m-1)); the global rank is computed without a
+    # single-task window (range partitions + per-partition offsets)
     m = max_points - 1
-    k = F.ceil(F.col("i") * m / (F.col("n") - 1))
-    keep = (F.col("n") <= max_points) | (F.floor(k * (F.col("n") - 1) / m) == F.col("i"))
-    return ranked.filter(keep & (F.col("n") >= 2)).select(F.col("x").alias(x), F.col("y").alias(y))
+    ranked = global_rank(g, ["x"])
+    k = F.ceil(F.col("_rank") * m / F.lit(n - 1))
+    keep = F.floor(k * F.lit(n - 1) / m) == F.col("_rank")
+    return ranked.filter(keep).select(F.col("x").alias(x), F.col("y").alias(y))
 
 
 def evidence_counts(df: DataFrame, group: str, top: int = TOP_N) -> DataFrame:
