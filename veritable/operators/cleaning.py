@@ -1,8 +1,9 @@
 """Column operations for cleaning.
 
-Scalars needed inside row expressions (a median to fill with) are computed as
-a one-row aggregate and attached with a broadcast cross join of that single
-row, so the transformation stays one lazy plan with no driver round trip.
+Scalars needed inside row expressions are one-row aggregates attached with a
+broadcast cross join of that single row (a mean, a mode), or, for an exact
+median, one number returned by the bounded-memory quantile method and used
+as a literal.
 """
 
 from __future__ import annotations
@@ -98,7 +99,12 @@ def fill_missing(df: DataFrame, column: str, strategy: str, exact: bool = True)
     others = [F.col(n) for n in df.columns]
     if strategy in ("median", "mean"):
         x = c.try_cast("double")
-        stat = (F.percentile(x, 0.5) if exact else F.percentile_approx(x, 0.5, 100000)) if strategy == "median" else F.avg(x)
+        if strategy == "median" and exact:
+            from veritable.functions.quantiles import global_quantiles
+
+            value = global_quantiles(df, {column: [0.5]})[column][0]     # exact, bounded memory
+            return df.withColumn(column, F.coalesce(x, F.lit(value).cast("double")))
+        stat = F.percentile_approx(x, 0.5, 100000) if strategy == "median" else F.avg(x)
         scalars = df.agg(stat.alias("_fill"))
         filled = F.coalesce(x, F.col("_fill"))
     elif strategy == "zero":

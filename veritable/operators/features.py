@@ -70,10 +70,14 @@ def add_net_revenue(df: DataFrame, revenue: str, discount: str) -> DataFrame:
 
 
 def tier_cut_points(df: DataFrame, revenue: str, exact: bool = True) -> DataFrame:
-    x = num(revenue)
+    """Quartile cut points as a one-row frame (exact, bounded memory)."""
     probs = [0.0, 0.25, 0.5, 0.75, 1.0]
-    q = F.percentile(x, F.array(*[F.lit(p) for p in probs])) if exact else F.percentile_approx(x, probs, 100000)
-    return df.agg(q.alias("_cuts"))
+    if exact:
+        from veritable.functions.quantiles import global_quantiles
+
+        cuts = global_quantiles(df, {revenue: probs})[revenue]
+        return df.sparkSession.createDataFrame([(cuts if cuts[0] is not None else None,)], "_cuts array<double>")
+    return df.agg(F.percentile_approx(num(revenue), probs, 100000).alias("_cuts"))
 
 
 def add_size_band(df: DataFrame, revenue: str, column: str = "revenue_tier", exact: bool = True) -> DataFrame:

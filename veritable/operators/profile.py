@@ -194,32 +194,39 @@ def measure_flavour(name: str) -> str:
 
 
 def numeric_stats(df: DataFrame, columns: list[str], exact: bool = True) -> DataFrame:
-    """R5 for many columns in one fused aggregation, returned long.
+    """R5 for many columns, returned long.
 
     min, max, mean, median, std (ddof 1), sum, zeros, negatives and the
-    bias-adjusted skew (pandas ``skew``) for n > 2.
+    bias-adjusted skew (pandas ``skew``) for n > 2. Everything but the median
+    is one fused aggregation; medians are exact global quantiles (fused
+    ``percentile`` for low-cardinality columns, the bounded bracket method
+    above that; ``exact=False`` uses a sketch).
     """
+    from veritable.functions.quantiles import global_quantiles
+
     aggs = []
     for i, name in enumerate(columns):
         x = F.col(name).try_cast("double")
-        median = F.percentile(x, 0.5) if exact else F.percentile_approx(x, 0.5, 100000)
         aggs += [
             F.count(x).alias(f"n{i}"), F.min(x).alias(f"mn{i}"), F.max(x).alias(f"mx{i}"),
-            F.avg(x).alias(f"av{i}"), median.alias(f"md{i}"), F.stddev_samp(x).alias(f"sd{i}"),
+            F.avg(x).alias(f"av{i}"), F.stddev_samp(x).alias(f"sd{i}"),
             F.sum(x).alias(f"sm{i}"), F.count_if(x == 0).alias(f"z{i}"), F.count_if(x < 0).alias(f"ng{i}"),
-            F.skewness(x).alias(f"sk{i}"),
+            F.skewness(x).alias(f"sk{i}"), F.approx_count_distinct(x).alias(f"d{i}"),
         ]
-    wide = df.agg(*aggs)
-    rows = [
-        F.struct(
-            F.lit(name).alias("column_name"), F.col(f"n{i}").alias("n"), F.col(f"mn{i}").alias("min"),
-            F.col(f"mx{i}").alias("max"), F.col(f"av{i}").alias("mean"), F.col(f"md{i}").alias("median"),
-            F.col(f"sd{i}").alias("std"), F.col(f"sm{i}").alias("sum"), F.col(f"z{i}").alias("zeros"),
-            F.col(f"ng{i}").alias("negatives"), F.col(f"sk{i}").alias("g1"),
-        )
-        for i, name in enumerate(columns)
-    ]
-    long = wide.select(F.explode(F.array(*rows)).alias("s")).select("s.*")
+    wide_row = df.agg(*aggs).first()          # one row: bounded
+    if exact:
+        med = global_quantiles(df, {c: [0.5] for c in columns},
+                               distinct_hint={c: int(wide_row[f"d{i}"]) for i, c in enumerate(columns)},
+                               counts={c: int(wide_row[f"n{i}"]) for i, c in enumerate(columns)})
+    else:
+        r = df.agg(*[F.percentile_approx(F.col(c).try_cast("double"), 0.5, 100000).alias(c) for c in columns]).first()
+        med = {c: [r[c]] for c in columns}
+    rows = [(name, wide_row[f"n{i}"], wide_row[f"mn{i}"], wide_row[f"mx{i}"], wide_row[f"av{i}"], med[name][0],
+             wide_row[f"sd{i}"], wide_row[f"sm{i}"], wide_row[f"z{i}"], wide_row[f"ng{i}"], wide_row[f"sk{i}"])
+            for i, name in enumerate(columns)]
+    long = df.sparkSession.createDataFrame(
+        rows, "column_name string, n bigint, min double, max double, mean double, median double, std double, "
+              "sum double, zeros bigint, negatives bigint, g1 double")
     n = F.col("n").cast("double")
     adjusted = F.when(
         n > 2,
