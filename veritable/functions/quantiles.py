@@ -156,18 +156,22 @@ def global_quantiles(df: DataFrame, probs: dict[str, list[float]], distinct_hint
                      counts: dict[str, int] | None = None) -> dict[str, list[float | None]]:
     """Exact quantiles per column, choosing the plan by cardinality.
 
-    ``distinct_hint`` (an approximate distinct count per column, e.g. from a
-    sketch already computed by the caller) decides: low-cardinality columns
-    share one fused ``percentile`` aggregation, high-cardinality ones use the
-    bounded-memory bracket method.
+    A column can hold no more distinct values than non-null rows, so a column
+    with at most ``MAP_DISTINCT_LIMIT`` rows needs no estimate; for larger
+    ones a distinct-count sketch (``distinct_hint`` or computed here) decides.
+    Low-cardinality columns share one fused ``percentile`` aggregation,
+    high-cardinality ones use the bounded-memory bracket method.
     """
     cols = list(probs)
-    if distinct_hint is None or counts is None:
-        row = df.agg(*[a for i, c in enumerate(cols) for a in (
-            F.count(_vals(df, c)).alias(f"n{i}"), F.approx_count_distinct(_vals(df, c)).alias(f"d{i}"))]).first()
+    if counts is None:
+        row = df.agg(*[F.count(_vals(df, c)).alias(f"n{i}") for i, c in enumerate(cols)]).first()
         counts = {c: int(row[f"n{i}"]) for i, c in enumerate(cols)}
-        distinct_hint = {c: int(row[f"d{i}"]) for i, c in enumerate(cols)}
-    small = [c for c in cols if distinct_hint.get(c, 0) <= MAP_DISTINCT_LIMIT]
+    hint = dict(distinct_hint or {})
+    unknown = [c for c in cols if counts[c] > MAP_DISTINCT_LIMIT and c not in hint]
+    if unknown:
+        row = df.agg(*[F.approx_count_distinct(_vals(df, c)).alias(f"d{i}") for i, c in enumerate(unknown)]).first()
+        hint.update({c: int(row[f"d{i}"]) for i, c in enumerate(unknown)})
+    small = [c for c in cols if counts[c] <= MAP_DISTINCT_LIMIT or hint.get(c, 0) <= MAP_DISTINCT_LIMIT]
     large = [c for c in cols if c not in small]
     out: dict[str, list[float | None]] = {}
     if small:

@@ -30,32 +30,36 @@ def outlier_bounds(df: DataFrame, columns: list[str], exact: bool = True) -> Dat
     Quartiles are exact (fused ``percentile`` for low-cardinality columns, the
     bounded-memory bracket method above that) and come back to the driver as
     a handful of numbers; the flagged counts are then one fused
-    aggregation with literal bounds. The ">= 5 distinct" test uses a sketch
-    and falls back to an exact distinct count only for columns the sketch
-    puts near the limit.
+    aggregation with literal bounds. The ">= 5 distinct" test is settled by
+    min, quartiles and max when they differ, else by an exact distinct count
+    of that column alone.
     """
     spark = df.sparkSession
     first = df.agg(*[agg for i, c in enumerate(columns) for agg in (
-        F.count(F.col(c).try_cast("double")).alias(f"n{i}"),
-        F.approx_count_distinct(F.col(c).try_cast("double")).alias(f"a{i}"))]).first()
+        F.count(F.col(c).try_cast("double")).alias(f"n{i}"), F.min(F.col(c).try_cast("double")).alias(f"lo{i}"),
+        F.max(F.col(c).try_cast("double")).alias(f"hi{i}"))]).first()
     counts_n = {c: int(first[f"n{i}"]) for i, c in enumerate(columns)}
     if exact:
-        hint = {c: int(first[f"a{i}"]) for i, c in enumerate(columns)}
-        quart = global_quantiles(df, {c: [0.25, 0.75] for c in columns}, distinct_hint=hint, counts=counts_n)
+        quart = global_quantiles(df, {c: [0.25, 0.5, 0.75] for c in columns}, counts=counts_n)
     else:
-        row = df.agg(*[F.percentile_approx(F.col(c).try_cast("double"), [0.25, 0.75], 100000).alias(f"q{i}")
+        row = df.agg(*[F.percentile_approx(F.col(c).try_cast("double"), [0.25, 0.5, 0.75], 100000).alias(f"q{i}")
                        for i, c in enumerate(columns)]).first()
-        quart = {c: (row[f"q{i}"] or [None, None]) for i, c in enumerate(columns)}
-    near_limit = [c for i, c in enumerate(columns) if int(first[f"a{i}"]) < 2 * MIN_DISTINCT]
-    exact_distinct = {}
-    if near_limit:
-        row = df.agg(*[F.count_distinct(F.col(c).try_cast("double")).alias(f"d{i}") for i, c in enumerate(near_limit)]).first()
-        exact_distinct = {c: int(row[f"d{i}"]) for i, c in enumerate(near_limit)}
+        quart = {c: (row[f"q{i}"] or [None, None, None]) for i, c in enumerate(columns)}
+    # five different values among min, quartiles and max prove ">= 5 distinct";
+    # only columns where they coincide need an exact distinct count
+    enough = {}
+    for i, c in enumerate(columns):
+        points = {first[f"lo{i}"], first[f"hi{i}"], *quart[c]} - {None}
+        if len(points) >= MIN_DISTINCT:
+            enough[c] = True
+    unsure = [c for c in columns if c not in enough]
+    if unsure:
+        row = df.agg(*[F.count_distinct(F.col(c).try_cast("double")).alias(f"d{i}") for i, c in enumerate(unsure)]).first()
+        enough.update({c: int(row[f"d{i}"]) >= MIN_DISTINCT for i, c in enumerate(unsure)})
     rows = []
     for c in columns:
-        enough = exact_distinct[c] >= MIN_DISTINCT if c in exact_distinct else True
-        q1, q3 = quart[c]
-        rows.append((c, counts_n[c], enough, q1, q3))
+        q1, _q2, q3 = quart[c]
+        rows.append((c, counts_n[c], enough[c], q1, q3))
     q = spark.createDataFrame(rows, "column_name string, n bigint, enough_distinct boolean, q1 double, q3 double")
     counts = []
     for i, (c, n, d, q1, q3) in enumerate(rows):
