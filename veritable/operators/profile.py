@@ -73,8 +73,54 @@ def histogram(df: DataFrame, columns: list[str] | None = None) -> DataFrame:
 
 
 def column_facts(df: DataFrame, columns: list[str] | None = None, hist: DataFrame | None = None) -> DataFrame:
-    """Per-column facts behind the role rules (one aggregation of the histogram)."""
-    hist = hist if hist is not None else histogram(df, columns)
+    """Per-column facts behind the role rules.
+
+    Numeric columns are counted on their typed values (no text formatting of
+    every number); text, time and boolean columns on their text form. Each is
+    one unpivot + grouped count with map-side combine.
+    """
+    names = _flat_columns(df, columns)
+    if hist is not None:
+        return _text_facts(df, hist)
+    numeric = [n for n in names if type_kind(df.schema[n].dataType) == "numeric"]
+    other = [n for n in names if n not in numeric]
+    parts = []
+    if other:
+        parts.append(_text_facts(df, histogram(df, other)))
+    if numeric:
+        parts.append(_numeric_facts(df, numeric))
+    out = parts[0]
+    for p in parts[1:]:
+        out = out.unionByName(p)
+    return out
+
+
+def _numeric_facts(df: DataFrame, names: list[str]) -> DataFrame:
+    integral = [n for n in names if isinstance(df.schema[n].dataType, (T.ByteType, T.ShortType, T.IntegerType, T.LongType))]
+    long = df.select(*[F.col(n).cast("double").alias(n) for n in names]).unpivot([], names, "column_name", "value")
+    hist = long.groupBy("column_name", "value").agg(F.count(F.lit(1)).alias("cnt"))
+    v, c = F.col("value"), F.col("cnt")
+    nn = v.isNotNull()
+    # a whole-number column holding only 0/1 prints as the tokens "0"/"1"
+    zero_one = nn & F.col("column_name").isin(*integral) & v.isin(0.0, 1.0) if integral else F.lit(False)
+    facts = hist.groupBy("column_name").agg(
+        F.sum(c).alias("n_rows"), F.sum(F.when(nn, c).otherwise(0)).alias("non_null"),
+        F.sum(F.when(nn, 1).otherwise(0)).alias("distinct_count"),
+        F.sum(F.when(zero_one, 1).otherwise(0)).alias("zero_one"))
+    facts = facts.join(F.broadcast(schema_table(df)), "column_name")   # one row per column: bounded
+    dc, non_null = F.col("distinct_count"), F.col("non_null")
+    return facts.select(
+        "position", "column_name", "dtype", "kind",
+        F.col("n_rows").cast("bigint").alias("n_rows"), non_null.cast("bigint").alias("non_null"),
+        (F.col("n_rows") - non_null).cast("bigint").alias("missing_count"), dc.cast("bigint").alias("unique_count"),
+        F.lit(None).cast("double").alias("avg_length"),
+        ((dc >= 1) & (dc <= 2) & (F.col("zero_one") == dc)).alias("bool_like"),
+        F.lit(0.0).alias("bare_number_share"), F.lit(0.0).alias("calendar_word_share"), F.lit(0.0).alias("parsed_share"),
+    )
+
+
+def _text_facts(df: DataFrame, hist: DataFrame) -> DataFrame:
+    """Facts from a text histogram (column_name, value, cnt)."""
     v, c = F.col("value"), F.col("cnt")
     nn = v.isNotNull()
     # Date shares only matter for text columns with a date-like name; parsing
