@@ -109,16 +109,22 @@ def entity_kpis(df: DataFrame, cols: KpiColumns) -> DataFrame:
         F.count(F.lit(1)).alias("rows"),
         _total(cols.revenue, cols.money_scale).alias("total") if cols.revenue else F.lit(0.0).alias("total"),
     )
-    stats = per.agg(F.count(F.lit(1)).alias("n"), F.count_if(F.col("rows") > 1).alias("repeat"),
-                    F.sum("total").alias("grand")).first()
-    n, repeat, grand = int(stats["n"]), int(stats["repeat"]), float(stats["grand"] or 0.0)
-    out = []
-    if n >= MIN_ENTITIES_REPEAT:
-        out.append(("repeat_rate", repeat / n * 100.0, None, "%"))
-    if cols.revenue and n >= MIN_ENTITIES_CONCENTRATION and grand:
-        k = max(1, int(n * TOP_SHARE))
-        top = sum_of_top(per, "total", k, n)
-        out.append(("top_10pct_share", top / grand * 100.0, str(k), "%"))
+    # the per-entity table feeds several small jobs below; keep it rather than
+    # re-aggregate the source for each (lost blocks are recomputed from lineage)
+    per = per.persist()
+    try:
+        stats = per.agg(F.count(F.lit(1)).alias("n"), F.count_if(F.col("rows") > 1).alias("repeat"),
+                        F.sum("total").alias("grand")).first()
+        n, repeat, grand = int(stats["n"]), int(stats["repeat"]), float(stats["grand"] or 0.0)
+        out = []
+        if n >= MIN_ENTITIES_REPEAT:
+            out.append(("repeat_rate", repeat / n * 100.0, None, "%"))
+        if cols.revenue and n >= MIN_ENTITIES_CONCENTRATION and grand:
+            k = max(1, int(n * TOP_SHARE))
+            top = sum_of_top(per, "total", k, n)
+            out.append(("top_10pct_share", top / grand * 100.0, str(k), "%"))
+    finally:
+        per.unpersist()
     return spark.createDataFrame(out, KPI_SCHEMA)
 
 
