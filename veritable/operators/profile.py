@@ -398,3 +398,24 @@ def dataset_summary(df: DataFrame) -> DataFrame:
         F.lit(len(df.columns)).cast("bigint").alias("column_count"),
         "duplicate_rows",
     ).crossJoin(df.agg(F.count(F.lit(1)).cast("bigint").alias("row_count")))
+
+
+class ProfileCache:
+    """Rebuild a profile only when the table changed.
+
+    Keyed by the DataFrame's semantic plan hash (``DataFrame.semanticHash``):
+    the same logical table returns the stored profile rows; any cleaning step
+    that changes the plan changes the key.
+    """
+
+    def __init__(self):
+        self._store: dict[int, list[dict]] = {}
+
+    def rows(self, df: DataFrame, roles: dict[str, str] | None = None) -> list[dict]:
+        key = hash((df.semanticHash(), tuple(sorted((roles or {}).items()))))
+        if key not in self._store:
+            self._store[key] = [r.asDict() for r in profile_dataset(df, roles).collect()]  # one row per column
+        return self._store[key]
+
+    def __len__(self) -> int:
+        return len(self._store)

@@ -286,3 +286,18 @@ WHERE o_orderpriority IS NOT NULL GROUP BY 1 ORDER BY records DESC, o_orderprior
 """)
 def chart_evidence(spark, sf_dir):
     return CH.evidence_counts(load(spark, sf_dir, "orders"), "o_orderpriority")
+
+
+@register("chart_colour_groups", """
+WITH t AS (SELECT event_type FROM events GROUP BY 1 ORDER BY count(*) DESC, CAST(event_type AS VARCHAR) LIMIT 3)
+SELECT coalesce(t.event_type, 'Other') AS colour_group, CAST(count(*) AS BIGINT) AS points,
+       round(corr(e.value, CAST(e.user_id AS DOUBLE)), 4) + 0.0 AS r
+FROM events e LEFT JOIN t ON CAST(e.event_type AS VARCHAR) = t.event_type
+GROUP BY 1
+""")
+def chart_colour_groups(spark, sf_dir):
+    # A12 colouring: the three most frequent groups keep their name, the rest
+    # are Other; points and correlation per colour group.
+    e = CH.colour_groups(load(spark, sf_dir, "events"), "event_type")
+    return e.groupBy("colour_group").agg(F.count(F.lit(1)).cast("bigint").alias("points"),
+                                         rnd(F.corr("value", F.col("user_id").cast("double")), 4).alias("r"))

@@ -225,3 +225,16 @@ def claims_extract(spark, sf_dir):
     catalog = spark.createDataFrame([(f.name, f.dataType.typeName() in ("double", "long", "integer"))
                                      for f in orders.schema.fields], "column_name string, is_numeric boolean")
     return M.extract_claims(conv, "text", catalog, M.low_cardinality_values(orders))
+
+
+@register("domain_lead_facts", """
+SELECT max(o_totalprice) AS largest, round(quantile_cont(o_totalprice, 0.5), 4) AS median,
+       arg_max(o_orderkey, o_totalprice) AS largest_place
+FROM orders
+""")
+def domain_lead_facts(spark, sf_dir):
+    # The largest value of the primary measure, its median and where the
+    # largest one happened (the order key here).
+    o = load(spark, sf_dir, "orders")
+    f = U.lead_facts(o, "o_totalprice", "o_orderkey")
+    return f.select("largest", F.round("median", 4).alias("median"), "largest_place")

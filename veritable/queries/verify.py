@@ -102,19 +102,23 @@ def sig_enough_rows(spark, sf_dir):
 CONDITIONS = ["l_linestatus", "l_linenumber"]
 
 
-def _cells_sql(left: str, right: str) -> str:
+def _q(v: str, raw: bool) -> str:
+    return v if raw else f"'{v}'"
+
+
+def _cells_sql(left: str, right: str, raw: bool = False) -> str:
     parts = [f"""SELECT '{c}' AS condition, CAST({c} AS VARCHAR) AS level, l_returnflag AS g,
   avg(l_extendedprice) AS m, count(*) AS n FROM lineitem
-  WHERE l_returnflag IN ('{left}', '{right}') AND l_extendedprice IS NOT NULL AND {c} IS NOT NULL GROUP BY 1, 2, 3"""
+  WHERE l_returnflag IN ({_q(left, raw)}, {_q(right, raw)}) AND l_extendedprice IS NOT NULL AND {c} IS NOT NULL GROUP BY 1, 2, 3"""
              for c in CONDITIONS]
     return " UNION ALL ".join(parts)
 
 
-def _decompose_sql(left: str, right: str) -> str:
+def _decompose_sql(left: str, right: str, raw: bool = False) -> str:
     return f"""
-WITH cells AS ({_cells_sql(left, right)}),
+WITH cells AS ({_cells_sql(left, right, raw)}),
 sh AS (SELECT a.condition, a.level, a.m AS ml, a.n AS cl, b.m AS mr, b.n AS cr
-       FROM cells a JOIN cells b ON a.condition = b.condition AND a.level = b.level AND a.g = '{left}' AND b.g = '{right}'),
+       FROM cells a JOIN cells b ON a.condition = b.condition AND a.level = b.level AND a.g = {_q(left, raw)} AND b.g = {_q(right, raw)}),
 w AS (SELECT *, sum(cl) OVER (PARTITION BY condition) AS tl, sum(cr) OVER (PARTITION BY condition) AS tr,
              count(*) OVER (PARTITION BY condition) AS levels,
              sum(ml * cl) OVER (PARTITION BY condition) / sum(cl) OVER (PARTITION BY condition)
@@ -179,6 +183,31 @@ def confound_check(spark, sf_dir):
                        rnd("mix_share", 6).alias("mix_share"))
 
 
+TOP_FLAG = ("(SELECT l_returnflag FROM lineitem WHERE l_returnflag IS NOT NULL AND l_extendedprice IS NOT NULL "
+            "GROUP BY 1 ORDER BY avg(l_extendedprice) DESC, l_returnflag LIMIT 1)")
+BOTTOM_FLAG = ("(SELECT l_returnflag FROM lineitem WHERE l_returnflag IS NOT NULL AND l_extendedprice IS NOT NULL "
+               "GROUP BY 1 ORDER BY avg(l_extendedprice) ASC, l_returnflag DESC LIMIT 1)")
+
+
+@register("confound_check_extremes", f"""
+WITH d AS ({_decompose_sql(TOP_FLAG, BOTTOM_FLAG, raw=True)}),
+o AS (SELECT * FROM (VALUES ('l_linestatus', 0), ('l_linenumber', 1)) AS t(condition, ord)),
+k AS (SELECT d.*, o.ord, CASE WHEN reversed_share >= 0.6 AND reversed_levels <> '' THEN 'reversal'
+                              WHEN mix_share >= 0.5 THEN 'mix' END AS kind FROM d JOIN o USING (condition))
+SELECT condition, kind, overall_difference, within_difference, mix_difference, reversed_share, mix_share FROM k
+WHERE kind IS NOT NULL
+ORDER BY CASE WHEN kind = 'reversal' THEN 0 ELSE 1 END, CASE WHEN kind = 'reversal' THEN ord ELSE -mix_share END, ord
+LIMIT 1
+""")
+def confound_check_extremes(spark, sf_dir):
+    li = load(spark, sf_dir, "lineitem")
+    best = X.check_extremes(li, "l_returnflag", "l_extendedprice", CONDITIONS)
+    return best.select("condition", "kind", rnd("overall_difference", 4).alias("overall_difference"),
+                       rnd("within_difference", 4).alias("within_difference"),
+                       rnd("mix_difference", 4).alias("mix_difference"), rnd("reversed_share", 6).alias("reversed_share"),
+                       rnd("mix_share", 6).alias("mix_share"))
+
+
 # --- attribution --------------------------------------------------------------
 
 DIMS = ["o_orderstatus", "o_orderpriority"]
