@@ -35,6 +35,22 @@ def dtype_of(df: DataFrame, name: str) -> T.DataType:
     return df.schema[name].dataType
 
 
+def scalar_columns(one_row: DataFrame, names: list[str] | None = None) -> list[Column]:
+    """The columns of a one-row DataFrame as scalar subqueries.
+
+    Catalyst runs each subquery once (subqueries over the same aggregate are
+    merged into one job) and uses the value as a constant in the hosting
+    projection: no join and no exchange of the big side. ``one_row`` must
+    return at most one row; none gives NULL.
+    """
+    return [one_row.select(n).scalar().alias(n) for n in (names or one_row.columns)]
+
+
+def with_scalars(df: DataFrame, one_row: DataFrame, names: list[str] | None = None) -> DataFrame:
+    """Attach the values of a one-row DataFrame to every row of ``df``."""
+    return df.select("*", *scalar_columns(one_row, names))
+
+
 def num(c: str | Column) -> Column:
     """Coerce to double; text that is not a number becomes NULL (ANSI-safe)."""
     return col(c).try_cast("double")

@@ -14,7 +14,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from veritable.functions.exprs import is_time_type, num, period_key
+from veritable.functions.exprs import is_time_type, num, period_key, with_scalars
 from veritable.functions.dates import parse_datetime
 
 # Fixed values of the attribution rules.
@@ -64,7 +64,7 @@ def pick_period(totals: DataFrame) -> DataFrame:
     value, the mean of the other periods and the period count."""
     stats = totals.agg(F.avg("total").alias("_mean"), F.count(F.lit(1)).alias("periods"),
                        F.sum("total").alias("_sum"))
-    j = totals.crossJoin(F.broadcast(stats))
+    j = with_scalars(totals, stats)
     best = j.agg(F.min_by(F.struct("period", "total", "_mean", "periods", "_sum"),
                           F.struct(-F.abs(F.col("total") - F.col("_mean")), F.col("period"))).alias("b"))
     return best.select(
@@ -135,7 +135,7 @@ def explain(df: DataFrame, date: str, measure: str, dims: list[str], period: str
         chosen = pick_period(totals)
     else:
         stats = totals.agg(F.count(F.lit(1)).alias("periods"), F.sum("total").alias("_sum"))
-        chosen = totals.filter(F.col("period") == period).crossJoin(stats).select(
+        chosen = with_scalars(totals.filter(F.col("period") == period), stats).select(
             "period", F.col("total").alias("period_value"),
             ((F.col("_sum") - F.col("total")) / (F.col("periods") - 1)).alias("baseline_value"), "periods")
     chosen = chosen.filter(F.col("periods") >= MIN_PERIODS)
@@ -143,12 +143,13 @@ def explain(df: DataFrame, date: str, measure: str, dims: list[str], period: str
                             (F.col("period_value") - F.col("baseline_value")).alias("change"), "periods")
     summary = summary.filter(F.col("change") != 0)
     p = period_key(_ts(df, date), grain)
-    joined = df.select("*", p.alias("_period")).filter(F.col("_period").isNotNull()).crossJoin(
-        F.broadcast(summary.select(F.col("period").alias("_chosen"), F.col("periods").alias("_np"),
-                                   F.col("change").alias("_change"))))
+    # no chosen period (summary empty) leaves _chosen NULL and no rows
+    joined = with_scalars(df.select("*", p.alias("_period")).filter(F.col("_period").isNotNull()),
+                          summary.select(F.col("period").alias("_chosen"), F.col("periods").alias("_np"),
+                                         F.col("change").alias("_change"))).filter(F.col("_chosen").isNotNull())
     levels = _level_table(joined, dims, measure, F.col("_period") == F.col("_chosen"),
                           F.col("_period") != F.col("_chosen"), F.lit(1.0) / (F.col("_np") - 1))
-    levels = levels.crossJoin(F.broadcast(summary.select(F.col("change").alias("_change"))))
+    levels = with_scalars(levels, summary.select(F.col("change").alias("_change"))).filter(F.col("_change").isNotNull())
     return summary, breakdown(levels, F.col("_change"))
 
 
@@ -166,7 +167,7 @@ def explain_group_gap(df: DataFrame, group: str, measure: str, left: str, right:
     dims = [d for d in dims if d != group]
     levels = _level_table(df, dims, measure, F.coalesce(g == left, F.lit(False)),
                           F.coalesce(g == right, F.lit(False)), F.lit(1.0))
-    levels = levels.crossJoin(F.broadcast(summary.select(F.col("change").alias("_change"))))
+    levels = with_scalars(levels, summary.select(F.col("change").alias("_change"))).filter(F.col("_change").isNotNull())
     return summary, breakdown(levels, F.col("_change"))
 
 

@@ -16,7 +16,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from veritable.functions.dates import parse_datetime
-from veritable.functions.exprs import is_time_type, num, rnd
+from veritable.functions.exprs import is_time_type, num, rnd, with_scalars
 from veritable.functions.ranking import global_rank
 
 # Fixed values of the chart rules.
@@ -85,7 +85,7 @@ def fold_other(grouped: DataFrame, limit: int, additive: bool) -> DataFrame:
     head = grouped.orderBy(*order).limit(limit)
     stats = grouped.agg(F.count(F.lit(1)).alias("_n"), F.sum("value").alias("_total"))
     ranked = head.select("group", "value", F.row_number().over(W.orderBy(*order)).alias("position"))
-    ranked = ranked.crossJoin(F.broadcast(stats))
+    ranked = with_scalars(ranked, stats)
     if not additive:
         return ranked.select("group", "value", "position")
     kept = ranked.filter((F.col("_n") <= limit) | (F.col("position") < limit))
@@ -115,13 +115,13 @@ def category_bar(df: DataFrame, category: str, measure: str, how: str = "sum") -
     else:
         out = fold_other(grouped, TOP_N, how in ("sum", "count"))
     n = grouped.agg(F.count(F.lit(1)).alias("_groups"))
-    return out.crossJoin(F.broadcast(n)).filter(F.col("_groups") >= 2).drop("_groups")
+    return with_scalars(out, n).filter(F.col("_groups") >= 2).drop("_groups")
 
 
 def bar_facts(bar: DataFrame) -> DataFrame:
     """Top and bottom named group and the top's share of the shown total."""
     named = bar.filter(F.col("group") != OTHER_LABEL)
-    return bar.agg(F.sum("value").alias("total")).crossJoin(named.agg(
+    return with_scalars(bar.agg(F.sum("value").alias("total")), named.agg(
         F.min_by("group", F.struct(-F.col("value"), F.col("group"))).alias("top_label"),
         F.max("value").alias("top_value"),
         F.min_by("group", F.struct(F.col("value"), F.col("group"))).alias("bottom_label"),
@@ -142,7 +142,7 @@ def trend(df: DataFrame, date: str, measure: str, how: str = "sum") -> DataFrame
     g = (df.select(m.alias("period"), x.alias("_v")).filter(F.col("period").isNotNull() & F.col("_v").isNotNull())
          .groupBy("period").agg(_agg(how, F.col("_v")).cast("double").alias("value")))
     n = g.agg(F.count(F.lit(1)).alias("_n"))
-    return g.crossJoin(F.broadcast(n)).filter(F.col("_n") >= MIN_TREND_POINTS).drop("_n")
+    return with_scalars(g, n).filter(F.col("_n") >= MIN_TREND_POINTS).drop("_n")
 
 
 def trend_facts(tr: DataFrame) -> DataFrame:
@@ -179,7 +179,7 @@ def distribution(df: DataFrame, measure: str, bins: int = HIST_BINS) -> tuple[Da
 
 def histogram_bins(vals: DataFrame, col: str, stats: DataFrame, bins: int) -> DataFrame:
     """Equal-width bins over [min, max]; the maximum falls in the last bin."""
-    joined = vals.crossJoin(F.broadcast(stats.select("_lo", "_hi")))
+    joined = with_scalars(vals, stats, ["_lo", "_hi"])
     width = (F.col("_hi") - F.col("_lo")) / bins
     idx = F.when(width == 0, F.lit(0)).otherwise(F.least(F.floor((F.col(col) - F.col("_lo")) / width), F.lit(bins - 1)))
     g = joined.groupBy(idx.cast("int").alias("bin")).agg(
@@ -200,7 +200,7 @@ def custom_histogram(df: DataFrame, measure: str) -> tuple[DataFrame, DataFrame]
     ])).alias("s")).select(F.col("s.statistic").alias("statistic"), rnd(F.col("s.value"), 3).alias("value"))
     width = (F.col("_hi") - F.col("_lo")) / F.col("_bins")
     idx = F.when(width == 0, F.lit(0)).otherwise(F.least(F.floor((F.col("_v") - F.col("_lo")) / width), F.col("_bins") - 1))
-    hist = vals.crossJoin(F.broadcast(stats)).groupBy(idx.cast("int").alias("bin")).agg(
+    hist = with_scalars(vals, stats, ["_lo", "_hi", "_bins"]).groupBy(idx.cast("int").alias("bin")).agg(
         F.count(F.lit(1)).cast("bigint").alias("rows"))
     return summary, hist
 
@@ -215,7 +215,7 @@ def box_summary(df: DataFrame, group: str, measure: str, top: int = TOP_N, place
                                F.avg("_v").alias("mean"), F.min("_v").alias("min"), F.max("_v").alias("max")))
     head = g.orderBy(F.col("median").desc(), F.col("group")).limit(top)
     n = head.agg(F.count(F.lit(1)).alias("_n"))
-    out = head.crossJoin(F.broadcast(n)).filter(F.col("_n") >= 2)
+    out = with_scalars(head, n).filter(F.col("_n") >= 2)
     return out.select(F.col("group").alias(group), "rows", *[rnd(c, places).alias(c) for c in ("median", "mean", "min", "max")])
 
 
@@ -237,7 +237,7 @@ def pivot_sum(df: DataFrame, row: str, column: str, measure: str, top: int = PIV
     cols = cells.groupBy("col").agg(F.sum("value").alias("_t")).orderBy(F.col("_t").desc(), "col").limit(top)
     sizes = cells.agg(F.count_distinct("row").alias("_r"), F.count_distinct("col").alias("_c"))
     kept = cells.join(F.broadcast(rows.select("row")), "row").join(F.broadcast(cols.select("col")), "col")
-    return kept.crossJoin(F.broadcast(sizes)).filter((F.col("_r") >= 2) & (F.col("_c") >= 2)).select(
+    return with_scalars(kept, sizes).filter((F.col("_r") >= 2) & (F.col("_c") >= 2)).select(
         F.col("row").alias(row), F.col("col").alias(column), "value")
 
 
@@ -255,7 +255,7 @@ def crosstab(df: DataFrame, x: str, y: str, top: int = HEATMAP_TOP) -> DataFrame
     cells = base.join(F.broadcast(top_x), "x").join(F.broadcast(top_y), "y").groupBy("x", "y").agg(
         F.count(F.lit(1)).cast("bigint").alias("rows"))
     sizes = cells.agg(F.count_distinct("x").alias("_r"), F.count_distinct("y").alias("_c"))
-    return cells.crossJoin(F.broadcast(sizes)).filter((F.col("_r") >= 2) & (F.col("_c") >= 2)).select(
+    return with_scalars(cells, sizes).filter((F.col("_r") >= 2) & (F.col("_c") >= 2)).select(
         F.col("x").alias(x), F.col("y").alias(y), "rows")
 
 
@@ -320,7 +320,7 @@ def line_table(df: DataFrame, x: str, y: str, how: str = "sum", max_points: int
         span = df.agg(((F.unix_micros(F.max(ts)) - F.unix_micros(F.min(ts))) / 86400e6).alias("_days"))
         bucket = (F.when(F.col("_days") > 180, F.date_trunc("month", ts))
                   .when(F.col("_days") > 3, F.date_trunc("day", ts)).otherwise(ts))
-        base = df.crossJoin(F.broadcast(span)).select(bucket.alias("x"), ys.alias("_y"))
+        base = with_scalars(df, span).select(bucket.alias("x"), ys.alias("_y"))
     else:
         base = df.select(F.col(x).alias("x"), ys.alias("_y"))
     g = base.filter(F.col("x").isNotNull() & F.col("_y").isNotNull()).groupBy("x").agg(

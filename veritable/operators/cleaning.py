@@ -15,6 +15,7 @@ from pyspark.sql import functions as F
 
 from veritable.functions.dates import parse_datetime
 from veritable.functions.exprs import keep_null_not, text_key
+from veritable.functions.exprs import with_scalars as attach
 
 # Words that mark rows a user usually wants excluded.
 STATUS_NAME_WORDS = ("status", "state", "type", "stage")
@@ -24,8 +25,8 @@ TEXT_DROP_DISTINCT_SHARE = 0.8
 
 
 def with_scalars(df: DataFrame, scalars: DataFrame) -> DataFrame:
-    """Attach a one-row DataFrame of scalars to every row (bounded broadcast)."""
-    return df.crossJoin(F.broadcast(scalars))
+    """Attach a one-row DataFrame of scalars to every row (scalar subqueries)."""
+    return attach(df, scalars)
 
 
 def filter_rows(df: DataFrame, column: str, exclude: list) -> DataFrame:

@@ -15,7 +15,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from veritable.functions.dates import parse_datetime
-from veritable.functions.exprs import is_time_type
+from veritable.functions.exprs import is_time_type, with_scalars
 
 # Fixed values of the comparison rules.
 MATERIAL_CHANGE = 0.05
@@ -84,10 +84,10 @@ def compare_runs(now: DataFrame, before: DataFrame, now_period: DataFrame, befor
     """
     n = kpi_names(now.filter(~F.col("kpi_id").isin(*LABEL_KPIS) & F.col("value").isNotNull()))
     b = before.filter(F.col("value").isNotNull()).select(F.col("kpi_id"), F.col("value").alias("_before"))
-    lengths = now_period.select(F.col("months").alias("_mn")).crossJoin(before_period.select(F.col("months").alias("_mb")))
     comparable = (F.col("_mn").isNull() | F.col("_mb").isNull() | (F.coalesce(F.col("_mb"), F.lit(0.0)) == 0)
                   | (F.abs(F.col("_mn") - F.col("_mb")) / F.col("_mb") <= LENGTH_TOLERANCE))
-    j = n.join(b, "kpi_id").crossJoin(F.broadcast(lengths))
+    j = with_scalars(with_scalars(n.join(b, "kpi_id"), now_period.select(F.col("months").alias("_mn"))),
+                     before_period.select(F.col("months").alias("_mb")))
     rebase = ~comparable & _is_total(F.col("name"), F.col("unit")) & (F.col("_mn") > 0) & (F.col("_mb") > 0)
     now_v = F.when(rebase, F.col("value") / F.col("_mn")).otherwise(F.col("value"))
     before_v = F.when(rebase, F.col("_before") / F.col("_mb")).otherwise(F.col("_before"))

@@ -10,7 +10,7 @@ bounded whatever the number of tables.
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 # Domain families and their signal tokens, in ranking order.
@@ -68,9 +68,14 @@ def norm_expr(c):
     return F.regexp_replace(F.lower(c), "[^a-z0-9\\x{0600}-\\x{06ff}]+", "")
 
 
-def signals_table(spark: SparkSession) -> DataFrame:
-    rows = [(i, fam, tok) for i, (fam, toks) in enumerate(FAMILY_SIGNALS) for tok in toks]
-    return spark.createDataFrame(rows, "family_order int, family string, signal string")
+def signals_found(text: Column) -> Column:
+    """(family_order, family, signal) of every fixed signal found in ``text``
+    (already normalised), as an array of literals to explode - a linear scan
+    with no join against the signal list."""
+    return F.array_compact(F.array(*[
+        F.when(text.contains(norm_expr(F.lit(tok))),
+               F.struct(F.lit(i).alias("family_order"), F.lit(fam).alias("family"), F.lit(tok).alias("signal")))
+        for i, (fam, toks) in enumerate(FAMILY_SIGNALS) for tok in toks]))
 
 
 def domain_scores(catalog: DataFrame) -> DataFrame:
@@ -79,16 +84,17 @@ def domain_scores(catalog: DataFrame) -> DataFrame:
     ``catalog`` has (table_name, column_name); the table name itself is a
     source token, as a file name would be.
     """
-    spark = catalog.sparkSession
     names = catalog.select("table_name", norm_expr(F.col("column_name")).alias("token"))
     sources = catalog.select("table_name").distinct().select("table_name", norm_expr(F.col("table_name")).alias("token"))
     hay = names.unionByName(sources)
-    sig = F.broadcast(signals_table(spark).select("family_order", "family", "signal",
-                                                  norm_expr(F.col("signal")).alias("nsig")))
-    hits = hay.join(sig, F.col("token").contains(F.col("nsig"))).select("table_name", "family", "signal").distinct()
-    tables = catalog.select("table_name").distinct()
-    fams = F.broadcast(signals_table(spark).select("family_order", "family").distinct())
-    grid = tables.crossJoin(fams)  # tables x 17 families: bounded by the table count
+    # every signal of the fixed list found in a token, as an exploded array of
+    # literals (no join against the signal list)
+    hits = (hay.select("table_name", F.explode(signals_found(F.col("token"))).alias("_h"))
+            .select("table_name", "_h.family", "_h.signal").distinct())
+    # every table against every family of the fixed list (one row per family)
+    fams = F.array(*[F.struct(F.lit(i).alias("family_order"), F.lit(fam).alias("family"))
+                     for i, (fam, _toks) in enumerate(FAMILY_SIGNALS)])
+    grid = catalog.select("table_name").distinct().select("table_name", F.explode(fams).alias("_f")).select("table_name", "_f.*")
     counts = hits.groupBy("table_name", "family").agg(F.count(F.lit(1)).alias("score"),
                                                       F.array_sort(F.collect_list("signal")).alias("matched"))
     return grid.join(counts, ["table_name", "family"], "left").select(
@@ -136,11 +142,12 @@ def lead_facts(df: DataFrame, measure: str, place: str | None = None) -> DataFra
 
 def row_subject(catalog: DataFrame) -> DataFrame:
     """Which keyword group the column names point to (high at >= 2 hits)."""
-    spark = catalog.sparkSession
-    rows = [(i, subj, kw) for i, (kws, subj) in enumerate(SUBJECT_SIGNALS) for kw in kws]
-    kw = F.broadcast(spark.createDataFrame(rows, "subject_order int, subject string, keyword string"))
     names = catalog.groupBy("table_name").agg(F.concat_ws(" ", F.collect_list(F.lower("column_name"))).alias("_names"))
-    grid = names.crossJoin(kw).filter(F.col("_names").contains(F.col("keyword")))
+    # one entry per keyword found in the table's names (fixed keyword list as expressions)
+    found = F.array_compact(F.array(*[
+        F.when(F.col("_names").contains(F.lit(kw)), F.struct(F.lit(i).alias("subject_order"), F.lit(subj).alias("subject")))
+        for i, (kws, subj) in enumerate(SUBJECT_SIGNALS) for kw in kws]))
+    grid = names.select("table_name", F.explode(found).alias("_h")).select("table_name", "_h.*")
     cnt = grid.groupBy("table_name", "subject_order", "subject").agg(F.count(F.lit(1)).alias("hits"))
     best = cnt.groupBy("table_name").agg(F.min_by(F.struct("subject", "hits"), F.struct(-F.col("hits"), F.col("subject_order"))).alias("b"))
     out = names.select("table_name").join(best, "table_name", "left")
@@ -150,10 +157,8 @@ def row_subject(catalog: DataFrame) -> DataFrame:
 
 def family_from_text(texts: DataFrame, text_col: str) -> DataFrame:
     """Family signals counted in free-text descriptions (best, else general)."""
-    spark = texts.sparkSession
     t = texts.select("*", norm_expr(F.col(text_col)).alias("_n"))
-    sig = F.broadcast(signals_table(spark).select("family_order", "family", norm_expr(F.col("signal")).alias("nsig")))
-    hits = t.select("description_id", "_n").join(sig, F.col("_n").contains(F.col("nsig")))
+    hits = t.select("description_id", F.explode(signals_found(F.col("_n"))).alias("_h")).select("description_id", "_h.*")
     cnt = hits.groupBy("description_id", "family_order", "family").agg(F.count(F.lit(1)).alias("score"))
     best = cnt.groupBy("description_id").agg(F.max_by(F.struct("family", "score"), F.struct(F.col("score"), -F.col("family_order"))).alias("b"))
     return t.select("description_id").join(best, "description_id", "left").select(

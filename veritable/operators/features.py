@@ -14,7 +14,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from veritable.functions.dates import parse_datetime
-from veritable.functions.exprs import rnd, is_time_type, num, safe_name
+from veritable.functions.exprs import rnd, is_time_type, num, safe_name, with_scalars
 
 # Labels and limits of the standard bands.
 TIER_LABELS = ("Small", "Medium", "Large", "Very large")
@@ -65,7 +65,7 @@ def add_net_revenue(df: DataFrame, revenue: str, discount: str) -> DataFrame:
     d = F.coalesce(num(discount), F.lit(0.0))
     scal = df.agg(F.max(d).alias("_dmax"))
     scaled = F.when(F.col("_dmax") > DISCOUNT_PERCENT_CUTOFF, d / 100.0).otherwise(d)
-    out = df.crossJoin(F.broadcast(scal))
+    out = with_scalars(df, scal)
     return out.select(*df.columns, rnd(num(revenue) * (1 - scaled), 2).alias("net_revenue"))
 
 
@@ -95,7 +95,7 @@ def add_size_band(df: DataFrame, revenue: str, column: str = "revenue_tier", exa
         .when(x <= e[3], TIER_LABELS[2])
         .when(x <= e[4], TIER_LABELS[3])
     )
-    out = df.crossJoin(F.broadcast(cuts))
+    out = with_scalars(df, cuts)
     return out.select(*df.columns, band.alias(column))
 
 

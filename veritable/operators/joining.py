@@ -15,7 +15,7 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from veritable.functions.exprs import is_numeric_type
+from veritable.functions.exprs import is_numeric_type, with_scalars
 
 # Fixed values of the join rules.
 MIN_OVERLAP = 0.5
@@ -162,9 +162,8 @@ def apply_join(left: DataFrame, right: DataFrame, left_col: str, right_col: str,
 
 def join_report(left: DataFrame, joined: DataFrame) -> DataFrame:
     """Rows before and after a join (one small job each side)."""
-    return left.agg(F.count(F.lit(1)).cast("bigint").alias("rows_before")).crossJoin(
-        joined.agg(F.count(F.lit(1)).cast("bigint").alias("rows_after"))
-    )
+    return with_scalars(left.agg(F.count(F.lit(1)).cast("bigint").alias("rows_before")),
+                        joined.agg(F.count(F.lit(1)).cast("bigint").alias("rows_after")))
 
 
 def choose_base(tables: dict[str, DataFrame], roles: dict[str, dict[str, str]]) -> str:

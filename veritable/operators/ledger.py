@@ -11,6 +11,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from veritable.functions.exprs import with_scalars
+
 # Rating weights and the context keys feedback may carry.
 RATING_WEIGHTS = {"useful": 2.0, "not_useful": -1.0, "incorrect": -2.0}
 CONTEXT_KINDS = {"axis": "axes", "kpi": "kpis", "chart_kind": "chart_kinds", "confidence": "confidence"}
@@ -122,7 +124,7 @@ def policy_check(profile: DataFrame, candidate: dict[str, float], parent: dict[s
     a, b = align(candidate, "c"), align(parent, "b")
     guard = all(POLICY_WEIGHT_RANGE[0] <= float(v) <= POLICY_WEIGHT_RANGE[1] for v in candidate.values())
     s = samples.agg(F.count(F.lit(1)).alias("samples"))
-    j = a.crossJoin(b).crossJoin(s)
+    j = with_scalars(with_scalars(a, b), s)
     ca = F.round(100 * F.col("p_c") / F.greatest(F.lit(1.0), F.col("p_c") + F.col("n_c")), 1)
     ba = F.round(100 * F.col("p_b") / F.greatest(F.lit(1.0), F.col("p_b") + F.col("n_b")), 1)
     gate = (F.col("samples") == 0) | (ca >= ba)
@@ -138,4 +140,4 @@ def counters(memory: DataFrame, lessons: DataFrame, feedback: DataFrame) -> Data
     l = lessons.agg(F.count_if(F.col("status") == "pending").cast("bigint").alias("pending_lessons"))
     f = latest_feedback(feedback).agg(F.count_if(F.col("rating") == "incorrect").cast("bigint").alias("corrections"),
                                       F.count_if(F.col("rating") == "useful").cast("bigint").alias("useful"))
-    return m.crossJoin(l).crossJoin(f)
+    return with_scalars(with_scalars(m, l), f)

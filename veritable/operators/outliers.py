@@ -2,7 +2,7 @@
 
 Bounds are Q1 - 1.5 IQR and Q3 + 1.5 IQR from linear-interpolated quartiles.
 Quartiles are exact and shared across columns (bounded-memory bracket
-method); the row operators attach the one-row bounds by a broadcast cross join.
+method); the row operators attach the one-row bounds as scalar subqueries.
 """
 
 from __future__ import annotations
@@ -10,6 +10,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from veritable.functions.exprs import with_scalars
 from veritable.functions.quantiles import global_quantiles
 
 # Fixed values of the outlier rule.
@@ -104,7 +105,7 @@ def outside(column: str):
 
 def remove_outliers(df: DataFrame, bounds: DataFrame, column: str) -> DataFrame:
     """O3: drop rows outside the bounds; NULL values stay."""
-    joined = df.crossJoin(F.broadcast(_bounds_row(bounds, column)))
+    joined = with_scalars(df, _bounds_row(bounds, column))
     return joined.filter(~F.coalesce(outside(column), F.lit(False))).select(*df.columns)
 
 
@@ -112,20 +113,20 @@ def cap_outliers(df: DataFrame, bounds: DataFrame, column: str) -> DataFrame:
     """Clip to the bounds; NULL stays NULL."""
     x = F.col(column).try_cast("double")
     capped = F.when(x < F.col("_lo"), F.col("_lo")).when(x > F.col("_hi"), F.col("_hi")).otherwise(x)
-    joined = df.crossJoin(F.broadcast(_bounds_row(bounds, column)))
+    joined = with_scalars(df, _bounds_row(bounds, column))
     return joined.select(*[capped.alias(c) if c == column else F.col(c) for c in df.columns])
 
 
 def flag_outliers(df: DataFrame, bounds: DataFrame, column: str) -> DataFrame:
     """Add ``<column>_is_unusual``; NULL values are not unusual."""
-    joined = df.crossJoin(F.broadcast(_bounds_row(bounds, column)))
+    joined = with_scalars(df, _bounds_row(bounds, column))
     return joined.select(*df.columns, F.coalesce(outside(column), F.lit(False)).alias(f"{column}{UNUSUAL_SUFFIX}"))
 
 
 def outlier_examples(df: DataFrame, bounds: DataFrame, column: str, n: int = 10) -> DataFrame:
     """Lowest n below and highest n above the bounds (top-k, no full sort)."""
     x = F.col(column).try_cast("double")
-    joined = df.crossJoin(F.broadcast(_bounds_row(bounds, column)))
+    joined = with_scalars(df, _bounds_row(bounds, column))
     low = joined.filter(x < F.col("_lo")).select(F.lit("low").alias("side"), x.alias("value")).orderBy("value").limit(n)
     high = joined.filter(x > F.col("_hi")).select(F.lit("high").alias("side"), x.alias("value")).orderBy(F.col("value").desc()).limit(n)
     return low.unionByName(high)

@@ -15,7 +15,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from veritable.functions.dates import parse_datetime
-from veritable.functions.exprs import is_numeric_type, is_time_type
+from veritable.functions.exprs import is_numeric_type, is_time_type, scalar_columns
 
 # Name patterns, tokens and thresholds of the role rules.
 IDENTIFIER_PATTERN = r"(?i)(^|[_\s])(id|ids|key|code|no|num|number|ref|reference|uuid|guid|sku|barcode)([_\s]|$)"
@@ -397,7 +397,7 @@ def dataset_summary(df: DataFrame) -> DataFrame:
     return duplicate_row_count(df).select(
         F.lit(len(df.columns)).cast("bigint").alias("column_count"),
         "duplicate_rows",
-    ).crossJoin(df.agg(F.count(F.lit(1)).cast("bigint").alias("row_count")))
+    ).select("*", *scalar_columns(df.agg(F.count(F.lit(1)).cast("bigint").alias("row_count"))))
 
 
 class ProfileCache:

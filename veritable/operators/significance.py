@@ -16,7 +16,7 @@ import math
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from veritable.functions.exprs import num
+from veritable.functions.exprs import num, with_scalars
 
 # Fixed values of the comparison rules.
 RESAMPLES = 2000
@@ -51,7 +51,8 @@ def _pair(stats: DataFrame, left: str | Column, right: str | Column) -> DataFram
                      F.col("var").alias("var_right"))
     lcond = F.col("left") == (F.lit(left) if isinstance(left, str) else left)
     rcond = F.col("right") == (F.lit(right) if isinstance(right, str) else right)
-    return l.filter(lcond).crossJoin(r.filter(rcond))
+    # the right group's one row rides along as scalars; a missing group gives no row
+    return with_scalars(l.filter(lcond), r.filter(rcond)).filter(F.col("right").isNotNull())
 
 
 def verdict_columns(pair: DataFrame) -> DataFrame:
@@ -164,7 +165,7 @@ def resolve_with_bootstrap(df: DataFrame, group: str, measure: str, decided: Dat
                    .otherwise("weak"))
         return decided.withColumn("verdict", verdict).withColumn("method", F.lit("normal_large_n"))
     boot = bootstrap_interval(df, group, measure, row["left"], row["right"], key)
-    j = decided.crossJoin(boot)
+    j = with_scalars(decided, boot)
     straddles = (F.col("boot_low") <= 0) & (F.col("boot_high") >= 0)
     verdict = (F.when(straddles | (F.abs("relative") < MIN_RELATIVE_GAP), "noise")
                .when((F.col("boot_high") - F.col("boot_low")) <= F.abs("difference"), "solid").otherwise("weak"))
