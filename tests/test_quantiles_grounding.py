@@ -23,6 +23,25 @@ def test_exact_quantiles_match_numpy(spark):
     assert both == pytest.approx(list(want), rel=1e-12, abs=1e-12)
 
 
+def test_quantile_routing_and_crowded_brackets(spark, monkeypatch):
+    from veritable.functions import quantiles as Q
+
+    rng = np.random.default_rng(5)
+    a = np.concatenate([rng.exponential(3.0, 4000), np.full(900, 1.5)])      # heavy tie inside the data
+    b = rng.integers(0, 7, len(a)).astype(float)                              # few distinct values
+    df = spark.createDataFrame([(float(x), float(y)) for x, y in zip(a, b)], "a double, b double")
+    probs = [0.05, 0.25, 0.5, 0.75, 0.99]
+    # coarse sketch and tiny read limit: brackets are crowded and get narrowed
+    got = Q.exact_quantiles_many(df, {"a": probs, "b": probs}, accuracy=100, max_rows=25)
+    assert got["a"] == pytest.approx(list(np.quantile(a, probs)), rel=1e-12, abs=1e-12)
+    assert got["b"] == pytest.approx(list(np.quantile(b, probs)), rel=1e-12, abs=1e-12)
+    # with a low limit the high-cardinality column is routed to the bracket method
+    monkeypatch.setattr(Q, "PERCENTILE_DISTINCT_LIMIT", 100)
+    routed = Q.global_quantiles(df, {"a": probs, "b": probs})
+    assert routed["a"] == pytest.approx(list(np.quantile(a, probs)), rel=1e-12, abs=1e-12)
+    assert routed["b"] == pytest.approx(list(np.quantile(b, probs)), rel=1e-12, abs=1e-12)
+
+
 def test_sum_of_top_is_exact(spark):
     rng = np.random.default_rng(2)
     vals = rng.exponential(10, 5000).round(2)

@@ -8,8 +8,8 @@ bracket's lower edge; only the rows inside the brackets - a few per ten
 thousand of the column by the sketch's rank guarantee - are read to pick the
 exact values from the bracket's (value, count) histogram. A bracket holding
 more than ``max_rows`` distinct values is narrowed again on its own rows; one
-that misses (ties can crowd it) is widened. All
-columns and probabilities share the same three or four jobs.
+that misses (ties can crowd it) is widened. All columns and probabilities
+share the same three jobs (sketch, counts, bracket histograms).
 
 The result equals linear interpolation between order statistics (pandas
 ``quantile``, DuckDB ``quantile_cont``, Spark ``percentile``).
@@ -30,13 +30,24 @@ def _vals(df: DataFrame, column: str):
     return F.col(column).try_cast("double")
 
 
-def _order_stats(df: DataFrame, wanted: dict[str, list[int]], counts: dict[str, int], accuracy: int,
-                 max_rows: int, scope=None) -> dict[tuple[str, int], float]:
-    """Exact values at 0-based ascending ranks, per column.
+def _bracket_hist(df: DataFrame, brackets: list[tuple[str, float, float]], ids: list[int]) -> DataFrame:
+    """(k, v, count): the distinct values inside each chosen bracket with
+    their counts (ties collapse to one entry; partial aggregation per task)."""
+    inside = {j: (_vals(df, brackets[j][0]) >= F.lit(brackets[j][1])) & (_vals(df, brackets[j][0]) <= F.lit(brackets[j][2]))
+              for j in ids}
+    parts = [F.when(inside[j], F.struct(F.lit(j).alias("k"), _vals(df, brackets[j][0]).alias("v"))) for j in ids]
+    # the range filter first: only bracket rows reach the explode (and the
+    # scan can skip row groups by their min/max)
+    any_inside = inside[ids[0]]
+    for j in ids[1:]:
+        any_inside = any_inside | inside[j]
+    return (df.filter(any_inside).select(F.explode(F.array_compact(F.array(*parts))).alias("s"))
+            .groupBy("s.k", "s.v").count())
 
-    ``scope`` optionally restricts a column to a value range (lo, hi) with a
-    known number of rows below it, for narrowing a crowded bracket.
-    """
+
+def _order_stats(df: DataFrame, wanted: dict[str, list[int]], counts: dict[str, int], accuracy: int,
+                 max_rows: int) -> dict[tuple[str, int], float]:
+    """Exact values at 0-based ascending ranks, per column."""
     out: dict[tuple[str, int], float] = {}
     pending = [(c, r) for c, ranks in wanted.items() for r in sorted(set(ranks))]
     eps = 2.0 / accuracy
@@ -54,54 +65,62 @@ def _order_stats(df: DataFrame, wanted: dict[str, list[int]], counts: dict[str,
                 probs += [max(0.0, p - eps), min(1.0, p + eps)]
             sketch.append(F.percentile_approx(_vals(df, c), probs, accuracy).alias(f"e{j}"))
         edges = df.agg(*sketch).first()
-        brackets: list = [None] * len(pending)
+        # neighbouring ranks (the two sides of an interpolation) usually share
+        # a bracket: each distinct (column, lo, hi) is counted and read once
+        ids: dict[tuple[str, float, float], int] = {}
+        bracket_of: list[int] = [0] * len(pending)
         for j, (c, idx) in enumerate(by_col.items()):
             e = edges[f"e{j}"]
             for k, i in enumerate(idx):
-                brackets[i] = (e[2 * k], e[2 * k + 1])
+                bracket_of[i] = ids.setdefault((c, e[2 * k], e[2 * k + 1]), len(ids))
+        brackets = list(ids)
         aggs = []
-        for i, (c, _r) in enumerate(pending):
-            x, (lo, hi) = _vals(df, c), brackets[i]
-            aggs += [F.count_if(x < F.lit(lo)).alias(f"b{i}"), F.count_if((x >= F.lit(lo)) & (x <= F.lit(hi))).alias(f"i{i}")]
+        for j, (c, lo, hi) in enumerate(brackets):
+            x = _vals(df, c)
+            aggs += [F.count_if(x < F.lit(lo)).alias(f"b{j}"), F.count_if((x >= F.lit(lo)) & (x <= F.lit(hi))).alias(f"i{j}")]
         cnt = df.agg(*aggs).first()
-        retry, small = [], []
+        retry: list[tuple[str, int]] = []
+        need: dict[int, list[int]] = {}
         for i, (c, r) in enumerate(pending):
-            below, inside = cnt[f"b{i}"], cnt[f"i{i}"]
-            lo, hi = brackets[i]
+            j = bracket_of[i]
+            below, inside = cnt[f"b{j}"], cnt[f"i{j}"]
+            _c, lo, hi = brackets[j]
             if not (below <= r < below + inside):
-                retry.append((c, r))
+                retry.append((c, r))                   # ties moved the rank out: widen
             elif lo == hi:
-                out[(c, r)] = float(lo)           # every row in the bracket holds this value
+                out[(c, r)] = float(lo)               # every row in the bracket holds this value
             else:
-                small.append((i, c, r, below, inside))
-        if small:
-            # each bracket's distinct values with counts (ties collapse to one
-            # entry); brackets with at most max_rows distinct values are read,
-            # wider ones are narrowed again on their own rows
-            parts = [F.when((_vals(df, c) >= F.lit(brackets[i][0])) & (_vals(df, c) <= F.lit(brackets[i][1])),
-                            F.struct(F.lit(i).alias("k"), _vals(df, c).alias("v")))
-                     for i, c, _r, _b, _n in small]
-            hist = (df.select(F.explode(F.array_compact(F.array(*parts))).alias("s"))
-                    .groupBy("s.k", "s.v").count())
-            sizes = {row["k"]: row["count"] for row in hist.groupBy("k").count().collect()}
-            fetch = [i for i, *_rest in small if sizes.get(i, 0) <= max_rows]
+                need.setdefault(j, []).append(r)
+        if need:
+            # a bracket with at most max_rows rows has at most that many
+            # distinct values: read its histogram directly. Only a crowded one
+            # needs its distinct count, to be read or narrowed on its own rows.
+            read = [j for j in need if cnt[f"i{j}"] <= max_rows]
+            crowded = [j for j in need if j not in read]
+            if crowded:
+                sizes = {row["k"]: row["count"] for row in _bracket_hist(df, brackets, crowded).groupBy("k").count().collect()}
+                read += [j for j in crowded if sizes.get(j, 0) <= max_rows]
             by_k: dict[int, list[tuple[float, int]]] = {}
-            if fetch:
-                for row in hist.filter(F.col("k").isin(fetch)).collect():
+            if read:
+                for row in _bracket_hist(df, brackets, read).collect():
                     by_k.setdefault(row["k"], []).append((row["v"], row["count"]))
-            for i, c, r, below, inside in small:
-                if i in by_k:
-                    seen = below
-                    for v, n in sorted(by_k[i]):
-                        seen += n
-                        if r < seen:
-                            out[(c, r)] = float(v)
-                            break
+            for j, ranks in need.items():
+                c, lo, hi = brackets[j]
+                below = cnt[f"b{j}"]
+                if j in by_k:
+                    hist = sorted(by_k[j])
+                    for r in ranks:
+                        seen = below
+                        for v, n in hist:
+                            seen += n
+                            if r < seen:
+                                out[(c, r)] = float(v)
+                                break
                 else:
-                    lo, hi = brackets[i]
                     sub = df.filter((_vals(df, c) >= F.lit(lo)) & (_vals(df, c) <= F.lit(hi)))
-                    got = _order_stats(sub, {c: [r - below]}, {c: inside}, accuracy, max_rows)
-                    out[(c, r)] = got[(c, r - below)]
+                    got = _order_stats(sub, {c: [r - below for r in ranks]}, {c: cnt[f"i{j}"]}, accuracy, max_rows)
+                    for r in ranks:
+                        out[(c, r)] = got[(c, r - below)]
         pending = retry
         eps = min(eps * 4, 1.0)
     return out
@@ -145,33 +164,33 @@ def exact_quantiles(df: DataFrame, column: str, probs: list[float], accuracy: in
     return exact_quantiles_many(df, {column: probs}, accuracy, max_rows)[column]
 
 
-# Above this many distinct values a column's exact-percentile map (value ->
-# count, merged into one task) is no longer a safe single-task structure, and
-# the bracket method takes over. Below it, one fused ``percentile`` pass is
-# cheaper than the bracket method's extra scans.
-MAP_DISTINCT_LIMIT = 2_000_000
+# Columns with at most this many distinct values (estimated) take one fused
+# exact ``percentile`` pass: its per-task map is bounded by the distinct
+# values and it is the cheapest exact plan there. Above it, the map (merged
+# into one final task) is both slow and unbounded, and the bracket method
+# takes over.
+PERCENTILE_DISTINCT_LIMIT = 50_000
 
 
 def global_quantiles(df: DataFrame, probs: dict[str, list[float]], distinct_hint: dict[str, int] | None = None,
                      counts: dict[str, int] | None = None) -> dict[str, list[float | None]]:
     """Exact quantiles per column, choosing the plan by cardinality.
 
-    A column can hold no more distinct values than non-null rows, so a column
-    with at most ``MAP_DISTINCT_LIMIT`` rows needs no estimate; for larger
-    ones a distinct-count sketch (``distinct_hint`` or computed here) decides.
-    Low-cardinality columns share one fused ``percentile`` aggregation,
-    high-cardinality ones use the bounded-memory bracket method.
+    Counts and distinct-value estimates the caller does not pass are taken in
+    one fused pass (``approx_count_distinct`` is a mergeable sketch). A column
+    with no more rows than the limit needs no estimate.
     """
     cols = list(probs)
-    if counts is None:
-        row = df.agg(*[F.count(_vals(df, c)).alias(f"n{i}") for i, c in enumerate(cols)]).first()
-        counts = {c: int(row[f"n{i}"]) for i, c in enumerate(cols)}
+    counts = dict(counts or {})
     hint = dict(distinct_hint or {})
-    unknown = [c for c in cols if counts[c] > MAP_DISTINCT_LIMIT and c not in hint]
-    if unknown:
-        row = df.agg(*[F.approx_count_distinct(_vals(df, c)).alias(f"d{i}") for i, c in enumerate(unknown)]).first()
-        hint.update({c: int(row[f"d{i}"]) for i, c in enumerate(unknown)})
-    small = [c for c in cols if counts[c] <= MAP_DISTINCT_LIMIT or hint.get(c, 0) <= MAP_DISTINCT_LIMIT]
+    need_n = [c for c in cols if c not in counts]
+    need_d = [c for c in cols if c not in hint and counts.get(c, PERCENTILE_DISTINCT_LIMIT + 1) > PERCENTILE_DISTINCT_LIMIT]
+    if need_n or need_d:
+        row = df.agg(*[F.count(_vals(df, c)).alias(f"n{i}") for i, c in enumerate(need_n)],
+                     *[F.approx_count_distinct(_vals(df, c)).alias(f"d{i}") for i, c in enumerate(need_d)]).first()
+        counts.update({c: int(row[f"n{i}"]) for i, c in enumerate(need_n)})
+        hint.update({c: int(row[f"d{i}"]) for i, c in enumerate(need_d)})
+    small = [c for c in cols if counts[c] <= PERCENTILE_DISTINCT_LIMIT or hint.get(c, 0) <= PERCENTILE_DISTINCT_LIMIT]
     large = [c for c in cols if c not in small]
     out: dict[str, list[float | None]] = {}
     if small:

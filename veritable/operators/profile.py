@@ -259,6 +259,8 @@ def numeric_stats(df: DataFrame, columns: list[str], exact: bool = True) -> Data
             F.sum(x).alias(f"sm{i}"), F.count_if(x == 0).alias(f"z{i}"), F.count_if(x < 0).alias(f"ng{i}"),
             F.skewness(x).alias(f"sk{i}"),
         ]
+    # declarative aggregates only, so the pass stays in whole-stage codegen
+    # (a sketch such as approx_count_distinct here would take it out)
     wide_row = df.agg(*aggs).first()          # one row: bounded
     if exact:
         med = global_quantiles(df, {c: [0.5] for c in columns},
