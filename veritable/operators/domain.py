@@ -1,15 +1,17 @@
 """Domain inference, measure additivity and run quality.
 
-Domain scoring is a catalogue job: the column catalogue (one row per column
-of every table, plus the table name as a source token) is joined with a small
-broadcast table of (family, signal) tokens on ``contains``; signals matched
-per (table, family) are counted, and the best family per table is a top-1.
-The signal table is fixed and small (about 160 tokens), so the broadcast is
-bounded whatever the number of tables.
+Domain scoring is a catalogue job: for every token of the column catalogue
+(one row per column of every table, plus the table name as a source token)
+the fixed (family, signal) list - a constant array of about 160 entries - is
+filtered to the signals the token contains and exploded; signals matched per
+(table, family) are counted, and the best family per table is a top-1. No
+join against the signal list: the work is linear in the catalogue.
 """
 
 from __future__ import annotations
 
+import re
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -68,14 +70,25 @@ def norm_expr(c):
     return F.regexp_replace(F.lower(c), "[^a-z0-9\\x{0600}-\\x{06ff}]+", "")
 
 
+def _norm_text(s: str) -> str:
+    """``norm_expr`` for a Python string (the fixed tokens below)."""
+    return re.sub("[^a-z0-9\u0600-\u06ff]+", "", s.lower())
+
+
+# The fixed lists as SQL array literals: one parsed expression each, instead
+# of one JVM call per entry when the plan is built.
+FAMILY_SIGNALS_SQL = "array({})".format(", ".join(
+    f"named_struct('family_order', {i}, 'family', '{fam}', 'signal', '{tok}', 'nsig', '{_norm_text(tok)}')"
+    for i, (fam, toks) in enumerate(FAMILY_SIGNALS) for tok in toks))
+FAMILIES_SQL = "array({})".format(", ".join(
+    f"named_struct('family_order', {i}, 'family', '{fam}')" for i, (fam, _toks) in enumerate(FAMILY_SIGNALS)))
+
+
 def signals_found(text: Column) -> Column:
-    """(family_order, family, signal) of every fixed signal found in ``text``
-    (already normalised), as an array of literals to explode - a linear scan
-    with no join against the signal list."""
-    return F.array_compact(F.array(*[
-        F.when(text.contains(norm_expr(F.lit(tok))),
-               F.struct(F.lit(i).alias("family_order"), F.lit(fam).alias("family"), F.lit(tok).alias("signal")))
-        for i, (fam, toks) in enumerate(FAMILY_SIGNALS) for tok in toks]))
+    """(family_order, family, signal, nsig) of every fixed signal found in
+    ``text`` (already normalised): a filter over a constant array, so a
+    linear scan with no join against the signal list."""
+    return F.filter(F.expr(FAMILY_SIGNALS_SQL), lambda s: text.contains(s["nsig"]))
 
 
 def domain_scores(catalog: DataFrame) -> DataFrame:
@@ -92,9 +105,8 @@ def domain_scores(catalog: DataFrame) -> DataFrame:
     hits = (hay.select("table_name", F.explode(signals_found(F.col("token"))).alias("_h"))
             .select("table_name", "_h.family", "_h.signal").distinct())
     # every table against every family of the fixed list (one row per family)
-    fams = F.array(*[F.struct(F.lit(i).alias("family_order"), F.lit(fam).alias("family"))
-                     for i, (fam, _toks) in enumerate(FAMILY_SIGNALS)])
-    grid = catalog.select("table_name").distinct().select("table_name", F.explode(fams).alias("_f")).select("table_name", "_f.*")
+    grid = (catalog.select("table_name").distinct().select("table_name", F.explode(F.expr(FAMILIES_SQL)).alias("_f"))
+            .select("table_name", "_f.*"))
     counts = hits.groupBy("table_name", "family").agg(F.count(F.lit(1)).alias("score"),
                                                       F.array_sort(F.collect_list("signal")).alias("matched"))
     return grid.join(counts, ["table_name", "family"], "left").select(
@@ -144,10 +156,11 @@ def row_subject(catalog: DataFrame) -> DataFrame:
     """Which keyword group the column names point to (high at >= 2 hits)."""
     names = catalog.groupBy("table_name").agg(F.concat_ws(" ", F.collect_list(F.lower("column_name"))).alias("_names"))
     # one entry per keyword found in the table's names (fixed keyword list as expressions)
-    found = F.array_compact(F.array(*[
-        F.when(F.col("_names").contains(F.lit(kw)), F.struct(F.lit(i).alias("subject_order"), F.lit(subj).alias("subject")))
-        for i, (kws, subj) in enumerate(SUBJECT_SIGNALS) for kw in kws]))
-    grid = names.select("table_name", F.explode(found).alias("_h")).select("table_name", "_h.*")
+    keywords = F.expr("array({})".format(", ".join(
+        f"named_struct('subject_order', {i}, 'subject', '{subj}', 'keyword', '{kw}')"
+        for i, (kws, subj) in enumerate(SUBJECT_SIGNALS) for kw in kws)))
+    found = F.filter(keywords, lambda k: F.col("_names").contains(k["keyword"]))
+    grid = names.select("table_name", F.explode(found).alias("_h")).select("table_name", "_h.subject_order", "_h.subject")
     cnt = grid.groupBy("table_name", "subject_order", "subject").agg(F.count(F.lit(1)).alias("hits"))
     best = cnt.groupBy("table_name").agg(F.min_by(F.struct("subject", "hits"), F.struct(-F.col("hits"), F.col("subject_order"))).alias("b"))
     out = names.select("table_name").join(best, "table_name", "left")
@@ -158,7 +171,8 @@ def row_subject(catalog: DataFrame) -> DataFrame:
 def family_from_text(texts: DataFrame, text_col: str) -> DataFrame:
     """Family signals counted in free-text descriptions (best, else general)."""
     t = texts.select("*", norm_expr(F.col(text_col)).alias("_n"))
-    hits = t.select("description_id", F.explode(signals_found(F.col("_n"))).alias("_h")).select("description_id", "_h.*")
+    hits = (t.select("description_id", F.explode(signals_found(F.col("_n"))).alias("_h"))
+            .select("description_id", "_h.family_order", "_h.family"))
     cnt = hits.groupBy("description_id", "family_order", "family").agg(F.count(F.lit(1)).alias("score"))
     best = cnt.groupBy("description_id").agg(F.max_by(F.struct("family", "score"), F.struct(F.col("score"), -F.col("family_order"))).alias("b"))
     return t.select("description_id").join(best, "description_id", "left").select(
