@@ -202,3 +202,20 @@ def global_quantiles(df: DataFrame, probs: dict[str, list[float]], distinct_hint
     if large:
         out.update(exact_quantiles_many(df, {c: probs[c] for c in large}, counts={c: counts[c] for c in large}))
     return out
+
+
+def quantile_literal(df: DataFrame, column: str, probs: list[float] | float):
+    """Exact global quantile(s) of a column as a literal for a later
+    aggregation: one value for a float ``probs``, an array for a list.
+
+    Used wherever a whole-table median or quantile sits beside other
+    aggregates: an exact ``percentile`` there would merge a map of every
+    distinct value into one task.
+    """
+    many = isinstance(probs, list)
+    vals = global_quantiles(df, {column: list(probs) if many else [probs]})[column]
+    if many:
+        if vals[0] is None:
+            return F.lit(None).cast("array<double>")
+        return F.array(*[F.lit(float(v)) for v in vals])
+    return F.lit(vals[0]).cast("double")

@@ -17,6 +17,7 @@ from pyspark.sql import functions as F
 
 from veritable.functions.dates import parse_datetime
 from veritable.functions.exprs import is_time_type, num, rnd, with_scalars
+from veritable.functions.quantiles import quantile_literal
 from veritable.functions.ranking import global_rank
 
 # Fixed values of the chart rules.
@@ -167,7 +168,7 @@ def distribution(df: DataFrame, measure: str, bins: int = HIST_BINS) -> tuple[Da
     stats = vals.agg(
         F.count(F.lit(1)).alias("_n"), F.count_distinct("_v").alias("_d"), F.min("_v").alias("_lo"),
         F.max("_v").alias("_hi"), F.avg("_v").alias("mean"),
-        F.percentile("_v", F.array(*[F.lit(p) for p in (0.0, 0.25, 0.5, 0.75, 1.0)])).alias("_q"),
+        quantile_literal(vals, "_v", [0.0, 0.25, 0.5, 0.75, 1.0]).alias("_q"),
     ).filter((F.col("_n") >= 20) & (F.col("_d") >= 5))
     names = ["Lowest", "25% below", "Middle", "25% above", "Highest"]
     points = stats.select(F.posexplode(F.col("_q")).alias("i", "value")).select(
@@ -192,7 +193,7 @@ def custom_histogram(df: DataFrame, measure: str) -> tuple[DataFrame, DataFrame]
     x = num(measure)
     vals = df.select(x.alias("_v")).filter(F.col("_v").isNotNull())
     stats = vals.agg(F.count(F.lit(1)).alias("_n"), F.min("_v").alias("_lo"), F.max("_v").alias("_hi"),
-                     F.avg("_v").alias("_mean"), F.percentile("_v", 0.5).alias("_median"))
+                     F.avg("_v").alias("_mean"), quantile_literal(vals, "_v", 0.5).alias("_median"))
     stats = stats.withColumn("_bins", F.least(F.lit(40), F.greatest(F.lit(10), F.floor(F.sqrt("_n")))).cast("int"))
     items = [("Rows", "_n"), ("Average", "_mean"), ("Median", "_median"), ("Minimum", "_lo"), ("Maximum", "_hi")]
     summary = stats.select(F.explode(F.array(*[
@@ -222,7 +223,7 @@ def box_summary(df: DataFrame, group: str, measure: str, top: int = TOP_N, place
 def overall_box(df: DataFrame, measure: str) -> DataFrame:
     """C9 without a group: one row of count, median, mean, min, max (3 dp)."""
     x = num(measure)
-    return df.agg(F.count(x).cast("bigint").alias("rows"), rnd(F.percentile(x, 0.5), 3).alias("median"),
+    return df.agg(F.count(x).cast("bigint").alias("rows"), rnd(quantile_literal(df, measure, 0.5), 3).alias("median"),
                   rnd(F.avg(x), 3).alias("mean"), rnd(F.min(x), 3).alias("min"), rnd(F.max(x), 3).alias("max"))
 
 

@@ -16,6 +16,7 @@ from pyspark.sql import functions as F
 
 from veritable.functions.exprs import is_time_type, num
 from veritable.functions.dates import parse_datetime
+from veritable.functions.quantiles import quantile_literal
 from veritable.functions.ranking import sum_of_top
 
 # Fixed values of the KPI rules.
@@ -68,7 +69,7 @@ def scalar_kpis(df: DataFrame, cols: KpiColumns) -> DataFrame:
     if cols.revenue:
         r = num(cols.revenue)
         aggs += [_total(cols.revenue, cols.money_scale).alias("total_revenue"), F.avg(r).alias("average_order_value"),
-                 F.percentile(r, 0.5).alias("median_order_value")]
+                 quantile_literal(df, cols.revenue, 0.5).alias("median_order_value")]
     if cols.profit:
         aggs.append(_total(cols.profit, cols.money_scale).alias("total_profit"))
     if cols.quantity:
@@ -160,7 +161,7 @@ def monthly_kpis(df: DataFrame, cols: KpiColumns) -> DataFrame:
 def contextual_kpis(df: DataFrame, measure: str, depth: str | None = None) -> DataFrame:
     """Non-business data - count, mean, median, max (and max depth); never sums."""
     x = num(measure)
-    aggs = [F.count(x).cast("double").alias("n"), F.avg(x).alias("mean"), F.percentile(x, 0.5).alias("median"),
+    aggs = [F.count(x).cast("double").alias("n"), F.avg(x).alias("mean"), quantile_literal(df, measure, 0.5).alias("median"),
             F.max(x).alias("max")]
     if depth:
         aggs.append(F.max(num(depth)).alias("depth"))
