@@ -88,6 +88,36 @@ def as_day(c: str | Column) -> Column:
     return F.to_date(col(c))
 
 
+def period_bucket(c: str | Column, grain: str) -> Column:
+    """First day of the calendar bucket, as a date.
+
+    Group on this (a fixed-width value, cheap to hash) and turn the grouped
+    rows into text with ``period_label``: formatting every input row as a
+    string costs about as much as the aggregation itself.
+    """
+    if grain not in GRAINS:
+        raise ValueError(f"unknown grain {grain!r}; use one of {GRAINS}")
+    d = F.to_date(col(c))
+    return d if grain == "day" else F.trunc(d, grain)
+
+
+def period_label(bucket: str | Column, grain: str) -> Column:
+    """Text of a ``period_bucket`` value, as ``period_key`` prints it.
+    Labels sort in the same order as the buckets."""
+    b = col(bucket)
+    if grain == "day":
+        return F.date_format(b, "yyyy-MM-dd")
+    if grain == "week":
+        return F.concat(F.date_format(b, "yyyy-MM-dd"), F.lit("/"), F.date_format(F.date_add(b, 6), "yyyy-MM-dd"))
+    if grain == "month":
+        return F.date_format(b, "yyyy-MM")
+    if grain == "quarter":
+        return F.concat(F.year(b).cast("string"), F.lit("Q"), F.quarter(b).cast("string"))
+    if grain == "year":
+        return F.year(b).cast("string")
+    raise ValueError(f"unknown grain {grain!r}; use one of {GRAINS}")
+
+
 def period_key(c: str | Column, grain: str) -> Column:
     """Calendar bucket as text, in the form pandas periods print.
 

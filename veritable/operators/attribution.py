@@ -14,7 +14,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from veritable.functions.exprs import is_time_type, num, period_key, with_scalars
+from veritable.functions.exprs import is_time_type, num, period_bucket, period_key, period_label, with_scalars
 from veritable.functions.dates import parse_datetime
 
 # Fixed values of the attribution rules.
@@ -54,9 +54,10 @@ def _ts(df: DataFrame, column: str) -> Column:
 
 
 def period_totals(df: DataFrame, date: str, measure: str, grain: str = "month") -> DataFrame:
-    p = period_key(_ts(df, date), grain)
-    return (df.select(p.alias("period"), num(measure).alias("_v")).filter(F.col("period").isNotNull())
-            .groupBy("period").agg(F.coalesce(F.sum("_v"), F.lit(0.0)).alias("total")))
+    p = period_bucket(_ts(df, date), grain)       # grouped as a date, labelled after
+    return (df.select(p.alias("_p"), num(measure).alias("_v")).filter(F.col("_p").isNotNull())
+            .groupBy("_p").agg(F.coalesce(F.sum("_v"), F.lit(0.0)).alias("total"))
+            .select(period_label(F.col("_p"), grain).alias("period"), "total"))
 
 
 def pick_period(totals: DataFrame) -> DataFrame:

@@ -16,7 +16,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from veritable.functions.dates import parse_datetime
-from veritable.functions.exprs import is_time_type, num, rnd, with_scalars
+from veritable.functions.exprs import is_time_type, num, period_bucket, period_label, rnd, with_scalars
 from veritable.functions.quantiles import quantile_literal
 from veritable.functions.ranking import global_rank
 
@@ -139,9 +139,10 @@ def _ts(df: DataFrame, column: str) -> Column:
 def trend(df: DataFrame, date: str, measure: str, how: str = "sum") -> DataFrame:
     """Measure per month (yyyy-MM); fewer than 4 months gives no rows."""
     x = num(measure)
-    m = F.date_format(_ts(df, date), "yyyy-MM")
-    g = (df.select(m.alias("period"), x.alias("_v")).filter(F.col("period").isNotNull() & F.col("_v").isNotNull())
-         .groupBy("period").agg(_agg(how, F.col("_v")).cast("double").alias("value")))
+    m = period_bucket(_ts(df, date), "month")          # grouped as a date, labelled after
+    g = (df.select(m.alias("_m"), x.alias("_v")).filter(F.col("_m").isNotNull() & F.col("_v").isNotNull())
+         .groupBy("_m").agg(_agg(how, F.col("_v")).cast("double").alias("value"))
+         .select(period_label(F.col("_m"), "month").alias("period"), "value"))
     n = g.agg(F.count(F.lit(1)).alias("_n"))
     return with_scalars(g, n).filter(F.col("_n") >= MIN_TREND_POINTS).drop("_n")
 

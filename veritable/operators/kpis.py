@@ -14,7 +14,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from veritable.functions.exprs import is_time_type, num
+from veritable.functions.exprs import is_time_type, num, period_bucket, period_label
 from veritable.functions.dates import parse_datetime
 from veritable.functions.quantiles import quantile_literal
 from veritable.functions.ranking import sum_of_top
@@ -48,19 +48,16 @@ def _total(c, scale: int | None):
     return F.coalesce(F.sum(x.cast(f"decimal(38,{scale})")).cast("double"), F.lit(0.0))
 
 
-def _month(df: DataFrame, column: str):
-    c = F.col(column)
-    ts = c if is_time_type(df.schema[column].dataType) else parse_datetime(c)
-    return F.date_format(ts, "yyyy-MM")
-
-
 def monthly_totals(df: DataFrame, date: str, measure: str) -> DataFrame:
-    """Month totals of the measure; rows with no date or value dropped."""
-    m = _month(df, date)
+    """Month totals of the measure; rows with no date or value dropped.
+    Grouped on the month's first day and labelled ``yyyy-MM`` after."""
+    c = F.col(date)
+    ts = c if is_time_type(df.schema[date].dataType) else parse_datetime(c)
     x = num(measure)
-    return (df.select(m.alias("period"), x.alias("v"))
-            .filter(F.col("period").isNotNull() & F.col("v").isNotNull())
-            .groupBy("period").agg(F.sum("v").alias("total")))
+    return (df.select(period_bucket(ts, "month").alias("_m"), x.alias("v"))
+            .filter(F.col("_m").isNotNull() & F.col("v").isNotNull())
+            .groupBy("_m").agg(F.sum("v").alias("total"))
+            .select(period_label(F.col("_m"), "month").alias("period"), "total"))
 
 
 def scalar_kpis(df: DataFrame, cols: KpiColumns) -> DataFrame:
