@@ -42,6 +42,19 @@ def test_quantile_routing_and_crowded_brackets(spark, monkeypatch):
     assert routed["b"] == pytest.approx(list(np.quantile(b, probs)), rel=1e-12, abs=1e-12)
 
 
+def test_scatter_sample_equals_hash_order(spark):
+    import hashlib
+
+    from veritable.operators import charts as CH
+
+    rows = [(i, j, float(i % 7) if (i + j) % 9 else None, float(i * j)) for i in range(60) for j in range(1, 6)]
+    df = spark.createDataFrame(rows, "k bigint, n int, x double, y double")
+    got = [tuple(r) for r in CH.scatter_sample(df, "x", "y", ["k", "n"], points=25).collect()]
+    complete = [r for r in rows if r[2] is not None and r[3] is not None]
+    want = sorted(complete, key=lambda r: (hashlib.md5(f"{r[0]}|{r[1]}|42".encode()).hexdigest(), r[0], r[1]))[:25]
+    assert sorted(got) == sorted(want)
+
+
 def test_sum_of_top_is_exact(spark):
     rng = np.random.default_rng(2)
     vals = rng.exponential(10, 5000).round(2)

@@ -294,11 +294,18 @@ def scatter_relationship(df: DataFrame, x: str, y: str) -> DataFrame:
         F.when(a >= SCATTER_STRONG, "strong").when(a >= SCATTER_MODERATE, "moderate").otherwise("weak").alias("strength"))
 
 
+SAMPLE_SEED = "42"
+
+
 def scatter_sample(df: DataFrame, x: str, y: str, key: list[str], points: int = MAX_POINTS) -> DataFrame:
     """A deterministic sample of ``points`` complete rows, chosen by the
-    smallest xxhash64 of a content key (top-k, no full sort)."""
+    smallest MD5 of a content key (top-k, no full sort).
+
+    The key is the text of the key columns and the seed joined by ``|``; MD5
+    of that text is the same in any engine, so the sample can be reproduced
+    outside Spark (integer or text key columns print alike everywhere)."""
     xs, ys = num(x), num(y)
-    h = F.xxhash64(*[F.col(k) for k in key], F.lit(42))
+    h = F.md5(F.concat_ws("|", *[F.col(k).cast("string") for k in key], F.lit(SAMPLE_SEED)))
     return (df.select(*key, xs.alias(x), ys.alias(y), h.alias("_h"))
             .filter(F.col(x).isNotNull() & F.col(y).isNotNull())
             .orderBy("_h", *key).limit(points).drop("_h"))

@@ -212,9 +212,13 @@ def chart_scatter(spark, sf_dir):
     return CH.scatter_relationship(load(spark, sf_dir, "lineitem"), "l_quantity", "l_extendedprice")
 
 
-@register("chart_scatter_sample")
+@register("chart_scatter_sample", """
+SELECT l_orderkey, l_linenumber, l_quantity, l_extendedprice FROM lineitem
+WHERE l_quantity IS NOT NULL AND l_extendedprice IS NOT NULL
+ORDER BY md5(concat_ws('|', CAST(l_orderkey AS VARCHAR), CAST(l_linenumber AS VARCHAR), '42')), l_orderkey, l_linenumber
+LIMIT 600
+""")
 def chart_scatter_sample(spark, sf_dir):
-    # xxhash64 has no DuckDB twin: rows-only in the driver, tested in tests/.
     return CH.scatter_sample(load(spark, sf_dir, "lineitem"), "l_quantity", "l_extendedprice",
                              ["l_orderkey", "l_linenumber"])
 
