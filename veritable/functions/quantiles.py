@@ -219,3 +219,54 @@ def quantile_literal(df: DataFrame, column: str, probs: list[float] | float):
             return F.lit(None).cast("array<double>")
         return F.array(*[F.lit(float(v)) for v in vals])
     return F.lit(vals[0]).cast("double")
+
+
+def grouped_quantile(df: DataFrame, keys: list[str], value: str, p: float, accuracy: int = SKETCH_ACCURACY
+                     ) -> DataFrame:
+    """Exact linear-interpolated quantile ``p`` of ``value`` per group:
+    (keys..., ``_q``). Rows with a NULL key or value are ignored.
+
+    ``percentile`` per group would merge a map of the group's distinct
+    values into one task; a group holding a third of the rows makes that map
+    as large as the data. Here each group's sketch (``percentile_approx``,
+    merged from per-task partials) brackets its order statistics; one
+    aggregation, partially combined in every task, gives the group's count
+    below the bracket and the bracket's (value, count) histogram; a running
+    count per group over that histogram names the two order statistics.
+    Only bracket rows reach the per-group window, so a hot group contributes
+    about 4/accuracy of its rows there (ties collapse). A group whose
+    statistics fall outside its bracket (the sketch missed) is computed with
+    ``percentile`` on its own.
+    """
+    from pyspark.sql import Window as W
+
+    eps = 2.0 / accuracy
+    base = df.select(*keys, _vals(df, value).alias("_v")).filter(F.col("_v").isNotNull())
+    for k in keys:
+        base = base.filter(F.col(k).isNotNull())
+    h = (F.col("_n") - 1) * F.lit(float(p))
+    groups = (base.groupBy(*keys).agg(F.count(F.lit(1)).alias("_n"),
+                                      F.percentile_approx("_v", [max(0.0, p - eps), min(1.0, p + eps)], accuracy).alias("_e"))
+              .select(*keys, "_n", F.col("_e")[0].alias("_lo"), F.col("_e")[1].alias("_hi"),
+                      F.floor(h).cast("long").alias("_r"), (h - F.floor(h)).alias("_f")))
+    j = base.join(groups.select(*keys, "_lo", "_hi"), keys)
+    # rows below the bracket collapse to one entry per group (value NULL);
+    # rows above it are not needed
+    below = F.col("_v") < F.col("_lo")
+    hist = (j.filter(F.col("_v") <= F.col("_hi"))
+            .select(*keys, F.when(~below, F.col("_v")).alias("_b"))
+            .groupBy(*keys, "_b").agg(F.count(F.lit(1)).alias("_c")))
+    w = W.partitionBy(*keys).orderBy(F.col("_b").asc_nulls_first()).rowsBetween(W.unboundedPreceding, W.currentRow)
+    ranked = hist.select(*keys, "_b", "_c", F.sum("_c").over(w).alias("_cum"))
+    ranked = ranked.join(groups, keys)
+    r1 = F.least(F.col("_r") + 1, F.col("_n") - 1)
+    first = (F.col("_cum") - F.col("_c"))          # rank of the entry's first copy
+    picked = ranked.filter(F.col("_b").isNotNull()).groupBy(*keys).agg(
+        F.first("_n").alias("_n"), F.first("_f").alias("_f"),
+        F.max(F.when((first <= F.col("_r")) & (F.col("_r") < F.col("_cum")), F.col("_b"))).alias("_a"),
+        F.max(F.when((first <= r1) & (r1 < F.col("_cum")), F.col("_b"))).alias("_z"))
+    found = picked.filter(F.col("_a").isNotNull() & F.col("_z").isNotNull()).select(
+        *keys, (F.col("_a") + F.col("_f") * (F.col("_z") - F.col("_a"))).alias("_q"))
+    missed = groups.select(*keys).join(found.select(*keys), keys, "left_anti")
+    fallback = (base.join(missed, keys).groupBy(*keys).agg(F.percentile("_v", float(p)).alias("_q")))
+    return found.unionByName(fallback)

@@ -17,7 +17,7 @@ from pyspark.sql import functions as F
 
 from veritable.functions.dates import parse_datetime
 from veritable.functions.exprs import is_time_type, num, period_bucket, period_label, rnd, with_scalars
-from veritable.functions.quantiles import quantile_literal
+from veritable.functions.quantiles import grouped_quantile, quantile_literal
 from veritable.functions.ranking import global_rank
 
 # Fixed values of the chart rules.
@@ -211,10 +211,14 @@ def box_summary(df: DataFrame, group: str, measure: str, top: int = TOP_N, place
     """Count, median, mean, min, max per group for the ``top`` groups
     with the highest median; needs >= 2 groups."""
     x = num(measure)
-    g = (df.select(F.col(group).cast("string").alias("group"), x.alias("_v"))
-         .filter(F.col("group").isNotNull() & F.col("_v").isNotNull())
-         .groupBy("group").agg(F.count(F.lit(1)).cast("bigint").alias("rows"), F.percentile("_v", 0.5).alias("median"),
-                               F.avg("_v").alias("mean"), F.min("_v").alias("min"), F.max("_v").alias("max")))
+    vals = (df.select(F.col(group).cast("string").alias("group"), x.alias("_v"))
+            .filter(F.col("group").isNotNull() & F.col("_v").isNotNull()))
+    # exact per-group median without a per-group map in one task (a hot
+    # group may hold a third of the rows)
+    med = grouped_quantile(vals, ["group"], "_v", 0.5).select("group", F.col("_q").alias("median"))
+    g = (vals.groupBy("group").agg(F.count(F.lit(1)).cast("bigint").alias("rows"), F.avg("_v").alias("mean"),
+                                   F.min("_v").alias("min"), F.max("_v").alias("max"))
+         .join(med, "group"))
     head = g.orderBy(F.col("median").desc(), F.col("group")).limit(top)
     n = head.agg(F.count(F.lit(1)).alias("_n"))
     out = with_scalars(head, n).filter(F.col("_n") >= 2)
