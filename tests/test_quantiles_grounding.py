@@ -65,15 +65,20 @@ def test_grouped_quantile_matches_percentile(spark):
             v = 7.0 if g == "tie" and i % 3 else float(np.round(rng.lognormal(2, 1), 2))
             rows.append((g, v if i % 17 else None))
     rows.append((None, 5.0))
+    rows += [("empty", None), ("empty", None)]
     df = spark.createDataFrame(rows, "g string, v double")
     for p in (0.5, 0.25, 0.9):
-        want = {r["g"]: r["q"] for r in df.filter(F.col("g").isNotNull() & F.col("v").isNotNull())
+        want = {r["g"]: r["q"] for r in df.filter(F.col("g").isNotNull())
                 .groupBy("g").agg(F.percentile("v", p).alias("q")).collect()}
+        assert want["empty"] is None
         for acc in (10000, 20):                     # a coarse sketch forces the fallback path
             got = {r["g"]: r["_q"] for r in grouped_quantile(df, ["g"], "v", p, accuracy=acc).collect()}
             assert set(got) == set(want)
             for g in want:
-                assert got[g] == pytest.approx(want[g], rel=1e-12, abs=1e-12), (p, acc, g)
+                if want[g] is None:
+                    assert got[g] is None
+                else:
+                    assert got[g] == pytest.approx(want[g], rel=1e-12, abs=1e-12), (p, acc, g)
 
 
 def test_sum_of_top_is_exact(spark):

@@ -224,7 +224,8 @@ def quantile_literal(df: DataFrame, column: str, probs: list[float] | float):
 def grouped_quantile(df: DataFrame, keys: list[str], value: str, p: float, accuracy: int = SKETCH_ACCURACY
                      ) -> DataFrame:
     """Exact linear-interpolated quantile ``p`` of ``value`` per group:
-    (keys..., ``_q``). Rows with a NULL key or value are ignored.
+    (keys..., ``_q``). Rows with a NULL key are ignored; NULL values are
+    skipped (a group with no value gets NULL).
 
     ``percentile`` per group would merge a map of the group's distinct
     values into one task; a group holding a third of the rows makes that map
@@ -241,11 +242,14 @@ def grouped_quantile(df: DataFrame, keys: list[str], value: str, p: float, accur
     from pyspark.sql import Window as W
 
     eps = 2.0 / accuracy
-    base = df.select(*keys, _vals(df, value).alias("_v")).filter(F.col("_v").isNotNull())
+    keyed = df.select(*keys, _vals(df, value).alias("_v"))
     for k in keys:
-        base = base.filter(F.col(k).isNotNull())
+        keyed = keyed.filter(F.col(k).isNotNull())
+    base = keyed.filter(F.col("_v").isNotNull())
     h = (F.col("_n") - 1) * F.lit(float(p))
-    groups = (base.groupBy(*keys).agg(F.count(F.lit(1)).alias("_n"),
+    # every group with a row, also one whose values are all NULL (its
+    # quantile is NULL, as ``percentile`` gives)
+    groups = (keyed.groupBy(*keys).agg(F.count("_v").alias("_n"),
                                       F.percentile_approx("_v", [max(0.0, p - eps), min(1.0, p + eps)], accuracy).alias("_e"))
               .select(*keys, "_n", F.col("_e")[0].alias("_lo"), F.col("_e")[1].alias("_hi"),
                       F.floor(h).cast("long").alias("_r"), (h - F.floor(h)).alias("_f")))
@@ -269,4 +273,4 @@ def grouped_quantile(df: DataFrame, keys: list[str], value: str, p: float, accur
         *keys, (F.col("_a") + F.col("_f") * (F.col("_z") - F.col("_a"))).alias("_q"))
     missed = groups.select(*keys).join(found.select(*keys), keys, "left_anti")
     fallback = (base.join(missed, keys).groupBy(*keys).agg(F.percentile("_v", float(p)).alias("_q")))
-    return found.unionByName(fallback)
+    return groups.select(*keys).join(found.unionByName(fallback), keys, "left")

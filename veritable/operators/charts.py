@@ -43,13 +43,19 @@ ORDERED_CATEGORIES = {
 }
 
 
+def _grouped(vals: DataFrame, keys: list[str], col: str, how: str, name: str) -> DataFrame:
+    """Aggregate ``col`` per key; medians take the exact grouped quantile
+    (bounded per-task memory even for a group holding most rows)."""
+    if how == "median":
+        return grouped_quantile(vals, keys, col, 0.5).select(*keys, F.col("_q").cast("double").alias(name))
+    return vals.groupBy(*keys).agg(_agg(how, F.col(col)).cast("double").alias(name))
+
+
 def _agg(how: str, x: Column) -> Column:
     if how == "sum":
         return F.sum(x)
     if how == "mean":
         return F.avg(x)
-    if how == "median":
-        return F.percentile(x, 0.5)
     if how == "count":
         return F.count(F.lit(1))
     if how == "min":
@@ -71,8 +77,8 @@ def grouped_values(df: DataFrame, group: str, value: str | None, how: str) -> Da
     if value is None:
         return df.groupBy(g).agg(F.count(F.lit(1)).cast("double").alias("value"))
     x = num(value)
-    return df.select(g, x.alias("_v")).filter(F.col("_v").isNotNull()).groupBy("group").agg(
-        _agg(how, F.col("_v")).cast("double").alias("value"))
+    vals = df.select(g, x.alias("_v")).filter(F.col("_v").isNotNull())
+    return _grouped(vals, ["group"], "_v", how, "value")
 
 
 def fold_other(grouped: DataFrame, limit: int, additive: bool) -> DataFrame:
@@ -140,9 +146,8 @@ def trend(df: DataFrame, date: str, measure: str, how: str = "sum") -> DataFrame
     """Measure per month (yyyy-MM); fewer than 4 months gives no rows."""
     x = num(measure)
     m = period_bucket(_ts(df, date), "month")          # grouped as a date, labelled after
-    g = (df.select(m.alias("_m"), x.alias("_v")).filter(F.col("_m").isNotNull() & F.col("_v").isNotNull())
-         .groupBy("_m").agg(_agg(how, F.col("_v")).cast("double").alias("value"))
-         .select(period_label(F.col("_m"), "month").alias("period"), "value"))
+    vals = df.select(m.alias("_m"), x.alias("_v")).filter(F.col("_m").isNotNull() & F.col("_v").isNotNull())
+    g = _grouped(vals, ["_m"], "_v", how, "value").select(period_label(F.col("_m"), "month").alias("period"), "value")
     n = g.agg(F.count(F.lit(1)).alias("_n"))
     return with_scalars(g, n).filter(F.col("_n") >= MIN_TREND_POINTS).drop("_n")
 
@@ -336,8 +341,7 @@ def line_table(df: DataFrame, x: str, y: str, how: str = "sum", max_points: int
         base = with_scalars(df, span).select(bucket.alias("x"), ys.alias("_y"))
     else:
         base = df.select(F.col(x).alias("x"), ys.alias("_y"))
-    g = base.filter(F.col("x").isNotNull() & F.col("_y").isNotNull()).groupBy("x").agg(
-        _agg(how, F.col("_y")).cast("double").alias("y"))
+    g = _grouped(base.filter(F.col("x").isNotNull() & F.col("_y").isNotNull()), ["x"], "_y", how, "y")
     n = g.count()
     if n < 2:
         return g.limit(0).select(F.col("x").alias(x), F.col("y").alias(y))

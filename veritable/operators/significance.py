@@ -91,10 +91,15 @@ def compare_extremes(df: DataFrame, group: str, measure: str, how: str = "mean",
         ranked = stats.select("group", F.col("mean").alias("agg"))
     else:
         x = num(measure)
-        agg = {"sum": F.sum, "median": lambda c: F.percentile(c, 0.5), "max": F.max, "min": F.min}[how]
-        ranked = (df.select(F.col(group).cast("string").alias("group"), x.alias("_v"))
-                  .filter(F.col("group").isNotNull() & F.col("_v").isNotNull())
-                  .groupBy("group").agg(agg(F.col("_v")).alias("agg")))
+        vals = (df.select(F.col(group).cast("string").alias("group"), x.alias("_v"))
+                .filter(F.col("group").isNotNull() & F.col("_v").isNotNull()))
+        if how == "median":
+            from veritable.functions.quantiles import grouped_quantile
+
+            ranked = grouped_quantile(vals, ["group"], "_v", 0.5).select("group", F.col("_q").alias("agg"))
+        else:
+            agg = {"sum": F.sum, "max": F.max, "min": F.min}[how]
+            ranked = vals.groupBy("group").agg(agg(F.col("_v")).alias("agg"))
     ends = ranked.agg(
         F.count(F.lit(1)).alias("_k"),
         F.min_by("group", F.struct(-F.col("agg"), F.col("group"))).alias("_top"),
