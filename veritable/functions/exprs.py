@@ -143,17 +143,6 @@ def period_key(c: str | Column, grain: str) -> Column:
     raise ValueError(f"unknown grain {grain!r}; use one of {GRAINS}")
 
 
-def exact_quantile(c: str | Column, q, exact: bool = True, accuracy: int = 100000) -> Column:
-    """Linear-interpolated quantile (pandas/DuckDB ``quantile_cont``).
-
-    ``exact=False`` switches to a bounded-memory sketch for very high
-    cardinality columns at cluster scale (documented as approximate).
-    """
-    if exact:
-        return F.percentile(col(c), q)
-    return F.percentile_approx(col(c), q, accuracy)
-
-
 def nan_to_null(df: DataFrame) -> DataFrame:
     """Turn NaN (and +-inf) into NULL for every float column."""
     out = []
