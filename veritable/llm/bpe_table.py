@@ -104,10 +104,7 @@ def word_numbers(docs: DataFrame, path: str) -> DataFrame:
 
 
 def encode_words(words: DataFrame, path: str, partitions: int) -> DataFrame:
-    """(block, places, sizes, tokens, used): rows of a word meet, it is encoded once, each block gets its share.
-
-    ``used`` are the distinct ids in a share, for the vocabulary join.
-    """
+    """(block, places, sizes, tokens): rows of a word meet, it is encoded once, each block gets its share."""
 
     def run(batches):
         encoder, specials = PieceIds(path, size=0), {k.encode(): v for k, v in special_ids(path).items()}
@@ -116,12 +113,11 @@ def encode_words(words: DataFrame, path: str, partitions: int) -> DataFrame:
 
         def flush():
             for number, (places, sizes, tokens) in out.items():
-                flat = np.frombuffer(b"".join(tokens), "<u4")
                 yield pa.RecordBatch.from_arrays(
                     [pa.array([number], pa.int64()), pa.array([_pack(np.array(places, np.int64))], pa.binary()),
-                     pa.array([_pack(np.array(sizes, np.int64))], pa.binary()), pa.array([_pack(flat)], pa.binary()),
-                     pa.array([np.unique(flat).astype(np.int32)], pa.list_(pa.int32()))],
-                    ["block", "places", "sizes", "tokens", "used"])
+                     pa.array([_pack(np.array(sizes, np.int64))], pa.binary()),
+                     pa.array([_pack(np.frombuffer(b"".join(tokens), "<u4"))], pa.binary())],
+                    ["block", "places", "sizes", "tokens"])
 
         for batch in batches:  # sorted by word
             for word, block, place in zip(batch.column("word").cast(pa.binary()).to_pylist(),
@@ -141,7 +137,24 @@ def encode_words(words: DataFrame, path: str, partitions: int) -> DataFrame:
         yield from flush()
 
     met = words.repartition(partitions, "word").sortWithinPartitions("word")
-    return met.mapInArrow(run, "block long, places binary, sizes binary, tokens binary, used array<int>")
+    return met.mapInArrow(run, "block long, places binary, sizes binary, tokens binary")
+
+
+def block_words(shares: DataFrame) -> DataFrame:
+    """(block, sizes, tokens, used): the ids of each block's words in the order of their numbers, and its distinct ids."""
+
+    def run(parts: pa.Table) -> pa.Table:
+        places, sizes, tokens = ([_unpack(x) for x in parts.column(c).to_pylist()] for c in ("places", "sizes", "tokens"))
+        at, own, flat = np.concatenate(places), np.concatenate(sizes).astype(np.int64), np.concatenate(tokens)
+        order = np.argsort(at)
+        if not np.array_equal(at[order], np.arange(len(at))):
+            raise ValueError("a block's words are not complete")
+        begin = np.cumsum(own) - own
+        return pa.table({"block": parts.column("block").slice(0, 1), "sizes": pa.array([_pack(own[order])], pa.binary()),
+                         "tokens": pa.array([_pack(flat[ranges(begin[order], own[order])])], pa.binary()),
+                         "used": pa.array([np.unique(flat).astype(np.int32)], pa.list_(pa.int32()))})
+
+    return shares.groupBy("block").applyInArrow(run, "block long, sizes binary, tokens binary, used array<int>")
 
 
 def id_to_piece(spark: SparkSession, path: str) -> DataFrame:
@@ -177,11 +190,11 @@ def encode_decode(docs: DataFrame, path: str, id_col: str = "doc_id", text_col:
     prepare_python(spark)
     partitions = int(spark.conf.get("spark.sql.shuffle.partitions"))
     rows = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).cast("string").alias("text"))
-    shares = shared_table(encode_words(distinct_words(rows, path), path, partitions), "shares")
+    held = shared_table(block_words(encode_words(distinct_words(rows, path), path, partitions)), "words")
     pieces = F.broadcast(id_to_piece(spark, path))  # as many rows as the vocabulary file
-    used = shares.select("block", F.explode("used").alias("id")).distinct().join(pieces, "id")
+    used = held.select("block", F.explode("used").alias("id")).distinct().join(pieces, "id")
     used = used.groupBy("block").agg(F.collect_list(F.struct("id", "piece")).alias("vocabulary"))
-    parts = shares.drop("used").unionByName(used, allowMissingColumns=True)
+    parts = held.drop("used").unionByName(used, allowMissingColumns=True)
     schema = "doc_id long, n_tokens long, ids_sha256 string, decoded_sha256 string"
     schema += ", ids array<long>, decoded string" if keep else ""
 
@@ -197,21 +210,15 @@ def _placed(parts: pa.Table, block: pa.Table, keep: bool) -> pa.Table:
         raise ValueError(f"a block came {block.num_rows} times")
     n_words = block.column("words")[0].as_py()
     piece: dict[int, str] = {}
-    places, sizes, tokens = [], [], []
+    size, flat = np.empty(0, np.int64), np.empty(0, "<u4")
     for row in parts.to_pylist():
         if row["vocabulary"] is not None:
             piece.update((x["id"], x["piece"]) for x in row["vocabulary"])
         else:
-            places.append(_unpack(row["places"]))
-            sizes.append(_unpack(row["sizes"]))
-            tokens.append(_unpack(row["tokens"]))
-    if sum(map(len, places)) != n_words:
+            size, flat = _unpack(row["sizes"]).astype(np.int64), _unpack(row["tokens"])
+    if len(size) != n_words:
         raise ValueError("a block got back another number of words than it sent")
-    size, begin = np.zeros(n_words, np.int64), np.zeros(n_words, np.int64)
-    flat = np.concatenate(tokens) if tokens else np.empty(0, "<u4")
-    if n_words:
-        at, own = np.concatenate(places), np.concatenate(sizes).astype(np.int64)
-        size[at], begin[at] = own, np.cumsum(own) - own
+    begin = np.cumsum(size) - size
     words = [" ".join([piece[t] for t in flat[b:b + n].tolist()]) for b, n in zip(begin.tolist(), size.tolist(), strict=True)]
     out: dict[str, list] = {k: [] for k in ("doc_id", "n_tokens", "ids_sha256", "decoded_sha256", "ids", "decoded")}
     codes, done = _unpack(block.column("codes")[0].as_py()).astype(np.int64), 0
