@@ -1,0 +1,64 @@
+"""The pipeline: every stage's decisions, and the whole run on a driver table."""
+
+import re
+
+import corpus_pipeline
+import __spark_entry__ as entry
+from veritable.llm import line_dedup, packing, pieces
+
+
+def test_registered():
+    names = entry.queries()
+    assert "pipeline" in names and all(any(q.startswith(f"op{n}_") for q in names) for n in range(1, 11))
+
+
+def test_stages_take_effect(spark, docs):
+    body = ["The first line of the document is long enough to count for this.", "Here is a second line with other words in it, too.",
+            "And a third one that says something else again, at some length."]
+    rows = [(k, f"{body[0]} {k * 7} {body[1]} {k} {body[2]} " + " ".join(f"t{k}x{i}" for i in range(40)), "en") for k in range(1, 30)]
+    shared = "This line is found in two of the documents, so one of them loses it."
+    near = " ".join(f"common{i}" for i in range(90))
+    rows += [(50, f"{shared}\nfirst own words of number fifty are these", "en"),
+             (51, f"{shared}\nthe other document has its own line, like so", "en"), (52, shared, "en"),
+             (60, near + " end one", "en"), (61, near.replace("common45", "x45") + " end two", "en"),
+             (70, "my password: abcdefgh12345 is in here with words around it", "en"), (80, None, "en"), (81, "12 34", "en")]
+    frame = docs(rows).select("doc_id", "text", "lang", "source", "n_chars")
+    state, seen = frame, {}
+    for name, stage in corpus_pipeline.STAGES[:-1]:
+        state = stage(spark, state, "")
+        assert state.columns == frame.columns and state.dtypes == frame.dtypes
+        seen[name] = {r.doc_id: r for r in state.collect()}
+        assert all(r.n_chars == len(r.text) for r in seen[name].values())
+        state = spark.createDataFrame(list(seen[name].values()), frame.schema)
+    assert set(seen["language_id"]) == {r[0] for r in rows} - {80, 81}
+    assert set(seen["line_dedup"]) == set(seen["language_id"]) - {52, 61}
+    assert shared in seen["line_dedup"][50].text and shared not in seen["line_dedup"][51].text
+    assert "abcdefgh12345" not in seen["secret_scan"][70].text and "[secret]" in seen["secret_scan"][70].text
+    packed = corpus_pipeline.pack(spark, state, "").collect()
+    assert {r.doc_id for r in packed} == set(seen["secret_scan"])
+
+
+def test_near_duplicate_stage(spark, docs):
+    near = " ".join(f"common{i}" for i in range(90))
+    frame = docs([(60, near), (61, near.replace("common45", "x45")), (62, "quite another text than the two")])
+    out = corpus_pipeline.near_duplicates(spark, frame, "")
+    assert sorted(r.doc_id for r in out.collect()) == [60, 62]
+
+
+def test_whole_run(spark, monkeypatch):
+    sf = "/root/testdata/sf0.001"
+    got = corpus_pipeline.run(spark, sf).collect()
+    tokenizer = pieces.tokenizer(packing.default_path())
+    source = {r.doc_id: r.text for r in spark.read.parquet(f"{sf}/documents.parquet").collect()}
+    assert {r.doc_id for r in got} <= set(source)
+    # Plain tokens of each document bound what is packed of it.
+    total = {}
+    for r in got:
+        total[r.doc_id] = total.get(r.doc_id, 0) + r.length
+    mark = len(tokenizer.encode("[secret]").ids)
+    for k, n in total.items():
+        lines = len(source[k].split("\n"))
+        assert n <= len(tokenizer.encode(source[k]).ids) + 1 + mark * 20 + lines
+    # Every distinct line of clean documents is still in some document, or is near a line that is.
+    assert len(total) >= 0.5 * len({re.sub(r"\s+", " ", t) for t in source.values()})
+    assert line_dedup.LEAST > 0

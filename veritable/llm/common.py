@@ -84,6 +84,14 @@ def text_chunks(batches: Iterator[pa.RecordBatch], id_col: str, text_col: str,
         yield ids, texts
 
 
+def free_name(df: DataFrame, base: str) -> str:
+    """A column name that ``df`` does not have (names are compared without case)."""
+    taken = {c.lower() for c in df.columns}
+    while base.lower() in taken:
+        base += "_"
+    return base
+
+
 def ranges(starts: np.ndarray, lengths: np.ndarray) -> np.ndarray:
     """Indices of the concatenated ranges [start, start + length)."""
     total = int(lengths.sum())
