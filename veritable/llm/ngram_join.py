@@ -285,9 +285,9 @@ def join(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> Dat
     twice = placed.where("id IS NOT NULL").groupBy("id").agg(F.min("head").alias("src"), F.max("head").alias("dst"))
     bridges = placed.join(twice.where("src <> dst").select("id", "src"), "id").select("src", F.col("head").alias("dst"))
     joined = connected_components(bridges)
-    out = placed.join(joined, placed.head == joined.node, "left")
+    out = placed.join(joined, F.col("head") == F.col("node"), "left")
     return out.select(F.col("id").alias("doc_id"), F.col("size").alias("n_shingles"),
-                      F.coalesce("component", "head").alias("component_id"))
+                      F.when(F.col("id").isNotNull(), F.coalesce("component", "head")).alias("component_id"))
 
 
 
