@@ -1,5 +1,7 @@
 """Operators 2 and 7 against brute force."""
 
+import math
+
 import numpy as np
 import pytest
 from pyspark.sql import functions as F
@@ -55,7 +57,7 @@ def test_nearest(frame, rows, monkeypatch):
     own = {i: np.array(v) for i, v in usable(rows, False).items()}
     want = {}
     for q in (i for i in own if i % 100 == 0):
-        near = sorted((float(np.sqrt(((own[q] - own[c]) ** 2).sum())), c) for c in own if c != q and len(own[c]) == len(own[q]))
+        near = sorted((math.sqrt(sum((a - b) * (a - b) for a, b in zip(own[q].tolist(), own[c].tolist()))), c) for c in own if c != q and len(own[c]) == len(own[q]))
         want |= {(q, r + 1): (c, d) for r, (d, c) in enumerate(near[:10])}
     got = int8_tiles.nearest(frame, F.col("vec_id") % 100 == 0, 10).collect()
     assert {(r.query_id, r["rank"]): (r.vec_id, r.score) for r in got} == want

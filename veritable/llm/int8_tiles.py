@@ -51,6 +51,14 @@ def tile_bounds(q, x) -> tuple[np.ndarray, np.ndarray]:
     return low * (1 - 1e-9) - 1e-300, high * (1 + 1e-9) + 1e-300
 
 
+def distances(x: np.ndarray, q: np.ndarray) -> np.ndarray:
+    """Euclidean distances in double precision, squares added in the order of the components."""
+    total = np.zeros(len(x))
+    for a, b in zip(x.T, q, strict=True):
+        total += (a - b) ** 2
+    return np.sqrt(total)
+
+
 def _searcher(k: int):
     def search(cand: pa.Table, ask: pa.Table):
         points, ids = matrix(cand), cand.column("vec_id").to_numpy()
@@ -67,7 +75,7 @@ def _searcher(k: int):
                 if len(heap) == k:
                     bar[j] = min(bar[j], -heap[0][0])
                 at = np.flatnonzero((low[j] <= bar[j]) & other[j])
-                exact = np.sqrt(((x[at] - queries[j]) ** 2).sum(axis=1))
+                exact = distances(x[at], queries[j])
                 for d, i in zip(exact.tolist(), x_ids[at].tolist(), strict=True):
                     if len(heap) < k:
                         heapq.heappush(heap, (-d, -i))

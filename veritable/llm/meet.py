@@ -9,7 +9,7 @@ share a key:
    pair a node, and gives first components.
 2. What is left to find are links between nodes of *different* components that
    share a key without the leader joining them. Only keys that still hold two
-   components go on. Their rows are cut into tiles of bounded size, every pair
+   components go on, and two nodes are compared at the smallest of these keys. Their rows are cut into tiles of bounded size, every pair
    of a key's tiles is one task group, and an index over the group's points
    screens the pairs before they are verified.
 
@@ -61,13 +61,14 @@ def components(keys: DataFrame, verify: Callable[[DataFrame], DataFrame], points
     own = shared.join(found, "node", "left").select("key", "node", "low", F.coalesce("component", "node").alias("comp"))
     spread = own.withColumn("c1", F.min("comp").over(both)).withColumn("c2", F.max("comp").over(both))
     left = shared_table(spread.where("c1 <> c2").select("key", "node", "low", "comp"), "left")
-    left = left.join(points(left.select("node").distinct()), "node")
+    each = left.groupBy("node").agg(F.collect_set("key").alias("keys"))
+    left = left.join(points(left.select("node").distinct()), "node").join(each, "node")
     number = Window.partitionBy("key").orderBy("size", "node")
     left = left.withColumn("tile", F.floor((F.row_number().over(number) - 1) / TILE).cast("int"))
     left = left.withColumn("tiles", F.max("tile").over(both))
     left = left.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("tiles"))))
     left = left.select("key", F.least("tile", "other").alias("t1"), F.greatest("tile", "other").alias("t2"), "tile",
-                       "node", "low", "comp", "size", "point")
+                       "node", "low", "comp", "size", "point", "keys")
     spots = left.repartition("key", "t1", "t2").sortWithinPartitions("key", "t1", "t2", "tile", "node")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -116,4 +117,9 @@ def _pairs(rows: pa.Table, screen: Screen) -> np.ndarray:
     i, j = screen(rows.column("size").to_numpy(), side, points, same)
     keep = (comp[i] != comp[j]) & (node[i] != low[i]) & (node[j] != low[j])
     i, j = i[keep], j[keep]
+    if len(i):  # of the keys that two nodes share, the smallest one gives the pair
+        key = rows.column("key")[0].as_py()
+        before = [{k for k in keys if k < key} for keys in rows.column("keys").to_pylist()]
+        first = np.fromiter((before[a].isdisjoint(before[b]) for a, b in zip(i.tolist(), j.tolist(), strict=True)), bool, len(i))
+        i, j = i[first], j[first]
     return np.stack([np.minimum(node[i], node[j]), np.maximum(node[i], node[j])], axis=1)

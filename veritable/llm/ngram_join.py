@@ -40,7 +40,7 @@ from veritable.llm import meet
 from veritable.llm.common import connected_components, free_name, prepare_python, shared_table, text_chunks
 
 WORDS, PER_CENT = 4, 85
-DIMENSIONS, FAN = 32, 16
+DIMENSIONS, FAN = 128, 16
 LOWER = bytes.maketrans(b"ABCDEFGHIJKLMNOPQRSTUVWXYZ", b"abcdefghijklmnopqrstuvwxyz")
 _RANDOM = np.random.default_rng(20240607).integers(0, 2**63, 256, np.uint64) * np.uint64(2) + np.uint64(1)
 _STEP, _FOLD = np.uint64(0x9E3779B97F4A7C15), np.uint64(0xD6E8FEB86659FD93)
@@ -97,7 +97,11 @@ def set_id(s: np.ndarray) -> int:
 
 
 def point(s: np.ndarray) -> np.ndarray:
-    return np.bincount((mixed(s) % np.uint64(DIMENSIONS)).astype(np.int64), minlength=DIMENSIONS).astype(np.int32)
+    """Shingles in each group. (16 bits: a group is full only in a text of some four million words, and refused.)"""
+    counts = np.bincount((mixed(s) % np.uint64(DIMENSIONS)).astype(np.int64), minlength=DIMENSIONS)
+    if len(s) and counts.max() > np.iinfo(np.int16).max:
+        raise ValueError(f"a text has {len(s)} distinct shingles, too many for its point")
+    return counts.astype(np.int16)
 
 
 def needed(a, b):
@@ -191,7 +195,7 @@ def screen(sizes: np.ndarray, side: np.ndarray, points: np.ndarray, same: bool)
 
 def overlap_bound(a: Column, b: Column) -> Column:
     """Summed coordinate minima of two count vectors (arrays)."""
-    return F.aggregate(F.zip_with(a, b, lambda x, y: F.least(x, y)), F.lit(0), lambda s, x: s + x)
+    return F.aggregate(F.zip_with(a, b, lambda x, y: F.least(x, y)), F.lit(0), lambda s, x: s + x.cast("int"))
 
 
 def document_sets(docs: DataFrame) -> DataFrame:
@@ -207,7 +211,7 @@ def document_sets(docs: DataFrame) -> DataFrame:
                  pa.ListArray.from_arrays(pa.array(np.arange(0, len(counts) + 1, DIMENSIONS, dtype=np.int32)),
                                           pa.array(counts))], ["id", "node", "size", "counts"])
 
-    return docs.mapInArrow(run, "id long, node long, size long, counts array<int>")
+    return docs.mapInArrow(run, "id long, node long, size long, counts array<short>")
 
 
 def set_keys(docs: DataFrame) -> DataFrame:

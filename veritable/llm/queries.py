@@ -10,10 +10,9 @@ from pyspark.sql import functions as F
 from veritable.llm import (ball_tree, bpe_table, html_lines, int8_tiles, lang_id, line_dedup, ngram_join, packing, secret_scan,
                            token_counts)
 from veritable.llm.common import table
+from veritable.llm.oracles import ORACLE  # noqa: F401
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
-ORACLE: dict[str, str] = {}
-
 
 def query(fn: Callable[[SparkSession, str], DataFrame]) -> Callable[[SparkSession, str], DataFrame]:
     QUERIES[fn.__name__] = fn
@@ -66,18 +65,6 @@ def op7_nearest_neighbours(spark: SparkSession, sf_dir: str) -> DataFrame:
     return int8_tiles.nearest(table(spark, sf_dir, "embeddings"), F.col("vec_id") % 100 == 0, 10)
 
 
-ORACLE["op2_exact_top_k"] = """
-WITH ok AS (
-  SELECT DISTINCT vec_id, list_transform(embedding, x -> floor(256 * x::DOUBLE)) AS v FROM embeddings
-  WHERE vec_id IS NOT NULL AND len(embedding) > 0
-    AND len(list_filter(embedding, x -> x IS NULL OR NOT isfinite(x))) = 0),
-scored AS (
-  SELECT q.vec_id AS query_id, c.vec_id, list_dot_product(q.v, c.v)::BIGINT AS score
-  FROM ok q JOIN ok c ON q.vec_id % 50 = 0 AND c.vec_id <> q.vec_id AND len(c.v) = len(q.v)),
-ranked AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id) AS r FROM scored)
-SELECT query_id, r::INTEGER AS rank, vec_id, score FROM ranked WHERE r <= 5
-"""
-
 
 @query
 def op6_html_main_text(spark: SparkSession, sf_dir: str) -> DataFrame:
