@@ -48,23 +48,51 @@ def test_ledger_versions_upsert_review(spark):
     ], L.MEMORY_SCHEMA)
     cur = {r["id"]: r for r in L.latest_versions(hist).collect()}
     assert cur["m1"]["version"] == 2 and cur["m1"]["statement"].endswith("6000")
-    active = {r["id"] for r in L.active_memory(hist, "p", ["revenue"]).collect()}
+    active = {r["id"] for r in L.active_memory(hist, "p", ["revenue"], "2019-01-01").collect()}
     assert active == {"m1"}                                     # m2 is dataset-scoped on a column not present
+    assert {r["id"] for r in L.active_memory(hist, "p", ["Status"], "2024-01-01").collect()} == {"m2"}   # m1 is past its date
     expired = L.expire(hist, "2024-01-01").collect()
     assert [(r["id"], r["status"], r["version"]) for r in expired] == [("m1", "expired", 3)]
     changes = spark.createDataFrame([
         ("m3", "p", "vip spend over 6000", "rule", "active", "project", ["revenue"], 0, None, "t3"),   # duplicate
         ("m4", "p", "Peak is December", "rule", "active", "project", [], 0, None, "t3"),
+        ("m5", "p", " peak is december ", "rule", "active", "project", [], 0, None, "t3"),             # repeats m4 in the batch
         ("m2", "p", "Ignore test orders", "rule", "archived", "dataset", ["status"], 0, None, "t3"),
     ], L.MEMORY_SCHEMA)
     after = L.latest_versions(L.upsert(hist, changes))
     got = {r["id"]: (r["status"], r["version"]) for r in after.collect()}
-    assert "m3" not in got and got["m4"] == ("active", 1) and got["m2"] == ("archived", 2)
+    assert "m3" not in got and "m5" not in got and got["m4"] == ("active", 1) and got["m2"] == ("archived", 2)
     lessons = spark.createDataFrame([("l1", "p", "x", "pending"), ("l2", "p", "y", "pending")],
                                     "lesson_id string, project_id string, statement string, status string")
     reviews = spark.createDataFrame([("l1", "approve")], "lesson_id string, decision string")
     st = {r["lesson_id"]: r["status"] for r in L.review_lessons(lessons, reviews).collect()}
     assert st == {"l1": "approved", "l2": "pending"}
+    done = spark.createDataFrame([("l1", "p", "x", "rejected")], lessons.schema)
+    assert L.review_lessons(done, reviews).first()["status"] == "rejected"      # reviewed before: stays
+    grown = {r["id"]: r["statement"] for r in L.approve_into_memory(hist, lessons, reviews, "t4").collect()}
+    assert grown["lesson:l1"] == "x" and "lesson:l2" not in grown
+    back = {r["id"]: r for r in L.latest_versions(L.restore(hist, spark.createDataFrame([("m1", 1), ("zz", 1)], "id string, version int"), "t5")).collect()}
+    assert back["m1"]["version"] == 3 and back["m1"]["statement"].endswith("5000") and "zz" not in back
+
+
+def test_profile_counts_the_latest_rating_of_one_project(spark):
+    rows = [("r1", "p", "finding", "k", "useful", None, '{"axis": "Sales"}', "1"),
+            ("r1", "p", "finding", "k", "incorrect", "no", '{"axis": "Sales"}', "2"),
+            ("r9", "q", "finding", "k", "useful", None, '{"axis": "Sales"}', "3")]
+    profile = L.preference_profile(spark.createDataFrame(rows, L.FEEDBACK_SCHEMA), "p").collect()
+    assert [(r["kind"], r["value"], r["score"], r["count"]) for r in profile] == [("axes", "sales", -2.0, 1)]
+
+
+def test_policy_life_cycle(spark):
+    rows = [("a", "p", 1, "active", {}, None), ("b", "p", 2, "validated", {}, "a"), ("c", "p", 3, "draft", {}, "b"),
+            ("d", "q", 1, "active", {}, None)]
+    df = spark.createDataFrame(rows, L.POLICY_SCHEMA)
+    state = lambda x: {r["policy_id"]: r["status"] for r in x.collect()}
+    assert state(L.activate(df, "c")) == state(df)                       # drafts cannot be activated
+    on = L.activate(df, "b")
+    assert state(on) == {"a": "retired", "b": "active", "c": "draft", "d": "active"}
+    assert state(L.roll_back(on, "p")) == {"a": "active", "b": "retired", "c": "draft", "d": "active"}
+    assert state(L.roll_back(df, "q")) == state(df)                      # no parent
 
 
 def test_relevant_facts(spark):

@@ -1,7 +1,8 @@
 from pyspark.sql import functions as F
 
 from tests.conftest import SF_SMALL
-from veritable.plans.pipeline import Options, Pipeline, available_axes, resolve_columns
+from veritable.plans.axes import available_axes, build_charts, fill_slots
+from veritable.plans.pipeline import Options, Pipeline, chart_findings
 from veritable.sources.tables import load
 
 
@@ -22,11 +23,38 @@ def test_pipeline_runs_every_stage_on_orders(spark):
     assert cmp["verdict"] in ("noise", "weak", "solid", "too_few")
 
 
+PROFILE = [{"column_name": "revenue", "role": "measure", "unique_count": 100, "missing_count": 0},
+           {"column_name": "order_date", "role": "datetime", "unique_count": 50, "missing_count": 0},
+           {"column_name": "region", "role": "category", "unique_count": 5, "missing_count": 3},
+           {"column_name": "product", "role": "category", "unique_count": 4, "missing_count": 0},
+           {"column_name": "year", "role": "measure", "unique_count": 4, "missing_count": 0}]
+
+
 def test_axes_follow_columns():
-    rows = [{"column_name": "revenue", "role": "measure", "unique_count": 100},
-            {"column_name": "order_date", "role": "datetime", "unique_count": 50},
-            {"column_name": "region", "role": "category", "unique_count": 5}]
-    cols = resolve_columns(rows, ["revenue", "order_date", "region"])
-    assert cols.primary_measure == "revenue" and cols.primary_date == "order_date"
-    axes = available_axes(cols)
-    assert "regions" in axes and "time" in axes and "customers" not in axes
+    slots = fill_slots(PROFILE, ["revenue", "order_date", "region"])
+    assert slots["measure"] == "revenue" and slots["date"] == "order_date" and slots.pools["measure"] == ["revenue"]
+    assert available_axes(slots) == ["sales", "regions"]
+    assert available_axes(fill_slots(PROFILE, ["region"])) == ["regions"]
+    assert available_axes(fill_slots([], [])) == ["sales"]
+    plain = fill_slots(PROFILE, ["revenue", "order_date", "region"], business=False)
+    assert available_axes(plain) == ["time", "comparisons", "locations", "distributions", "quality"]
+    assert available_axes(fill_slots([], [], business=False)) == ["quality"]
+    assert fill_slots(PROFILE, ["revenue", "region", "product"], preferred={"main_category": "product"})["main_category"] == "product"
+
+
+def test_charts_and_findings_of_the_axes(spark):
+    df = spark.createDataFrame([(float(i % 7 + 1), f"2024-{i % 6 + 1:02d}-03", f"r{i % 3}", f"p{i % 2}") for i in range(120)],
+                               "revenue double, order_date string, region string, product string")
+    df = df.withColumn("order_date", F.to_date("order_date"))
+    slots = fill_slots(PROFILE, df.columns)
+    charts = build_charts(df, slots, ["regions", "products", "quality"])
+    assert [c for c, (axis, _, _) in charts.items() if axis == "regions"] == [
+        "bar_region_revenue_sum", "box_region_revenue", "pivot_region_product_revenue"]
+    assert charts["trend_order_date_revenue_sum"][0] == "general"          # regions would draw the same one
+    rows = {r["finding_id"]: r for r in chart_findings(spark, charts).collect()}
+    assert set(rows) == set(charts)
+    assert rows["bar_region_revenue_sum"]["confidence"] == "high" and rows["bar_region_revenue_sum"]["evidence_rows"] == 3
+    assert '"top_label"' in rows["bar_region_revenue_sum"]["facts"]
+    last = max(rows.values(), key=lambda r: r["position"])
+    assert last["axis"] == "general"
+    assert {r["confidence"] for r in chart_findings(spark, charts, business=False).collect()} == {"medium"}

@@ -23,7 +23,7 @@ def test_exact_quantiles_match_numpy(spark):
     assert both == pytest.approx(list(want), rel=1e-12, abs=1e-12)
 
 
-def test_quantile_routing_and_crowded_brackets(spark, monkeypatch):
+def test_crowded_brackets_are_narrowed(spark):
     from veritable.functions import quantiles as Q
 
     rng = np.random.default_rng(5)
@@ -35,8 +35,6 @@ def test_quantile_routing_and_crowded_brackets(spark, monkeypatch):
     got = Q.exact_quantiles_many(df, {"a": probs, "b": probs}, accuracy=100, max_rows=25)
     assert got["a"] == pytest.approx(list(np.quantile(a, probs)), rel=1e-12, abs=1e-12)
     assert got["b"] == pytest.approx(list(np.quantile(b, probs)), rel=1e-12, abs=1e-12)
-    # with a low limit the high-cardinality column is routed to the bracket method
-    monkeypatch.setattr(Q, "PERCENTILE_DISTINCT_LIMIT", 100)
     routed = Q.global_quantiles(df, {"a": probs, "b": probs})
     assert routed["a"] == pytest.approx(list(np.quantile(a, probs)), rel=1e-12, abs=1e-12)
     assert routed["b"] == pytest.approx(list(np.quantile(b, probs)), rel=1e-12, abs=1e-12)

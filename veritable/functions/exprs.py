@@ -165,3 +165,11 @@ def safe_name(text: str) -> str:
 
     cleaned = re.sub(r"[^0-9a-zA-Z]+", "_", text.strip().lower()).strip("_")
     return cleaned or "column"
+
+
+def stems_from(name: Column, measure: str) -> Column:
+    """Whether a column name is the measure's own or is built on it (``profit`` -> ``profit_band``, ``net_profit``)."""
+    low, stem = F.lower(name), measure.lower()
+    if not stem:
+        return F.lit(False)
+    return F.concat(low, F.lit("_")).startswith(f"{stem}_") | F.concat(F.lit("_"), low).endswith(f"_{stem}")

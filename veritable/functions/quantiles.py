@@ -23,7 +23,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 SKETCH_ACCURACY = 10000
-MAX_BRACKET_ROWS = 200_000
+# A bracket is narrowed on its own rows until it has at most this many distinct values; these reach the driver.
+MAX_BRACKET_ROWS = 2_048
 
 
 def _vals(df: DataFrame, column: str):
@@ -164,44 +165,10 @@ def exact_quantiles(df: DataFrame, column: str, probs: list[float], accuracy: in
     return exact_quantiles_many(df, {column: probs}, accuracy, max_rows)[column]
 
 
-# Columns with at most this many distinct values (estimated) take one fused
-# exact ``percentile`` pass: its map (merged in one final task) then holds at
-# most a few MB, and it is the cheaper exact plan there (measured: faster at
-# 150k distinct, twice as slow as the bracket method at 500k). Above it, the
-# map is slow and grows with the data, and the bracket method takes over.
-PERCENTILE_DISTINCT_LIMIT = 200_000
-
-
-def global_quantiles(df: DataFrame, probs: dict[str, list[float]], distinct_hint: dict[str, int] | None = None,
-                     counts: dict[str, int] | None = None) -> dict[str, list[float | None]]:
-    """Exact quantiles per column, choosing the plan by cardinality.
-
-    Counts and distinct-value estimates the caller does not pass are taken in
-    one fused pass (``approx_count_distinct`` is a mergeable sketch). A column
-    with no more rows than the limit needs no estimate.
-    """
-    cols = list(probs)
-    counts = dict(counts or {})
-    hint = dict(distinct_hint or {})
-    need_n = [c for c in cols if c not in counts]
-    need_d = [c for c in cols if c not in hint and counts.get(c, PERCENTILE_DISTINCT_LIMIT + 1) > PERCENTILE_DISTINCT_LIMIT]
-    if need_n or need_d:
-        row = df.agg(*[F.count(_vals(df, c)).alias(f"n{i}") for i, c in enumerate(need_n)],
-                     *[F.approx_count_distinct(_vals(df, c)).alias(f"d{i}") for i, c in enumerate(need_d)]).first()
-        counts.update({c: int(row[f"n{i}"]) for i, c in enumerate(need_n)})
-        hint.update({c: int(row[f"d{i}"]) for i, c in enumerate(need_d)})
-    small = [c for c in cols if counts[c] <= PERCENTILE_DISTINCT_LIMIT or hint.get(c, 0) <= PERCENTILE_DISTINCT_LIMIT]
-    large = [c for c in cols if c not in small]
-    out: dict[str, list[float | None]] = {}
-    if small:
-        row = df.agg(*[F.percentile(_vals(df, c), F.array(*[F.lit(float(p)) for p in probs[c]])).alias(f"q{i}")
-                       for i, c in enumerate(small)]).first()
-        for i, c in enumerate(small):
-            q = row[f"q{i}"]
-            out[c] = list(q) if q is not None else [None for _ in probs[c]]
-    if large:
-        out.update(exact_quantiles_many(df, {c: probs[c] for c in large}, counts={c: counts[c] for c in large}))
-    return out
+def global_quantiles(df: DataFrame, probs: dict[str, list[float]], counts: dict[str, int] | None = None
+                     ) -> dict[str, list[float | None]]:
+    """Exact quantiles per column: one method and one interpolation at every size and cardinality."""
+    return exact_quantiles_many(df, probs, counts=counts)
 
 
 def quantile_literal(df: DataFrame, column: str, probs: list[float] | float):

@@ -14,8 +14,9 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from veritable.functions.exprs import is_time_type, num, period_bucket, period_key, period_label, with_scalars
+from veritable.functions.exprs import is_time_type, num, period_bucket, period_key, period_label, stems_from, with_scalars
 from veritable.functions.dates import parse_datetime
+from veritable.operators.profile import profile_dataset
 
 # Fixed values of the attribution rules.
 MIN_CONTRIBUTION = 0.03
@@ -28,24 +29,25 @@ CALENDAR_DERIVED = ("_period", "year", "month", "month_name", "quarter", "week",
 UNUSUAL_SUFFIX = "_is_unusual"
 
 
-def choose_dimensions(facts: list[dict], measure: str, exclude_calendar: bool, exclude: set[str] = frozenset()) -> list[str]:
-    """T4 over profile rows (column_name, role, unique_count)."""
-    out = []
-    stem = measure.casefold()
-    for f in facts:
-        name = f["column_name"]
-        low = name.casefold()
-        if name in exclude or name == measure or low.endswith(UNUSUAL_SUFFIX):
-            continue
-        if low == stem or low.startswith(f"{stem}_") or low.endswith(f"_{stem}"):
-            continue
-        if exclude_calendar and low in CALENDAR_DERIVED:
-            continue
-        if f.get("role") not in ("category", "boolean", "text"):
-            continue
-        if 2 <= int(f["unique_count"]) <= MAX_DIMENSION_VALUES:
-            out.append(name)
-    return out
+def dimension_rows(profile: DataFrame, measure: str, calendar: bool = True, exclude: tuple[str, ...] = (),
+                   max_values: int = MAX_DIMENSION_VALUES) -> DataFrame:
+    """T4 as a selection from profile rows (position, column_name, role, unique_count), in table order.
+
+    Dimensions hold labels with 2 to ``max_values`` values; markers, the
+    measure and what is built on it, and (unless ``calendar``) calendar parts
+    are none.
+    """
+    name, low = F.col("column_name"), F.lower("column_name")
+    barred = name.isin(measure, *exclude) | low.endswith(UNUSUAL_SUFFIX) | stems_from(name, measure)
+    if not calendar:
+        barred = barred | low.isin(*CALENDAR_DERIVED)
+    labels = F.col("role").isin("category", "boolean", "text") & F.col("unique_count").between(2, max_values)
+    return profile.where(labels & ~barred).orderBy("position").select("column_name")
+
+
+def choose_dimensions(df: DataFrame, measure: str, roles: dict[str, str] | None = None, **rules) -> list[str]:
+    """T4 on a table (one row per column is read)."""
+    return [r["column_name"] for r in dimension_rows(profile_dataset(df, roles), measure, **rules).collect()]
 
 
 def _ts(df: DataFrame, column: str) -> Column:

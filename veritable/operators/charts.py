@@ -9,11 +9,10 @@ of all groups minus the kept head, never a collect of the tail.
 
 from __future__ import annotations
 
-import math
-
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from veritable.functions.dates import parse_datetime
 from veritable.functions.exprs import is_time_type, num, period_bucket, period_label, rnd, with_scalars
@@ -22,8 +21,8 @@ from veritable.functions.ranking import global_rank
 
 # Fixed values of the chart rules.
 TOP_N = 8
+CALENDAR_NUMBERS = ("year", "month", "day", "week", "day_of_month")
 MIN_TREND_POINTS = 4
-MAX_CORRELATION_MEASURES = 8
 MAX_GROUPS = 20
 MAX_POINTS = 600
 HEATMAP_TOP = 15
@@ -33,6 +32,7 @@ OTHER_LABEL = "Other"
 EMPTY_LABEL = "(empty)"
 FLAT_BAND_PCT = 2.0
 STRONG_CORRELATION = 0.5
+TEXT_DATE_SHARE = 0.8
 SCATTER_STRONG, SCATTER_MODERATE = 0.7, 0.35
 ORDERED_CATEGORIES = {
     "month_name": ["January", "February", "March", "April", "May", "June", "July", "August",
@@ -237,17 +237,19 @@ def overall_box(df: DataFrame, measure: str) -> DataFrame:
                   rnd(F.avg(x), 3).alias("mean"), rnd(F.min(x), 3).alias("min"), rnd(F.max(x), 3).alias("max"))
 
 
-def pivot_sum(df: DataFrame, row: str, column: str, measure: str, top: int = PIVOT_TOP) -> DataFrame:
-    """Long-form row x column sums for the 12 largest rows and columns
-    by margin; needs >= 2 x 2."""
+def pivot_sum(df: DataFrame, row: str, column: str, measure: str, top: int | None = PIVOT_TOP) -> DataFrame:
+    """Long-form row x column sums for the ``top`` largest rows and columns
+    by margin (None: all); needs >= 2 x 2."""
     x = num(measure)
     cells = (df.select(F.col(row).cast("string").alias("row"), F.col(column).cast("string").alias("col"), x.alias("_v"))
              .filter(F.col("row").isNotNull() & F.col("col").isNotNull() & F.col("_v").isNotNull())
              .groupBy("row", "col").agg(F.sum("_v").alias("value")))
-    rows = cells.groupBy("row").agg(F.sum("value").alias("_t")).orderBy(F.col("_t").desc(), "row").limit(top)
-    cols = cells.groupBy("col").agg(F.sum("value").alias("_t")).orderBy(F.col("_t").desc(), "col").limit(top)
     sizes = cells.agg(F.count_distinct("row").alias("_r"), F.count_distinct("col").alias("_c"))
-    kept = cells.join(F.broadcast(rows.select("row")), "row").join(F.broadcast(cols.select("col")), "col")
+    kept = cells
+    if top is not None:
+        for side in ("row", "col"):
+            margin = cells.groupBy(side).agg(F.sum("value").alias("_t")).orderBy(F.col("_t").desc(), side).limit(top)
+            kept = kept.join(F.broadcast(margin.select(side)), side)
     return with_scalars(kept, sizes).filter((F.col("_r") >= 2) & (F.col("_c") >= 2)).select(
         F.col("row").alias(row), F.col("col").alias(column), "value")
 
@@ -257,23 +259,31 @@ def strongest_cell(pivot: DataFrame, row: str, column: str) -> DataFrame:
                                F.struct(-F.col("value"), F.col(row), F.col(column))).alias("s")).select("s.*")
 
 
-def crosstab(df: DataFrame, x: str, y: str, top: int = HEATMAP_TOP) -> DataFrame:
-    """Counts of the 15 most frequent values of each side; >= 2 x 2."""
-    xs, ys = F.col(x).cast("string"), F.col(y).cast("string")
-    base = df.select(xs.alias("x"), ys.alias("y"))
-    top_x = base.groupBy("x").count().orderBy(F.col("count").desc(), "x").limit(top).select("x")
-    top_y = base.groupBy("y").count().orderBy(F.col("count").desc(), "y").limit(top).select("y")
-    cells = base.join(F.broadcast(top_x), "x").join(F.broadcast(top_y), "y").groupBy("x", "y").agg(
+def crosstab(df: DataFrame, x: str, y: str, top: int | None = HEATMAP_TOP) -> DataFrame:
+    """Counts of the ``top`` most frequent values of each side (None: all); >= 2 x 2.
+
+    The rows are read once: cells are counted, and margins are sums of cells.
+    """
+    every = df.select(F.col(x).cast("string").alias("x"), F.col(y).cast("string").alias("y")).groupBy("x", "y").agg(
         F.count(F.lit(1)).cast("bigint").alias("rows"))
+    cells = every.where("x IS NOT NULL AND y IS NOT NULL")
+    if top is not None:
+        for side in ("x", "y"):
+            margin = every.groupBy(side).agg(F.sum("rows").alias("_t")).orderBy(F.col("_t").desc(), side).limit(top)
+            cells = cells.join(F.broadcast(margin.select(side)), side)
     sizes = cells.agg(F.count_distinct("x").alias("_r"), F.count_distinct("y").alias("_c"))
     return with_scalars(cells, sizes).filter((F.col("_r") >= 2) & (F.col("_c") >= 2)).select(
         F.col("x").alias(x), F.col("y").alias(y), "rows")
 
 
 def correlation_matrix(df: DataFrame, measures: list[str]) -> DataFrame:
-    """Pairwise Pearson r (pairwise complete, 2 dp) for up to 8 measures;
-    one fused aggregation of all pairs. Fewer than 3 usable measures: no rows."""
-    usable = measures[:MAX_CORRELATION_MEASURES]
+    """Pairwise Pearson r (pairwise complete, 2 dp) of all the measures
+    (calendar numbers and constants are none); one fused aggregation of all
+    pairs. Fewer than 3 usable measures: no rows."""
+    usable = [m for m in measures if m.casefold() not in CALENDAR_NUMBERS]
+    ends = df.agg(*[F.min(num(m)).alias(f"l{i}") for i, m in enumerate(usable)],
+                  *[F.max(num(m)).alias(f"h{i}") for i, m in enumerate(usable)]).first() if len(usable) >= 3 else None
+    usable = [m for i, m in enumerate(usable) if ends and ends[f"l{i}"] is not None and ends[f"l{i}"] < ends[f"h{i}"]]
     if len(usable) < 3:
         return df.sparkSession.createDataFrame([], "a string, b string, r double")
     aggs = []
@@ -333,8 +343,13 @@ def line_table(df: DataFrame, x: str, y: str, how: str = "sum", max_points: int
     thinned to ``max_points`` evenly spaced positions floor(k (n-1) / (m-1)),
     numbered by a distributed global rank (never one task for all points)."""
     ys = num(y)
-    if is_time_type(df.schema[x].dataType):
-        ts = F.col(x).cast("timestamp")
+    dtype = df.schema[x].dataType
+    timed = is_time_type(dtype)
+    if isinstance(dtype, T.StringType):      # text dates count as dates if most of the values are some
+        parsed, there = df.agg(F.count(parse_datetime(F.col(x))), F.count(x)).first()
+        timed = there > 0 and parsed >= TEXT_DATE_SHARE * there
+    if timed:
+        ts = _ts(df, x).cast("timestamp")
         span = df.agg(((F.unix_micros(F.max(ts)) - F.unix_micros(F.min(ts))) / 86400e6).alias("_days"))
         bucket = (F.when(F.col("_days") > 180, F.date_trunc("month", ts))
                   .when(F.col("_days") > 3, F.date_trunc("day", ts)).otherwise(ts))
@@ -361,6 +376,3 @@ def evidence_counts(df: DataFrame, group: str, top: int = TOP_N) -> DataFrame:
     return (df.groupBy(F.col(group).cast("string").alias(group)).agg(F.count(F.lit(1)).cast("bigint").alias("records"))
             .filter(F.col(group).isNotNull()).orderBy(F.col("records").desc(), group).limit(top))
 
-
-def bins_for(n: int) -> int:
-    return min(40, max(10, int(math.sqrt(n))))

@@ -46,6 +46,15 @@ def fingerprint_expr(name_col: Column) -> Column:
     return F.substring(F.sha2(joined, 256), 1, 16)
 
 
+def filled_columns(df: DataFrame, table_name: str) -> DataFrame:
+    """(table_name, column_name) of the columns that hold at least one value (S4 drops the others before a table is known)."""
+    names = df.columns
+    counts = df.agg(*[F.count(F.col(f"`{c}`")).alias(f"n{i}") for i, c in enumerate(names)])
+    rows = F.array(*[F.struct(F.lit(c).alias("column_name"), F.col(f"n{i}").alias("n")) for i, c in enumerate(names)])
+    found = counts.select(F.explode(rows).alias("s")).where("s.n > 0")
+    return found.select(F.lit(table_name).alias("table_name"), "s.column_name")
+
+
 def column_catalog(spark: SparkSession, tables: dict[str, DataFrame]) -> DataFrame:
     """(table_name, column_name, position, dtype) from table schemas (metadata)."""
     rows = [(t, f.name, i, f.dataType.simpleString()) for t, df in tables.items() for i, f in enumerate(df.schema.fields)]

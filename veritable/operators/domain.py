@@ -170,12 +170,12 @@ def row_subject(catalog: DataFrame) -> DataFrame:
 
 
 def family_from_text(texts: DataFrame, text_col: str) -> DataFrame:
-    """Family signals counted in free-text descriptions (best, else general)."""
+    """Family signals counted in free-text descriptions (best, else general; of equal ones the last by name)."""
     t = texts.select("*", norm_expr(F.col(text_col)).alias("_n"))
     hits = (t.select("description_id", F.explode(signals_found(F.col("_n"))).alias("_h"))
             .select("description_id", "_h.family_order", "_h.family"))
     cnt = hits.groupBy("description_id", "family_order", "family").agg(F.count(F.lit(1)).alias("score"))
-    best = cnt.groupBy("description_id").agg(F.max_by(F.struct("family", "score"), F.struct(F.col("score"), -F.col("family_order"))).alias("b"))
+    best = cnt.groupBy("description_id").agg(F.max_by(F.struct("family", "score"), F.struct(F.col("score"), F.col("family"))).alias("b"))
     return t.select("description_id").join(best, "description_id", "left").select(
         "description_id", F.coalesce(F.col("b.family"), F.lit("general")).alias("family"))
 

@@ -68,7 +68,8 @@ def merge_duplicates(
         return drop_duplicates(df, subset, order_by)
     rest = [c for c in df.columns if c not in keys and c not in measures]
     order = order_by or [c for c in df.columns if c not in keys]
-    aggs = [F.coalesce(F.sum(F.col(m)), F.lit(0)).cast(df.schema[m].dataType).alias(m) for m in measures]
+    # sums keep the type Spark gives them: a total may pass the measure's own range
+    aggs = [F.coalesce(F.sum(F.col(m)), F.lit(0)).alias(m) for m in measures]
     if rest:
         aggs.append(F.min_by(F.struct(*[F.col(c) for c in rest]), F.struct(*[F.col(c) for c in order])).alias("_first"))
     merged = df.groupBy(*keys).agg(*aggs)

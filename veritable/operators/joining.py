@@ -10,12 +10,12 @@ join would produce all come from that one join.
 
 from __future__ import annotations
 
-from dataclasses import dataclass
-
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from veritable.functions.exprs import is_numeric_type, with_scalars
+from veritable.functions.names import Names
 
 # Fixed values of the join rules.
 MIN_OVERLAP = 0.5
@@ -27,19 +27,41 @@ NAME_BONUS = 0.15
 NON_KEY_ROLES = ("measure", "datetime", "constant")
 
 
+def whole_type(dtype: T.DataType) -> bool:
+    return isinstance(dtype, (T.ByteType, T.ShortType, T.IntegerType, T.LongType))
+
+
 def key_expr(df: DataFrame, column: str, numeric: bool) -> Column:
-    """Canonical key text: numbers as numbers (1 == 1.0), text trimmed."""
-    c = F.col(column)
-    if numeric:
-        return c.cast("decimal(38,10)").cast("string")
-    return F.trim(c.cast("string"))
+    """Key text that is equal exactly for equal numbers of any type (1 == 1.0); other keys are trimmed text.
 
+    A whole number within 64 bits prints as such, any other number as its
+    double; nothing is rounded to a common scale.
+    """
+    c, dtype = F.col(column), df.schema[column].dataType
+    if not numeric:
+        return F.trim(c.cast("string"))
+    if whole_type(dtype):
+        return c.cast("bigint").cast("string")
+    x = c.cast("double")
+    inside = F.when((x >= -(2.0**63)) & (x < 2.0**63), c)
+    whole = inside.cast("bigint")
+    return F.coalesce(F.when(whole.cast(dtype) == inside, whole.cast("string")), x.cast("string"))
+
+
+def join_keys(left: DataFrame, left_col: str, right: DataFrame, right_col: str) -> tuple[Column, Column]:
+    """Both sides' key in a common type: whole numbers as bigint, floats as double, else by ``key_expr``."""
+    lt, rt = left.schema[left_col].dataType, right.schema[right_col].dataType
+    if whole_type(lt) and whole_type(rt):
+        return F.col(left_col).cast("bigint"), F.col(right_col).cast("bigint")
+    if all(isinstance(t, (T.FloatType, T.DoubleType)) for t in (lt, rt)):
+        return F.col(left_col).cast("double"), F.col(right_col).cast("double")
+    numeric = is_numeric_type(lt) and is_numeric_type(rt)
+    return key_expr(left, left_col, numeric), key_expr(right, right_col, numeric)
 
-def names_agree(left: str, right: str) -> bool:
-    def norm(name: str) -> str:
-        return name.casefold().replace("_", "").replace(" ", "")
 
-    return norm(left) == norm(right)
+def names_agree(left: str, right: str) -> bool:
+    """Whether two columns are spelt alike (no case, blanks or underscores)."""
+    return Names([left]).find(right) == left
 
 
 def key_histogram(df: DataFrame, columns: list[str]) -> DataFrame:
@@ -57,9 +79,14 @@ def key_histogram(df: DataFrame, columns: list[str]) -> DataFrame:
 
 
 def key_columns(df: DataFrame, roles: dict[str, str], distinct: dict[str, int], minimum: int) -> list[str]:
-    """Columns that could identify a row elsewhere: not a measure, date or
-    constant, with at least ``minimum`` distinct values."""
-    return [c for c in df.columns if roles.get(c) not in NON_KEY_ROLES and distinct.get(c, 0) >= minimum]
+    """Columns that could identify a row elsewhere, by role and number of distinct values."""
+    barred = {c for c, role in roles.items() if role in NON_KEY_ROLES}
+    return [c for c in df.columns if c not in barred and distinct.get(c, 0) >= minimum]
+
+
+def key_names(df: DataFrame, roles: dict[str, str]) -> list[str]:
+    """Columns whose role lets them be keys and that are worth counting (no free text)."""
+    return [c for c in df.columns if roles.get(c) not in (*NON_KEY_ROLES, "text")]
 
 
 def candidate_stats(left: DataFrame, left_cols: list[str], right: DataFrame, right_cols: list[str]) -> DataFrame:
@@ -133,13 +160,6 @@ def value_overlap(left: DataFrame, left_col: str, right: DataFrame, right_col: s
     return candidate_stats(left, [left_col], right, [right_col])
 
 
-@dataclass
-class JoinPlan:
-    left_column: str
-    right_column: str
-    numeric: bool
-
-
 def apply_join(left: DataFrame, right: DataFrame, left_col: str, right_col: str,
                broadcast_right: bool = False) -> DataFrame:
     """Left join on canonical keys; colliding right columns are dropped.
@@ -149,15 +169,13 @@ def apply_join(left: DataFrame, right: DataFrame, left_col: str, right_col: str,
     is broadcast, anything larger is shuffled, and AQE splits a skewed key.
     ``broadcast_right`` is for callers that have proved the right side small.
     """
-    numeric = is_numeric_type(left.schema[left_col].dataType) and is_numeric_type(right.schema[right_col].dataType)
-    lk, rk = "__join_left", "__join_right"
-    keep_right = [c for c in right.columns if c not in left.columns]
-    r = right.select(key_expr(right, right_col, numeric).alias(rk), *keep_right)
+    left_key, right_key = join_keys(left, left_col, right, right_col)
+    own = [c for c in right.columns if c not in left.columns]
+    lookup = right.select(right_key.alias("_right_key"), *own)
     if broadcast_right:
-        r = F.broadcast(r)
-    l2 = left.withColumn(lk, key_expr(left, left_col, numeric))
-    joined = l2.join(r, l2[lk] == r[rk], "left")
-    return joined.drop(lk, rk)
+        lookup = F.broadcast(lookup)
+    keyed = left.select("*", left_key.alias("_left_key"))
+    return keyed.join(lookup, keyed["_left_key"] == lookup["_right_key"], "left").select(*left.columns, *own)
 
 
 def join_report(left: DataFrame, joined: DataFrame) -> DataFrame:

@@ -188,13 +188,10 @@ def custom_kpi(df: DataFrame, kpi_id: str, numerator: str, denominator: str | No
 
 
 def all_kpis(df: DataFrame, cols: KpiColumns, chosen: list[str] | None = None) -> DataFrame:
-    """Every supported KPI (or the chosen ids); a failing family is skipped."""
+    """Every supported KPI (or the chosen ids)."""
     parts = [scalar_kpis(df, cols)]
     if cols.entity:
-        try:
-            parts.append(entity_kpis(df, cols))
-        except Exception:  # noqa: BLE001 - a KPI that cannot be computed is skipped
-            pass
+        parts.append(entity_kpis(df, cols))
     if cols.date and cols.revenue:
         parts.append(monthly_kpis(df, cols))
     out = parts[0]

@@ -26,51 +26,80 @@ FEEDBACK_SCHEMA = ("run_id string, project_id string, item_type string, item_key
                    "correction string, context string, created_at string")
 
 
+POLICY_SCHEMA = ("policy_id string, project_id string, version int, status string, weights map<string,double>, "
+                 "parent_id string")
+
+
+def _latest(rows: DataFrame, keys: list[str], order: list[str]) -> DataFrame:
+    """The last row of every key by ``order``; rows equal in that are told apart by their whole content."""
+    rest = [c for c in rows.columns if c not in keys]
+    whole = F.struct(*[F.col(c) for c in rest])
+    last = rows.groupBy(*keys).agg(F.max_by(whole, F.struct(*[F.col(c) for c in order], F.to_json(whole))).alias("_last"))
+    return last.select(*keys, *[F.col(f"_last.{c}").alias(c) for c in rest])
+
+
 def latest_versions(history: DataFrame, key: str = "id", version: str = "version") -> DataFrame:
     """L3: the latest version row of every item (grouped max_by, no window)."""
-    cols = [c for c in history.columns if c != key]
-    best = history.groupBy(key).agg(F.max_by(F.struct(*[F.col(c) for c in cols]), F.col(version)).alias("_l"))
-    return best.select(key, *[F.col(f"_l.{c}").alias(c) for c in cols])
+    return _latest(history, [key], [version, *(c for c in ("updated_at",) if c in history.columns)])
+
+
+def in_force(history: DataFrame, as_of: str) -> DataFrame:
+    """The latest versions as they stand on ``as_of``: active items past ``valid_to`` are expired."""
+    due = (F.col("status") == "active") & (F.col("valid_to") < as_of)
+    return latest_versions(history).withColumn("status", F.when(due, F.lit("expired")).otherwise(F.col("status")))
 
 
-def active_memory(history: DataFrame, project_id: str, table_columns: list[str]) -> DataFrame:
-    """L1: active items of a project; dataset-scoped items need a shared column."""
-    cur = latest_versions(history)
-    wanted = F.array(*[F.lit(c.casefold()) for c in table_columns]) if table_columns else F.array().cast("array<string>")
-    related = F.transform(F.coalesce(F.col("columns"), F.array().cast("array<string>")), lambda c: F.lower(c))
-    dataset_ok = (F.size(wanted) > 0) & (F.size(related) > 0) & F.arrays_overlap(related, wanted)
-    return cur.filter((F.col("project_id") == project_id) & (F.col("status") == "active")
-                      & ((F.col("scope") != "dataset") | dataset_ok))
+def active_memory(history: DataFrame, project_id: str, table_columns: list[str], as_of: str) -> DataFrame:
+    """L1: items of a project active on ``as_of``; dataset-scoped items need a column in common with the table."""
+    here = F.array(*[F.lit(c.casefold()) for c in table_columns]).cast("array<string>")
+    theirs = F.transform(F.coalesce("columns", F.array().cast("array<string>")), F.lower)
+    related = (F.col("scope") != "dataset") | F.arrays_overlap(theirs, here)
+    mine = (F.col("project_id") == project_id) & (F.col("status") == "active")
+    return in_force(history, as_of).where(mine & F.coalesce(related, F.lit(False)))
 
 
 def expire(history: DataFrame, as_of: str) -> DataFrame:
     """L2: new version rows marking active items past ``valid_to`` as expired."""
-    cur = latest_versions(history)
-    due = cur.filter((F.col("status") == "active") & F.col("valid_to").isNotNull() & (F.col("valid_to") < as_of))
-    return due.withColumn("status", F.lit("expired")).withColumn("version", F.col("version") + 1) \
-        .withColumn("updated_at", F.lit(as_of)).select(*history.columns)
+    due = latest_versions(history).where((F.col("status") == "active") & (F.col("valid_to") < as_of))
+    return due.withColumns({"status": F.lit("expired"), "version": F.col("version") + 1,
+                            "updated_at": F.lit(as_of)}).select(*history.columns)
+
+
+def _statement_key() -> Column:
+    return F.lower(F.trim("statement"))
 
 
 def upsert(history: DataFrame, changes: DataFrame) -> DataFrame:
-    """L3: append changes as new versions (version = latest + 1); an added
-    statement that duplicates an active one of the project is skipped."""
-    cur = latest_versions(history).select("id", F.col("version").alias("_v"))
-    active = latest_versions(history).filter(F.col("status") == "active").select(
-        "project_id", F.lower(F.trim("statement")).alias("_s"))
-    ch = changes.join(cur, "id", "left")
-    new_items = ch.filter(F.col("_v").isNull()).withColumn("_s", F.lower(F.trim("statement"))) \
-        .join(active, ["project_id", "_s"], "left_anti").drop("_s")
-    updates = ch.filter(F.col("_v").isNotNull())
-    rows = new_items.withColumn("version", F.lit(1)).unionByName(updates.withColumn("version", F.col("_v") + 1))
-    return history.unionByName(rows.select(*history.columns))
+    """L3: append changes as new versions (version = latest + 1).
+
+    A new statement is skipped if it repeats an active one of the project; of
+    equal new statements in one batch the one with the smallest id is added.
+    """
+    now = latest_versions(history)
+    known = now.select("id", F.col("version").alias("_at"))
+    updates = changes.join(known, "id").withColumn("version", F.col("_at") + 1).select(*history.columns)
+    fresh = changes.join(known, "id", "left_anti").withColumn("_said", _statement_key())
+    taken = now.where("status = 'active'").select("project_id", _statement_key().alias("_said"))
+    fresh = fresh.join(taken, ["project_id", "_said"], "left_anti")
+    active = _latest(fresh.where("status = 'active'").withColumn("_order", F.lit(0)), ["project_id", "_said", "id"], ["_order"])
+    first = active.groupBy("project_id", "_said").agg(F.min("id").alias("id"))
+    added = active.join(first, ["project_id", "_said", "id"], "left_semi").drop("_order")
+    added = added.unionByName(fresh.where("status <> 'active'")).withColumn("version", F.lit(1))
+    return history.unionByName(added.select(*history.columns)).unionByName(updates)
+
+
+def restore(history: DataFrame, requests: DataFrame, as_of: str) -> DataFrame:
+    """L3: ``requests`` (id, version): the content of an old version as a new version; nothing is erased."""
+    newest = latest_versions(history).select("id", F.col("version").alias("_at"))
+    old = _latest(history.join(requests.select("id", "version").distinct(), ["id", "version"], "left_semi"),
+                  ["id", "version"], [])
+    again = old.join(newest, "id").withColumns({"version": F.col("_at") + 1, "updated_at": F.lit(as_of)})
+    return history.unionByName(again.select(*history.columns))
 
 
 def latest_feedback(feedback: DataFrame) -> DataFrame:
     """L4: one rating per (run, item type, item key): the latest wins."""
-    keys = ["run_id", "item_type", "item_key"]
-    cols = [c for c in feedback.columns if c not in keys]
-    best = feedback.groupBy(*keys).agg(F.max_by(F.struct(*[F.col(c) for c in cols]), F.col("created_at")).alias("_l"))
-    return best.select(*keys, *[F.col(f"_l.{c}").alias(c) for c in cols])
+    return _latest(feedback, ["run_id", "item_type", "item_key"], ["created_at"])
 
 
 def pending_lessons(feedback: DataFrame) -> DataFrame:
@@ -83,38 +112,72 @@ def pending_lessons(feedback: DataFrame) -> DataFrame:
 
 
 def review_lessons(lessons: DataFrame, reviews: DataFrame) -> DataFrame:
-    """Pending -> approved / rejected by a reviews table (lesson_id, decision)."""
-    j = lessons.join(reviews, "lesson_id", "left")
-    status = F.when(F.col("decision") == "approve", "approved").when(F.col("decision") == "reject", "rejected") \
-        .otherwise(F.col("status"))
-    return j.select("lesson_id", "project_id", "statement", status.alias("status"))
-
-
-def preference_profile(feedback: DataFrame) -> DataFrame:
-    """Per (kind, value) the summed rating weight and the count."""
-    cur = feedback
-    ctx = F.from_json(F.col("context"), "map<string,string>")
-    weights = F.create_map(*[x for k, v in RATING_WEIGHTS.items() for x in (F.lit(k), F.lit(v))])
-    entries = cur.select(weights[F.col("rating")].alias("w"), F.explode(ctx).alias("k", "v"))
-    mapping = F.create_map(*[x for k, v in CONTEXT_KINDS.items() for x in (F.lit(k), F.lit(v))])
-    e = entries.select(mapping[F.col("k")].alias("kind"), F.lower(F.trim("v")).alias("value"), "w") \
-        .filter(F.col("kind").isNotNull() & (F.col("value") != "") & F.col("w").isNotNull())
-    return e.groupBy("kind", "value").agg(F.round(F.sum("w"), 3).alias("score"), F.count(F.lit(1)).cast("bigint").alias("count"))
-
-
-def rank_items(items: DataFrame, profile: DataFrame, kind: str, value_col: str) -> DataFrame:
-    """Stable re-ranking of items by their preference score; values never change."""
-    p = profile.filter(F.col("kind") == kind).select(F.col("value").alias("_pv"), F.col("score").alias("_score"))
-    j = items.join(F.broadcast(p), F.lower(F.col(value_col)) == F.col("_pv"), "left")
-    return j.withColumn("preference", F.coalesce("_score", F.lit(0.0))).orderBy(
-        F.col("preference").desc(), F.col("default_position")).drop("_pv", "_score")
+    """Pending -> approved / rejected by ``reviews`` (lesson_id, decision, optionally ``edited``).
+
+    A lesson that was reviewed before keeps its status. An edited statement
+    replaces the lesson's own when it is approved.
+    """
+    edited = F.col("edited") if "edited" in reviews.columns else F.lit(None).cast("string")
+    asked = reviews.select("lesson_id", "decision", edited.alias("edited"))
+    opened = F.col("status") == "pending"
+    status = (F.when(opened & (F.col("decision") == "approve"), "approved")
+              .when(opened & (F.col("decision") == "reject"), "rejected").otherwise(F.col("status")))
+    said = F.when(opened & (F.col("decision") == "approve"), F.coalesce("edited", "statement")).otherwise(F.col("statement"))
+    return lessons.join(asked, "lesson_id", "left").select("lesson_id", "project_id", said.alias("statement"),
+                                                           status.alias("status"))
+
+
+def approve_into_memory(history: DataFrame, lessons: DataFrame, reviews: DataFrame, as_of: str) -> DataFrame:
+    """The memory history after a review: every lesson approved in it becomes an active item (by ``upsert``)."""
+    before = lessons.where("status = 'pending'").select("lesson_id")
+    approved = review_lessons(lessons, reviews).where("status = 'approved'").join(before, "lesson_id", "left_semi")
+    items = approved.select(
+        F.concat(F.lit("lesson:"), "lesson_id").alias("id"), "project_id", "statement", F.lit("context").alias("category"),
+        F.lit("active").alias("status"), F.lit("project").alias("scope"), F.array().cast("array<string>").alias("columns"),
+        F.lit(0).alias("version"), F.lit(None).cast("string").alias("valid_to"), F.lit(as_of).alias("updated_at"))
+    return upsert(history, items.select(*history.columns))
+
+
+def project_ratings(feedback: DataFrame, project_id: str) -> DataFrame:
+    """The ratings a project's profile rests on: the latest of every item, of that project only."""
+    return latest_feedback(feedback).where(F.col("project_id") == project_id)
+
+
+def preference_profile(feedback: DataFrame, project_id: str) -> DataFrame:
+    """Per (kind, value) the summed rating weight and the count of a project's current ratings."""
+    def lookup(table: dict) -> Column:
+        return F.create_map(*[F.lit(x) for pair in table.items() for x in pair])
+
+    rated = project_ratings(feedback, project_id).select(
+        lookup(RATING_WEIGHTS)[F.col("rating")].alias("w"), F.explode(F.from_json("context", "map<string,string>")).alias("k", "v"))
+    told = rated.select(lookup(CONTEXT_KINDS)[F.col("k")].alias("kind"), F.lower(F.trim("v")).alias("value"), "w")
+    told = told.where("kind IS NOT NULL AND value <> '' AND w IS NOT NULL")
+    return told.groupBy("kind", "value").agg(F.round(F.sum("w"), 3).alias("score"),
+                                             F.count(F.lit(1)).cast("bigint").alias("count"))
+
+
+def rank_items(items: DataFrame, profile: DataFrame, columns: dict[str, str], weights: dict[str, float] | None = None) -> DataFrame:
+    """Stable re-ranking of items by preference; values never change.
+
+    ``columns`` maps a profile kind to the item column that holds its value;
+    an item's preference is the sum of its values' scores, each times the
+    policy's weight for the kind (1 unless ``weights`` says otherwise).
+    """
+    out = items.withColumn("preference", F.lit(0.0))
+    for kind, column in columns.items():
+        scores = profile.where(F.col("kind") == kind).select(F.col("value").alias("_value"), F.col("score").alias("_score"))
+        out = out.join(scores, F.lower(F.trim(column)) == F.col("_value"), "left")
+        weight = float((weights or {}).get(POLICY_WEIGHT_KEYS[kind], 1.0))
+        out = out.withColumn("preference", F.col("preference") + F.coalesce("_score", F.lit(0.0)) * weight).drop("_value", "_score")
+    return out.orderBy(F.col("preference").desc(), F.col("default_position"))
 
 
 def policy_check(profile: DataFrame, candidate: dict[str, float], parent: dict[str, float],
                  samples: DataFrame) -> DataFrame:
     """Alignment of candidate and parent weights; the candidate is
     validated when its weights are in 0..3 and it aligns at least as well as
-    its parent (or there is no feedback yet)."""
+    its parent (or there is no feedback yet). ``samples`` are the ratings
+    behind the profile (``project_ratings``)."""
     def align(rules, tag):
         w = F.create_map(*[x for kind, key in POLICY_WEIGHT_KEYS.items()
                            for x in (F.lit(kind), F.lit(float(rules.get(key, 1.0))))])
@@ -134,10 +197,38 @@ def policy_check(profile: DataFrame, candidate: dict[str, float], parent: dict[s
                     F.when(F.lit(guard) & gate, "validated").otherwise("rejected").alias("status"))
 
 
-def counters(memory: DataFrame, lessons: DataFrame, feedback: DataFrame) -> DataFrame:
-    """Active memory items, pending lessons, corrections, useful ratings."""
-    m = latest_versions(memory).agg(F.count_if(F.col("status") == "active").cast("bigint").alias("active_memory"))
-    l = lessons.agg(F.count_if(F.col("status") == "pending").cast("bigint").alias("pending_lessons"))
-    f = latest_feedback(feedback).agg(F.count_if(F.col("rating") == "incorrect").cast("bigint").alias("corrections"),
-                                      F.count_if(F.col("rating") == "useful").cast("bigint").alias("useful"))
-    return with_scalars(with_scalars(m, l), f)
+def activate(policies: DataFrame, policy_id: str) -> DataFrame:
+    """Make a validated policy its project's active one and retire the one before; any other status changes nothing."""
+    chosen = policies.where((F.col("policy_id") == policy_id) & (F.col("status") == "validated")).select(
+        F.col("project_id").alias("_project"))
+    j = with_scalars(policies, chosen)
+    same = F.col("project_id") == F.col("_project")
+    status = (F.when(same & (F.col("policy_id") == policy_id), "active")
+              .when(same & (F.col("status") == "active"), "retired").otherwise(F.col("status")))
+    return j.withColumn("status", status).select(*policies.columns)
+
+
+def roll_back(policies: DataFrame, project_id: str) -> DataFrame:
+    """The active policy's parent becomes active again; without an active policy or a known parent nothing changes."""
+    own = policies.where(F.col("project_id") == project_id)
+    pair = own.where("status = 'active'").select("policy_id", F.col("parent_id").alias("_parent")).join(
+        own.select(F.col("policy_id").alias("_parent")), "_parent")
+    last = pair.agg(F.max(F.struct("policy_id", "_parent")).alias("p")).select(F.col("p.policy_id").alias("_from"),
+                                                                               F.col("p._parent").alias("_to"))
+    status = (F.when(F.col("policy_id") == F.col("_from"), "retired").when(F.col("policy_id") == F.col("_to"), "active")
+              .otherwise(F.col("status")))
+    return with_scalars(policies, last).withColumn("status", status).select(*policies.columns)
+
+
+def counters(memory: DataFrame, lessons: DataFrame, feedback: DataFrame, project_id: str, as_of: str) -> DataFrame:
+    """A project's active memory items on ``as_of``, pending lessons, corrections and useful ratings."""
+    own = F.col("project_id") == project_id
+
+    def number(condition: Column, name: str) -> Column:
+        return F.count_if(condition).cast("bigint").alias(name)
+
+    m = in_force(memory, as_of).where(own).agg(number(F.col("status") == "active", "active_memory"))
+    lessons_open = lessons.where(own).agg(number(F.col("status") == "pending", "pending_lessons"))
+    f = project_ratings(feedback, project_id).agg(number(F.col("rating") == "incorrect", "corrections"),
+                                                  number(F.col("rating") == "useful", "useful"))
+    return with_scalars(with_scalars(m, lessons_open), f)

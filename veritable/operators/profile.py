@@ -96,13 +96,23 @@ def column_facts(df: DataFrame, columns: list[str] | None = None, hist: DataFram
 
 
 def _numeric_facts(df: DataFrame, names: list[str]) -> DataFrame:
-    integral = [n for n in names if isinstance(df.schema[n].dataType, (T.ByteType, T.ShortType, T.IntegerType, T.LongType))]
-    long = df.select(*[F.col(n).cast("double").alias(n) for n in names]).unpivot([], names, "column_name", "value")
-    hist = long.groupBy("column_name", "value").agg(F.count(F.lit(1)).alias("cnt"))
-    v, c = F.col("value"), F.col("cnt")
-    nn = v.isNotNull()
+    """Numbers are counted in their own type: whole numbers as bigint, floats as double, decimals exactly."""
+    def value(n: str, whole: bool, decimal: bool) -> Column:
+        kind = df.schema[n].dataType
+        is_whole = isinstance(kind, (T.ByteType, T.ShortType, T.IntegerType, T.LongType))
+        is_decimal = isinstance(kind, T.DecimalType)
+        mine = (is_whole, is_decimal) == (whole, decimal)
+        target = "bigint" if whole else "string" if decimal else "double"
+        return F.col(n).cast(target) if mine else F.lit(None).cast(target)
+
+    parts = [F.struct(F.lit(n).alias("column_name"), value(n, True, False).alias("w"), value(n, False, False).alias("f"),
+                      value(n, False, True).alias("d")) for n in names]
+    long = df.select(F.explode(F.array(*parts)).alias("s")).select("s.*")
+    hist = long.groupBy("column_name", "w", "f", "d").agg(F.count(F.lit(1)).alias("cnt"))
+    c = F.col("cnt")
+    nn = F.col("w").isNotNull() | F.col("f").isNotNull() | F.col("d").isNotNull()
     # a whole-number column holding only 0/1 prints as the tokens "0"/"1"
-    zero_one = nn & F.col("column_name").isin(*integral) & v.isin(0.0, 1.0) if integral else F.lit(False)
+    zero_one = F.coalesce(F.col("w").isin(0, 1), F.lit(False))
     facts = hist.groupBy("column_name").agg(
         F.sum(c).alias("n_rows"), F.sum(F.when(nn, c).otherwise(0)).alias("non_null"),
         F.sum(F.when(nn, 1).otherwise(0)).alias("distinct_count"),
@@ -405,19 +415,22 @@ def dataset_summary(df: DataFrame) -> DataFrame:
 class ProfileCache:
     """Rebuild a profile only when the table changed.
 
-    Keyed by the DataFrame's semantic plan hash (``DataFrame.semanticHash``):
-    the same logical table returns the stored profile rows; any cleaning step
-    that changes the plan changes the key.
+    Looked up by the DataFrame's semantic plan hash and then confirmed with
+    ``sameSemantics``, so that two plans with one hash stay apart; any cleaning
+    step that changes the plan misses.
     """
 
     def __init__(self):
-        self._store: dict[int, list[dict]] = {}
+        self._store: dict[int, list[tuple[DataFrame, list[dict]]]] = {}
 
     def rows(self, df: DataFrame, roles: dict[str, str] | None = None) -> list[dict]:
         key = hash((df.semanticHash(), tuple(sorted((roles or {}).items()))))
-        if key not in self._store:
-            self._store[key] = [r.asDict() for r in profile_dataset(df, roles).collect()]  # one row per column
-        return self._store[key]
+        held = self._store.setdefault(key, [])
+        for known, rows in held:
+            if known.sameSemantics(df):
+                return rows
+        held.append((df, [r.asDict() for r in profile_dataset(df, roles).collect()]))  # one row per column
+        return held[-1][1]
 
     def __len__(self) -> int:
-        return len(self._store)
+        return sum(map(len, self._store.values()))

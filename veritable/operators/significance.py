@@ -28,11 +28,6 @@ FAST_PATH_WIDTH = 0.8
 Z95 = 1.96
 SEED = 12345
 POISSON_TERMS = 12
-# Above this many rows in the two groups together the bootstrap's percentile
-# interval and the normal interval agree to far below the decision's
-# resolution, and rows x 2,000 resamples stops being worth its cost: the
-# normal interval decides with the same noise/solid/weak rule.
-BOOTSTRAP_ROW_LIMIT = 5_000_000
 
 
 def group_stats(df: DataFrame, group: str, measure: str) -> DataFrame:
@@ -76,43 +71,36 @@ def verdict_columns(pair: DataFrame) -> DataFrame:
 
 
 def compare_groups(df: DataFrame, group: str, measure: str, left: str, right: str,
-                   key: list[str] | None = None) -> DataFrame:
-    """G1: one row comparing two groups; undecided pairs take the bootstrap."""
+                   key: list[str] | None = None, method: str = "bootstrap") -> DataFrame:
+    """G1: one row comparing two groups; undecided pairs take ``method``."""
     stats = group_stats(df, group, measure)
     decided = verdict_columns(_pair(stats, left, right))
-    return resolve_with_bootstrap(df, group, measure, decided, key)
+    return resolve_with_bootstrap(df, group, measure, decided, key, method)
 
 
 def compare_extremes(df: DataFrame, group: str, measure: str, how: str = "mean",
-                     key: list[str] | None = None) -> DataFrame:
+                     key: list[str] | None = None, method: str = "bootstrap") -> DataFrame:
     """Top group vs bottom group by the aggregate (ties: label order)."""
-    stats = group_stats(df, group, measure)
-    if how == "mean":
-        ranked = stats.select("group", F.col("mean").alias("agg"))
-    else:
-        x = num(measure)
-        vals = (df.select(F.col(group).cast("string").alias("group"), x.alias("_v"))
-                .filter(F.col("group").isNotNull() & F.col("_v").isNotNull()))
-        if how == "median":
-            from veritable.functions.quantiles import grouped_quantile
-
-            ranked = grouped_quantile(vals, ["group"], "_v", 0.5).select("group", F.col("_q").alias("agg"))
-        else:
-            agg = {"sum": F.sum, "max": F.max, "min": F.min}[how]
-            ranked = vals.groupBy("group").agg(agg(F.col("_v")).alias("agg"))
-    ends = ranked.agg(
-        F.count(F.lit(1)).alias("_k"),
-        F.min_by("group", F.struct(-F.col("agg"), F.col("group"))).alias("_top"),
-        F.max_by("group", F.struct(-F.col("agg"), F.col("group"))).alias("_bottom"),
-    ).filter(F.col("_k") >= 2)
-    pair = (stats.select(F.col("group").alias("left"), F.col("n").alias("n_left"), F.col("mean").alias("mean_left"),
-                         F.col("var").alias("var_left"))
-            .join(F.broadcast(ends), F.col("left") == F.col("_top"))
-            .join(stats.select(F.col("group").alias("right"), F.col("n").alias("n_right"),
-                               F.col("mean").alias("mean_right"), F.col("var").alias("var_right")),
-                  F.col("right") == F.col("_bottom")))
+    x = num(measure)
+    vals = (df.select(F.col(group).cast("string").alias("group"), x.alias("_v"))
+            .filter(F.col("group").isNotNull() & F.col("_v").isNotNull()))
+    ranking = {"sum": F.sum, "max": F.max, "min": F.min}.get(how, F.avg)("_v")
+    stats = vals.groupBy("group").agg(F.count(F.lit(1)).alias("n"), F.avg("_v").alias("mean"),
+                                      F.coalesce(F.var_samp("_v"), F.lit(0.0)).alias("var"), ranking.alias("agg"))
+    if how == "median":
+        from veritable.functions.quantiles import grouped_quantile
+
+        middle = grouped_quantile(vals, ["group"], "_v", 0.5).select("group", F.col("_q").alias("agg"))
+        stats = stats.drop("agg").join(middle, "group")
+    # both ends with their statistics come out of the one grouped table in one row
+    one, order = F.struct("group", "n", "mean", "var"), F.struct(-F.col("agg"), F.col("group"))
+    ends = stats.agg(F.count(F.lit(1)).alias("_k"), F.min_by(one, order).alias("t"), F.max_by(one, order).alias("b"))
+    pair = ends.filter(F.col("_k") >= 2).select(
+        F.col("t.group").alias("left"), F.col("t.n").alias("n_left"), F.col("t.mean").alias("mean_left"),
+        F.col("t.var").alias("var_left"), F.col("b.group").alias("right"), F.col("b.n").alias("n_right"),
+        F.col("b.mean").alias("mean_right"), F.col("b.var").alias("var_right"))
     decided = verdict_columns(pair)
-    return resolve_with_bootstrap(df, group, measure, decided, key)
+    return resolve_with_bootstrap(df, group, measure, decided, key, method)
 
 
 def poisson_weight(u: Column) -> Column:
@@ -156,19 +144,25 @@ def bootstrap_interval(df: DataFrame, group: str, measure: str, left: str, right
 
 
 def resolve_with_bootstrap(df: DataFrame, group: str, measure: str, decided: DataFrame,
-                           key: list[str] | None = None) -> DataFrame:
-    """Replace ``undecided`` by the bootstrap verdict (noise if the interval
-    holds zero, solid if narrower than the gap, else weak). The bootstrap job
-    runs only when a pair is undecided (one bounded collect of the pair)."""
+                           key: list[str] | None = None, method: str = "bootstrap") -> DataFrame:
+    """Replace ``undecided`` by the verdict on an interval (noise if it holds
+    zero, solid if narrower than the gap, else weak).
+
+    ``method`` names the interval, at every size of the groups: ``bootstrap``
+    (its job runs only when a pair is undecided; one row is read to know) or
+    ``normal``, which needs no further pass over the rows.
+    """
+    if method not in ("bootstrap", "normal"):
+        raise ValueError(f"unknown method {method!r}")
     row = decided.first()
     if row is None or row["verdict"] != "undecided":
         return decided.withColumn("method", F.when(F.col("verdict") == "too_few", F.lit(None).cast("string"))
                                   .otherwise(F.lit("normal")))
-    if row["n_left"] + row["n_right"] > BOOTSTRAP_ROW_LIMIT:
+    if method == "normal":
         straddles = (F.col("low") <= 0) & (F.col("high") >= 0)
         verdict = (F.when(straddles, "noise").when((F.col("high") - F.col("low")) <= F.abs("difference"), "solid")
                    .otherwise("weak"))
-        return decided.withColumn("verdict", verdict).withColumn("method", F.lit("normal_large_n"))
+        return decided.withColumn("verdict", verdict).withColumn("method", F.lit("normal"))
     boot = bootstrap_interval(df, group, measure, row["left"], row["right"], key)
     j = with_scalars(decided, boot)
     straddles = (F.col("boot_low") <= 0) & (F.col("boot_high") >= 0)

@@ -202,6 +202,26 @@ def chart_correlation(spark, sf_dir):
     return CH.correlation_matrix(load(spark, sf_dir, "lineitem"), CORR_COLS)
 
 
+WIDE = {"quantity": "l_quantity", "price": "l_extendedprice", "discount": "l_discount", "tax": "l_tax",
+        "net": "l_extendedprice * (1 - l_discount)", "taxed": "l_extendedprice * (1 + l_tax)", "unit_price": "l_extendedprice / l_quantity",
+        "saving": "l_extendedprice * l_discount", "line": "CAST(l_linenumber AS DOUBLE)", "key_digit": "CAST(l_orderkey % 10 AS DOUBLE)"}
+
+
+def _wide_corr_sql() -> str:
+    names = list(WIDE)
+    parts = [f"SELECT '{a}' AS a, '{b}' AS b, round(corr({WIDE[a]}, {WIDE[b]}), 2) + 0.0 AS r FROM lineitem"
+             for i, a in enumerate(names) for b in names[i + 1:]]
+    return "\nUNION ALL\n".join(parts)
+
+
+@register("chart_correlation_wide", _wide_corr_sql())
+def chart_correlation_wide(spark, sf_dir):
+    """Ten measures, all 45 pairs; the constant and the calendar number are no measures."""
+    wide = load(spark, sf_dir, "lineitem").select(*[F.expr(x).alias(n) for n, x in WIDE.items()], F.lit(1.0).alias("one"),
+                                                  F.year("l_shipdate").alias("year"))
+    return CH.correlation_matrix(wide, [*WIDE, "one", "year"])
+
+
 @register("chart_scatter", """
 SELECT CAST(count(*) AS BIGINT) AS n, round(corr(l_quantity, l_extendedprice), 4) AS r,
   CASE WHEN abs(corr(l_quantity, l_extendedprice)) >= 0.7 THEN 'strong'

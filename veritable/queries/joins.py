@@ -100,7 +100,7 @@ def join_fanout(spark, sf_dir):
 
 @register("join_apply", """
 SELECT o.o_orderkey, o.o_custkey, c.c_name, c.c_acctbal, c.c_mktsegment, c.c_nationkey
-FROM orders o LEFT JOIN customer c ON CAST(o.o_custkey AS DECIMAL(38,10)) = CAST(c.c_custkey AS DECIMAL(38,10))
+FROM orders o LEFT JOIN customer c ON o.o_custkey = c.c_custkey
 """)
 def join_apply(spark, sf_dir):
     o, c = load(spark, sf_dir, "orders"), load(spark, sf_dir, "customer")
@@ -117,6 +117,32 @@ def join_apply_lineitem_part(spark, sf_dir):
     return J.apply_join(li, p, "l_partkey", "p_partkey").select("l_orderkey", "l_linenumber", "p_brand", "p_retailprice")
 
 
+@register("join_large_keys", """
+SELECT o.o_orderkey, c.c_name FROM orders o
+LEFT JOIN customer c ON o.o_custkey + 9007199254740992 = c.c_custkey + 9007199254740993
+""")
+def join_large_keys(spark, sf_dir):
+    """Keys beyond 2^53, one apart on the two sides: doubles would join neighbours."""
+    o = load(spark, sf_dir, "orders").select("o_orderkey", (F.col("o_custkey") + F.lit(2**53)).alias("k"))
+    c = load(spark, sf_dir, "customer").select((F.col("c_custkey") + F.lit(2**53 + 1)).alias("ck"), "c_name")
+    return J.apply_join(o, c, "k", "ck").select("o_orderkey", "c_name")
+
+
+@register("join_double_keys", """
+SELECT l.l_orderkey, l.l_linenumber, d.n FROM lineitem l
+LEFT JOIN (SELECT o_totalprice * 1e30 AS k, count(*) AS n FROM orders WHERE o_orderkey % 2 = 0 GROUP BY 1) d
+  ON (SELECT o_totalprice FROM orders o WHERE o.o_orderkey = l.l_orderkey) * 1e30 = d.k
+""")
+def join_double_keys(spark, sf_dir):
+    """Double keys far outside what a fixed decimal scale can hold."""
+    o = load(spark, sf_dir, "orders")
+    k = (F.col("o_totalprice") * F.lit(1e30)).alias("k")
+    counts = o.where("o_orderkey % 2 = 0").groupBy(k).agg(F.count(F.lit(1)).alias("n"))
+    li = load(spark, sf_dir, "lineitem").select("l_orderkey", "l_linenumber")
+    rows = li.join(o.select("o_orderkey", k), F.col("l_orderkey") == F.col("o_orderkey"), "left")
+    return J.apply_join(rows, counts.withColumnRenamed("k", "key"), "k", "key").select("l_orderkey", "l_linenumber", "n")
+
+
 @register("join_multi_table", """
 SELECT c.c_custkey, n.n_name, r.r_name
 FROM customer c LEFT JOIN nation n ON c.c_nationkey = n.n_nationkey LEFT JOIN region r ON n.n_regionkey = r.r_regionkey

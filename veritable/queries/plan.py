@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from pyspark.sql import functions as F
+
 from veritable.plans.query import ask
 from veritable.queries.registry import register
 from veritable.sources.tables import load
@@ -64,18 +66,17 @@ def plan_mean_priority(spark, sf_dir):
 
 
 @register("plan_median_flag_status", """
-SELECT l_returnflag, l_linestatus, round(quantile_cont(l_extendedprice, 0.5), 2) AS typical_l_extendedprice
-FROM lineitem WHERE l_discount >= 0.05 AND l_returnflag IS NOT NULL AND l_linestatus IS NOT NULL
-GROUP BY 1, 2
-ORDER BY quantile_cont(l_extendedprice, 0.5) ASC NULLS LAST, l_returnflag, l_linestatus LIMIT 20
+SELECT l_returnflag, l_linestatus, l_linenumber, round(quantile_cont(l_extendedprice, 0.5), 2) AS typical_l_extendedprice
+FROM lineitem WHERE l_discount >= 0.05 AND l_returnflag IS NOT NULL AND l_linestatus IS NOT NULL AND l_linenumber IS NOT NULL
+GROUP BY 1, 2, 3
+ORDER BY quantile_cont(l_extendedprice, 0.5) ASC NULLS LAST, l_returnflag, l_linestatus, l_linenumber LIMIT 20
 """)
 def plan_median_flag_status(spark, sf_dir):
     plan = {"measure": "l_extendedprice", "aggregation": "median",
-            "group_by": ["l_returnflag", "l_linestatus", "l_shipdate"],
+            "group_by": ["l_returnflag", "l_linestatus", "L LineNumber"],
             "filters": [{"column": "l_discount", "operator": ">=", "value": "0.05"},
                         {"column": "l_tax", "operator": ">", "value": "not a number"}],
             "sort_descending": False}
-    # Three breakdowns requested; the plan keeps the first two.
     return ask(plan, load(spark, sf_dir, "lineitem"), LINEITEM_ROLES).table
 
 
@@ -85,7 +86,7 @@ SELECT period, round(v, 2) AS number_of_records FROM (
          strftime(date_trunc('week', ts) + INTERVAL 6 DAY, '%Y-%m-%d') AS period,
          CAST(count(*) AS DOUBLE) AS v
   FROM events WHERE lower(trim(event_type)) IN ('click', 'view') AND ts IS NOT NULL
-  GROUP BY 1 ORDER BY period DESC LIMIT 200)
+  GROUP BY 1 ORDER BY period DESC LIMIT 500)
 """)
 def plan_count_week(spark, sf_dir):
     plan = {"aggregation": "count", "time_grain": "week", "limit": 500,
@@ -166,3 +167,16 @@ def plan_global_sum(spark, sf_dir):
             "filters": [{"column": "l_quantity", "operator": "<=", "value": 10},
                         {"column": "l_returnflag", "operator": "!=", "value": "R"}]}
     return ask(plan, load(spark, sf_dir, "lineitem"), LINEITEM_ROLES).table
+
+
+@register("plan_large_id", """
+SELECT l_orderkey + 9007199254740992 AS big_key, round(CAST(count(*) AS DOUBLE), 2) AS number_of_records
+FROM lineitem WHERE l_orderkey + 9007199254740992 IN (9007199254740993, 9007199254740994, 9007199254740995)
+GROUP BY 1 ORDER BY 2 DESC, 1 LIMIT 20
+""")
+def plan_large_id(spark, sf_dir):
+    """Keys moved beyond 2^53, where doubles no longer tell neighbours apart."""
+    df = load(spark, sf_dir, "lineitem").select((F.col("l_orderkey") + F.lit(2**53)).alias("big_key"))
+    plan = {"aggregation": "count", "group_by": ["big_key"],
+            "filters": [{"column": "big_key", "operator": "in", "value": [2**53 + 1, str(2**53 + 2), 2**53 + 3]}]}
+    return ask(plan, df, {"big_key": "identifier"}).table

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import functools
+
 from pyspark.sql import functions as F
 
 from veritable.functions.exprs import rnd
@@ -96,7 +98,9 @@ def run_change_findings(spark, sf_dir):
 
 
 def _catalog(spark, sf_dir):
-    return V.column_catalog(spark, {t: load(spark, sf_dir, t) for t in TABLES})
+    """The columns of every driver table that hold a value, found in its rows."""
+    parts = [V.filled_columns(load(spark, sf_dir, t), t) for t in TABLES]
+    return functools.reduce(lambda x, y: x.unionByName(y), parts)
 
 
 @register("schema_fingerprint", f"""
@@ -207,7 +211,7 @@ def claims_test(spark, sf_dir):
 
 
 @register("claims_contradictions", f"""
-SELECT * FROM ({CLAIMS_SQL}) WHERE testable AND NOT holds ORDER BY claim_id LIMIT 3
+SELECT * FROM ({CLAIMS_SQL}) WHERE testable AND NOT holds ORDER BY claim_id
 """)
 def claims_contradictions(spark, sf_dir):
     tests = M.test_claims(load(spark, sf_dir, "orders"), _claims(), date="o_orderdate", measure="o_totalprice")

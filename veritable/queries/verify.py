@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from veritable.functions.exprs import rnd
 from veritable.operators import attribution as T
 from veritable.operators import confound as X
+from veritable.operators import profile as P
 from veritable.operators import significance as G
 from veritable.queries.registry import register
 from veritable.sources.tables import load
@@ -99,7 +100,13 @@ def sig_enough_rows(spark, sf_dir):
 
 # --- confounding --------------------------------------------------------------
 
-CONDITIONS = ["l_linestatus", "l_linenumber"]
+# What X3 finds on lineitem against l_returnflag and l_extendedprice, fewest levels first (the oracles list them).
+CONDITIONS = ["l_linestatus", "l_linenumber", "l_tax", "l_discount"]
+CONDITION_ORDER = ", ".join(f"('{c}', {i})" for i, c in enumerate(CONDITIONS))
+
+
+def conditions(li):
+    return X.choose_conditions(li, "l_returnflag", "l_extendedprice")
 
 
 def _q(v: str, raw: bool) -> str:
@@ -147,10 +154,34 @@ def _dec_out(df):
                      F.array_join("reversed_levels", ",").alias("reversed_levels"), "shared_levels")
 
 
+def _levels_sql(columns: list[tuple[str, int]]) -> str:
+    one = """SELECT '{c}' AS column_name, count(DISTINCT {c}) AS levels, {most} AS most, count(*) AS n FROM lineitem"""
+    return " UNION ALL ".join(one.format(c=c, most=most) for c, most in columns)
+
+
+@register("confound_conditions", f"""
+SELECT column_name, levels FROM ({_levels_sql([("l_orderkey", 12), ("l_partkey", 12), ("l_suppkey", 12), ("l_linenumber", 12),
+  ("l_quantity", 12), ("l_discount", 12), ("l_tax", 12), ("l_linestatus", 15), ("l_shipdate", 15)])})
+WHERE levels BETWEEN 2 AND most AND n >= 15 * levels
+""")
+def confound_conditions(spark, sf_dir):
+    facts = P.column_facts(load(spark, sf_dir, "lineitem"))
+    return X.usable_conditions(facts, "l_returnflag", "l_extendedprice")
+
+
+@register("attribution_dimensions", """
+SELECT column_name FROM (SELECT 'o_orderstatus' AS column_name, count(DISTINCT o_orderstatus) AS n FROM orders
+  UNION ALL SELECT 'o_orderpriority', count(DISTINCT o_orderpriority) FROM orders)
+WHERE n BETWEEN 2 AND 40
+""")
+def attribution_dimensions(spark, sf_dir):
+    return T.dimension_rows(P.profile_dataset(load(spark, sf_dir, "orders")), "o_totalprice", calendar=False)
+
+
 @register("confound_decompose", _decompose_sql("R", "A"))
 def confound_decompose(spark, sf_dir):
     li = load(spark, sf_dir, "lineitem")
-    cells = X.cell_means(li, "l_returnflag", "l_extendedprice", CONDITIONS, "R", "A")
+    cells = X.cell_means(li, "l_returnflag", "l_extendedprice", conditions(li), "R", "A")
     return _dec_out(X.decompose(cells, "R", "A"))
 
 
@@ -159,14 +190,14 @@ SELECT condition, level, g AS side, round(m, 4) AS mean, CAST(n AS BIGINT) AS co
 """)
 def confound_cells(spark, sf_dir):
     li = load(spark, sf_dir, "lineitem")
-    cells = X.cell_means(li, "l_returnflag", "l_extendedprice", CONDITIONS, "R", "N")
+    cells = X.cell_means(li, "l_returnflag", "l_extendedprice", conditions(li), "R", "N")
     return cells.select("condition", "level", F.col("_g").alias("side"), rnd("mean", 4).alias("mean"),
                         F.col("cnt").cast("bigint").alias("count"))
 
 
 @register("confound_check", f"""
 WITH d AS ({_decompose_sql("R", "A")}),
-o AS (SELECT * FROM (VALUES ('l_linestatus', 0), ('l_linenumber', 1)) AS t(condition, ord)),
+o AS (SELECT * FROM (VALUES {CONDITION_ORDER}) AS t(condition, ord)),
 k AS (SELECT d.*, o.ord, CASE WHEN reversed_share >= 0.6 AND reversed_levels <> '' THEN 'reversal'
                               WHEN mix_share >= 0.5 THEN 'mix' END AS kind FROM d JOIN o USING (condition))
 SELECT condition, kind, overall_difference, within_difference, mix_difference, reversed_share, mix_share FROM k
@@ -176,7 +207,7 @@ LIMIT 1
 """)
 def confound_check(spark, sf_dir):
     li = load(spark, sf_dir, "lineitem")
-    best = X.check(li, "l_returnflag", "l_extendedprice", "R", "A", CONDITIONS)
+    best = X.check(li, "l_returnflag", "l_extendedprice", "R", "A", conditions(li))
     return best.select("condition", "kind", rnd("overall_difference", 4).alias("overall_difference"),
                        rnd("within_difference", 4).alias("within_difference"),
                        rnd("mix_difference", 4).alias("mix_difference"), rnd("reversed_share", 6).alias("reversed_share"),
@@ -191,7 +222,7 @@ BOTTOM_FLAG = ("(SELECT l_returnflag FROM lineitem WHERE l_returnflag IS NOT NUL
 
 @register("confound_check_extremes", f"""
 WITH d AS ({_decompose_sql(TOP_FLAG, BOTTOM_FLAG, raw=True)}),
-o AS (SELECT * FROM (VALUES ('l_linestatus', 0), ('l_linenumber', 1)) AS t(condition, ord)),
+o AS (SELECT * FROM (VALUES {CONDITION_ORDER}) AS t(condition, ord)),
 k AS (SELECT d.*, o.ord, CASE WHEN reversed_share >= 0.6 AND reversed_levels <> '' THEN 'reversal'
                               WHEN mix_share >= 0.5 THEN 'mix' END AS kind FROM d JOIN o USING (condition))
 SELECT condition, kind, overall_difference, within_difference, mix_difference, reversed_share, mix_share FROM k
@@ -201,7 +232,7 @@ LIMIT 1
 """)
 def confound_check_extremes(spark, sf_dir):
     li = load(spark, sf_dir, "lineitem")
-    best = X.check_extremes(li, "l_returnflag", "l_extendedprice", CONDITIONS)
+    best = X.check_extremes(li, "l_returnflag", "l_extendedprice", conditions(li))
     return best.select("condition", "kind", rnd("overall_difference", 4).alias("overall_difference"),
                        rnd("within_difference", 4).alias("within_difference"),
                        rnd("mix_difference", 4).alias("mix_difference"), rnd("reversed_share", 6).alias("reversed_share"),
@@ -210,7 +241,9 @@ def confound_check_extremes(spark, sf_dir):
 
 # --- attribution --------------------------------------------------------------
 
-DIMS = ["o_orderstatus", "o_orderpriority"]
+def dims(orders):
+    """T4 on orders: o_orderstatus and o_orderpriority (the oracles list them)."""
+    return T.choose_dimensions(orders, "o_totalprice", calendar=False)
 
 
 def _breakdown_sql(lv: str) -> str:
@@ -249,7 +282,8 @@ SELECT period, round(period_value, 2) AS period_value, round(baseline_value, 2)
        round(change, 2) AS change, CAST(periods AS BIGINT) AS periods FROM summ
 """)
 def attribution_summary(spark, sf_dir):
-    summary, _ = T.explain(load(spark, sf_dir, "orders"), "o_orderdate", "o_totalprice", DIMS)
+    orders = load(spark, sf_dir, "orders")
+    summary, _ = T.explain(orders, "o_orderdate", "o_totalprice", dims(orders))
     return summary.select("period", rnd("period_value", 2).alias("period_value"),
                           rnd("baseline_value", 2).alias("baseline_value"), rnd("change", 2).alias("change"),
                           F.col("periods").cast("bigint").alias("periods"))
@@ -270,7 +304,8 @@ _PERIOD_LV = """SELECT dimension, level, sum(CASE WHEN _period = summ.period THE
 
 @register("attribution_period", f"WITH {ATTR_BASE},\n{_breakdown_sql(_PERIOD_LV)}")
 def attribution_period(spark, sf_dir):
-    _, contrib = T.explain(load(spark, sf_dir, "orders"), "o_orderdate", "o_totalprice", DIMS)
+    orders = load(spark, sf_dir, "orders")
+    _, contrib = T.explain(orders, "o_orderdate", "o_totalprice", dims(orders))
     return _contrib_out(contrib)
 
 
@@ -280,7 +315,8 @@ bd AS ({_breakdown_sql(_PERIOD_LV).replace("lv2 AS", "WITH lv2 AS", 1)})
 SELECT DISTINCT dimension, concentration FROM bd
 """)
 def attribution_rank(spark, sf_dir):
-    _, contrib = T.explain(load(spark, sf_dir, "orders"), "o_orderdate", "o_totalprice", DIMS)
+    orders = load(spark, sf_dir, "orders")
+    _, contrib = T.explain(orders, "o_orderdate", "o_totalprice", dims(orders))
     return T.rank_dimensions(contrib).select("dimension", rnd("concentration", 6).alias("concentration"))
 
 

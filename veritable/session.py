@@ -6,7 +6,7 @@ settings. ``get_spark`` is for tests, the bench and local use.
 
 from __future__ import annotations
 
-import os
+import re
 import tempfile
 
 from pyspark.sql import SparkSession
@@ -51,8 +51,8 @@ def ensure_checkpoint_dir(spark: SparkSession) -> str:
     """Return the shared checkpoint folder, setting a local one only if unset.
 
     A cluster names a shared folder in ``spark.checkpoint.dir``; that is used
-    as is. Only when nothing is configured (tests, a laptop) is a private
-    temporary folder created.
+    as is. Only when nothing is configured and the session is local (tests, a
+    laptop) is a private temporary folder created; on a cluster that is an error.
     """
     current = spark.sparkContext.getCheckpointDir()
     if current:
@@ -61,6 +61,9 @@ def ensure_checkpoint_dir(spark: SparkSession) -> str:
         CHECKPOINT_CONF, None
     )
     if not configured:
+        master = spark.sparkContext.master
+        if not re.fullmatch(r"local(\[[^\]]*\])?", master):
+            raise RuntimeError(f"{CHECKPOINT_CONF} must name a folder that all executors share (master: {master})")
         configured = tempfile.mkdtemp(prefix="veritable-ckpt-")
         spark.conf.set(CHECKPOINT_CONF, configured)
     spark.sparkContext.setCheckpointDir(configured)
@@ -72,9 +75,3 @@ def cut_lineage(df, eager: bool = True):
     ensure_checkpoint_dir(df.sparkSession)
     return df.checkpoint(eager=eager)
 
-
-def env_cpus(default: int = 8) -> int:
-    try:
-        return int(os.environ.get("BENCH_CPUS", default))
-    except ValueError:
-        return default

@@ -1,18 +1,19 @@
 """Sources, sinks and table shaping.
 
 Delimited text is read by Spark's splittable CSV scan; format sniffing reads
-only the first lines of each file (a bounded sample by design). Header repair
-numbers lines per file and drops the leading N before parsing, so a title
-above the real headings costs one extra scan, not a driver-side read.
+only the first lines of a file (a bounded sample by design). Header repair parses
+first and numbers the records of each file's first block, so quoted line
+breaks stay whole and no line passes the driver.
 """
 
 from __future__ import annotations
 
 import os
+import re
 import warnings
 from dataclasses import dataclass, field
 
-from pyspark.sql import DataFrame, Observation, SparkSession
+from pyspark.sql import Column, DataFrame, Observation, SparkSession
 from pyspark.sql import functions as F
 
 from veritable.functions.exprs import nan_to_null
@@ -24,21 +25,26 @@ SNIFF_LINES = 50
 TEXT_SUFFIXES = (".csv", ".tsv", ".txt")
 
 
+def _count(text: Column, mark: str) -> Column:
+    return F.length(text) - F.length(F.replace(text, F.lit(mark), F.lit("")))
+
+
 def sniff_delimiter(spark: SparkSession, path: str, lines: int = SNIFF_LINES) -> str:
     """The candidate with a consistent non-zero count over the first
-    lines (most consistent, then most frequent); else the most frequent in
-    line one; else comma. ``.tsv`` is always tab."""
+    ``lines`` lines (most consistent, then most frequent); else the most
+    frequent in line one; else comma. ``.tsv`` is always tab. Of a folder, the
+    first file by name decides (files of another format are read on their own)."""
     if path.lower().endswith(".tsv"):
         return "\t"
-    sample = spark.read.text(path).limit(lines)
-    counts = sample.select(*[
-        (F.length("value") - F.length(F.regexp_replace("value", "\\" + d if d in "|" else d, ""))).alias(f"c{i}")
-        for i, d in enumerate(DELIMITERS)
-    ])
-    stats = counts.agg(*[agg for i in range(len(DELIMITERS)) for agg in (
-        F.min(f"c{i}").alias(f"mn{i}"), F.max(f"c{i}").alias(f"mx{i}"), F.first(f"c{i}").alias(f"f{i}"))]).first()
-    if stats is None:
+    text = spark.read.text(path).select("value", F.col("_metadata.file_path").alias("_f"))
+    first_file = text.agg(F.min("_f")).first()[0]
+    if first_file is None:
         return ","
+    head = spark.read.text(first_file).where(F.col("_metadata.file_block_start") == 0)
+    sample = head.select(F.monotonically_increasing_id().alias("_i"), "value").orderBy("_i").limit(lines)
+    counts = sample.select("_i", *[_count(F.col("value"), d).alias(f"c{i}") for i, d in enumerate(DELIMITERS)])
+    stats = counts.agg(*[agg for i in range(len(DELIMITERS)) for agg in (
+        F.min(f"c{i}").alias(f"mn{i}"), F.max(f"c{i}").alias(f"mx{i}"), F.min_by(f"c{i}", "_i").alias(f"f{i}"))]).first()
     consistent = [(stats[f"mx{i}"], -i, d) for i, d in enumerate(DELIMITERS)
                   if stats[f"mn{i}"] and stats[f"mn{i}"] == stats[f"mx{i}"] and stats[f"mn{i}"] > 0]
     if consistent:
@@ -49,37 +55,67 @@ def sniff_delimiter(spark: SparkSession, path: str, lines: int = SNIFF_LINES) ->
 
 
 def header_looks_wrong(columns: list[str]) -> bool:
-    """S3: at least 40% of names blank or auto-generated placeholders."""
-    if not columns:
-        return False
-    bad = sum(1 for c in columns if not str(c).strip() or str(c).startswith("Unnamed:") or str(c).startswith("_c"))
-    return bad / len(columns) >= BAD_HEADER_SHARE
+    """S3: at least 40% of names blank or auto-generated placeholders (``Unnamed: 3``, ``_c3``)."""
+    placeholder = re.compile(r"\s*|Unnamed:.*|_c\d+")
+    bad = sum(placeholder.fullmatch(str(c)) is not None for c in columns)
+    return bool(columns) and bad >= BAD_HEADER_SHARE * len(columns)
 
 
 def read_delimited(spark: SparkSession, path: str, sep: str | None = None, encoding: str = "UTF-8",
                    header: bool = True, skip_lines: int = 0, schema: str | None = None,
-                   infer_schema: bool = True) -> DataFrame:
+                   infer_schema: bool = True, multi_line: bool = True) -> DataFrame:
     """Delimited text (CSV/TSV/TXT) as a DataFrame; NaN becomes NULL.
 
-    ``skip_lines`` drops the first N lines of every file before parsing (the
-    header repair of S3). Pass ``schema`` at scale to skip inference.
+    ``skip_lines`` drops the first N records of every file, and the next one
+    holds the names (the header repair of S3). Quoted fields may hold line
+    breaks; ``multi_line=False`` says that they do not, so that large files
+    are split among tasks. Pass ``schema`` at scale to skip inference.
     """
     sep = sep or sniff_delimiter(spark, path)
-    reader = spark.read.option("sep", sep).option("encoding", encoding).option("header", header)
-    reader = reader.schema(schema) if schema else reader.option("inferSchema", infer_schema)
+    reader = spark.read.option("sep", sep).option("encoding", encoding).option("multiLine", multi_line)
+    reader = reader.option("escape", '"')
     if skip_lines <= 0:
-        return nan_to_null(reader.csv(path))
-    text = spark.read.option("encoding", encoding).text(path).select("value", F.input_file_name().alias("_f"))
-    # number lines per file; a text split keeps line order inside each file
-    indexed = text.rdd.zipWithIndex().map(lambda r: (r[0][1], r[1], r[0][0])).toDF(["_f", "_i", "value"])
-    first = indexed.groupBy("_f").agg(F.min("_i").alias("_start"))
-    kept = indexed.join(F.broadcast(first), "_f").filter(F.col("_i") - F.col("_start") >= skip_lines)
-    lines = kept.orderBy("_i").select("value").rdd.map(lambda r: r[0])
-    return nan_to_null(reader.csv(lines))
-
-
-def read_table(spark: SparkSession, path: str, **options) -> DataFrame:
-    """S1 dispatch by suffix: parquet, orc, json, or delimited text."""
+        reader = reader.schema(schema) if schema else reader.option("inferSchema", infer_schema)
+        return nan_to_null(reader.option("header", header).csv(path))
+    return nan_to_null(_below(spark, reader, path, sep, header, skip_lines, schema, infer_schema))
+
+
+def _below(spark, reader, path: str, sep: str, header: bool, skip: int, schema: str | None, infer: bool) -> DataFrame:
+    """The records of every file from number ``skip`` on, read as text under positional names and then named and typed.
+
+    Records are numbered where they are read: ids grow in file order, and a
+    file's first block starts at its smallest id.
+    """
+    lines = spark.read.text(path).where(F.col("_metadata.file_block_start") == 0)
+    width = lines.limit(skip + SNIFF_LINES).agg(F.max(_count(F.col("value"), sep))).first()[0] or 0
+    names = [f"_f{i}" for i in range(width + 1)]
+    every = reader.option("header", False).schema(", ".join(f"{n} string" for n in names)).csv(path)
+    every = every.select(*names, F.col("_metadata.file_path").alias("_file"), F.col("_metadata.file_block_start").alias("_block"),
+                         F.monotonically_increasing_id().alias("_at"))
+    starts = every.where("_block = 0").groupBy("_file").agg(F.min("_at").alias("_start"))
+    placed = every.join(starts, "_file", "left").withColumn("_n", F.when(F.col("_block") == 0, F.col("_at") - F.col("_start")))
+    if header:
+        titles = placed.where(F.col("_n") == skip).orderBy("_file").select(*names).first()
+        used = [i for i, t in enumerate(titles or []) if t is not None]
+        titles = [titles[i] if i in used else f"_c{i}" for i in range(max(used, default=-1) + 1)]
+        first_row = skip + 1
+    else:
+        titles, first_row = [f"_c{i}" for i in range(len(names))], skip
+    body = placed.where(F.col("_n").isNull() | (F.col("_n") >= first_row)).select(*names[:len(titles)])
+    if schema:
+        wanted = spark.createDataFrame([], schema).schema.fields
+        return body.select(*[F.col(names[i]).try_cast(f.dataType).alias(f.name) for i, f in enumerate(wanted)])
+    if not infer:
+        return body.toDF(*titles)
+    kinds = ("bigint", "double", "date", "timestamp", "boolean")
+    fits = body.agg(*[F.count(F.col(n)).alias(f"{n}_n") for n in names[:len(titles)]],
+                    *[F.count(F.col(n).try_cast(k)).alias(f"{n}_{k}") for n in names[:len(titles)] for k in kinds]).first()
+    kind_of = {n: next((k for k in kinds if 0 < fits[f"{n}_n"] == fits[f"{n}_{k}"]), "string") for n in names[:len(titles)]}
+    return body.select(*[F.col(n).try_cast(kind_of[n]) for n in names[:len(titles)]]).toDF(*titles)
+
+
+def read_table(spark: SparkSession, path: str, max_skip: int = 5, **options) -> DataFrame:
+    """S1 dispatch by suffix: parquet, orc, json, or delimited text; titles above the names (up to ``max_skip``) are skipped."""
     low = path.lower().rstrip("/")
     if low.endswith(".parquet") or os.path.isdir(path) and not any(low.endswith(s) for s in TEXT_SUFFIXES):
         return nan_to_null(spark.read.parquet(path))
@@ -89,7 +125,7 @@ def read_table(spark: SparkSession, path: str, **options) -> DataFrame:
         return nan_to_null(spark.read.json(path))
     df = read_delimited(spark, path, **options)
     if header_looks_wrong(df.columns) and options.get("skip_lines", 0) == 0:
-        for skip in (1, 2):
+        for skip in range(1, max_skip + 1):
             fixed = read_delimited(spark, path, **{**options, "skip_lines": skip})
             if not header_looks_wrong(fixed.columns):
                 return fixed
@@ -127,6 +163,30 @@ def load_many(spark: SparkSession, paths: list[str], **options) -> dict[str, Dat
     return out
 
 
+def attach_all(tables: dict[str, DataFrame], roles: dict[str, dict[str, str]]) -> tuple[DataFrame, list[dict]]:
+    """One table of several: the base (J5) with every lookup attached by its best safe join.
+
+    Returns the table and one report row a lookup: the columns joined on and
+    the rows before and after, or no columns where no join was safe.
+    """
+    from veritable.operators import joining as J
+
+    base = J.choose_base(tables, roles)
+    out, report, known = tables[base], [], dict(roles.get(base, {}))
+    for name in (n for n in tables if n != base):
+        lookup, theirs = tables[name], roles.get(name, {})
+        found = J.find_candidates(out, lookup, known, theirs, J.distinct_counts(out, J.key_names(out, known)),
+                                  J.distinct_counts(lookup, J.key_names(lookup, theirs))).where("safe").first()
+        row = {"lookup": name, "left_column": None, "right_column": None}
+        if found is not None:
+            row |= {"left_column": found["left_column"], "right_column": found["right_column"],
+                    "rows_before": found["left_rows"], "rows_after": found["expected_rows"]}
+            out = J.apply_join(out, lookup, found["left_column"], found["right_column"])
+            known |= {c: r for c, r in theirs.items() if c in out.columns and c not in known}
+        report.append(row)
+    return out, report
+
+
 def write_table(df: DataFrame, path: str, fmt: str = "parquet", mode: str = "overwrite") -> None:
     """Write the cleaned table (parquet by default, CSV with a header)."""
     writer = df.write.mode(mode)

@@ -7,6 +7,8 @@ import os
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql.types import StructType
 
+from veritable.functions.exprs import nan_to_null
+
 TABLES = (
     "region", "nation", "customer", "supplier", "part", "orders", "lineitem",
     "events", "documents", "embeddings", "pages", "benchmark", "labels",
@@ -29,14 +31,14 @@ _SCHEMAS: dict[str, StructType] = {}
 
 
 def load(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
-    """Read one driver table; Catalyst prunes columns and pushes filters."""
+    """Read one driver table, NaN as NULL; Catalyst prunes columns and pushes filters."""
     path = table_path(sf_dir, name)
     schema = _SCHEMAS.get(path)
     if schema is None:
         df = spark.read.parquet(path)
         _SCHEMAS[path] = df.schema
-        return df
-    return spark.read.schema(schema).parquet(path)
+        return nan_to_null(df)
+    return nan_to_null(spark.read.schema(schema).parquet(path))
 
 
 def load_all(spark: SparkSession, sf_dir: str) -> dict[str, DataFrame]:
