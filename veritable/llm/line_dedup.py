@@ -130,18 +130,21 @@ def line_points(each: DataFrame) -> DataFrame:
     return each.select("node", "line").mapInArrow(run, "node long, size long, point array<int>")
 
 
-def screen(sizes: np.ndarray, side: np.ndarray, points: np.ndarray, same: bool) -> tuple[np.ndarray, np.ndarray]:
-    """Index pairs of a task group whose signatures agree in at least ``AGREE`` places."""
+def screen(sizes: np.ndarray, side: np.ndarray, points: np.ndarray, same: bool
+           ) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Index pairs of a task group whose signatures agree in at least ``AGREE`` places, with that number."""
     left = np.arange(len(sizes)) if same else np.flatnonzero(side == 0)
     right = left if same else np.flatnonzero(side == 1)
-    a, b = [np.empty(0, np.int64)], [np.empty(0, np.int64)]
+    a, b, n = [np.empty(0, np.int64)], [np.empty(0, np.int64)], [np.empty(0, np.int64)]
     for j in right:
         agree = (points[left] == points[j]).sum(axis=1)
-        hits = left[agree >= AGREE]
-        hits = hits[hits < j] if same else hits
-        a.append(hits)
-        b.append(np.full(len(hits), j))
-    return np.concatenate(a), np.concatenate(b)
+        near = agree >= AGREE
+        if same:
+            near &= left < j
+        a.append(left[near])
+        b.append(np.full(int(near.sum()), j))
+        n.append(agree[near])
+    return np.concatenate(a), np.concatenate(b), np.concatenate(n)
 
 
 def shingles(line: str) -> set[str]:

@@ -1,8 +1,8 @@
 """Components of a similarity join whose candidates meet by exact keys.
 
-Input: rows (key, node) such that every two similar nodes share a key. Two
-rounds keep the work in proportion to the rows even where thousands of nodes
-share a key:
+Input: rows (key, node) such that every two similar nodes share a key. Rounds
+keep the work in proportion to the rows even where thousands of nodes share a
+key:
 
 1. In each key the smallest node is the key's leader; every other node is
    verified against its leaders. That finds the bulk of dense groups with one
@@ -11,7 +11,13 @@ share a key:
    share a key without the leader joining them. Only keys that still hold two
    components go on, and two nodes are compared at the smallest of these keys. Their rows are cut into tiles of bounded size, every pair
    of a key's tiles is one task group, and an index over the group's points
-   screens the pairs before they are verified.
+   screens the pairs before they are verified. First only the most promising
+   pair of every two components that meet in a group is verified, so that two
+   large components that belong together are joined by one pair and not by all
+   their pairs.
+3. The same again with every pair that is left and was not verified before:
+   after it no two nodes that share a key and pass the screen are untested,
+   unless they are already in one component.
 
 No key, however common, is held by one task: leaders come from a window whose
 buffer spills, and tiles are bounded.
@@ -32,7 +38,10 @@ from veritable.llm.common import connected_components, shared_table
 #: Rows of a key that one task group holds, and ids up to which a semi-join sends them to every executor (8 bytes each).
 TILE, SENT_IDS = 1_500, 2_000_000
 
-Screen = Callable[[np.ndarray, np.ndarray, np.ndarray, bool], tuple[np.ndarray, np.ndarray]]
+#: Later rounds: of every two components that meet in a task group the one most promising pair; then all that is left.
+ROUNDS = (1, None)
+
+Screen = Callable[[np.ndarray, np.ndarray, np.ndarray, bool], tuple[np.ndarray, np.ndarray, np.ndarray]]
 
 
 def only(df: DataFrame, ids: DataFrame, column: str) -> DataFrame:
@@ -48,41 +57,61 @@ def components(keys: DataFrame, verify: Callable[[DataFrame], DataFrame], points
 
     ``verify`` takes pairs (a, b) and returns the linked ones. ``points`` takes
     distinct nodes and returns (node, size, point array). ``screen(sizes, side, points, same)`` returns
-    the index pairs of a task group that may be linked; ``side`` is 0 for the
-    rows of the first tile and 1 for those of the second.
+    the index pairs of a task group that may be linked, with a score (higher:
+    more promising); ``side`` is 0 for the rows of the first tile and 1 for
+    those of the second.
     """
     both = Window.partitionBy("key")
     shared = keys.withColumn("low", F.min("node").over(both)).withColumn("high", F.max("node").over(both))
     shared = shared_table(shared.where("low <> high").select("key", "node", "low").distinct(), "meet")
     first = shared.where("node <> low").select(F.col("low").alias("a"), F.col("node").alias("b")).distinct()
     links = shared_table(verify(first), "links")
-    found = shared_table(connected_components(links.select(F.col("a").alias("src"), F.col("b").alias("dst"))), "found")
-
-    own = shared.join(found, "node", "left").select("key", "node", "low", F.coalesce("component", "node").alias("comp"))
-    spread = own.withColumn("c1", F.min("comp").over(both)).withColumn("c2", F.max("comp").over(both))
-    left = shared_table(spread.where("c1 <> c2").select("key", "node", "low", "comp"), "left")
+    found, tested = _closed(links), None
+    for top in ROUNDS:
+        own = shared.join(found, "node", "left").select("key", "node", "low", F.coalesce("component", "node").alias("comp"))
+        spread = own.withColumn("c1", F.min("comp").over(both)).withColumn("c2", F.max("comp").over(both))
+        left = shared_table(spread.where("c1 <> c2").select("key", "node", "low", "comp"), "left")
+        if left.isEmpty():
+            break
+        pairs = _candidates(left, points, screen, top).distinct()
+        if tested is not None:
+            pairs = pairs.join(tested, ["a", "b"], "left_anti")
+        tested = shared_table(pairs, "tested")
+        more = shared_table(verify(tested), "links")
+        if not more.isEmpty():
+            links = shared_table(links.select("a", "b").unionByName(more.select("a", "b")), "links")
+            found = _closed(links)
+    return found
+
+
+def _closed(links: DataFrame) -> DataFrame:
+    return shared_table(connected_components(links.select(F.col("a").alias("src"), F.col("b").alias("dst"))), "found")
+
+
+def _candidates(left: DataFrame, points, screen: Screen, top: int | None) -> DataFrame:
+    """Pairs (a, b) of the tiles of every key, of each two components the ``top`` most promising ones (None: all)."""
+    both = Window.partitionBy("key")
     each = left.groupBy("node").agg(F.collect_set("key").alias("keys"))
-    left = left.join(points(left.select("node").distinct()), "node").join(each, "node")
+    rows = left.join(points(left.select("node").distinct()), "node").join(each, "node")
     number = Window.partitionBy("key").orderBy("size", "node")
-    left = left.withColumn("tile", F.floor((F.row_number().over(number) - 1) / TILE).cast("int"))
-    left = left.withColumn("tiles", F.max("tile").over(both))
-    left = left.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("tiles"))))
-    left = left.select("key", F.least("tile", "other").alias("t1"), F.greatest("tile", "other").alias("t2"), "tile",
+    rows = rows.withColumn("tile", F.floor((F.row_number().over(number) - 1) / TILE).cast("int"))
+    rows = rows.withColumn("tiles", F.max("tile").over(both))
+    rows = rows.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("tiles"))))
+    rows = rows.select("key", F.least("tile", "other").alias("t1"), F.greatest("tile", "other").alias("t2"), "tile",
                        "node", "low", "comp", "size", "point", "keys")
-    spots = left.repartition("key", "t1", "t2").sortWithinPartitions("key", "t1", "t2", "tile", "node")
+    spots = rows.repartition("key", "t1", "t2").sortWithinPartitions("key", "t1", "t2", "tile", "node")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         out: list[np.ndarray] = []
-        for rows in _groups(batches):
-            out.append(_pairs(rows, screen))
+        for group in _groups(batches):
+            out.append(_pairs(group, screen, top))
             if sum(map(len, out)) > 50_000:
                 yield _batch(out)
                 out = []
         if out:
             yield _batch(out)
 
-    more = links.select("a", "b").unionByName(verify(spots.mapInArrow(run, "a long, b long").distinct()))
-    return connected_components(more.select(F.col("a").alias("src"), F.col("b").alias("dst")))
+    return spots.mapInArrow(run, "a long, b long")
 
 
 def _batch(out: list[np.ndarray]) -> pa.RecordBatch:
@@ -108,16 +137,25 @@ def _groups(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.Table]:
         yield pa.Table.from_batches(held)
 
 
-def _pairs(rows: pa.Table, screen: Screen) -> np.ndarray:
+def _pairs(rows: pa.Table, screen: Screen, top: int | None) -> np.ndarray:
     """(a, b) of a task group that pass the screen, lie in different components, and were not verified in round 1."""
     node, comp, low = (rows.column(c).to_numpy() for c in ("node", "comp", "low"))
     same = rows.column("t1")[0] == rows.column("t2")[0]
     side = (rows.column("tile").to_numpy() != rows.column("t1")[0].as_py()).astype(int)
     points = rows.column("point").combine_chunks().flatten().to_numpy().reshape(len(node), -1)
-    i, j = screen(rows.column("size").to_numpy(), side, points, same)
+    i, j, score = screen(rows.column("size").to_numpy(), side, points, same)
     keep = (comp[i] != comp[j]) & (node[i] != low[i]) & (node[j] != low[j])
-    i, j = i[keep], j[keep]
-    if len(i):  # of the keys that two nodes share, the smallest one gives the pair
+    i, j, score = i[keep], j[keep], score[keep]
+    if top is not None and len(i):
+        c, d = np.minimum(comp[i], comp[j]), np.maximum(comp[i], comp[j])
+        order = np.lexsort((-score, d, c))
+        fresh = np.ones(len(order), bool)
+        fresh[1:] = (c[order][1:] != c[order][:-1]) | (d[order][1:] != d[order][:-1])
+        starts = np.flatnonzero(fresh)
+        place = np.arange(len(order)) - np.repeat(starts, np.diff(np.append(starts, len(order))))
+        order = order[place < top]
+        i, j = i[order], j[order]
+    elif len(i):  # of the keys that two nodes share, the smallest one gives the pair
         key = rows.column("key")[0].as_py()
         before = [{k for k in keys if k < key} for keys in rows.column("keys").to_pylist()]
         first = np.fromiter((before[a].isdisjoint(before[b]) for a, b in zip(i.tolist(), j.tolist(), strict=True)), bool, len(i))

@@ -176,13 +176,17 @@ class CountRTree:
         return self.order[found]
 
 
-def screen(sizes: np.ndarray, side: np.ndarray, points: np.ndarray, same: bool) -> tuple[np.ndarray, np.ndarray]:
-    """Index pairs of a task group that the count bound cannot rule out: one side's tree, the other side's queries."""
+def screen(sizes: np.ndarray, side: np.ndarray, points: np.ndarray, same: bool
+           ) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Index pairs of a task group that the count bound cannot rule out, with the bound's share of the larger size.
+
+    One side's points are in the tree, the other side's are the queries.
+    """
     at, sizes = points.astype(np.int64), sizes.astype(np.int64)
     left = np.arange(len(sizes)) if same else np.flatnonzero(side == 0)
     right = left if same else np.flatnonzero(side == 1)
     if not len(left) or not len(right):
-        return np.empty(0, np.int64), np.empty(0, np.int64)
+        return np.empty(0, np.int64), np.empty(0, np.int64), np.empty(0)
     tree = CountRTree(sizes[left], at[left])
     a, b = [], []
     for j in right.tolist():
@@ -190,7 +194,8 @@ def screen(sizes: np.ndarray, side: np.ndarray, points: np.ndarray, same: bool)
         hits = hits[hits < j] if same else hits
         a.append(hits)
         b.append(np.full(len(hits), j))
-    return np.concatenate(a), np.concatenate(b)
+    i, j = np.concatenate(a), np.concatenate(b)
+    return i, j, np.minimum(at[i], at[j]).sum(axis=1) / np.maximum(sizes[i], sizes[j])
 
 
 def overlap_bound(a: Column, b: Column) -> Column:
