@@ -155,7 +155,7 @@ def test_representatives(docs):
 
 def plain_dedup(rows):
     """(text, dropped) of every row by all pairs of lines."""
-    norm = lambda x: re.sub(r"\s+", " ", x).strip(" ").lower()
+    norm = line_dedup.normal
     union, where = Union(), {}
     order = sorted((r for r in rows if r[1] is not None), key=lambda r: (r[0] is None, r[0] or 0))
     for k, t in order:

@@ -24,7 +24,8 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame
+import xxhash
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from veritable.llm import meet
@@ -33,23 +34,60 @@ from veritable.llm.ngram_join import mixed
 
 SHINGLE, LEAST, PER_CENT = 8, 20, 80
 BANDS, HASHES = 16, 5
-#: Hashes of a signature that must agree in the second round before a pair is verified (0.8 would agree in 64 of 80).
-AGREE = 40
+#: Hashes of a signature that must agree in the later rounds before a pair is verified. At the threshold 64 of 80 agree on
+#: average; fewer than 52 do with probability 0.0006.
+AGREE = 52
+#: Characters whose hashes are worked on at a time: they stay in a core's cache.
+PART = 1 << 16
+#: Sets of shingles that a verifying task holds.
+HELD = 2_000
 _RNG = np.random.default_rng(20240611)
-_A = _RNG.integers(0, 2**31, BANDS * HASHES, np.uint32) * np.uint32(2) + np.uint32(1)
-_B = _RNG.integers(0, 2**32, BANDS * HASHES, np.uint32)
+_ODD = _RNG.integers(0, 2**31, BANDS * HASHES, np.uint32) * np.uint32(2) + np.uint32(1)
 _STEP = np.uint64(0x9E3779B97F4A7C15)
 
 
-def normal(line: Column) -> Column:
-    return F.lower(F.trim(F.regexp_replace(line, r"\s+", " ")))
+def normal(line: str) -> str:
+    return " ".join(line.split()).lower()
 
 
-def lines(docs: DataFrame) -> DataFrame:
-    """(row, id, place, line, node) of the lines of (row, id, text) that are long enough."""
-    each = docs.select("row", "id", F.posexplode(F.split("text", "\n", -1)).alias("place", "line"))
-    each = each.withColumn("line", normal(F.col("line"))).where(F.length("line") >= LEAST)
-    return each.withColumn("node", F.xxhash64("line"))
+def line_id(line: str) -> int:
+    out = xxhash.xxh3_64_intdigest(line)
+    return out - (1 << 64) if out >> 63 else out
+
+
+def _lines(text: str | None) -> Iterator[tuple[int, str]]:
+    """(place, normal form) of the lines that are long enough."""
+    if text:
+        for place, line in enumerate(text.split("\n")):
+            if len(line) >= LEAST and len(own := normal(line)) >= LEAST:
+                yield place, own
+
+
+def line_places(docs: DataFrame) -> DataFrame:
+    """(row, id, place, node) of the long lines of (row, id, text)."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            out: list[tuple] = []
+            for row, own, text in zip(*(batch.column(c).to_pylist() for c in ("row", "id", "text")), strict=True):
+                out += [(row, own, place, line_id(line)) for place, line in _lines(text)]
+            kinds = (pa.int64(), pa.int64(), pa.int32(), pa.int64())
+            cols = [pa.array([x[k] for x in out], kind) for k, kind in enumerate(kinds)]
+            yield pa.RecordBatch.from_arrays(cols, ["row", "id", "place", "node"])
+
+    return docs.select("row", "id", "text").mapInArrow(run, "row long, id long, place int, node long")
+
+
+def line_texts(docs: DataFrame) -> DataFrame:
+    """(node, line): the long lines in normal form; equal lines that meet in a batch come once."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            found = {line_id(line): line for text in batch.column("text").to_pylist() for _, line in _lines(text)}
+            yield pa.RecordBatch.from_arrays([pa.array(list(found), pa.int64()), pa.array(list(found.values()), pa.string())],
+                                             ["node", "line"])
+
+    return docs.select("text").mapInArrow(run, "node long, line string")
 
 
 def signatures(texts: list[str]) -> np.ndarray:
@@ -68,10 +106,11 @@ def signatures(texts: list[str]) -> np.ndarray:
         inside[start + sizes - k] = False
     h = h[np.flatnonzero(inside)]
     at = np.cumsum(own) - own
-    out = np.empty((len(texts), len(_A)), np.uint32)
-    for i in range(len(_A)):
-        out[:, i] = np.minimum.reduceat(h * _A[i] + _B[i], at)
-    return out
+    out, turned = np.empty((len(_ODD), len(texts)), np.uint32), np.empty_like(h)
+    for i, odd in enumerate(_ODD):  # each odd factor permutes the 32-bit hashes
+        np.multiply(h, odd, out=turned)
+        np.minimum.reduceat(turned, at, out=out[i])
+    return out.T
 
 
 def band_keys(signature: np.ndarray) -> np.ndarray:
@@ -85,7 +124,7 @@ def band_keys(signature: np.ndarray) -> np.ndarray:
     return out.view(np.int64)
 
 
-def _parts(nodes: list[int], texts: list[str], limit: int = 1 << 20) -> Iterator[tuple[list[int], list[str]]]:
+def _parts(nodes: list[int], texts: list[str], limit: int = PART) -> Iterator[tuple[list[int], list[str]]]:
     a, size = 0, 0
     for k, t in enumerate(texts):
         if k > a and size + len(t) > limit:
@@ -96,23 +135,24 @@ def _parts(nodes: list[int], texts: list[str], limit: int = 1 << 20) -> Iterator
         yield nodes[a:], texts[a:]
 
 
-def line_keys(each: DataFrame) -> DataFrame:
-    """(key, node): band keys of (node, line); equal lines that meet in a task give theirs once."""
+def line_keys(docs: DataFrame) -> DataFrame:
+    """(key, node): band keys of the long lines of (text); equal lines that meet in a task give theirs once."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         seen: set[int] = set()
         for batch in batches:
-            nodes, texts = [], []
-            for node, line in zip(batch.column("node").to_pylist(), batch.column("line").to_pylist(), strict=True):
-                if node not in seen:
-                    seen.add(node)
-                    nodes.append(node)
-                    texts.append(line)
-            for own, part in _parts(nodes, texts):
+            fresh: dict[int, str] = {}
+            for text in batch.column("text").to_pylist():
+                for _, line in _lines(text):
+                    node = line_id(line)
+                    if node not in seen:
+                        seen.add(node)
+                        fresh[node] = line
+            for own, part in _parts(list(fresh), list(fresh.values())):
                 keys = band_keys(signatures(part))
                 yield pa.RecordBatch.from_arrays([pa.array(keys.ravel()), pa.array(np.repeat(own, BANDS))], ["key", "node"])
 
-    return each.select("node", "line").mapInArrow(run, "key long, node long")
+    return docs.select("text").mapInArrow(run, "key long, node long")
 
 
 def line_points(each: DataFrame) -> DataFrame:
@@ -121,10 +161,10 @@ def line_points(each: DataFrame) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for own, part in _parts(batch.column("node").to_pylist(), batch.column("line").to_pylist()):
-                found = signatures(part).view(np.int32)
+                found = np.ascontiguousarray(signatures(part)).view(np.int32)
                 yield pa.RecordBatch.from_arrays(
                     [pa.array(own, pa.int64()), pa.array([len(t) for t in part], pa.int64()),
-                     pa.ListArray.from_arrays(pa.array(np.arange(0, found.size + 1, len(_A), dtype=np.int32)),
+                     pa.ListArray.from_arrays(pa.array(np.arange(0, found.size + 1, len(_ODD), dtype=np.int32)),
                                               pa.array(found.ravel()))], ["node", "size", "point"])
 
     return each.select("node", "line").mapInArrow(run, "node long, size long, point array<int>")
@@ -152,25 +192,40 @@ def shingles(line: str) -> set[str]:
 
 
 def verified(pairs: DataFrame) -> DataFrame:
-    """(a, b) of the rows (a, line_a, b, line_b) whose shingle sets are similar enough."""
+    """(a, b) of the rows (a, line_a, b, line_b) whose shingle sets are similar enough.
+
+    A line of many pairs is cut into shingles once for all of them that a task
+    sees while its set is held (at most ``HELD`` sets).
+    """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held: dict[int, set[str]] = {}
+
+        def of(node: int, line: str) -> set[str]:
+            found = held.get(node)
+            if found is None:
+                if len(held) >= HELD:
+                    held.clear()
+                found = held[node] = shingles(line)
+            return found
+
         for batch in batches:
+            a, b, line_a, line_b = (batch.column(c).to_pylist() for c in ("a", "b", "line_a", "line_b"))
             keep = []
-            for x, y in zip(batch.column("line_a").to_pylist(), batch.column("line_b").to_pylist(), strict=True):
-                p, q = shingles(x), shingles(y)
-                both = len(p & q)
-                keep.append(100 * both >= PER_CENT * (len(p) + len(q) - both))
-            yield pa.RecordBatch.from_arrays([batch.column("a"), batch.column("b")], ["a", "b"]).filter(pa.array(keep))
+            for x, y in ((of(a[k], line_a[k]), of(b[k], line_b[k])) for k in range(len(a))):
+                both = len(x & y)
+                keep.append(100 * both >= PER_CENT * (len(x) + len(y) - both))
+            yield pa.RecordBatch.from_arrays([batch.column("a"), batch.column("b")], ["a", "b"]).filter(pa.array(keep, pa.bool_()))
 
-    return pairs.select("a", "line_a", "b", "line_b").mapInArrow(run, "a long, b long")
+    spread = int(pairs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    return pairs.select("a", "line_a", "b", "line_b").repartition(spread, "a").mapInArrow(run, "a long, b long")
 
 
-def line_components(each: DataFrame) -> DataFrame:
-    """(node, component) of all lines (node, line) that are linked with another one."""
+def line_components(docs: DataFrame) -> DataFrame:
+    """(node, component) of all long lines of (text) that are linked with another one."""
 
     def texts_of(nodes: DataFrame) -> DataFrame:
-        return meet.only(each.select("node", "line"), nodes, "node").dropDuplicates(["node"])
+        return meet.only(line_texts(docs), nodes, "node").dropDuplicates(["node"])
 
     def verify(pairs: DataFrame) -> DataFrame:
         held = shared_table(pairs, "pairs")
@@ -181,7 +236,7 @@ def line_components(each: DataFrame) -> DataFrame:
     def points(nodes: DataFrame) -> DataFrame:
         return line_points(texts_of(nodes))
 
-    return meet.components(line_keys(each), verify, points, screen)
+    return meet.components(line_keys(docs), verify, points, screen)
 
 
 def dedup_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -193,9 +248,9 @@ def dedup_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text")
     prepare_python(docs.sparkSession)
     text = F.col(text_col).cast("string")
     row = F.xxhash64(F.col(id_col).cast("long"), text)
-    each = lines(docs.select(row.alias("row"), F.col(id_col).cast("long").alias("id"), text.alias("text")))
-    places = shared_table(each.select("row", "id", "place", "node"), "places")
-    found = shared_table(line_components(each), "found")
+    rows = docs.select(row.alias("row"), F.col(id_col).cast("long").alias("id"), text.alias("text"))
+    places = shared_table(line_places(rows), "places")
+    found = shared_table(line_components(rows), "found")
     places = places.join(found, "node", "left").select("row", "id", "place", F.coalesce("component", "node").alias("comp"))
     order = F.struct(F.col("id").isNull().alias("last"), F.col("id"), F.col("row"), F.col("place"))
     firsts = places.groupBy("comp").agg(F.min(order).alias("first"), F.max(order).alias("end"))
