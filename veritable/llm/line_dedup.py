@@ -39,8 +39,6 @@ BANDS, HASHES = 16, 5
 AGREE = 52
 #: Characters whose hashes are worked on at a time: they stay in a core's cache.
 PART = 1 << 16
-#: Sets of shingles that a verifying task holds.
-HELD = 2_000
 _RNG = np.random.default_rng(20240611)
 _ODD = _RNG.integers(0, 2**31, BANDS * HASHES, np.uint32) * np.uint32(2) + np.uint32(1)
 _STEP = np.uint64(0x9E3779B97F4A7C15)
@@ -156,7 +154,7 @@ def line_keys(docs: DataFrame) -> DataFrame:
 
 
 def line_points(each: DataFrame) -> DataFrame:
-    """(node, size, point): the signatures of (node, line)."""
+    """(node, size, point, extra): the signatures and texts of (node, line)."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -165,9 +163,10 @@ def line_points(each: DataFrame) -> DataFrame:
                 yield pa.RecordBatch.from_arrays(
                     [pa.array(own, pa.int64()), pa.array([len(t) for t in part], pa.int64()),
                      pa.ListArray.from_arrays(pa.array(np.arange(0, found.size + 1, len(_ODD), dtype=np.int32)),
-                                              pa.array(found.ravel()))], ["node", "size", "point"])
+                                              pa.array(found.ravel())), pa.array(part, pa.string())],
+                    ["node", "size", "point", "extra"])
 
-    return each.select("node", "line").mapInArrow(run, "node long, size long, point array<int>")
+    return each.select("node", "line").mapInArrow(run, "node long, size long, point array<int>, extra string")
 
 
 def screen(sizes: np.ndarray, side: np.ndarray, points: np.ndarray, same: bool
@@ -191,34 +190,47 @@ def shingles(line: str) -> set[str]:
     return {line[i:i + SHINGLE] for i in range(len(line) - SHINGLE + 1)}
 
 
-def verified(pairs: DataFrame) -> DataFrame:
-    """(a, b) of the rows (a, line_a, b, line_b) whose shingle sets are similar enough.
-
-    A line of many pairs is cut into shingles once for all of them that a task
-    sees while its set is held (at most ``HELD`` sets).
-    """
+def alike(x: set[str], y: set[str]) -> bool:
+    both = len(x & y)
+    return 100 * both >= PER_CENT * (len(x) + len(y) - both)
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held: dict[int, set[str]] = {}
 
-        def of(node: int, line: str) -> set[str]:
-            found = held.get(node)
-            if found is None:
-                if len(held) >= HELD:
-                    held.clear()
-                found = held[node] = shingles(line)
-            return found
+def verified(pairs: DataFrame) -> DataFrame:
+    """(a, b) of the rows (a, line_a, b, line_b) whose shingle sets are similar enough."""
 
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            a, b, line_a, line_b = (batch.column(c).to_pylist() for c in ("a", "b", "line_a", "line_b"))
-            keep = []
-            for x, y in ((of(a[k], line_a[k]), of(b[k], line_b[k])) for k in range(len(a))):
-                both = len(x & y)
-                keep.append(100 * both >= PER_CENT * (len(x) + len(y) - both))
-            yield pa.RecordBatch.from_arrays([batch.column("a"), batch.column("b")], ["a", "b"]).filter(pa.array(keep, pa.bool_()))
-
-    spread = int(pairs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    return pairs.select("a", "line_a", "b", "line_b").repartition(spread, "a").mapInArrow(run, "a long, b long")
+            both = zip(batch.column("line_a").to_pylist(), batch.column("line_b").to_pylist(), strict=True)
+            keep = pa.array([alike(shingles(x), shingles(y)) for x, y in both], pa.bool_())
+            yield pa.RecordBatch.from_arrays([batch.column("a"), batch.column("b")], ["a", "b"]).filter(keep)
+
+    return pairs.select("a", "line_a", "b", "line_b").mapInArrow(run, "a long, b long")
+
+
+def joining(node, comp, lines: list[str], i: np.ndarray, j: np.ndarray, score: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Of the index pairs of a task group those that are alike and join two components not yet joined in it, best first."""
+    up = {int(c): int(c) for c in comp}
+
+    def root(c: int) -> int:
+        while up[c] != c:
+            up[c] = up[up[c]]
+            c = up[c]
+        return c
+
+    held: dict[int, set[str]] = {}
+    out = []
+    for k in np.argsort(-score, kind="stable").tolist():
+        a, b = int(i[k]), int(j[k])
+        p, q = root(int(comp[a])), root(int(comp[b]))
+        if p == q:
+            continue
+        for n in (a, b):
+            if n not in held:
+                held[n] = shingles(lines[n])
+        if alike(held[a], held[b]):
+            up[p] = q
+            out.append(k)
+    return i[out], j[out]
 
 
 def line_components(docs: DataFrame) -> DataFrame:
@@ -236,7 +248,7 @@ def line_components(docs: DataFrame) -> DataFrame:
     def points(nodes: DataFrame) -> DataFrame:
         return line_points(texts_of(nodes))
 
-    return meet.components(line_keys(docs), verify, points, screen)
+    return meet.components(line_keys(docs), verify, points, screen, joining)
 
 
 def dedup_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:

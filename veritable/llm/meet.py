@@ -41,6 +41,7 @@ TILE, SENT_IDS = 1_500, 2_000_000
 #: Later rounds: of every two components that meet in a task group the one most promising pair; then all that is left.
 ROUNDS = (1, None)
 
+Local = Callable[[np.ndarray, np.ndarray, list[str], np.ndarray, np.ndarray, np.ndarray], tuple[np.ndarray, np.ndarray]]
 Screen = Callable[[np.ndarray, np.ndarray, np.ndarray, bool], tuple[np.ndarray, np.ndarray, np.ndarray]]
 
 
@@ -52,14 +53,18 @@ def only(df: DataFrame, ids: DataFrame, column: str) -> DataFrame:
 
 
 def components(keys: DataFrame, verify: Callable[[DataFrame], DataFrame], points: Callable[[DataFrame], DataFrame],
-               screen: Screen) -> DataFrame:
+               screen: Screen, local: Local | None = None) -> DataFrame:
     """(node, component) of all nodes with a link.
 
     ``verify`` takes pairs (a, b) and returns the linked ones. ``points`` takes
     distinct nodes and returns (node, size, point array). ``screen(sizes, side, points, same)`` returns
     the index pairs of a task group that may be linked, with a score (higher:
     more promising); ``side`` is 0 for the rows of the first tile and 1 for
-    those of the second.
+    those of the second. With ``local``, ``points`` also gives a string
+    ``extra``, and ``local(node, comp, extra, i, j, score)`` verifies the
+    screened pairs inside the task and returns the links that join two
+    components there: then one later round does it all, and only links leave
+    the tasks.
     """
     both = Window.partitionBy("key")
     shared = keys.withColumn("low", F.min("node").over(both)).withColumn("high", F.max("node").over(both))
@@ -67,17 +72,17 @@ def components(keys: DataFrame, verify: Callable[[DataFrame], DataFrame], points
     first = shared.where("node <> low").select(F.col("low").alias("a"), F.col("node").alias("b")).distinct()
     links = shared_table(verify(first), "links")
     found, tested = _closed(links), None
-    for top in ROUNDS:
+    for top in ROUNDS if local is None else (None,):
         own = shared.join(found, "node", "left").select("key", "node", "low", F.coalesce("component", "node").alias("comp"))
         spread = own.withColumn("c1", F.min("comp").over(both)).withColumn("c2", F.max("comp").over(both))
         left = shared_table(spread.where("c1 <> c2").select("key", "node", "low", "comp"), "left")
         if left.isEmpty():
             break
-        pairs = _candidates(left, points, screen, top).distinct()
+        pairs = _candidates(left, points, screen, top, local).distinct()
         if tested is not None:
             pairs = pairs.join(tested, ["a", "b"], "left_anti")
         tested = shared_table(pairs, "tested")
-        more = shared_table(verify(tested), "links")
+        more = tested if local is not None else shared_table(verify(tested), "links")
         if not more.isEmpty():
             links = shared_table(links.select("a", "b").unionByName(more.select("a", "b")), "links")
             found = _closed(links)
@@ -88,8 +93,8 @@ def _closed(links: DataFrame) -> DataFrame:
     return shared_table(connected_components(links.select(F.col("a").alias("src"), F.col("b").alias("dst"))), "found")
 
 
-def _candidates(left: DataFrame, points, screen: Screen, top: int | None) -> DataFrame:
-    """Pairs (a, b) of the tiles of every key, of each two components the ``top`` most promising ones (None: all)."""
+def _candidates(left: DataFrame, points, screen: Screen, top: int | None, local: Local | None) -> DataFrame:
+    """Pairs (a, b) of the tiles of every key: of each two components the ``top`` most promising ones, all, or the links."""
     both = Window.partitionBy("key")
     each = left.groupBy("node").agg(F.collect_set("key").alias("keys"))
     rows = left.join(points(left.select("node").distinct()), "node").join(each, "node")
@@ -98,13 +103,13 @@ def _candidates(left: DataFrame, points, screen: Screen, top: int | None) -> Dat
     rows = rows.withColumn("tiles", F.max("tile").over(both))
     rows = rows.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("tiles"))))
     rows = rows.select("key", F.least("tile", "other").alias("t1"), F.greatest("tile", "other").alias("t2"), "tile",
-                       "node", "low", "comp", "size", "point", "keys")
+                       "node", "low", "comp", "size", "point", "keys", *(["extra"] if local else []))
     spots = rows.repartition("key", "t1", "t2").sortWithinPartitions("key", "t1", "t2", "tile", "node")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         out: list[np.ndarray] = []
         for group in _groups(batches):
-            out.append(_pairs(group, screen, top))
+            out.append(_pairs(group, screen, top, local))
             if sum(map(len, out)) > 50_000:
                 yield _batch(out)
                 out = []
@@ -137,7 +142,7 @@ def _groups(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.Table]:
         yield pa.Table.from_batches(held)
 
 
-def _pairs(rows: pa.Table, screen: Screen, top: int | None) -> np.ndarray:
+def _pairs(rows: pa.Table, screen: Screen, top: int | None, local: Local | None) -> np.ndarray:
     """(a, b) of a task group that pass the screen, lie in different components, and were not verified in round 1."""
     node, comp, low = (rows.column(c).to_numpy() for c in ("node", "comp", "low"))
     same = rows.column("t1")[0] == rows.column("t2")[0]
@@ -159,5 +164,7 @@ def _pairs(rows: pa.Table, screen: Screen, top: int | None) -> np.ndarray:
         key = rows.column("key")[0].as_py()
         before = [{k for k in keys if k < key} for keys in rows.column("keys").to_pylist()]
         first = np.fromiter((before[a].isdisjoint(before[b]) for a, b in zip(i.tolist(), j.tolist(), strict=True)), bool, len(i))
-        i, j = i[first], j[first]
+        i, j, score = i[first], j[first], score[first]
+        if local is not None:
+            i, j = local(node, comp, rows.column("extra").to_pylist(), i, j, score)
     return np.stack([np.minimum(node[i], node[j]), np.maximum(node[i], node[j])], axis=1)
