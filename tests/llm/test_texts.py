@@ -96,9 +96,11 @@ def test_training_is_bounded_and_blind(docs):
 
 def test_accepted_keeps_columns(docs):
     frame = docs(made(60) + [(500, None, "aa"), (501, "\x01\x02\x03" * 40 + "a", None)])
-    out = lang_id.accepted(frame, lang_id.learned(frame))
+    model = lang_id.learned(frame)
+    out = lang_id.accepted(frame, model)
     assert out.columns == frame.columns
-    assert {r.doc_id for r in out.collect()} == set(range(60))
+    assert {r.doc_id for r in out.collect()} == {*range(60), 501}
+    assert {r.doc_id for r in lang_id.accepted(frame, model, foreign=5.5).collect()} == set(range(60))
 
 
 # --- pages -------------------------------------------------------------------------------------------------------

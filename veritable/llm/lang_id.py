@@ -24,6 +24,7 @@ columns other than those named are ignored.
 
 from __future__ import annotations
 
+import math
 import re
 from collections.abc import Iterator
 from dataclasses import dataclass
@@ -37,8 +38,6 @@ from pyspark.sql.window import Window
 from veritable.llm.common import CHUNK_BYTES, prepare_python, text_chunks
 
 ORDER, ROWS_PER_LANG, UNKNOWN = 3, 400, "und"
-#: Above this many bits a byte under its best model, a text is none of the learned languages.
-FOREIGN_BITS = 5.5
 ASCII_LETTER = re.compile("[A-Za-z]")
 
 
@@ -211,9 +210,11 @@ def identify(docs: DataFrame, order: int = ORDER, rows_per_lang: int = ROWS_PER_
     return found.select("doc_id", held_out("doc_id").alias("held_out"), "lang_pred", "score", "bits_per_byte")
 
 
-def accepted(docs: DataFrame, model: Model, text_col: str = "text", foreign: float = FOREIGN_BITS) -> DataFrame:
+def accepted(docs: DataFrame, model: Model, text_col: str = "text", foreign: float = math.inf) -> DataFrame:
     """Rows whose text has a language: not ``und``, and at most ``foreign`` bits a byte under its best model.
 
+    Without a limit only ``und`` is rejected: short texts with an address or a
+    key in them, and texts in two of the languages, take many bits as well.
     Rows are filtered where they lie, with all their columns.
     """
     prepare_python(docs.sparkSession)
