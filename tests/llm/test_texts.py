@@ -94,6 +94,16 @@ def test_training_is_bounded_and_blind(docs):
     assert lang_id.identify(docs([(1, "x")]).where("false")).collect() == []
 
 
+def test_training_rows_of_a_large_language(spark):
+    rows = spark.range(3_000_000).selectExpr("concat('text ', id) AS text", "'aa' AS lang")
+    rows = rows.union(rows.limit(50)).union(spark.range(300).selectExpr("concat('own ', id)", "'bb'"))
+    kept = lang_id.training_rows(rows, lang_id.ROWS_PER_LANG, "text", "lang").collect()
+    assert len(set(kept)) == len(kept) and sum(r.lang == "bb" for r in kept) == 300
+    assert sum(r.lang == "aa" for r in kept) == lang_id.ROWS_PER_LANG
+    one = lang_id.training_rows(rows, 1, "text", "lang").collect()
+    assert sorted(r.lang for r in one) == ["aa", "bb"]
+
+
 def test_accepted_keeps_columns(docs):
     frame = docs(made(60) + [(500, None, "aa"), (501, "\x01\x02\x03" * 40 + "a", None)])
     model = lang_id.learned(frame)

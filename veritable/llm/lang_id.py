@@ -38,6 +38,8 @@ from pyspark.sql.window import Window
 from veritable.llm.common import CHUNK_BYTES, prepare_python, text_chunks
 
 ORDER, ROWS_PER_LANG, UNKNOWN = 3, 400, "und"
+#: Rows a language drawn beyond twice the wanted ones: at random hashes, that so few fall short has a chance below 1e-15.
+SPARE = 60
 ASCII_LETTER = re.compile("[A-Za-z]")
 
 
@@ -111,17 +113,17 @@ class Model:
 
 
 def training_rows(docs: DataFrame, rows_per_lang: int, text_col: str, lang_col: str) -> DataFrame:
-    """(lang, text): at most ``rows_per_lang`` rows of each language, by a hash of the text."""
+    """(lang, text): the ``rows_per_lang`` distinct texts of smallest 64-bit hash of each language, or all if it has fewer."""
     rows = docs.select(F.col(lang_col).cast("string").alias("lang"), F.col(text_col).cast("string").alias("text"))
     rows = rows.where("lang IS NOT NULL AND length(text) > 0")
     if not rows_per_lang:
         return rows
-    rows = rows.withColumn("at", F.pmod(F.xxhash64("text"), F.lit(1_000_000)))
-    # Twice the wanted share by hash first, so that only about as many rows as are wanted are numbered by language.
-    # The labels are broadcast: the model that is built holds all of them anyway.
-    share = rows.select("lang", F.xxhash64("text").alias("h")).distinct().groupBy("lang").agg(
-        (F.lit(2e6) * rows_per_lang / F.count(F.lit(1))).alias("upto"))
-    near = rows.join(F.broadcast(share), "lang").where("at < greatest(upto, 1)")
+    rows = rows.withColumn("at", F.xxhash64("text"))
+    # Somewhat more than the wanted share of the hash range first, so that only about as many rows as are wanted are
+    # numbered by language. The labels are broadcast: the model that is built holds all of them anyway.
+    share = rows.select("lang", "at").distinct().groupBy("lang").agg(
+        (F.lit(2.0 * rows_per_lang + SPARE) / F.count(F.lit(1))).alias("upto"))
+    near = rows.join(F.broadcast(share), "lang").where(F.col("at") / F.lit(2.0**64) + 0.5 <= F.col("upto"))
     near = near.groupBy("lang", "at").agg(F.min("text").alias("text"))  # one of a group of copies
     order = Window.partitionBy("lang").orderBy("at")
     return near.withColumn("n", F.row_number().over(order)).where(F.col("n") <= rows_per_lang).select("lang", "text")
