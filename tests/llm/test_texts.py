@@ -143,6 +143,46 @@ def test_page_without_article():
                                 "have.", "Second paragraph, which is also long enough to be taken for text of the page."]
 
 
+LONG = "A sentence of some length, as the paragraphs of an article have them, goes on and on to its very end here."
+
+
+def test_links_and_names_in_an_article():
+    page = f"""<article><h1><a href='/x'>Title</a></h1><p>{LONG}</p><h2 id='related-work'><a href='#r'>Related work</a></h2>
+    <p><a href='/report'>The report</a></p><ul><li><a href='/one'>One source</a></li><li>Plain item</li></ul>
+    <section id='social-impact'><p>Impact.</p></section><section class='share-buttons'><p>Tweet</p></section>
+    <pre>x = 1 <span class='comment'># set</span></pre><p class='notice'>Mind the gap.</p>
+    <ul><li><a href='#a'>Part a</a></li><li><a href='#b'>Part b</a></li><li><a href='#c'>Part c</a></li></ul>
+    <section id='comments'><p>First!</p></section></article>"""
+    assert html_lines.main_text(page).split("\n") == [
+        "Title", LONG, "Related work", "The report", "One source", "Plain item", "Impact.", "x = 1 # set", "Mind the gap."]
+
+
+def test_links_on_a_page_without_article():
+    menu = "".join(f"<li><a href='/{k}'>Menu entry number {k} of the site</a></li>" for k in range(6))
+    bar = "<div>" + " | ".join(f"<a href='/{k}'>Place {k}</a>" for k in range(4)) + "</div>"
+    page = f"""<ul>{menu}</ul>{bar}<h2><a href='#b'>Background</a></h2><p>{LONG}</p><p><a href='/r'>{LONG} Linked.</a></p>
+    <p>{LONG}</p>{bar}<p>{LONG}</p><ul>{menu}</ul>"""
+    assert html_lines.main_text(page).split("\n") == ["Background", LONG, f"{LONG} Linked.", LONG, LONG]
+
+
+@pytest.mark.parametrize("name", ["content has-sidebar", "sidebar", "layout banner"])
+def test_wrappers_that_name_other_parts(name):
+    page = f"<div class='{name}'><h1>Title</h1><p>{LONG}</p><div class='sidebar'><p>Aside.</p></div><p>{LONG}</p></div>"
+    page += f"<div class='cookie-notice'><p>{LONG}</p></div>"
+    assert html_lines.main_text(page).split("\n") == ["Title", LONG, LONG]
+
+
+def test_comments_that_outgrow_the_page():
+    page = f"<h1>Title</h1><p>{LONG}</p><div class='comments'>" + f"<p>{LONG} Not mine.</p>" * 9 + "</div>"
+    assert html_lines.main_text(page).split("\n") == ["Title", LONG]
+
+
+def test_small_stretches_between_kept_ones():
+    gap = "<div class='ad'>Buy</div>" * 3
+    page = f"<p>{LONG}</p><p>{LONG}</p>{gap}<p>A short one.</p>{gap}<p>{LONG}</p><p>{LONG}</p>{gap}<p>Imprint</p>"
+    assert html_lines.main_text(page).split("\n") == [LONG, LONG, "A short one.", LONG, LONG]
+
+
 def test_page_edges(spark):
     rows = [(1, "u", None), (2, None, ""), (3, "u", "<p>" + "word " * 50_000), (None, "u", "<nav>a</nav>"),
             (4, "u", "<script>var a = '<p>no</p>'"), (5, "u", "<article><p>a<p>b</article>"), (5, "u", "<article><p>a<p>b</article>"),
