@@ -10,6 +10,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
+import corpus_pipeline
 from veritable.llm import html_lines, lang_id, secret_scan
 
 
@@ -263,6 +264,20 @@ def test_secret_digest(docs):
     assert secret_scan.secret_digest(docs([(1, "x")]).where("false")).collect() == []
 
 
+def test_secrets_beside_allowed_words(spark, docs):
+    key = "Zx9kQ2mV7tLp4RwN8sYb3HcJ6dFg"
+    found = [f"run --key={key} now", f"-p{key}", f"+KEY={key}", f"/v1/{key}", f"/{key[:14]}+{key[14:]}=", f"org/yourteam/{key}",
+             f"org/YourTeam2/{key}", f"/example/{key}/1234567"]
+    clean = ["/usr/lib/python3/dist-packages/numpy2/core", "--date=2024-01-02-2024-01-02", "wJalrXUtnFEMI/K7MDENG/bPxRfiCYEXAMPLEKEY",
+             "-123e4567-e89b-12d3-a456-426614174000", "YOUR_API_KEY_GOES_HERE_1234567", "/a" * 50_000 + "/b1"]
+    rows = corpus_pipeline.redact_secrets(spark, docs(list(enumerate(found + clean))), "")
+    got = {r.doc_id: r.text for r in rows.collect()}
+    for k, text in enumerate(found):
+        assert "[secret]" in got[k] and key[:10] not in got[k] and key[-10:] not in got[k], text
+    for k, text in enumerate(clean, len(found)):
+        assert got[k] == text
+
+
 def test_redaction(docs):
     rows = secret_rows()
     texts = dict(rows)

@@ -8,7 +8,11 @@ characters a window slides character by character, keeping the sum of
 c * log2(c) over its character counts; one step changes only the counts of the
 character that leaves and the one that enters. A window whose Shannon entropy
 is at least its character class's threshold (hexadecimal digits, or letters and
-digits) is part of a span, unless the allow-list covers the run.
+digits) is part of a span, unless the allow-list covers the run. That is the
+rule of the query's SQL; with ``inside``, as the pipeline redacts, a run that the
+allow-list matches is not dropped whole: its pieces between placeholders are
+looked at without their leading signs. Words joined by signs, dates and UUIDs
+are no secrets, what is left is judged by its windows.
 
 Positions are code points, end exclusive. Edge cases: a null text is empty; a
 null id and repeated rows are carried through; other columns are ignored.
@@ -47,6 +51,17 @@ ALLOW = ("(?i)example|placeholder|changeme|your[_-]?|xxxx|1234567|abcdefg|"
          "^[0-9a-f]{8}-[0-9a-f]{4}-[0-9a-f]{4}-[0-9a-f]{4}-[0-9a-f]{12}$|^[0-9_/=+-]+$|"
          "^([a-z]+|[0-9]{1,4})([-_/=+]+([a-z]+|[0-9]{1,4}))+$|^[=_/+-]")
 
+#: A segment (letters and digits between signs) with a placeholder in it, one that is no plain word besides, and the others
+#: that are as long as a window.
+_PLACE = "(?i:example|placeholder|changeme|your|xxxx|1234567|abcdefg)"
+PLACEHOLDER = f"(?<![A-Za-z0-9])(?=[A-Za-z0-9]*{_PLACE})[A-Za-z0-9]+"
+MIXED = f"(?<![A-Za-z0-9])(?!(?:[a-z]+|[A-Z]+|[A-Z][a-z]+|[0-9]+)(?![A-Za-z0-9]))(?=[A-Za-z0-9]*{_PLACE})[A-Za-z0-9]+"
+SEGMENT = f"(?<![A-Za-z0-9])(?![A-Za-z0-9]*{_PLACE})[A-Za-z0-9]{{20,}}"
+#: A segment that is neither a word with up to three digits after it nor a number of up to four; and two segments.
+NO_WORD = "(?<![A-Za-z0-9])(?!(?:[A-Za-z]*[0-9]{0,3}|[0-9]{4})(?![A-Za-z0-9]))[A-Za-z0-9]"
+TWO = "[A-Za-z0-9][=_/+-]+[A-Za-z0-9]"
+PLAIN = "^[0-9a-fA-F]{8}-[0-9a-fA-F]{4}-[0-9a-fA-F]{4}-[0-9a-fA-F]{4}-[0-9a-fA-F]{12}[=_/+-]*$|^[0-9_/=+-]*$"
+
 
 def match_spans(text: Column, pattern: str) -> Column:
     """array<struct<at, to, hit>>: the matches of a pattern that never matches nothing, from left to right."""
@@ -147,7 +162,30 @@ def entropy_spans(run: Column) -> Column:
     return _let(F.split(run, ""), spans)
 
 
-def all_spans(text: Column, allow: str = ALLOW) -> Column:
+def pieces(run: Column) -> Column:
+    """array<struct<at, to, hit>>: the pieces of an allow-listed run that may hold a secret.
+
+    They are what lies between placeholders, or, where a placeholder is part of
+    a key, the other segments of a window's length.
+    """
+
+    def between(found):
+        starts = F.concat(F.array(F.lit(0)), F.transform(found, lambda x: x["to"]))
+        ends = F.concat(F.transform(found, lambda x: x["at"]), F.array(F.length(run)))
+        gaps = F.zip_with(starts, ends, lambda a, b: F.struct(a.alias("at"), b.alias("to"), run.substr(a + 1, b - a).alias("hit")))
+
+        def trimmed(x):
+            hit = F.regexp_replace(x["hit"], "^[=_/+-]+", "")
+            return F.struct((x["to"] - F.length(hit)).alias("at"), x["to"].alias("to"), hit.alias("hit"))
+
+        return F.transform(gaps, trimmed)
+
+    found = F.when(run.rlike(MIXED), match_spans(run, SEGMENT)).otherwise(_let(match_spans(run, PLACEHOLDER), between))
+    return F.filter(found, lambda x: x["hit"].rlike("^" + CANDIDATE) & ~x["hit"].rlike(PLAIN)
+                    & (x["hit"].rlike(NO_WORD) | ~x["hit"].rlike(TWO)))
+
+
+def all_spans(text: Column, allow: str = ALLOW, inside: bool = False) -> Column:
     """array<struct<at, rank, kind, to, base>> in order of start, then kind; entropy spans inside a base span are left out."""
 
     def named(column: Column, kind: str, rank: int, base: bool) -> Column:
@@ -157,7 +195,16 @@ def all_spans(text: Column, allow: str = ALLOW) -> Column:
 
     spans = base_spans(text)
     base = F.concat(*[named(spans[k], k, i, True) for i, (k, *_) in enumerate(KINDS)])
-    runs = F.filter(match_spans(text, CANDIDATE), lambda x: ~x["hit"].rlike(allow))
+    if inside:
+
+        def parts(r):
+            moved = F.transform(pieces(r["hit"]), lambda x: F.struct(
+                (x["at"] + r["at"]).alias("at"), (x["to"] + r["at"]).alias("to"), x["hit"].alias("hit")))
+            return F.when(r["hit"].rlike(allow), moved).otherwise(F.array(r))
+
+        runs = F.flatten(F.transform(match_spans(text, CANDIDATE), parts))
+    else:
+        runs = F.filter(match_spans(text, CANDIDATE), lambda x: ~x["hit"].rlike(allow))
     high = F.flatten(F.transform(runs, lambda r: F.transform(
         entropy_spans(r["hit"]), lambda x: F.struct((x["at"] + r["at"]).alias("at"), (x["to"] + r["at"]).alias("to")))))
 
@@ -190,8 +237,11 @@ def secret_digest(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text
                        joined(F.col("found")).alias("spans"), count("entropy"))
 
 
-def redacted_text(text: Column, mark: str = "[secret]", allow: str = ALLOW) -> Column:
-    """The text with every span replaced by ``mark`` (spans that overlap are replaced once); null stays null."""
+def redacted_text(text: Column, mark: str = "[secret]", allow: str = ALLOW, inside: bool = False) -> Column:
+    """The text with every span replaced by ``mark`` (spans that overlap are replaced once); null stays null.
+
+    ``inside`` also finds secrets in runs that the allow-list matches.
+    """
     text = text.cast("string")
 
     def replaced(found):
@@ -205,4 +255,4 @@ def redacted_text(text: Column, mark: str = "[secret]", allow: str = ALLOW) -> C
         rest = F.aggregate(found, start, step, lambda s: F.concat(s["out"], F.substring(text, s["at"] + 1, F.length(text))))
         return F.when(F.size(found) > 0, rest).otherwise(text)
 
-    return _let(all_spans(text, allow), replaced)
+    return _let(all_spans(text, allow, inside), replaced)
