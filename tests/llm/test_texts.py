@@ -114,6 +114,14 @@ def test_accepted_keeps_columns(docs):
     assert {r.doc_id for r in lang_id.accepted(frame, model, foreign=5.5).collect()} == set(range(60))
 
 
+def test_nothing_learned_keeps_texts_with_a_letter(spark, docs):
+    unlabelled = docs([(1, "kala mano", None), (2, "日本語", None), (3, "12 34", None), (4, None, None), (5, "", None)])
+    out = corpus_pipeline.language_id(spark, unlabelled, "")
+    assert out.columns == unlabelled.columns and sorted(r.doc_id for r in out.collect()) == [1, 2]
+    held = docs([(k, "kala mano", "aa") for k in range(40) if zlib.crc32(str(k).encode()) % 5 == 0])
+    assert corpus_pipeline.language_id(spark, held, "").count() == held.count() > 0
+
+
 # --- pages -------------------------------------------------------------------------------------------------------
 
 def test_pages_against_their_article(spark):

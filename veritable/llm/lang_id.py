@@ -216,14 +216,18 @@ def accepted(docs: DataFrame, model: Model, text_col: str = "text", foreign: flo
     """Rows whose text has a language: not ``und``, and at most ``foreign`` bits a byte under its best model.
 
     Without a limit only ``und`` is rejected: short texts with an address or a
-    key in them, and texts in two of the languages, take many bits as well.
-    Rows are filtered where they lie, with all their columns.
+    key in them, and texts in two of the languages, take many bits as well. If
+    no language could be learned, every text with a letter stays. Rows are
+    filtered where they lie, with all their columns.
     """
     prepare_python(docs.sparkSession)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             texts, keep, at = batch.column(text_col).to_pylist(), [], 0
+            if not model.langs:
+                yield batch.filter(pa.array([has_letter(t) for t in texts], pa.bool_()))
+                continue
             while at < len(texts):
                 to, size = at, 0
                 while to < len(texts) and (to == at or size + len(texts[to] or "") <= CHUNK_BYTES):
