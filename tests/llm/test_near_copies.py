@@ -140,6 +140,16 @@ def test_tree_search_is_exact():
         assert sorted(tree.search(int(sizes[q]), points[q]).tolist()) == ok
 
 
+def test_a_text_of_many_shingles(docs):
+    size = 5_000_000
+    counts = ngram_join.point(np.arange(size, dtype=np.uint64))
+    assert counts.sum() == size and counts.max() > np.iinfo(np.int16).max
+    text = " ".join(map(str, range(size)))
+    got = {r.id: r for r in ngram_join.document_sets(docs([(1, text), (2, "a b c d e")], 1).selectExpr("doc_id AS id", "text"))
+           .selectExpr("id", "size", "aggregate(counts, 0L, (s, x) -> s + x) AS total").collect()}
+    assert got[1].size == got[1].total == size - 3 and got[2].total == 2
+
+
 def test_representatives(docs):
     text = " ".join(f"w{i}" for i in range(60))
     rows = [(5, text), (3, text + " more"), (9, "other words that are here alone"), (9, "other words that are here alone"),

@@ -97,11 +97,8 @@ def set_id(s: np.ndarray) -> int:
 
 
 def point(s: np.ndarray) -> np.ndarray:
-    """Shingles in each group. (16 bits: a group is full only in a text of some four million words, and refused.)"""
-    counts = np.bincount((mixed(s) % np.uint64(DIMENSIONS)).astype(np.int64), minlength=DIMENSIONS)
-    if len(s) and counts.max() > np.iinfo(np.int16).max:
-        raise ValueError(f"a text has {len(s)} distinct shingles, too many for its point")
-    return counts.astype(np.int16)
+    """Shingles in each group. (32 bits: a text has fewer than 2^31 bytes.)"""
+    return np.bincount((mixed(s) % np.uint64(DIMENSIONS)).astype(np.int64), minlength=DIMENSIONS).astype(np.int32)
 
 
 def needed(a, b):
@@ -216,7 +213,7 @@ def document_sets(docs: DataFrame) -> DataFrame:
                  pa.ListArray.from_arrays(pa.array(np.arange(0, len(counts) + 1, DIMENSIONS, dtype=np.int32)),
                                           pa.array(counts))], ["id", "node", "size", "counts"])
 
-    return docs.mapInArrow(run, "id long, node long, size long, counts array<short>")
+    return docs.mapInArrow(run, "id long, node long, size long, counts array<int>")
 
 
 def set_keys(docs: DataFrame) -> DataFrame:
