@@ -111,6 +111,41 @@ FROM d LEFT JOIN per USING (doc_id)
 
 ORACLE["op10_secret_scan"] = _secrets()
 
+ORACLE["op12_hard_negatives"] = f"""
+WITH {_VECTORS.format(value="list_transform(embedding, lambda x: floor(256 * x::DOUBLE))", more="AND label IS NOT NULL").replace(
+    "DISTINCT vec_id,", "DISTINCT vec_id, CASE WHEN vec_id % 7 = 0 THEN (label + 1) % 10 ELSE label END AS label,")},
+scored AS (
+  SELECT a.vec_id AS anchor_id, c.vec_id, a.label = c.label AS same, list_dot_product(a.v, c.v)::BIGINT AS score
+  FROM ok a JOIN ok c ON a.vec_id % 100 = 0 AND c.vec_id <> a.vec_id AND len(c.v) = len(a.v)),
+positives AS (
+  SELECT anchor_id, vec_id AS positive_id, score AS positive_score FROM scored WHERE same
+  QUALIFY row_number() OVER (PARTITION BY anchor_id ORDER BY score DESC, vec_id) <= 5),
+windows AS (
+  SELECT p.*, s.vec_id AS negative_id, s.score AS negative_score,
+         row_number() OVER (PARTITION BY p.anchor_id, p.positive_id ORDER BY s.score DESC, s.vec_id) AS r
+  FROM positives p JOIN scored s ON s.anchor_id = p.anchor_id AND NOT s.same
+   AND 80 * p.positive_score <= 100 * s.score AND s.score <= p.positive_score)
+SELECT anchor_id, positive_id, r::INTEGER AS rank, negative_id, positive_score, negative_score FROM windows WHERE r <= 5
+"""
+
+ORACLE["op13_decontamination"] = r"""
+WITH d AS (SELECT row_number() OVER () AS place, doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'),
+                            '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') AS ws FROM documents),
+b AS (SELECT item_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'),
+                            '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') AS ws FROM benchmark),
+w AS (SELECT DISTINCT item_id, least(10, len(ws)) AS size, array_to_string(ws[i:i + least(10, len(ws)) - 1], ' ') AS run
+      FROM (SELECT *, unnest(range(1, len(ws) - least(10, len(ws)) + 2)) AS i FROM b WHERE len(ws) > 0)),
+runs AS (SELECT place, size, i, array_to_string(ws[i:i + size - 1], ' ') AS run
+         FROM (SELECT place, ws, size, unnest(range(1, len(ws) - size + 2)) AS i FROM d, (SELECT DISTINCT size FROM w) WHERE len(ws) >= size)),
+hits AS (SELECT r.place, r.i, r.size, w.item_id FROM runs r JOIN w USING (size, run)),
+places AS (SELECT place, count(DISTINCT at) AS n_hit FROM (SELECT place, unnest(range(i, i + size)) AS at FROM (SELECT DISTINCT place, i, size FROM hits)) GROUP BY place),
+listed AS (SELECT place, count(*) AS n_items, string_agg(item, ',' ORDER BY item) AS items
+           FROM (SELECT DISTINCT place, item_id::VARCHAR AS item FROM hits) GROUP BY place)
+SELECT doc_id, len(ws)::BIGINT AS n_words, coalesce(n_hit, 0)::BIGINT AS n_hit, coalesce(n_items, 0)::BIGINT AS n_items,
+       sha256(coalesce(items, '')) AS items_sha256, n_hit IS NOT NULL AS contaminated
+FROM d LEFT JOIN places USING (place) LEFT JOIN listed USING (place)
+"""
+
 #: The driver's pages mark their article and use no character references in it but these.
 ORACLE["op6_html_main_text"] = r"""
 SELECT page_id, url, text, length(text)::BIGINT AS n_chars FROM (

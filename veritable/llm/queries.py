@@ -7,8 +7,8 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from veritable.llm import (ball_tree, bpe_table, html_lines, int8_tiles, lang_id, line_dedup, ngram_join, packing, secret_scan,
-                           token_counts)
+from veritable.llm import (ball_tree, bpe_table, decontaminate, hard_negatives, html_lines, int8_tiles, lang_id, line_dedup,
+                           ngram_join, packing, secret_scan, token_align, token_counts)
 from veritable.llm.common import table
 from veritable.llm.oracles import ORACLE  # noqa: F401
 
@@ -69,3 +69,21 @@ def op7_nearest_neighbours(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query
 def op6_html_main_text(spark: SparkSession, sf_dir: str) -> DataFrame:
     return html_lines.extract(table(spark, sf_dir, "pages"))
+
+
+@query
+def op11_token_alignment(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return token_align.align(table(spark, sf_dir, "documents"), *token_align.default_paths())
+
+
+@query
+def op12_hard_negatives(spark: SparkSession, sf_dir: str) -> DataFrame:
+    label = F.when(F.col("vec_id") % 7 == 0, (F.col("label") + 1) % 10).otherwise(F.col("label"))
+    rows = table(spark, sf_dir, "embeddings").withColumn("label", label)
+    return hard_negatives.mine(rows, F.col("vec_id") % 100 == 0, positives=5, negatives=5, least=80, most=100, scale=256.0)
+
+
+@query
+def op13_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = decontaminate.contamination(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"), window=10)
+    return found.drop("longest")
