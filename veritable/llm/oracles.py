@@ -138,7 +138,7 @@ w AS (SELECT DISTINCT item_id, least(10, len(ws)) AS size, array_to_string(ws[i:
 runs AS (SELECT place, size, i, array_to_string(ws[i:i + size - 1], ' ') AS run
          FROM (SELECT place, ws, size, unnest(range(1, len(ws) - size + 2)) AS i FROM d, (SELECT DISTINCT size FROM w) WHERE len(ws) >= size)),
 hits AS (SELECT r.place, r.i, r.size, w.item_id FROM runs r JOIN w USING (size, run)),
-places AS (SELECT place, count(DISTINCT at) AS n_hit FROM (SELECT place, unnest(range(i, i + size)) AS at FROM (SELECT DISTINCT place, i, size FROM hits)) GROUP BY place),
+places AS (SELECT place, count(DISTINCT spot) AS n_hit FROM (SELECT place, unnest(range(i, i + size)) AS spot FROM (SELECT DISTINCT place, i, size FROM hits)) GROUP BY place),
 listed AS (SELECT place, count(*) AS n_items, string_agg(item, ',' ORDER BY item) AS items
            FROM (SELECT DISTINCT place, item_id::VARCHAR AS item FROM hits) GROUP BY place)
 SELECT doc_id, len(ws)::BIGINT AS n_words, coalesce(n_hit, 0)::BIGINT AS n_hit, coalesce(n_items, 0)::BIGINT AS n_items,
