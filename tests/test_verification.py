@@ -24,14 +24,14 @@ def _two_groups(spark, left_mean, right_mean, spread, n, seed=7):
 ])
 def test_verdict_classes(spark, params, expected):
     df = _two_groups(spark, *params)
-    row = G.compare_groups(df, "g", "v", "L", "R", key=["id"]).first()
+    row = G.compare_groups(df, "g", "v", "L", "R").first()
     assert row["verdict"] in expected
 
 
 def test_bootstrap_is_stable_and_close_to_numpy(spark):
     df = _two_groups(spark, 150, 100, 90, 60, seed=3)
-    a = G.bootstrap_interval(df, "g", "v", "L", "R", key=["id"]).first()
-    b = G.bootstrap_interval(df, "g", "v", "L", "R", key=["id"]).first()
+    a = G.bootstrap_interval(df, "g", "v", "L", "R").first()
+    b = G.bootstrap_interval(df, "g", "v", "L", "R").first()
     assert tuple(a) == tuple(b)
     pdf = df.toPandas()
     lv, rv = pdf[pdf.g == "L"].v.to_numpy(), pdf[pdf.g == "R"].v.to_numpy()

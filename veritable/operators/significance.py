@@ -2,21 +2,18 @@
 
 Group statistics are one grouped aggregate (n, mean, sample variance) with
 map-side combine. The normal interval and the fast path decide most
-comparisons in expressions; only undecided ones run the bootstrap, which is a
-Poisson bootstrap: each row gets a Poisson(1) weight per resample from a hash
-of (row key, resample, seed), and each resample's mean is sum(w x) / sum(w)
-aggregated per (group, resample). Nothing is sampled into memory; the work is
-rows x resamples of streaming arithmetic, partially aggregated per task.
+comparisons in expressions; only undecided ones run the bootstrap: a bag of
+little bootstraps over the histogram of the two groups' values
+(``functions/resampling.py``).
 """
 
 from __future__ import annotations
 
-import math
-
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from veritable.functions.exprs import num, with_scalars
+from veritable.functions.resampling import mean_difference_interval
 
 # Fixed values of the comparison rules.
 RESAMPLES = 2000
@@ -27,7 +24,6 @@ FAST_PATH_ROWS = 200
 FAST_PATH_WIDTH = 0.8
 Z95 = 1.96
 SEED = 12345
-POISSON_TERMS = 12
 
 
 def group_stats(df: DataFrame, group: str, measure: str) -> DataFrame:
@@ -71,15 +67,15 @@ def verdict_columns(pair: DataFrame) -> DataFrame:
 
 
 def compare_groups(df: DataFrame, group: str, measure: str, left: str, right: str,
-                   key: list[str] | None = None, method: str = "bootstrap") -> DataFrame:
+                   method: str = "bootstrap") -> DataFrame:
     """G1: one row comparing two groups; undecided pairs take ``method``."""
     stats = group_stats(df, group, measure)
     decided = verdict_columns(_pair(stats, left, right))
-    return resolve_with_bootstrap(df, group, measure, decided, key, method)
+    return resolve_with_bootstrap(df, group, measure, decided, method)
 
 
 def compare_extremes(df: DataFrame, group: str, measure: str, how: str = "mean",
-                     key: list[str] | None = None, method: str = "bootstrap") -> DataFrame:
+                     method: str = "bootstrap") -> DataFrame:
     """Top group vs bottom group by the aggregate (ties: label order)."""
     x = num(measure)
     vals = (df.select(F.col(group).cast("string").alias("group"), x.alias("_v"))
@@ -100,51 +96,27 @@ def compare_extremes(df: DataFrame, group: str, measure: str, how: str = "mean",
         F.col("t.var").alias("var_left"), F.col("b.group").alias("right"), F.col("b.n").alias("n_right"),
         F.col("b.mean").alias("mean_right"), F.col("b.var").alias("var_right"))
     decided = verdict_columns(pair)
-    return resolve_with_bootstrap(df, group, measure, decided, key, method)
-
+    return resolve_with_bootstrap(df, group, measure, decided, method)
 
-def poisson_weight(u: Column) -> Column:
-    """Inverse CDF of Poisson(1) for a uniform u in [0, 1)."""
-    cdf, term, acc = [], math.exp(-1.0), 0.0
-    for k in range(POISSON_TERMS):
-        acc += term
-        cdf.append(acc)
-        term = term / (k + 1)
-    w = F.lit(0)
-    for c in cdf:
-        w = w + F.when(u >= F.lit(c), 1).otherwise(0)
-    return w
 
+def bootstrap_interval(df: DataFrame, group: str, measure: str, left: str, right: str, sizes: tuple[int, int] | None = None,
+                       resamples: int = RESAMPLES, seed: int = SEED) -> DataFrame:
+    """95% percentile interval of mean(left) - mean(right), by a bag of little bootstraps.
 
-def bootstrap_interval(df: DataFrame, group: str, measure: str, left: str, right: str,
-                       key: list[str] | None = None, resamples: int = RESAMPLES, seed: int = SEED) -> DataFrame:
-    """95% percentile interval of mean(left) - mean(right) by Poisson bootstrap.
-
-    ``key`` names columns that identify a row; without it the row id of the
-    scan is used (stable for a fixed input layout).
+    ``sizes``: the groups' rows, if they are known; else they are counted.
     """
-    x = num(measure)
-    g = F.col(group).cast("string")
-    rows = df.select(g.alias("_g"), x.alias("_v"),
-                     (F.xxhash64(*[F.col(k) for k in key]) if key else F.monotonically_increasing_id()).alias("_k"))
-    rows = rows.filter(F.col("_g").isin(left, right) & F.col("_v").isNotNull())
-    rep = rows.select("_g", "_v", "_k", F.explode(F.sequence(F.lit(0), F.lit(resamples - 1))).alias("_r"))
-    h = F.xxhash64(F.col("_k"), F.col("_r"), F.lit(seed))
-    u = (F.pmod(h, F.lit(1 << 53)).cast("double")) / float(1 << 53)
-    w = poisson_weight(u)
-    sums = rep.select("_g", "_r", w.alias("_w"), "_v").groupBy("_g", "_r").agg(
-        F.sum("_w").alias("sw"), F.sum(F.col("_w") * F.col("_v")).alias("swx"))
-    means = sums.filter(F.col("sw") > 0).select("_g", "_r", (F.col("swx") / F.col("sw")).alias("m"))
-    lm = means.filter(F.col("_g") == left).select("_r", F.col("m").alias("ml"))
-    rm = means.filter(F.col("_g") == right).select("_r", F.col("m").alias("mr"))
-    diffs = lm.join(rm, "_r").select((F.col("ml") - F.col("mr")).alias("d"))
-    tail = (1 - CONFIDENCE) / 2
-    return diffs.agg(F.percentile("d", F.array(F.lit(tail), F.lit(1 - tail))).alias("q")).select(
-        F.col("q")[0].alias("boot_low"), F.col("q")[1].alias("boot_high"))
+    rows = df.select(F.col(group).cast("string").alias("_g"), num(measure).cast("double").alias("value"))
+    rows = rows.filter(F.col("_g").isin(left, right) & F.col("value").isNotNull())
+    rows = rows.select(F.when(F.col("_g") == left, 0).otherwise(1).alias("side"), "value")
+    if sizes is None:
+        n = rows.agg(F.count_if(F.col("side") == 0), F.count_if(F.col("side") == 1)).first()
+        sizes = (n[0], n[1])
+    ends = mean_difference_interval(rows, sizes, resamples, CONFIDENCE, seed)
+    return ends.select(F.col("low").alias("boot_low"), F.col("high").alias("boot_high"))
 
 
 def resolve_with_bootstrap(df: DataFrame, group: str, measure: str, decided: DataFrame,
-                           key: list[str] | None = None, method: str = "bootstrap") -> DataFrame:
+                           method: str = "bootstrap") -> DataFrame:
     """Replace ``undecided`` by the verdict on an interval (noise if it holds
     zero, solid if narrower than the gap, else weak).
 
@@ -163,7 +135,7 @@ def resolve_with_bootstrap(df: DataFrame, group: str, measure: str, decided: Dat
         verdict = (F.when(straddles, "noise").when((F.col("high") - F.col("low")) <= F.abs("difference"), "solid")
                    .otherwise("weak"))
         return decided.withColumn("verdict", verdict).withColumn("method", F.lit("normal"))
-    boot = bootstrap_interval(df, group, measure, row["left"], row["right"], key)
+    boot = bootstrap_interval(df, group, measure, row["left"], row["right"], (row["n_left"], row["n_right"]))
     j = with_scalars(decided, boot)
     straddles = (F.col("boot_low") <= 0) & (F.col("boot_high") >= 0)
     verdict = (F.when(straddles | (F.abs("relative") < MIN_RELATIVE_GAP), "noise")

@@ -8,6 +8,8 @@ from __future__ import annotations
 
 import re
 import tempfile
+import zipfile
+from pathlib import Path
 
 from pyspark.sql import SparkSession
 
@@ -75,3 +77,17 @@ def cut_lineage(df, eager: bool = True):
     ensure_checkpoint_dir(df.sparkSession)
     return df.checkpoint(eager=eager)
 
+
+
+def ship_package(spark: SparkSession) -> None:
+    """Send this package to the executors, once per Spark context (its functions run in their Python workers)."""
+    sc = spark.sparkContext
+    if getattr(sc, "_veritable_sent", False):
+        return
+    top = Path(__file__).resolve().parent
+    path = Path(tempfile.mkdtemp(prefix="veritable-zip-")) / "veritable.zip"
+    with zipfile.ZipFile(path, "w", zipfile.ZIP_DEFLATED) as z:
+        for p in sorted(top.rglob("*.py")):
+            z.write(p, str(Path(top.name) / p.relative_to(top)))
+    sc.addPyFile(str(path))
+    sc._veritable_sent = True
