@@ -7,18 +7,15 @@ and connected components by star contraction.
 
 from __future__ import annotations
 
-import tempfile
 import uuid
-import zipfile
 from collections.abc import Iterator
-from pathlib import Path
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from veritable.session import ensure_checkpoint_dir
+from veritable.session import ensure_checkpoint_dir, ship_package
 from veritable.sources.tables import table_path
 
 #: Bytes of text a Python task handles at a time (one longer text is a chunk of its own).
@@ -29,20 +26,6 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(table_path(sf_dir, name))
 
 
-def ship_package(spark: SparkSession) -> None:
-    """Send this package to the executors, once per Spark context (its functions run in their Python workers)."""
-    sc = spark.sparkContext
-    if getattr(sc, "_veritable_sent", False):
-        return
-    top = Path(__file__).resolve().parents[1]
-    path = Path(tempfile.mkdtemp(prefix="veritable-zip-")) / "veritable.zip"
-    with zipfile.ZipFile(path, "w", zipfile.ZIP_DEFLATED) as z:
-        for p in sorted(top.rglob("*.py")):
-            z.write(p, str(Path(top.name) / p.relative_to(top)))
-    sc.addPyFile(str(path))
-    sc._veritable_sent = True
-
-
 def prepare_python(spark: SparkSession, rows: int = 512) -> None:
     """Executors get the package; rows of long texts go to Python in batches of at most ``rows``.
 
