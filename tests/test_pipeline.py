@@ -11,7 +11,7 @@ def test_pipeline_runs_every_stage_on_orders(spark):
     customer = load(spark, SF_SMALL, "customer").select("c_custkey", "c_mktsegment")
     df = orders.join(customer, orders.o_custkey == customer.c_custkey, "left").drop("c_custkey")
     roles = {"o_orderkey": "identifier", "o_custkey": "identifier"}
-    res = Pipeline(Options(roles=roles, key=["o_orderkey"])).run(df)
+    res = Pipeline(Options(roles=roles)).run(df)
     assert res.cleaned.count() == df.count()
     assert "year" in res.cleaned.columns and "revenue_tier" in res.cleaned.columns
     ids = {r["kpi_id"] for r in res.kpis.collect()}
@@ -19,7 +19,7 @@ def test_pipeline_runs_every_stage_on_orders(spark):
     assert res.charts and res.findings.count() == len(res.charts)
     for cid, (_axis, _kind, table) in res.charts.items():
         table.limit(1).collect()      # every chart table plans and runs
-    cmp = Pipeline(Options(key=["o_orderkey"])).verify_bar(res.cleaned, "o_orderpriority", "o_totalprice").first()
+    cmp = Pipeline(Options()).verify_bar(res.cleaned, "o_orderpriority", "o_totalprice").first()
     assert cmp["verdict"] in ("noise", "weak", "solid", "too_few")
 
 
