@@ -7,5 +7,5 @@ registry.
 
 from veritable.queries.registry import QUERIES, ORACLE, register  # noqa: F401
 from veritable.queries import (  # noqa: F401
-    plan, profile, cleaning, joins, features, kpis, charts, verify, runs_claims, ledger_text,
+    plan, profile, cleaning, joins, features, kpis, charts, verify, runs_claims, ledger_text, sources,
 )
