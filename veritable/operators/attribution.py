@@ -14,8 +14,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from veritable.functions.exprs import is_time_type, num, period_bucket, period_key, period_label, stems_from, with_scalars
-from veritable.functions.dates import parse_datetime
+from veritable.functions.exprs import num, period_bucket, period_key, period_label, stems_from, with_scalars
+from veritable.functions.dates import time_column
 from veritable.operators.profile import profile_dataset
 
 # Fixed values of the attribution rules.
@@ -50,13 +50,8 @@ def choose_dimensions(df: DataFrame, measure: str, roles: dict[str, str] | None
     return [r["column_name"] for r in dimension_rows(profile_dataset(df, roles), measure, **rules).collect()]
 
 
-def _ts(df: DataFrame, column: str) -> Column:
-    c = F.col(column)
-    return c if is_time_type(df.schema[column].dataType) else parse_datetime(c)
-
-
 def period_totals(df: DataFrame, date: str, measure: str, grain: str = "month") -> DataFrame:
-    p = period_bucket(_ts(df, date), grain)       # grouped as a date, labelled after
+    p = period_bucket(time_column(df, date), grain)       # grouped as a date, labelled after
     return (df.select(p.alias("_p"), num(measure).alias("_v")).filter(F.col("_p").isNotNull())
             .groupBy("_p").agg(F.coalesce(F.sum("_v"), F.lit(0.0)).alias("total"))
             .select(period_label(F.col("_p"), grain).alias("period"), "total"))
@@ -145,7 +140,7 @@ def explain(df: DataFrame, date: str, measure: str, dims: list[str], period: str
     summary = chosen.select("period", "period_value", "baseline_value",
                             (F.col("period_value") - F.col("baseline_value")).alias("change"), "periods")
     summary = summary.filter(F.col("change") != 0)
-    p = period_key(_ts(df, date), grain)
+    p = period_key(time_column(df, date), grain)
     # no chosen period (summary empty) leaves _chosen NULL and no rows
     joined = with_scalars(df.select("*", p.alias("_period")).filter(F.col("_period").isNotNull()),
                           summary.select(F.col("period").alias("_chosen"), F.col("periods").alias("_np"),

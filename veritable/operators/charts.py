@@ -14,7 +14,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from veritable.functions.dates import parse_datetime
+from veritable.functions.dates import parse_datetime, time_column
 from veritable.functions.exprs import is_time_type, num, period_bucket, period_label, rnd, with_scalars
 from veritable.functions.quantiles import grouped_quantile, quantile_literal
 from veritable.functions.ranking import global_rank
@@ -137,15 +137,10 @@ def bar_facts(bar: DataFrame) -> DataFrame:
               F.when(F.col("total") != 0, F.col("top_value") / F.col("total") * 100).alias("top_share_pct"))
 
 
-def _ts(df: DataFrame, column: str) -> Column:
-    c = F.col(column)
-    return c if is_time_type(df.schema[column].dataType) else parse_datetime(c)
-
-
 def trend(df: DataFrame, date: str, measure: str, how: str = "sum") -> DataFrame:
     """Measure per month (yyyy-MM); fewer than 4 months gives no rows."""
     x = num(measure)
-    m = period_bucket(_ts(df, date), "month")          # grouped as a date, labelled after
+    m = period_bucket(time_column(df, date), "month")          # grouped as a date, labelled after
     vals = df.select(m.alias("_m"), x.alias("_v")).filter(F.col("_m").isNotNull() & F.col("_v").isNotNull())
     g = _grouped(vals, ["_m"], "_v", how, "value").select(period_label(F.col("_m"), "month").alias("period"), "value")
     n = g.agg(F.count(F.lit(1)).alias("_n"))
@@ -349,7 +344,7 @@ def line_table(df: DataFrame, x: str, y: str, how: str = "sum", max_points: int
         parsed, there = df.agg(F.count(parse_datetime(F.col(x))), F.count(x)).first()
         timed = there > 0 and parsed >= TEXT_DATE_SHARE * there
     if timed:
-        ts = _ts(df, x).cast("timestamp")
+        ts = time_column(df, x).cast("timestamp")
         span = df.agg(((F.unix_micros(F.max(ts)) - F.unix_micros(F.min(ts))) / 86400e6).alias("_days"))
         bucket = (F.when(F.col("_days") > 180, F.date_trunc("month", ts))
                   .when(F.col("_days") > 3, F.date_trunc("day", ts)).otherwise(ts))

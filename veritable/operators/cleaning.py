@@ -13,7 +13,7 @@ import math
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from veritable.functions.dates import parse_datetime
+from veritable.functions.dates import time_column
 from veritable.functions.exprs import keep_null_not, text_key
 from veritable.functions.exprs import with_scalars as attach
 
@@ -54,12 +54,12 @@ def rename_column(df: DataFrame, column: str, new_name: str) -> DataFrame:
     return df.withColumnRenamed(column, new_name.strip())
 
 
-def convert_expr(column: str, target: str):
+def convert_expr(df: DataFrame, column: str, target: str):
     c = F.col(column)
     if target == "number":
         return F.regexp_replace(c.cast("string"), r"[^\d.\-eE]", "").try_cast("double")
     if target == "date":
-        return parse_datetime(c)
+        return time_column(df, column)
     if target in ("text", "category"):
         return c.cast("string")
     raise ValueError(f"unknown target {target!r}")
@@ -69,13 +69,13 @@ def convert_column(df: DataFrame, column: str, target: str) -> DataFrame:
     """Convert to number, date, text or category."""
     if column not in df.columns:
         return df
-    return df.withColumn(column, convert_expr(column, target))
+    return df.withColumn(column, convert_expr(df, column, target))
 
 
 def convert_report(df: DataFrame, column: str, target: str) -> DataFrame:
     """Blanks before/after a conversion and the count that became unreadable."""
     before = F.count_if(F.col(column).isNull())
-    after = F.count_if(convert_expr(column, target).isNull())
+    after = F.count_if(convert_expr(df, column, target).isNull())
     return df.agg(
         F.lit(column).alias("column_name"), F.lit(target).alias("target"),
         before.cast("bigint").alias("blanks_before"), after.cast("bigint").alias("blanks_after"),

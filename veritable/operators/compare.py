@@ -14,8 +14,8 @@ import os
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from veritable.functions.dates import parse_datetime
-from veritable.functions.exprs import is_time_type, with_scalars
+from veritable.functions.dates import time_column
+from veritable.functions.exprs import with_scalars
 
 # Fixed values of the comparison rules.
 MATERIAL_CHANGE = 0.05
@@ -63,8 +63,7 @@ def column_catalog(spark: SparkSession, tables: dict[str, DataFrame]) -> DataFra
 
 def period_of(df: DataFrame, date: str) -> DataFrame:
     """V1: start, end and length in months (2 dp) of the date column."""
-    c = F.col(date)
-    ts = c if is_time_type(df.schema[date].dataType) else parse_datetime(c)
+    ts = time_column(df, date)
     g = df.agg(F.min(ts).cast("timestamp").alias("_lo"), F.max(ts).cast("timestamp").alias("_hi"))
     days = F.floor((F.unix_micros("_hi") - F.unix_micros("_lo")) / F.lit(86400 * 1_000_000))
     return g.select(F.date_format("_lo", "yyyy-MM-dd").alias("start"), F.date_format("_hi", "yyyy-MM-dd").alias("end"),

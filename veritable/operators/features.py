@@ -13,8 +13,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from veritable.functions.dates import parse_datetime
-from veritable.functions.exprs import rnd, is_time_type, num, safe_name, with_scalars
+from veritable.functions.dates import time_column
+from veritable.functions.exprs import rnd, num, safe_name, with_scalars
 
 # Labels and limits of the standard bands.
 TIER_LABELS = ("Small", "Medium", "Large", "Very large")
@@ -24,14 +24,9 @@ DEFAULT_WEEKEND = (4, 5)  # Friday and Saturday, Monday = 0
 DISCOUNT_PERCENT_CUTOFF = 1.5
 
 
-def _as_ts(df: DataFrame, column: str):
-    c = F.col(column)
-    return c if is_time_type(df.schema[column].dataType) else parse_datetime(c)
-
-
 def add_calendar(df: DataFrame, date_column: str, weekend_days=DEFAULT_WEEKEND) -> DataFrame:
     """year, quarter 'Qn', month, month name, day name, weekend flag."""
-    ts = _as_ts(df, date_column)
+    ts = time_column(df, date_column)
     return df.select(
         "*",
         F.year(ts).alias("year"),

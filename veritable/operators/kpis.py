@@ -14,8 +14,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from veritable.functions.exprs import is_time_type, num, period_bucket, period_label
-from veritable.functions.dates import parse_datetime
+from veritable.functions.exprs import num, period_bucket, period_label
+from veritable.functions.dates import time_column
 from veritable.functions.quantiles import quantile_literal
 from veritable.functions.ranking import sum_of_top
 
@@ -51,8 +51,7 @@ def _total(c, scale: int | None):
 def monthly_totals(df: DataFrame, date: str, measure: str) -> DataFrame:
     """Month totals of the measure; rows with no date or value dropped.
     Grouped on the month's first day and labelled ``yyyy-MM`` after."""
-    c = F.col(date)
-    ts = c if is_time_type(df.schema[date].dataType) else parse_datetime(c)
+    ts = time_column(df, date)
     x = num(measure)
     return (df.select(period_bucket(ts, "month").alias("_m"), x.alias("v"))
             .filter(F.col("_m").isNotNull() & F.col("v").isNotNull())

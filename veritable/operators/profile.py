@@ -14,7 +14,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from veritable.functions.dates import parse_datetime
+from veritable.functions.dates import parse_datetime, time_column
 from veritable.functions.exprs import is_numeric_type, is_time_type, scalar_columns
 
 # Name patterns, tokens and thresholds of the role rules.
@@ -177,7 +177,7 @@ def _text_facts(df: DataFrame, hist: DataFrame) -> DataFrame:
 
 
 def _calendar_words():
-    from veritable.functions.dates import MONTH_AND_DAY_WORDS
+    from veritable.functions.dates import time_column, MONTH_AND_DAY_WORDS
 
     return MONTH_AND_DAY_WORDS
 
@@ -334,7 +334,7 @@ def datetime_stats(df: DataFrame, columns: list[str]) -> DataFrame:
     rows = []
     aggs = []
     for i, name in enumerate(columns):
-        ts = F.col(name) if is_time_type(df.schema[name].dataType) else parse_datetime(F.col(name))
+        ts = time_column(df, name)
         aggs += [F.min(ts).alias(f"a{i}"), F.max(ts).alias(f"b{i}")]
         rows.append(F.struct(F.lit(name).alias("column_name"), F.col(f"a{i}").cast("timestamp").alias("lo"),
                              F.col(f"b{i}").cast("timestamp").alias("hi")))

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
+from veritable.functions.dates import date_orders
 from veritable.operators import cleaning as C
 from veritable.operators import duplicates as D
 from veritable.operators import outliers as O
@@ -302,3 +303,31 @@ FROM (
 """)
 def numeric_columns(spark, sf_dir):
     return C.numeric_columns(events_with_blanks(spark, sf_dir))
+
+
+def _order_dates(spark, sf_dir):
+    """Order dates as text in two orders: 03/04/2024 alone does not say which."""
+    o = load(spark, sf_dir, "orders")
+    return o.select("o_orderkey", F.date_format("o_orderdate", "dd/MM/yyyy").alias("day_month"),
+                    F.date_format("o_orderdate", "M/d/yyyy").alias("month_day"),
+                    F.date_format(F.trunc("o_orderdate", "month"), "d/M/yyyy").alias("firsts"))
+
+
+@register("convert_date_order", """
+SELECT o_orderkey, strftime(o_orderdate, '%Y-%m-%d') AS day_month, strftime(o_orderdate, '%Y-%m-%d') AS month_day FROM orders
+""")
+def convert_date_order(spark, sf_dir):
+    d = _order_dates(spark, sf_dir)
+    out = C.convert_column(C.convert_column(d, "day_month", "date"), "month_day", "date")
+    return out.select("o_orderkey", *[F.date_format(c, "yyyy-MM-dd").alias(c) for c in ("day_month", "month_day")])
+
+
+@register("date_order_votes", """
+WITH d AS (SELECT extract(day FROM o_orderdate) AS day FROM orders),
+v AS (SELECT count(*) FILTER (WHERE day > 12)::BIGINT AS n FROM d)
+SELECT 'day_month' AS column_name, n AS against_month_first, 0::BIGINT AS against_day_first, n > 0 AS day_first FROM v
+UNION ALL SELECT 'month_day', 0, n, false FROM v
+UNION ALL SELECT 'firsts', 0, 0, false FROM v
+""")
+def date_order_votes(spark, sf_dir):
+    return date_orders(_order_dates(spark, sf_dir), ["day_month", "month_day", "firsts"])
