@@ -81,22 +81,23 @@ def column_facts(df: DataFrame, columns: list[str] | None = None, hist: DataFram
     """
     names = _flat_columns(df, columns)
     if hist is not None:
-        return _text_facts(df, hist)
+        return text_facts(df, hist)
     numeric = [n for n in names if type_kind(df.schema[n].dataType) == "numeric"]
     other = [n for n in names if n not in numeric]
     parts = []
     if other:
-        parts.append(_text_facts(df, histogram(df, other)))
+        parts.append(text_facts(df, histogram(df, other)))
     if numeric:
-        parts.append(_numeric_facts(df, numeric))
+        parts.append(numeric_facts(df, typed_histogram(df, numeric)))
     out = parts[0]
     for p in parts[1:]:
         out = out.unionByName(p)
     return out
 
 
-def _numeric_facts(df: DataFrame, names: list[str]) -> DataFrame:
-    """Numbers are counted in their own type: whole numbers as bigint, floats as double, decimals exactly."""
+def typed_histogram(df: DataFrame, names: list[str], *keys: Column) -> DataFrame:
+    """``(column_name, w, f, d, cnt)``, after ``keys``: numbers counted in their own type, whole numbers as bigint
+    (w), floats as double (f), decimals exactly (d)."""
     def value(n: str, whole: bool, decimal: bool) -> Column:
         kind = df.schema[n].dataType
         is_whole = isinstance(kind, (T.ByteType, T.ShortType, T.IntegerType, T.LongType))
@@ -107,8 +108,13 @@ def _numeric_facts(df: DataFrame, names: list[str]) -> DataFrame:
 
     parts = [F.struct(F.lit(n).alias("column_name"), value(n, True, False).alias("w"), value(n, False, False).alias("f"),
                       value(n, False, True).alias("d")) for n in names]
-    long = df.select(F.explode(F.array(*parts)).alias("s")).select("s.*")
-    hist = long.groupBy("column_name", "w", "f", "d").agg(F.count(F.lit(1)).alias("cnt"))
+    marks = [f"_key{i}" for i in range(len(keys))]
+    long = df.select(*[k.alias(m) for k, m in zip(keys, marks, strict=True)], F.explode(F.array(*parts)).alias("s")).select(*marks, "s.*")
+    return long.groupBy(*marks, "column_name", "w", "f", "d").agg(F.count(F.lit(1)).alias("cnt"))
+
+
+def numeric_facts(df: DataFrame, hist: DataFrame) -> DataFrame:
+    """Facts of the columns of a typed histogram."""
     c = F.col("cnt")
     nn = F.col("w").isNotNull() | F.col("f").isNotNull() | F.col("d").isNotNull()
     # a whole-number column holding only 0/1 prints as the tokens "0"/"1"
@@ -129,7 +135,7 @@ def _numeric_facts(df: DataFrame, names: list[str]) -> DataFrame:
     )
 
 
-def _text_facts(df: DataFrame, hist: DataFrame) -> DataFrame:
+def text_facts(df: DataFrame, hist: DataFrame) -> DataFrame:
     """Facts from a text histogram (column_name, value, cnt)."""
     v, c = F.col("value"), F.col("cnt")
     nn = v.isNotNull()
@@ -177,7 +183,7 @@ def _text_facts(df: DataFrame, hist: DataFrame) -> DataFrame:
 
 
 def _calendar_words():
-    from veritable.functions.dates import time_column, MONTH_AND_DAY_WORDS
+    from veritable.functions.dates import MONTH_AND_DAY_WORDS
 
     return MONTH_AND_DAY_WORDS
 
@@ -378,8 +384,12 @@ def column_notes(profile: DataFrame, stats: DataFrame | None = None, cats: DataF
 
 def profile_dataset(df: DataFrame, roles: dict[str, str] | None = None) -> DataFrame:
     """One row per column with role, missing, distinct (lazy)."""
-    facts = column_facts(df)
-    prof = detect_roles(df, roles, facts)
+    return profile_rows(column_facts(df), roles)
+
+
+def profile_rows(facts: DataFrame, roles: dict[str, str] | None = None) -> DataFrame:
+    """The profile of a table from the facts of its columns."""
+    prof = detect_roles(facts, roles, facts)
     return prof.select(
         "position", "column_name", "dtype", "role", "n_rows", "missing_count",
         F.round(F.col("missing_count") / F.col("n_rows"), 4).alias("missing_rate"),
@@ -413,24 +423,39 @@ def dataset_summary(df: DataFrame) -> DataFrame:
 
 
 class ProfileCache:
-    """Rebuild a profile only when the table changed.
+    """Rebuild a profile only when the table changed (``profile_state.ProfileState`` keeps one over a folder's files).
 
-    Looked up by the DataFrame's semantic plan hash and then confirmed with
-    ``sameSemantics``, so that two plans with one hash stay apart; any cleaning
-    step that changes the plan misses.
+    Looked up by the DataFrame's semantic plan hash and the names, sizes and
+    times of the files that it reads, and then confirmed with
+    ``sameSemantics``, so that two plans with one hash stay apart. Keeps the
+    ``size`` profiles used last.
     """
 
-    def __init__(self):
-        self._store: dict[int, list[tuple[DataFrame, list[dict]]]] = {}
+    def __init__(self, size: int = 32):
+        self._store: dict[tuple, tuple[DataFrame, list[dict]]] = {}
+        self._size = size
 
     def rows(self, df: DataFrame, roles: dict[str, str] | None = None) -> list[dict]:
-        key = hash((df.semanticHash(), tuple(sorted((roles or {}).items()))))
-        held = self._store.setdefault(key, [])
-        for known, rows in held:
-            if known.sameSemantics(df):
+        asked = (df.semanticHash(), tuple(sorted((roles or {}).items())), _files_now(df))
+        for key, (known, rows) in list(self._store.items()):
+            if key[:3] == asked and known.sameSemantics(df):
+                self._store[key] = self._store.pop(key)  # used last
                 return rows
-        held.append((df, [r.asDict() for r in profile_dataset(df, roles).collect()]))  # one row per column
-        return held[-1][1]
+        rows = [r.asDict() for r in profile_dataset(df, roles).collect()]  # one row per column
+        self._store[(*asked, id(df))] = (df, rows)
+        while len(self._store) > self._size:
+            self._store.pop(next(iter(self._store)))
+        return rows
 
     def __len__(self) -> int:
-        return sum(map(len, self._store.values()))
+        return len(self._store)
+
+
+def _files_now(df: DataFrame) -> int | None:
+    """A checksum of the files that a table reads, from their listing."""
+    files = df.inputFiles()
+    if not files:
+        return None
+    listed = df.sparkSession.read.format("binaryFile").load(files)
+    mark = F.xxhash64("_metadata.file_path", "_metadata.file_size", "_metadata.file_modification_time")
+    return int(listed.agg(F.sum(mark.cast("decimal(38,0)"))).first()[0] or 0)

@@ -2,12 +2,16 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import functions as F
 
 from veritable.functions.dates import MONTH_AND_DAY_WORDS
 from veritable.operators import profile as P
+from veritable.operators.profile_state import ProfileState
 from veritable.queries.registry import register
 from veritable.queries.sqlparts import histogram_sql, kinds_sql, quote_list
+from veritable.session import ensure_checkpoint_dir
 from veritable.sources.tables import load
 
 LINEITEM_KINDS = {
@@ -241,3 +245,29 @@ def profile_notes_events(spark, sf_dir):
     prof = P.profile_dataset(df, {"value": "measure", "user_id": "measure"})
     stats = P.numeric_stats(df, ["value", "user_id"])
     return P.column_notes(prof, stats)
+
+
+def _grown_lineitem(spark, sf_dir):
+    """The whole of lineitem, written in two steps with a refresh of the profile's state after each."""
+    top = f"{ensure_checkpoint_dir(spark)}/tables/lineitem-{uuid.uuid4().hex[:12]}"
+    state = ProfileState(spark, f"{top}.parquet", f"{top}-state")
+    li = load(spark, sf_dir, "lineitem")
+    for late in (False, True):
+        li.where((F.year("l_shipdate") >= 1996) == late).write.mode("append").parquet(f"{top}.parquet")
+        state.refresh()
+    return state
+
+
+@register("profile_incremental_roles", role_sql("lineitem", LINEITEM_KINDS))
+def profile_incremental_roles(spark, sf_dir):
+    return _grown_lineitem(spark, sf_dir).profile().select("column_name", "role", "missing_count", "missing_rate", "unique_count")
+
+
+@register("profile_incremental_moments", " UNION ALL ".join(f"""
+SELECT '{c}' AS column_name, count({c})::BIGINT AS n, min({c})::DOUBLE AS min, max({c})::DOUBLE AS max, round(avg({c}::DOUBLE), 6) AS mean,
+  round(stddev_samp({c}::DOUBLE), 6) AS std, count(*) FILTER (WHERE {c} = 0)::BIGINT AS zeros, count(*) FILTER (WHERE {c} < 0)::BIGINT AS negatives,
+  round(skewness({c}::DOUBLE), 6) AS skew FROM lineitem""" for c in NUMERIC_LINEITEM))
+def profile_incremental_moments(spark, sf_dir):
+    s = _grown_lineitem(spark, sf_dir).numeric_stats().where(F.col("column_name").isin(*NUMERIC_LINEITEM))
+    return s.select("column_name", "n", "min", "max", F.round("mean", 6).alias("mean"), F.round("std", 6).alias("std"), "zeros", "negatives",
+                    F.round("skew", 6).alias("skew"))
