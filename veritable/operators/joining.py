@@ -6,13 +6,24 @@ shuffle, map-side combined), and the two histograms are joined on the key.
 A value held by a third of the rows is one histogram row, so discovery is
 skew-free; overlap, matched rows, uniqueness and the exact row count a left
 join would produce all come from that one join.
+
+Most pairs of columns have nothing in common. Before the join, every left
+column's sample of distinct keys (the ``SAMPLE`` smallest hashes) is looked up
+in the right histogram. A pair whose overlap cannot reach the threshold is
+ruled out: because the right column has too few values, because the sample is
+the whole column, or because by Hoeffding's bound an overlap at the threshold
+would show so few matches in the sample with a probability below ``RISK``. Only
+columns of the pairs that are left go into the join.
 """
 
 from __future__ import annotations
 
+import math
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
+from pyspark.sql.window import Window
 
 from veritable.functions.exprs import is_numeric_type, with_scalars
 from veritable.functions.names import Names
@@ -25,6 +36,8 @@ FAN_OUT_WARNING = 1.05
 UNIQUE_BONUS = 0.25
 NAME_BONUS = 0.15
 NON_KEY_ROLES = ("measure", "datetime", "constant")
+#: Distinct keys of a left column that are looked up first, and the probability of ruling out a pair wrongly.
+SAMPLE, RISK = 1_024, 1e-18
 
 
 def whole_type(dtype: T.DataType) -> bool:
@@ -89,16 +102,46 @@ def key_names(df: DataFrame, roles: dict[str, str]) -> list[str]:
     return [c for c in df.columns if roles.get(c) not in (*NON_KEY_ROLES, "text")]
 
 
-def candidate_stats(left: DataFrame, left_cols: list[str], right: DataFrame, right_cols: list[str]) -> DataFrame:
+def screen_pairs(lh: DataFrame, rh: DataFrame, overlap: float = MIN_OVERLAP) -> DataFrame:
+    """(left_column, right_column, left_distinct, right_distinct, sampled, found, bound, kept) of all pairs of the
+    same numeric-ness; ``bound`` is the largest overlap that a pair can still have.
+
+    ``lh`` and ``rh`` are key histograms. At most ``SAMPLE`` keys a left column are sent to all tasks.
+    """
+    l, r = (h.where("key IS NOT NULL").select("column_name", "is_numeric", "key") for h in (lh, rh))
+    count = lambda h, side: h.groupBy(F.col("column_name").alias(f"{side}_column"), F.col("is_numeric").alias(f"{side}_numeric")).agg(
+        F.count(F.lit(1)).alias(f"{side}_distinct"))
+    first = F.row_number().over(Window.partitionBy("column_name").orderBy(F.xxhash64("key"), "key"))
+    sample = l.withColumn("_n", first).where(F.col("_n") <= SAMPLE).select(
+        F.col("column_name").alias("left_column"), F.col("is_numeric").alias("l_numeric"), F.col("key").alias("l_key"))
+    hits = r.join(F.broadcast(sample), (F.col("key") == F.col("l_key")) & (F.col("is_numeric") == F.col("l_numeric"))).groupBy(
+        "left_column", F.col("column_name").alias("right_column")).agg(F.count(F.lit(1)).alias("found"))
+    pairs = count(l, "left").join(count(r, "right"), F.col("left_numeric") == F.col("right_numeric"))
+    pairs = pairs.join(hits, ["left_column", "right_column"], "left").withColumn("sampled", F.least(F.lit(SAMPLE), "left_distinct"))
+    found, sampled = F.coalesce("found", F.lit(0)), F.col("sampled")
+    slack = F.when(sampled == F.col("left_distinct"), 0.0).otherwise(F.sqrt(F.lit(math.log(1 / RISK) / 2) / sampled))
+    bound = F.least(found / sampled + slack, F.col("right_distinct") / F.col("left_distinct"))
+    return pairs.select("left_column", "right_column", "left_distinct", "right_distinct", "sampled", found.alias("found"), bound.alias("bound"),
+                        (bound >= overlap).alias("kept"))
+
+
+def candidate_stats(left: DataFrame, left_cols: list[str], right: DataFrame, right_cols: list[str],
+                    overlap: float | None = None) -> DataFrame:
     """J1-J3 for every pair of columns of the same numeric-ness, in one job.
 
     Output per (left_column, right_column): overlap, matched_rows,
     expected_rows (rows a left join would give), right_unique, left_rows.
+    With ``overlap``, pairs that cannot reach it are left out, and columns
+    without another pair take no part in the join.
     """
-    lh = key_histogram(left, left_cols).withColumnRenamed("column_name", "left_column") \
-        .withColumnRenamed("cnt", "lcnt")
-    rh = key_histogram(right, right_cols).withColumnRenamed("column_name", "right_column") \
-        .withColumnRenamed("cnt", "rcnt").withColumnRenamed("is_numeric", "r_numeric")
+    lh, rh = key_histogram(left, left_cols), key_histogram(right, right_cols)
+    kept = None
+    if overlap is not None:  # a row for a pair of columns at most
+        kept = screen_pairs(lh, rh, overlap).where("kept").select("left_column", "right_column")
+        lh = lh.join(F.broadcast(kept.select(F.col("left_column").alias("column_name")).distinct()), "column_name", "left_semi")
+        rh = rh.join(F.broadcast(kept.select(F.col("right_column").alias("column_name")).distinct()), "column_name", "left_semi")
+    lh = lh.withColumnRenamed("column_name", "left_column").withColumnRenamed("cnt", "lcnt")
+    rh = rh.withColumnRenamed("column_name", "right_column").withColumnRenamed("cnt", "rcnt").withColumnRenamed("is_numeric", "r_numeric")
     # per right column: is it unique among non-null keys?
     r_unique = rh.filter(F.col("key").isNotNull()).groupBy("right_column", "r_numeric").agg(
         (F.max("rcnt") <= 1).alias("right_unique"), F.count(F.lit(1)).alias("right_distinct")
@@ -109,6 +152,8 @@ def candidate_stats(left: DataFrame, left_cols: list[str], right: DataFrame, rig
         F.count(F.when(F.col("key").isNotNull(), 1)).alias("left_distinct"),
     )
     pairs = l_tot.join(r_unique, l_tot.is_numeric == r_unique.r_numeric)
+    if kept is not None:
+        pairs = pairs.join(F.broadcast(kept), ["left_column", "right_column"], "left_semi")
     matches = lh.filter(F.col("key").isNotNull()).join(
         rh.filter(F.col("key").isNotNull()),
         (lh.key == rh.key) & (lh.is_numeric == rh.r_numeric),
@@ -139,7 +184,7 @@ def find_candidates(
     """
     lcols = key_columns(left, left_roles, left_distinct, MIN_KEY_VALUES)
     rcols = key_columns(right, right_roles, right_distinct, MIN_LOOKUP_VALUES)
-    stats = candidate_stats(left, lcols, right, rcols).filter(F.col("overlap") >= MIN_OVERLAP)
+    stats = candidate_stats(left, lcols, right, rcols, MIN_OVERLAP).filter(F.col("overlap") >= MIN_OVERLAP)
     agree = F.lit(False)
     for lc in lcols:
         for rc in rcols:

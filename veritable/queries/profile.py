@@ -264,10 +264,10 @@ def profile_incremental_roles(spark, sf_dir):
 
 
 @register("profile_incremental_moments", " UNION ALL ".join(f"""
-SELECT '{c}' AS column_name, count({c})::BIGINT AS n, min({c})::DOUBLE AS min, max({c})::DOUBLE AS max, round(avg({c}::DOUBLE), 6) AS mean,
+SELECT '{c}' AS column_name, count({c})::BIGINT AS n, min({c})::DOUBLE AS min, max({c})::DOUBLE AS max, round(avg({c}::DOUBLE), 8) AS mean,
   round(stddev_samp({c}::DOUBLE), 6) AS std, count(*) FILTER (WHERE {c} = 0)::BIGINT AS zeros, count(*) FILTER (WHERE {c} < 0)::BIGINT AS negatives,
   round(skewness({c}::DOUBLE), 6) AS skew FROM lineitem""" for c in NUMERIC_LINEITEM))
 def profile_incremental_moments(spark, sf_dir):
     s = _grown_lineitem(spark, sf_dir).numeric_stats().where(F.col("column_name").isin(*NUMERIC_LINEITEM))
-    return s.select("column_name", "n", "min", "max", F.round("mean", 6).alias("mean"), F.round("std", 6).alias("std"), "zeros", "negatives",
+    return s.select("column_name", "n", "min", "max", F.round("mean", 8).alias("mean"), F.round("std", 6).alias("std"), "zeros", "negatives",
                     F.round("skew", 6).alias("skew"))
