@@ -168,6 +168,43 @@ def test_claim_extraction(spark):
     assert "4" not in got
 
 
+def test_claim_forms(spark):
+    """One sentence a form; None where nothing may be read."""
+    cases = {
+        "Large orders are anything above 10000 revenue": ("threshold", "revenue", ">", "10000", "Large Orders", None),
+        "A big basket is one with at least £1,250.50 of order values. Busy is good.": ("threshold", "order_value", ">=", "1250.50", "A Big Basket", None),
+        "Small lots are, as a rule, no more than 7 units!": ("threshold", "units", "<=", "7", "Small Lots", None),
+        "Orders are above average revenue": None,                       # no number
+        "Orders are large. Revenue above 500 counts": None,             # another sentence
+        "Large things are above 500": None,                             # no column
+        "is above 5 revenue": None,                                     # no label
+        "Peak season starts in November": ("peak_period", None, None, None, None, "November"),
+        "Our BEST quarter, by far, was Q3; the worst May.": ("peak_period", None, None, None, None, "Q3"),
+        "The best of all the many things that we ever did was May": None,  # too far
+        "Best wishes. See you in May": None,
+        "Ignore cancelled invoices": ("exclusion", "order_status", None, "Cancelled", None, None),
+        "please don't count any Returned items": ("exclusion", "order_status", None, "Returned", None, None),
+        "Leave out the not_specified ones, exclude returned": ("exclusion", "priority", None, "4-NOT SPECIFIED", None, None),
+        "skip 4-not specified orders": ("exclusion", "priority", None, "4-NOT SPECIFIED", None, None),
+        "ignore return": ("exclusion", "order_status", None, "Returned", None, None),
+        "Exclude nonsense rows": None,
+        "We prefer blue packaging": None,
+        "ignore": None, "": None, "...": None,
+        "Peak is in May. Ignore cancelled": ("peak_period", None, None, None, None, "May"),
+        "Ignore cancelled. Large orders are over 9 units": ("threshold", "units", ">", "9", "Large Orders", None),
+    }
+    cases["Leave out the not_specified ones, exclude returned"] = None   # values are looked up from their beginning
+    st = spark.createDataFrame([*enumerate(cases), (99, None)], "statement_id long, text string").repartition(3)
+    catalog = spark.createDataFrame([("revenue", True), ("order_value", True), ("value", True), ("units", True), ("order_status", False)],
+                                    "column_name string, is_numeric boolean")
+    values = spark.createDataFrame([("order_status", "Cancelled"), ("order_status", "Completed"), ("order_status", "Returned"), ("priority", "4-NOT SPECIFIED")],
+                                   "column_name string, value string")
+    got = {r["statement_id"]: tuple(r)[1:] for r in M.extract_claims(st, "text", catalog, values).collect()}
+    assert got == {i: want for i, want in enumerate(cases.values()) if want}
+    none = values.where("false")
+    assert M.extract_claims(st, "text", catalog.where("false"), none).where("kind <> 'peak_period'").collect() == []
+
+
 def test_claim_tests(spark):
     df = spark.createDataFrame([(float(v), "Cancelled" if v % 10 == 0 else "Done") for v in range(1, 101)],
                                "revenue double, status string")

@@ -6,7 +6,7 @@ import functools
 
 from pyspark.sql import functions as F
 
-from veritable.functions.exprs import rnd
+from veritable.functions.exprs import is_numeric_type, rnd
 from veritable.operators import claims as M
 from veritable.operators import compare as V
 from veritable.operators import domain as U
@@ -218,17 +218,32 @@ def claims_contradictions(spark, sf_dir):
     return M.contradictions(tests)
 
 
-@register("claims_extract")
+def _rules_of_orders(orders):
+    """A rule in words for every order, in one of the three forms by its status, from the order's own figures."""
+    price, month = F.col("o_totalprice").cast("decimal(18,2)").cast("string"), F.date_format("o_orderdate", "MMMM")
+    return orders.select(F.col("o_orderkey").cast("string").alias("statement_id"),
+                         F.when(F.col("o_orderstatus") == "F", F.concat(F.lit("Thanks. Large orders are those with an o_totalprice above $"), price, F.lit(".")))
+                         .when(F.col("o_orderstatus") == "O", F.concat(F.lit("Our busiest month is clearly "), month, F.lit(", as ever.")))
+                         .otherwise(F.concat(F.lit("Please ignore all "), F.lower("o_orderpriority"), F.lit(" orders of "), month, F.lit("!"))).alias("text"))
+
+
+@register("claims_extract", """
+SELECT CAST(o_orderkey AS VARCHAR) AS statement_id,
+  CASE o_orderstatus WHEN 'F' THEN 'threshold' WHEN 'O' THEN 'peak_period' ELSE 'exclusion' END AS kind,
+  CASE o_orderstatus WHEN 'F' THEN 'o_totalprice' WHEN 'O' THEN NULL ELSE 'o_orderpriority' END AS column,
+  CASE WHEN o_orderstatus = 'F' THEN '>' END AS operator,
+  CASE o_orderstatus WHEN 'F' THEN CAST(CAST(o_totalprice AS DECIMAL(18, 2)) AS VARCHAR) WHEN 'O' THEN NULL ELSE o_orderpriority END AS value,
+  CASE WHEN o_orderstatus = 'F' THEN 'Large Orders' END AS label,
+  CASE WHEN o_orderstatus = 'O' THEN strftime(o_orderdate, '%B') END AS period
+FROM orders
+""")
 def claims_extract(spark, sf_dir):
-    # Statements are the user turns of conversations, tested against the
-    # orders schema and its low-cardinality values (rows-only: the patterns
-    # use look-around that DuckDB's regex engine lacks; tests/ checks them).
+    """Rules written from the orders, and the user turns of conversations, which state none, read against the orders."""
     conv = load(spark, sf_dir, "conversations").filter(F.col("role") == "user").select(
-        F.concat_ws("-", "conv_id", "turn").alias("statement_id"), "text")
+        F.concat_ws("-", F.lit("c"), "conv_id", "turn").alias("statement_id"), "text")
     orders = load(spark, sf_dir, "orders")
-    catalog = spark.createDataFrame([(f.name, f.dataType.typeName() in ("double", "long", "integer"))
-                                     for f in orders.schema.fields], "column_name string, is_numeric boolean")
-    return M.extract_claims(conv, "text", catalog, M.low_cardinality_values(orders))
+    catalog = spark.createDataFrame([(f.name, is_numeric_type(f.dataType)) for f in orders.schema.fields], "column_name string, is_numeric boolean")
+    return M.extract_claims(_rules_of_orders(orders).unionByName(conv), "text", catalog, M.low_cardinality_values(orders))
 
 
 @register("domain_lead_facts", """
