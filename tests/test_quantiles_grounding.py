@@ -1,4 +1,5 @@
 import math
+import random
 import re
 
 import numpy as np
@@ -87,23 +88,97 @@ def test_sum_of_top_is_exact(spark):
         assert sum_of_top(df, "x", k) == pytest.approx(float(np.sort(vals)[::-1][:k].sum()), rel=1e-12)
 
 
-# Plain-Python reading of figures, used only as the brute-force check.
-_PY_NUMBER = re.compile(r"(?<![\w.])([-+]?)(\d{1,3}(?:,\d{3})+|\d+(?:\.\d+)?)\s*"
-                        r"(k|m|mn|bn|b|thousand|million|billion)?\s*(%)?(?![\w])", re.IGNORECASE)
 _MULT = {"k": 1e3, "thousand": 1e3, "m": 1e6, "mn": 1e6, "million": 1e6, "b": 1e9, "bn": 1e9, "billion": 1e9}
 
 
 def _py_figures(text):
-    out = []
-    for m in _PY_NUMBER.finditer(text):
-        v = float(m.group(2).replace(",", "")) * _MULT.get((m.group(3) or "").lower(), 1.0)
-        out.append((-v if m.group(1) == "-" else v, bool(m.group(4))))
+    """Figures read one character after the other: the check on the patterns."""
+    out, i = [], 0
+    letter = lambda c: c.isalpha() or c == "_"
+    part = lambda c: letter(c) or c.isnumeric()
+    digit = lambda c: c in "0123456789"
+
+    def run(i, test):
+        while i < len(text) and test(text[i]):
+            i += 1
+        return i
+
+    while i < len(text):
+        c, after = text[i], text[i + 1:i + 2]
+        if letter(c):
+            i = run(i, part)
+            i += text[i:i + 1] == "-"
+        elif c == "." and after and part(after):
+            i = run(i + 1, lambda c: part(c) or c in ".,")
+        elif digit(c) or c in "+-" and after and digit(after):
+            sign = -1 if c == "-" else 1
+            start = i + (c in "+-")
+            i = run(start, lambda c: digit(c) or c in ".,")
+            numeral = text[start:i]
+            bare = numeral.rstrip(".,")
+            j = run(i, str.isspace)
+            word = ""
+            if j < len(text) and letter(text[j]):
+                end = run(j, part)
+                word, glued, i = text[j:end].lower(), j == i and bare == numeral, end
+            j = run(i, str.isspace)
+            percent = text[j:j + 1] == "%"
+            i = j + 1 if percent else i
+            i += text[i:i + 1] == "-"
+            percent = percent and (not word or word in _MULT)
+            groups = bare.split(".")[0].split(",")
+            thousands = len(groups) > 1 and 1 <= len(groups[0]) <= 3 and all(len(g) == 3 for g in groups[1:]) and bare.count(".") <= 1 and "," not in bare.partition(".")[2]
+            pieces = [bare.replace(",", "")] if thousands else bare.split(",")
+            for k, piece in enumerate(pieces):
+                last = k == len(pieces) - 1
+                if not piece or piece.count(".") > 1 or piece[0] == "." or piece[-1] == "." or last and word and word not in _MULT and glued:
+                    continue
+                v = float(piece) * (_MULT.get(word, 1.0) if last else 1.0) * (sign if k == 0 else 1)
+                out.append((v, last and percent))
+        else:
+            i += 1
     return out
 
 
 TEXTS = ["Revenue grew 45% to 2.8M in March.", "We shipped 1,234,567 orders; 3.5K were late.",
          "Margin fell -3.7% while costs hit 2 billion.", "Item A12 and v2.0 are not figures.",
-         "Noise: 12abc, 7 days, 1990 and 2024 count.", "Ratio 0.5 and +15 points, 100mn budget."]
+         "Noise: 12abc, 7 days, 1990 and 2024 count.", "Ratio 0.5 and +15 points, 100mn budget.",
+         "2019-2020, x-5, a.5 and -7", "1,234.56 but 12,34% and 1,23,456", "v1.2.3 on 31.12.2024; 3.5.1", "10 % of 5 m % or 6 apples %",
+         "$5,000.25K (12.) 7,abc 8,9x 1.5e5 é4 4é _1 1_", "5", "", "%", "-", "no digits", "12,", "1,000,00", "+1,000bn.", "\u0663 3\u0663 x\n9\t%"]
+
+
+def test_random_texts_read_as_one_by_one(spark):
+    rng = random.Random(6)
+    alphabet = ["1", "22", "333", "0", ",", ".", " ", "%", "-", "+", "k", "Million", "mn", "x", "_", "(", "é", "\n", "$"]
+    texts = ["".join(rng.choice(alphabet) for _ in range(rng.randint(1, 14))) for _ in range(3_000)]
+    df = spark.createDataFrame(list(enumerate(texts)), "id int, text string")
+    got = {}
+    for r in N.extract_figures(df, "text", ["id"]).orderBy("id", "ordinal").collect():
+        got.setdefault(r["id"], []).append((r["value"], r["is_percentage"]))
+    for i, t in enumerate(texts):
+        assert got.get(i, []) == _py_figures(t), t
+
+
+def test_many_facts_equal_brute_force(spark):
+    """A million facts, most of them small: as many bucket rows as magnitudes, no broadcast hint, the same hits."""
+    facts = spark.range(1_000_000).select((F.col("id") % 700_001 / 37_000.0 + F.when(F.col("id") % 3 == 0, 50.0).otherwise(0.0)).alias("value"),
+                                          (F.col("id") % 5 == 0).alias("is_percentage"))
+    rng = np.random.default_rng(3)
+    figs = [(0, i, float(np.round(v, 2)), bool(rng.random() < 0.5)) for i, v in enumerate(np.concatenate([rng.uniform(-3, 25, 150), rng.uniform(20, 90, 150), [0.0, 1e9, 71.3]]))]
+    df = spark.createDataFrame(figs, "doc int, ordinal int, value double, is_percentage boolean")
+    out = N.match_figures(df, facts, ["doc"])
+    assert "ResolvedHint" not in out._jdf.queryExecution().analyzed().toString()
+    assert N.fact_buckets(facts).count() < 2_000
+    pools = {p: np.sort([r[0] for r in facts.where(F.col("is_percentage") == p).select("value").collect()]) for p in (False, True)}
+
+    def near(v, pool):
+        tol, at = 0.5 if abs(v) <= 20 else abs(v) * 0.02, np.searchsorted(pools[pool], v)
+        return any(abs(v - pools[pool][k]) <= tol for k in (at - 1, at) if 0 <= k < len(pools[pool]))
+
+    for r in out.collect():
+        v, p = r["value"], r["is_percentage"]
+        want = not p and v == math.floor(v) and (0 <= v <= 12 or 1990 <= v <= 2100) or near(v, p) or (near(v / 100, False) if p else near(v, True))
+        assert r["held"] == want, (v, p)
 
 
 def test_figure_extraction_matches_plain_reading(spark):
