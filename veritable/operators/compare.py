@@ -9,7 +9,8 @@ KPI rows on the KPI name.
 from __future__ import annotations
 
 import hashlib
-import os
+import re
+import uuid
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -120,34 +121,69 @@ def change_findings(changes: DataFrame) -> DataFrame:
 
 
 class RunStore:
-    """Run summaries and KPIs as append-only parquet under a shared folder."""
+    """Run summaries and KPIs under a shared folder, a folder for each schema fingerprint.
+
+    A run's KPIs are staged in a folder of their own; the run counts once its
+    row stands in the manifest (``runs``), which is written last, in one file.
+    A writer that dies in between leaves KPIs that no reader sees. A run id
+    written again replaces the earlier one.
+    """
+
+    MANIFEST = "run_id string, started_at string, months double, n_kpis long, commit string, committed timestamp"
 
     def __init__(self, spark: SparkSession, root: str):
         self.spark = spark
-        self.root = root
-
-    def _path(self, name: str) -> str:
-        return os.path.join(self.root, name)
+        self.root = root.rstrip("/")
 
     def append(self, run_id: str, started_at: str, fp: str, months: float | None, kpis: DataFrame) -> None:
-        run = self.spark.createDataFrame([(run_id, started_at, fp, months)],
-                                         "run_id string, started_at string, fingerprint string, months double")
-        run.write.mode("append").parquet(self._path("runs"))
-        kpis.select(F.lit(run_id).alias("run_id"), "kpi_id", "value", "unit").write.mode("append").parquet(
-            self._path("run_kpis"))
+        self.commit(run_id, started_at, fp, months, self.stage(run_id, fp, kpis))
+
+    def stage(self, run_id: str, fp: str, kpis: DataFrame) -> str:
+        """Write a run's KPIs where no reader looks yet; the name of the commit."""
+        commit = uuid.uuid4().hex
+        rows = kpis.select(F.lit(run_id).alias("run_id"), "kpi_id", F.col("value").cast("double").alias("value"), "unit")
+        rows.coalesce(1).write.parquet(self._staged(fp, commit))
+        return commit
+
+    def commit(self, run_id: str, started_at: str, fp: str, months: float | None, commit: str) -> None:
+        n = self.spark.read.parquet(self._staged(fp, commit)).where("value IS NOT NULL").count()
+        row = self.spark.createDataFrame([(run_id, started_at, months, n, commit)],
+                                         "run_id string, started_at string, months double, n_kpis long, commit string")
+        row.withColumn("committed", F.current_timestamp()).coalesce(1).write.mode("append").parquet(f"{self.root}/runs/fingerprint={_folder(fp)}")
+
+    def _staged(self, fp: str, commit: str) -> str:
+        return f"{self.root}/run_kpis/fingerprint={_folder(fp)}/commit={commit}"
+
+    def _committed(self) -> DataFrame:
+        """The manifest, without runs that were written again."""
+        rows = self.spark.read.schema(f"{self.MANIFEST}, fingerprint string").parquet(f"{self.root}/runs")
+        fields = [f.name for f in rows.schema.fields if f.name not in ("fingerprint", "run_id")]
+        last = F.max_by(F.struct(*fields), F.struct("committed", "commit")).alias("r")
+        return rows.groupBy("fingerprint", "run_id").agg(last).select("run_id", "fingerprint", *[F.col(f"r.{f}").alias(f) for f in fields])
 
     def runs(self) -> DataFrame:
-        return self.spark.read.parquet(self._path("runs"))
+        return self._committed().select("run_id", "started_at", "fingerprint", "months", "n_kpis")
 
-    def kpis(self) -> DataFrame:
-        return self.spark.read.parquet(self._path("run_kpis"))
+    def kpis(self, fp: str | None = None) -> DataFrame:
+        """KPIs of committed runs; of one fingerprint, only its folder is read."""
+        held = self.spark.read.schema("run_id string, kpi_id string, value double, unit string, commit string, fingerprint string").parquet(
+            f"{self.root}/run_kpis")
+        done = self._committed().select("fingerprint", "commit")
+        if fp is not None:
+            held, done = held.where(F.col("fingerprint") == fp), done.where(F.col("fingerprint") == fp)
+        return held.join(done, ["fingerprint", "commit"], "left_semi").select("run_id", "kpi_id", "value", "unit")
 
     def previous(self, fp: str, run_id: str) -> DataFrame:
-        """Latest earlier run with the same fingerprint and at least one KPI."""
-        with_kpis = self.kpis().filter(F.col("value").isNotNull()).select("run_id").distinct()
-        return (self.runs().filter((F.col("fingerprint") == fp) & (F.col("run_id") != run_id))
-                .join(with_kpis, "run_id", "left_semi").orderBy(F.col("started_at").desc(), F.col("run_id").desc())
-                .limit(1))
+        """Latest earlier run with the same fingerprint and at least one KPI; reads that fingerprint's manifest."""
+        same = self.runs().filter((F.col("fingerprint") == fp) & (F.col("run_id") != run_id) & (F.col("n_kpis") > 0))
+        return same.orderBy(F.col("started_at").desc(), F.col("run_id").desc()).limit(1)
 
     def list_runs(self) -> DataFrame:
         return self.runs().orderBy(F.col("started_at").desc())
+
+
+def _folder(fp: str) -> str:
+    """A fingerprint is hexadecimal; anything else could not be a folder's name."""
+    if not re.fullmatch(r"[\w.-]+", fp):
+        raise ValueError(f"no fingerprint: {fp!r}")
+    return fp

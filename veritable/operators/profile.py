@@ -399,8 +399,9 @@ def profile_rows(facts: DataFrame, roles: dict[str, str] | None = None) -> DataF
 
 def duplicate_row_count(df: DataFrame) -> DataFrame:
     """Whole-row duplicates beyond the first copy (nulls equal)."""
-    g = df.groupBy(*df.columns).agg(F.count(F.lit(1)).alias("cnt"))
-    return g.agg(F.coalesce(F.sum(F.col("cnt") - 1), F.lit(0)).cast("bigint").alias("duplicate_rows"))
+    from veritable.operators.duplicates import find_duplicates
+
+    return find_duplicates(df).select(F.col("extra_copies").alias("duplicate_rows"))
 
 
 def completeness(df: DataFrame, worst: int = 8) -> DataFrame:
