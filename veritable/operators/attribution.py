@@ -16,7 +16,7 @@ from pyspark.sql import functions as F
 
 from veritable.functions.exprs import num, period_bucket, period_key, period_label, stems_from, with_scalars
 from veritable.functions.dates import time_column
-from veritable.operators.profile import profile_dataset
+from veritable.operators.profile import few_valued, profile_dataset
 
 # Fixed values of the attribution rules.
 MIN_CONTRIBUTION = 0.03
@@ -47,7 +47,10 @@ def dimension_rows(profile: DataFrame, measure: str, calendar: bool = True, excl
 
 def choose_dimensions(df: DataFrame, measure: str, roles: dict[str, str] | None = None, **rules) -> list[str]:
     """T4 on a table (one row per column is read)."""
-    return [r["column_name"] for r in dimension_rows(profile_dataset(df, roles), measure, **rules).collect()]
+    few = few_valued(df, rules.get("max_values", MAX_DIMENSION_VALUES))  # only these are profiled
+    if not few:
+        return []
+    return [r["column_name"] for r in dimension_rows(profile_dataset(df.select(*few), roles), measure, **rules).collect()]
 
 
 def period_totals(df: DataFrame, date: str, measure: str, grain: str = "month") -> DataFrame:

@@ -142,14 +142,14 @@ def measure_aggregation(catalog: DataFrame, families: DataFrame, roles: DataFram
 
 
 def lead_facts(df: DataFrame, measure: str, place: str | None = None) -> DataFrame:
-    """Max and median of the primary measure and the place of the largest."""
+    """Max and median of the primary measure and the place of the largest (of equal ones the first by place)."""
     from veritable.functions.exprs import num
     from veritable.functions.quantiles import quantile_literal
 
     x = num(measure)
     aggs = [F.max(x).alias("largest"), quantile_literal(df, measure, 0.5).alias("median")]
     if place:
-        aggs.append(F.max_by(F.col(place), x).alias("largest_place"))
+        aggs.append(F.min_by(F.col(place), F.when(x.isNotNull(), F.struct(-x, F.col(place)))).alias("largest_place"))
     return df.agg(*aggs)
 
 

@@ -99,6 +99,11 @@ def _row(kpi_id: str, value, label, unit: str):
                     label.cast("string").alias("label"), F.lit(unit).alias("unit"))
 
 
+#: KPIs of one aggregate per entity, and of the months' totals.
+ENTITY_KPIS = {"repeat_rate", "top_10pct_share"}
+MONTHLY_KPIS = {"growth_rate", "strongest_month"}
+
+
 def entity_kpis(df: DataFrame, cols: KpiColumns) -> DataFrame:
     """K7 repeat rate and K11 top-10% share from one per-entity aggregate."""
     spark = df.sparkSession
@@ -187,12 +192,17 @@ def custom_kpi(df: DataFrame, kpi_id: str, numerator: str, denominator: str | No
 
 
 def all_kpis(df: DataFrame, cols: KpiColumns, chosen: list[str] | None = None) -> DataFrame:
-    """Every supported KPI (or the chosen ids)."""
-    parts = [scalar_kpis(df, cols)]
-    if cols.entity:
+    """Every supported KPI, or the chosen ids; families without a chosen one are not computed."""
+    wanted = lambda ids: not chosen or bool(ids & set(chosen))
+    parts = []
+    if not chosen or set(chosen) - ENTITY_KPIS - MONTHLY_KPIS:
+        parts.append(scalar_kpis(df, cols))
+    if cols.entity and wanted(ENTITY_KPIS):
         parts.append(entity_kpis(df, cols))
-    if cols.date and cols.revenue:
+    if cols.date and cols.revenue and wanted(MONTHLY_KPIS):
         parts.append(monthly_kpis(df, cols))
+    if not parts:
+        return df.sparkSession.createDataFrame([], KPI_SCHEMA)
     out = parts[0]
     for p in parts[1:]:
         out = out.unionByName(p)

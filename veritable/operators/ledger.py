@@ -10,6 +10,7 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from veritable.functions.exprs import with_scalars
 
@@ -34,7 +35,9 @@ def _latest(rows: DataFrame, keys: list[str], order: list[str]) -> DataFrame:
     """The last row of every key by ``order``; rows equal in that are told apart by their whole content."""
     rest = [c for c in rows.columns if c not in keys]
     whole = F.struct(*[F.col(c) for c in rest])
-    last = rows.groupBy(*keys).agg(F.max_by(whole, F.struct(*[F.col(c) for c in order], F.to_json(whole))).alias("_last"))
+    # maps have no order: their entries by key have one
+    told = [F.array_sort(F.map_entries(c)).alias(c) if isinstance(rows.schema[c].dataType, T.MapType) else F.col(c) for c in rest if c not in order]
+    last = rows.groupBy(*keys).agg(F.max_by(whole, F.struct(*[F.col(c) for c in order], *told)).alias("_last"))
     return last.select(*keys, *[F.col(f"_last.{c}").alias(c) for c in rest])
 
 

@@ -231,6 +231,27 @@ def role_expr() -> Column:
     )
 
 
+def few_valued(df: DataFrame, most: int) -> list[str]:
+    """Columns that may have at most ``most`` distinct values, from one pass; the others certainly have more.
+
+    A HyperLogLog sketch counts few values by its registers that are still
+    empty: k values fill at most k of them, so it never says much more than k.
+    """
+    names = _flat_columns(df, None)
+    if not names:
+        return []
+    counts = df.agg(*[F.approx_count_distinct(F.col(n)).alias(f"c{i}") for i, n in enumerate(names)]).first()  # one row
+    return [n for i, n in enumerate(names) if counts[f"c{i}"] <= 1.5 * most + 5]
+
+
+def level_counts(df: DataFrame, columns: list[str]) -> DataFrame:
+    """(column_name, kind, unique_count, n_rows) of columns with few values (``few_valued``): their values are held as sets."""
+    counts = df.agg(F.count(F.lit(1)).alias("n"), *[F.size(F.collect_set(F.col(c))).alias(f"c{i}") for i, c in enumerate(columns)])
+    rows = [F.struct(F.lit(c).alias("column_name"), F.lit(type_kind(df.schema[c].dataType)).alias("kind"),
+                     F.col(f"c{i}").cast("bigint").alias("unique_count"), F.col("n").alias("n_rows")) for i, c in enumerate(columns)]
+    return counts.select(F.explode(F.array(*rows)).alias("s")).select("s.*")
+
+
 def detect_roles(df: DataFrame, roles: dict[str, str] | None = None, facts: DataFrame | None = None) -> DataFrame:
     """Facts plus a ``role`` column; explicit ``roles`` override the rules."""
     facts = facts if facts is not None else column_facts(df)
