@@ -9,15 +9,19 @@ key:
    pair a node, and gives first components.
 2. What is left to find are links between nodes of *different* components that
    share a key without the leader joining them. Only keys that still hold two
-   components go on, and two nodes are compared at the smallest of these keys. Their rows are cut into tiles of bounded size, every pair
+   components go on. Their rows are cut into tiles of bounded size, every pair
    of a key's tiles is one task group, and an index over the group's points
-   screens the pairs before they are verified. First only the most promising
-   pair of every two components that meet in a group is verified, so that two
-   large components that belong together are joined by one pair and not by all
-   their pairs.
-3. The same again with every pair that is left and was not verified before:
-   after it no two nodes that share a key and pass the screen are untested,
-   unless they are already in one component.
+   screens the pairs before they are verified. First only the ``TOP`` most
+   promising pairs of every two components that meet in a group are verified,
+   so that two large components that belong together are joined by a few pairs
+   and not by all their pairs. A group that holds more pairs of two components
+   marks its key as crowded.
+3. The crowded keys again, with every pair that is left and was not verified
+   before: after it no two nodes that share a key and pass the screen are
+   untested, unless they are already in one component.
+
+Where links are verified inside the task groups, one round takes all pairs, and
+two nodes are compared at the smallest key they share.
 
 No key, however common, is held by one task: leaders come from a window whose
 buffer spills, and tiles are bounded.
@@ -38,8 +42,11 @@ from veritable.llm.common import connected_components, shared_table
 #: Rows of a key that one task group holds, and ids up to which a semi-join sends them to every executor (8 bytes each).
 TILE, SENT_IDS = 1_500, 2_000_000
 
-#: Later rounds: of every two components that meet in a task group the one most promising pair; then all that is left.
-ROUNDS = (1, None)
+#: Pairs of every two components that a task group gives before all that are left are asked for.
+TOP = 4
+
+#: Columns of a task group that are numbers, the first three name the group.
+NUMBERS = ("key", "t1", "t2", "tile", "node", "low", "comp", "size")
 
 Local = Callable[[np.ndarray, np.ndarray, list[str], np.ndarray, np.ndarray, np.ndarray], tuple[np.ndarray, np.ndarray]]
 Screen = Callable[[np.ndarray, np.ndarray, np.ndarray, bool], tuple[np.ndarray, np.ndarray, np.ndarray]]
@@ -71,14 +78,16 @@ def components(keys: DataFrame, verify: Callable[[DataFrame], DataFrame], points
     shared = shared_table(shared.where("low <> high").select("key", "node", "low").distinct(), "meet")
     first = shared.where("node <> low").select(F.col("low").alias("a"), F.col("node").alias("b")).distinct()
     links = shared_table(verify(first), "links")
-    found, tested = _closed(links), None
-    for top in ROUNDS if local is None else (None,):
-        own = shared.join(found, "node", "left").select("key", "node", "low", F.coalesce("component", "node").alias("comp"))
+    found, tested, crowded = _closed(links), None, None
+    for top in (TOP, None) if local is None else (None,):
+        own = shared if crowded is None else only(shared, crowded, "key")
+        own = own.join(found, "node", "left").select("key", "node", "low", F.coalesce("component", "node").alias("comp"))
         spread = own.withColumn("c1", F.min("comp").over(both)).withColumn("c2", F.max("comp").over(both))
         left = shared_table(spread.where("c1 <> c2").select("key", "node", "low", "comp"), "left")
         if left.isEmpty():
             break
-        pairs = _candidates(left, points, screen, top, local).distinct()
+        met = shared_table(_candidates(left, points, screen, top, local), "met")
+        pairs = met.select("a", "b").distinct()
         if tested is not None:
             pairs = pairs.join(tested, ["a", "b"], "left_anti")
         tested = shared_table(pairs, "tested")
@@ -86,6 +95,7 @@ def components(keys: DataFrame, verify: Callable[[DataFrame], DataFrame], points
         if not more.isEmpty():
             links = shared_table(links.select("a", "b").unionByName(more.select("a", "b")), "links")
             found = _closed(links)
+        crowded = met.where("more").select("key").distinct()
     return found
 
 
@@ -94,77 +104,93 @@ def _closed(links: DataFrame) -> DataFrame:
 
 
 def _candidates(left: DataFrame, points, screen: Screen, top: int | None, local: Local | None) -> DataFrame:
-    """Pairs (a, b) of the tiles of every key: of each two components the ``top`` most promising ones, all, or the links."""
+    """(key, a, b, more) of the tiles of every key: of each two components the ``top`` most promising pairs, all, or the links.
+
+    ``more``: the group holds further pairs of these components.
+    """
     both = Window.partitionBy("key")
-    each = left.groupBy("node").agg(F.collect_set("key").alias("keys"))
-    rows = left.join(points(left.select("node").distinct()), "node").join(each, "node")
+    rows = left.join(points(left.select("node").distinct()), "node")
+    if local:  # a node has few keys where links are verified in the groups
+        rows = rows.join(left.groupBy("node").agg(F.collect_set("key").alias("keys")), "node")
     number = Window.partitionBy("key").orderBy("size", "node")
     rows = rows.withColumn("tile", F.floor((F.row_number().over(number) - 1) / TILE).cast("int"))
     rows = rows.withColumn("tiles", F.max("tile").over(both))
     rows = rows.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("tiles"))))
     rows = rows.select("key", F.least("tile", "other").alias("t1"), F.greatest("tile", "other").alias("t2"), "tile",
-                       "node", "low", "comp", "size", "point", "keys", *(["extra"] if local else []))
+                       "node", "low", "comp", "size", "point", *(["keys", "extra"] if local else []))
     spots = rows.repartition("key", "t1", "t2").sortWithinPartitions("key", "t1", "t2", "tile", "node")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        out: list[np.ndarray] = []
+        out: list[tuple[np.ndarray, ...]] = []
+        held = 0
         for group in _groups(batches):
-            out.append(_pairs(group, screen, top, local))
-            if sum(map(len, out)) > 50_000:
+            found = _pairs(group, screen, top, local)
+            if len(found[0]):
+                out.append(found)
+                held += len(found[0])
+            if held > 50_000:
                 yield _batch(out)
-                out = []
+                out, held = [], 0
         if out:
             yield _batch(out)
 
-    return spots.mapInArrow(run, "a long, b long")
+    return spots.mapInArrow(run, "key long, a long, b long, more boolean")
 
 
-def _batch(out: list[np.ndarray]) -> pa.RecordBatch:
-    pairs = np.concatenate(out)
-    return pa.RecordBatch.from_arrays([pa.array(pairs[:, 0]), pa.array(pairs[:, 1])], ["a", "b"])
+def _batch(out: list[tuple[np.ndarray, ...]]) -> pa.RecordBatch:
+    return pa.RecordBatch.from_arrays([pa.array(np.concatenate(c)) for c in zip(*out, strict=True)], ["key", "a", "b", "more"])
 
 
-def _groups(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.Table]:
-    """Runs of rows with the same (key, t1, t2); a run may go over batches."""
-    held: list[pa.RecordBatch] = []
+def _groups(batches: Iterator[pa.RecordBatch]) -> Iterator[dict[str, np.ndarray]]:
+    """Columns of the runs of rows with the same (key, t1, t2); a run may go over batches."""
+    held: list[dict[str, np.ndarray]] = []
     for batch in batches:
-        if not batch.num_rows:
+        n = batch.num_rows
+        if not n:
             continue
-        cols = [batch.column(c).to_numpy() for c in ("key", "t1", "t2")]
-        edges = np.flatnonzero(np.logical_or.reduce([c[1:] != c[:-1] for c in cols])) + 1
-        for a, b in zip([0, *edges], [*edges, batch.num_rows], strict=True):
-            part = batch.slice(a, b - a)
-            if held and any(held[-1].column(c)[0] != part.column(c)[0] for c in ("key", "t1", "t2")):
-                yield pa.Table.from_batches(held)
+        cols = {c: batch.column(c).to_numpy() for c in NUMBERS}
+        cols["point"] = batch.column("point").flatten().to_numpy().reshape(n, -1)
+        for c in batch.schema.names:
+            if c not in cols:
+                cols[c] = np.empty(n, object)
+                cols[c][:] = batch.column(c).to_pylist()
+        name = [cols[c] for c in NUMBERS[:3]]
+        edges = np.flatnonzero(np.logical_or.reduce([c[1:] != c[:-1] for c in name])) + 1
+        for a, b in zip([0, *edges.tolist()], [*edges.tolist(), n], strict=True):
+            if held and any(held[-1][c][0] != cols[c][a] for c in NUMBERS[:3]):
+                yield _joined(held)
                 held = []
-            held.append(part)
+            held.append({c: v[a:b] for c, v in cols.items()})
     if held:
-        yield pa.Table.from_batches(held)
+        yield _joined(held)
+
+
+def _joined(parts: list[dict[str, np.ndarray]]) -> dict[str, np.ndarray]:
+    return parts[0] if len(parts) == 1 else {c: np.concatenate([p[c] for p in parts]) for c in parts[0]}
 
 
-def _pairs(rows: pa.Table, screen: Screen, top: int | None, local: Local | None) -> np.ndarray:
-    """(a, b) of a task group that pass the screen, lie in different components, and were not verified in round 1."""
-    node, comp, low = (rows.column(c).to_numpy() for c in ("node", "comp", "low"))
-    same = rows.column("t1")[0] == rows.column("t2")[0]
-    side = (rows.column("tile").to_numpy() != rows.column("t1")[0].as_py()).astype(int)
-    points = rows.column("point").combine_chunks().flatten().to_numpy().reshape(len(node), -1)
-    i, j, score = screen(rows.column("size").to_numpy(), side, points, same)
+def _pairs(rows: dict[str, np.ndarray], screen: Screen, top: int | None, local: Local | None) -> tuple[np.ndarray, ...]:
+    """(key, a, b, more) of a task group that pass the screen, lie in different components, and were not verified in round 1."""
+    node, comp, low = rows["node"], rows["comp"], rows["low"]
+    same = rows["t1"][0] == rows["t2"][0]
+    i, j, score = screen(rows["size"], (rows["tile"] != rows["t1"]).astype(int), rows["point"], same)
     keep = (comp[i] != comp[j]) & (node[i] != low[i]) & (node[j] != low[j])
     i, j, score = i[keep], j[keep], score[keep]
+    more = np.zeros(len(i), bool)
     if top is not None and len(i):
         c, d = np.minimum(comp[i], comp[j]), np.maximum(comp[i], comp[j])
         order = np.lexsort((-score, d, c))
         fresh = np.ones(len(order), bool)
         fresh[1:] = (c[order][1:] != c[order][:-1]) | (d[order][1:] != d[order][:-1])
         starts = np.flatnonzero(fresh)
-        place = np.arange(len(order)) - np.repeat(starts, np.diff(np.append(starts, len(order))))
-        order = order[place < top]
-        i, j = i[order], j[order]
-    elif len(i):  # of the keys that two nodes share, the smallest one gives the pair
-        key = rows.column("key")[0].as_py()
-        before = [{k for k in keys if k < key} for keys in rows.column("keys").to_pylist()]
+        many = np.diff(np.append(starts, len(order)))
+        chosen = np.arange(len(order)) - np.repeat(starts, many) < top
+        more = np.repeat(many > top, many)[chosen]
+        i, j = i[order[chosen]], j[order[chosen]]
+    elif len(i) and local is not None:  # of the keys that two nodes share, the smallest one gives the pair
+        key = rows["key"][0]
+        before = [{k for k in keys if k < key} for keys in rows["keys"]]
         first = np.fromiter((before[a].isdisjoint(before[b]) for a, b in zip(i.tolist(), j.tolist(), strict=True)), bool, len(i))
-        i, j, score = i[first], j[first], score[first]
-        if local is not None:
-            i, j = local(node, comp, rows.column("extra").to_pylist(), i, j, score)
-    return np.stack([np.minimum(node[i], node[j]), np.maximum(node[i], node[j])], axis=1)
+        i, j = local(node, comp, rows["extra"].tolist(), i[first], j[first], score[first])
+        more = np.zeros(len(i), bool)
+    return np.repeat(rows["key"][:1], len(i)), np.minimum(node[i], node[j]), np.maximum(node[i], node[j]), more

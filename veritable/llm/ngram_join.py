@@ -148,7 +148,8 @@ class CountRTree:
     """A packed R-tree over count vectors: boxes of ``FAN`` children, sorted by size and then by the largest coordinate.
 
     A box keeps its largest counts and its range of sizes. ``search`` returns
-    the points whose overlap bound with a query reaches what linked sets need.
+    the points whose overlap bound with a query reaches what linked sets need,
+    ``search_all`` those of several queries.
     """
 
     def __init__(self, sizes: np.ndarray, points: np.ndarray):
@@ -161,16 +162,26 @@ class CountRTree:
             self.levels.append((top, low, high))
 
     def search(self, size: int, q: np.ndarray) -> np.ndarray:
-        found = np.arange(len(self.levels[-1][0]))
+        return self.search_all(np.array([size]), q[None])[1]
+
+    def search_all(self, sizes: np.ndarray, points: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """(query, point of the tree) index pairs that the bound allows; the queries go down the tree together."""
+        last = len(self.levels[-1][0])
+        query, found = np.repeat(np.arange(len(sizes)), last), np.tile(np.arange(last), len(sizes))
         for depth in range(len(self.levels) - 1, -1, -1):
-            top, low, high = (x[found] for x in self.levels[depth])
-            near = (high * 100 >= PER_CENT * size) & (low * PER_CENT <= 100 * size)
-            near &= np.minimum(top, q).sum(axis=1) >= needed(size, np.maximum(low, -(-PER_CENT * size // 100)))
-            found = found[near]
+            top, low, high = self.levels[depth]
+            size = sizes[query]
+            near = (high[found] * 100 >= PER_CENT * size) & (low[found] * PER_CENT <= 100 * size)
+            query, found, size = query[near], found[near], size[near]
+            bound = np.minimum(top[found], points[query]).sum(axis=1, dtype=np.int64)
+            near = bound >= needed(size, np.maximum(low[found], -(-PER_CENT * size // 100)))
+            query, found = query[near], found[near]
             if depth:
                 found = (found[:, None] * FAN + np.arange(FAN)).ravel()
-                found = found[found < len(self.levels[depth - 1][0])]
-        return self.order[found]
+                query = np.repeat(query, FAN)
+                there = found < len(self.levels[depth - 1][0])
+                query, found = query[there], found[there]
+        return query, self.order[found]
 
 
 def screen(sizes: np.ndarray, side: np.ndarray, points: np.ndarray, same: bool
@@ -179,20 +190,22 @@ def screen(sizes: np.ndarray, side: np.ndarray, points: np.ndarray, same: bool
 
     One side's points are in the tree, the other side's are the queries.
     """
-    at, sizes = points.astype(np.int64), sizes.astype(np.int64)
+    sizes = sizes.astype(np.int64)
     left = np.arange(len(sizes)) if same else np.flatnonzero(side == 0)
     right = left if same else np.flatnonzero(side == 1)
     if not len(left) or not len(right):
         return np.empty(0, np.int64), np.empty(0, np.int64), np.empty(0)
-    tree = CountRTree(sizes[left], at[left])
+    tree = CountRTree(sizes[left], points[left])
     a, b = [], []
-    for j in right.tolist():
-        hits = left[tree.search(int(sizes[j]), at[j])]
-        hits = hits[hits < j] if same else hits
-        a.append(hits)
-        b.append(np.full(len(hits), j))
+    for at in range(0, len(right), FAN):
+        some = right[at:at + FAN]
+        query, hits = tree.search_all(sizes[some], points[some])
+        j, hits = some[query], left[hits]
+        keep = hits < j if same else slice(None)
+        a.append(hits[keep])
+        b.append(j[keep])
     i, j = np.concatenate(a), np.concatenate(b)
-    return i, j, np.minimum(at[i], at[j]).sum(axis=1) / np.maximum(sizes[i], sizes[j])
+    return i, j, np.minimum(points[i], points[j]).sum(axis=1, dtype=np.int64) / np.maximum(sizes[i], sizes[j])
 
 
 def overlap_bound(a: Column, b: Column) -> Column:
@@ -279,7 +292,7 @@ def join(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> Dat
         return verified(near.join(texts["a"], "rep_a").join(texts["b"], "rep_b").select("a", "text_a", "b", "text_b")).distinct()
 
     def points(some: DataFrame) -> DataFrame:
-        return nodes.select("node", "size", F.col("counts").alias("point")).join(some, "node")
+        return nodes.select("node", "size", F.col("counts").alias("point"))
 
     linked = meet.components(set_keys(there), verify, points, screen)
     linked = shared_table(linked.join(nodes.select("node", "rep"), "node"), "linked")
