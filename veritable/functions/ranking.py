@@ -1,5 +1,7 @@
 """Exact order statistics without a global sort or a single-task window.
 
+``near_ranks`` finds the rows at given positions of an order.
+
 ``sum_of_top`` finds the exact sum of the k largest values of a column. A
 quantile sketch (bounded memory, distributed) brackets the k-th largest value;
 everything above the bracket is summed by a distributed aggregate, and only
@@ -13,9 +15,15 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window
+
+from veritable.functions.exprs import with_scalars
 
 SKETCH_ACCURACY = 10000
 
+#: Values that cut a column into ranges.
+CUTS = 16_383
+
 
 def sum_of_top(df: DataFrame, column: str, k: int, n: int | None = None) -> float:
     """Exact sum of the ``k`` largest non-null values of ``column``."""
@@ -59,24 +67,27 @@ def sum_of_top(df: DataFrame, column: str, k: int, n: int | None = None) -> floa
         eps *= 4
 
 
-def global_rank(df: DataFrame, order_cols: list[str], partitions: int | None = None) -> DataFrame:
-    """0-based global position of every row in ``order_cols`` order (distinct keys).
+def near_ranks(df: DataFrame, column: str, positions: list[int]) -> DataFrame:
+    """The rows of ``df`` about some 0-based positions in the order of ``column`` (distinct, not null), with ``_rank``.
 
-    Range partitioning spreads the rows over ``partitions`` tasks in key
-    order; each task numbers its own rows and the offsets are the sizes of the
-    partitions before it (one row per partition). No task ever sees more than
-    its range. The range-partitioned frame is checkpointed into the shared
-    folder first, so the counting and the numbering read the same split.
+    Every row at one of ``positions`` is among them. A sample of at most
+    ``CUTS`` values, drawn by their hash, cuts the column into ranges; the
+    counts of the ranges tell which of them hold a position, and only the rows
+    of these are ordered, each range by itself. Nothing else is sorted, and
+    the tables of ranges have at most ``CUTS + 1`` rows.
     """
-    from pyspark.sql import Window as W
-
-    from veritable.session import cut_lineage
-
-    spark = df.sparkSession
-    parts = partitions or int(spark.conf.get("spark.sql.shuffle.partitions", "200"))
-    ranged = cut_lineage(df.repartitionByRange(parts, *order_cols).withColumn("_pid", F.spark_partition_id()))
-    sizes = ranged.groupBy("_pid").agg(F.count(F.lit(1)).alias("_n"))
-    offsets = sizes.select("_pid", (F.sum("_n").over(W.orderBy("_pid").rowsBetween(W.unboundedPreceding, -1))).alias("_off"))
-    local = ranged.withColumn("_local", F.row_number().over(W.partitionBy("_pid").orderBy(*order_cols)) - 1)
-    return local.join(F.broadcast(offsets), "_pid").select(
-        *df.columns, (F.coalesce(F.col("_off"), F.lit(0)) + F.col("_local")).alias("_rank"))
+    x = F.col(column)
+    sample = df.select(x.alias("_x")).orderBy(F.xxhash64("_x"), "_x").limit(CUTS)
+    cuts = sample.agg(F.array_sort(F.collect_list("_x")).alias("_cuts"))
+    # the number of cuts up to the value, by halving
+    steps = F.array(*[F.lit(1 << k) for k in reversed(range(CUTS.bit_length()))])
+    placed = with_scalars(df, cuts).withColumn("_range", F.aggregate(steps, F.lit(0), lambda at, step: F.when(
+        F.get("_cuts", at + step - 1) <= x, at + step).otherwise(at))).drop("_cuts")
+    counts = placed.groupBy("_range").agg(F.count(F.lit(1)).alias("_n"))
+    before = Window.orderBy("_range").rowsBetween(Window.unboundedPreceding, -1)
+    counts = counts.withColumn("_before", F.coalesce(F.sum("_n").over(before), F.lit(0)))
+    wanted = F.array(*[F.lit(p).cast("bigint") for p in positions])
+    held = counts.where(F.exists(wanted, lambda p: p.between(F.col("_before") - 1, F.col("_before") + F.col("_n"))))
+    own = Window.partitionBy("_range").orderBy(column)
+    return placed.join(F.broadcast(held.select("_range", "_before")), "_range").select(
+        *df.columns, (F.col("_before") + F.row_number().over(own) - 1).alias("_rank"))

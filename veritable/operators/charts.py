@@ -17,7 +17,7 @@ from pyspark.sql import types as T
 from veritable.functions.dates import parse_datetime, time_column
 from veritable.functions.exprs import is_time_type, num, period_bucket, period_label, rnd, with_scalars
 from veritable.functions.quantiles import grouped_quantile, quantile_literal
-from veritable.functions.ranking import global_rank
+from veritable.functions.ranking import near_ranks
 
 # Fixed values of the chart rules.
 TOP_N = 8
@@ -335,8 +335,8 @@ def colour_groups(df: DataFrame, group: str, top: int = 3) -> DataFrame:
 def line_table(df: DataFrame, x: str, y: str, how: str = "sum", max_points: int = MAX_POINTS) -> DataFrame:
     """Y aggregated per x. A time x is bucketed to months when it spans
     more than 180 days, to days when more than 3; then the ordered points are
-    thinned to ``max_points`` evenly spaced positions floor(k (n-1) / (m-1)),
-    numbered by a distributed global rank (never one task for all points)."""
+    thinned to ``max_points`` evenly spaced positions floor(k (n-1) / (m-1));
+    only the ranges of x that hold one of these are sorted."""
     ys = num(y)
     dtype = df.schema[x].dataType
     timed = is_time_type(dtype)
@@ -357,10 +357,8 @@ def line_table(df: DataFrame, x: str, y: str, how: str = "sum", max_points: int
         return g.limit(0).select(F.col("x").alias(x), F.col("y").alias(y))
     if n <= max_points:
         return g.select(F.col("x").alias(x), F.col("y").alias(y))
-    # positions floor(k (n-1) / (m-1)); the global rank is computed without a
-    # single-task window (range partitions + per-partition offsets)
     m = max_points - 1
-    ranked = global_rank(g, ["x"])
+    ranked = near_ranks(g, "x", [i * (n - 1) // m for i in range(max_points)])
     k = F.ceil(F.col("_rank") * m / F.lit(n - 1))
     keep = F.floor(k * F.lit(n - 1) / m) == F.col("_rank")
     return ranked.filter(keep).select(F.col("x").alias(x), F.col("y").alias(y))
