@@ -8,7 +8,9 @@ partial row per task), never a sort of the whole history.
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+import uuid
+
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -72,8 +74,8 @@ def _statement_key() -> Column:
     return F.lower(F.trim("statement"))
 
 
-def upsert(history: DataFrame, changes: DataFrame) -> DataFrame:
-    """L3: append changes as new versions (version = latest + 1).
+def new_versions(history: DataFrame, changes: DataFrame) -> DataFrame:
+    """L3: the rows that ``changes`` add to a history (or to its current state): version = latest + 1.
 
     A new statement is skipped if it repeats an active one of the project; of
     equal new statements in one batch the one with the smallest id is added.
@@ -88,7 +90,12 @@ def upsert(history: DataFrame, changes: DataFrame) -> DataFrame:
     first = active.groupBy("project_id", "_said").agg(F.min("id").alias("id"))
     added = active.join(first, ["project_id", "_said", "id"], "left_semi").drop("_order")
     added = added.unionByName(fresh.where("status <> 'active'")).withColumn("version", F.lit(1))
-    return history.unionByName(added.select(*history.columns)).unionByName(updates)
+    return added.select(*history.columns).unionByName(updates)
+
+
+def upsert(history: DataFrame, changes: DataFrame) -> DataFrame:
+    """L3: the history with ``changes`` appended as new versions (see ``new_versions``)."""
+    return history.unionByName(new_versions(history, changes))
 
 
 def restore(history: DataFrame, requests: DataFrame, as_of: str) -> DataFrame:
@@ -235,3 +242,86 @@ def counters(memory: DataFrame, lessons: DataFrame, feedback: DataFrame, project
     f = project_ratings(feedback, project_id).agg(number(F.col("rating") == "incorrect", "corrections"),
                                                   number(F.col("rating") == "useful", "useful"))
     return with_scalars(with_scalars(m, lessons_open), f)
+
+
+class MemoryStore:
+    """L3: a memory history in a shared folder whose current state is a snapshot and the rows appended since.
+
+    Every append is a folder of its own and counts once its name stands in the
+    list of commits, which is written last: a writer that dies before leaves
+    rows that no reader sees. ``compact`` folds what is new into a snapshot and
+    notes which commits that covers, so ``current`` reads the latest snapshot
+    and the folders of later commits alone, whatever order writers finish in.
+    The history stays whole (old versions can be restored). Latest versions
+    are a maximum, so the fold of snapshot and new rows is that of all rows.
+    The names of commits since the last snapshot pass through the driver:
+    compact now and then.
+    """
+
+    COMMITS = "commit string, kind string, committed timestamp"
+
+    def __init__(self, spark: SparkSession, root: str):
+        self.spark = spark
+        self.root = root.rstrip("/")
+
+    def append(self, rows: DataFrame) -> None:
+        self.commit(self.stage(rows))
+
+    def upsert(self, changes: DataFrame) -> None:
+        self.append(new_versions(self.current(), changes))
+
+    def stage(self, rows: DataFrame) -> str:
+        """Write rows where no reader looks yet; the name of the commit."""
+        commit = uuid.uuid4().hex
+        fields = self.spark.createDataFrame([], MEMORY_SCHEMA).columns
+        rows.select(*fields).write.parquet(f"{self.root}/rows/commit={commit}")
+        return commit
+
+    def commit(self, commit: str, kind: str = "rows") -> None:
+        row = self.spark.createDataFrame([(commit, kind)], "commit string, kind string")
+        row.withColumn("committed", F.current_timestamp()).coalesce(1).write.mode("append").parquet(f"{self.root}/commits")
+
+    def history(self) -> DataFrame:
+        """All committed versions."""
+        return self._rows().join(self._commits().where("kind = 'rows'").select("commit"), "commit", "left_semi").drop("commit")
+
+    def current(self) -> DataFrame:
+        """The latest version of every item; reads the last snapshot and what was committed after it."""
+        snapshot, names = self._since()
+        return self._state(snapshot, names)
+
+    def compact(self) -> None:
+        snapshot, names = self._since()
+        if not names:
+            return
+        commit = uuid.uuid4().hex
+        self._state(snapshot, names).write.parquet(f"{self.root}/snapshots/{commit}")
+        covered = self.spark.createDataFrame([(n,) for n in names], "commit string")
+        if snapshot:
+            covered = covered.unionByName(self._covered(snapshot))
+        covered.coalesce(1).write.parquet(f"{self.root}/covered/{commit}")
+        self.commit(commit, "snapshot")
+
+    def _commits(self) -> DataFrame:
+        return self.spark.read.schema(self.COMMITS).parquet(f"{self.root}/commits")
+
+    def _rows(self) -> DataFrame:
+        return self.spark.read.schema(f"{MEMORY_SCHEMA}, commit string").parquet(f"{self.root}/rows")
+
+    def _covered(self, snapshot: str) -> DataFrame:
+        return self.spark.read.schema("commit string").parquet(f"{self.root}/covered/{snapshot}")
+
+    def _since(self) -> tuple[str | None, list[str]]:
+        """The last snapshot and the commits that it does not cover."""
+        commits = self._commits()
+        last = commits.where("kind = 'snapshot'").orderBy(F.desc("committed"), "commit").first()
+        new = commits.where("kind = 'rows'").select("commit")
+        if last is not None:
+            new = new.join(self._covered(last["commit"]), "commit", "left_anti")
+        return last and last["commit"], sorted(r["commit"] for r in new.collect())
+
+    def _state(self, snapshot: str | None, names: list[str]) -> DataFrame:
+        rows = self._rows().where(F.col("commit").isin(names)).drop("commit")
+        if snapshot:
+            rows = rows.unionByName(self.spark.read.schema(MEMORY_SCHEMA).parquet(f"{self.root}/snapshots/{snapshot}"))
+        return latest_versions(rows)

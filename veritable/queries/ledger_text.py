@@ -3,6 +3,8 @@ re-read as memory versions; grounding queries (N1-N8) over documents."""
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
@@ -11,6 +13,7 @@ from veritable.operators import grounding as N
 from veritable.operators import kpis as K
 from veritable.operators import ledger as L
 from veritable.queries.registry import register
+from veritable.session import ensure_checkpoint_dir
 from veritable.sources.tables import load
 
 RATING_SQL = ("CASE WHEN event_type IN ('purchase', 'signup') THEN 'useful' "
@@ -241,6 +244,20 @@ def ledger_restore(spark, sf_dir):
     return after.join(whole, "id").select("id", "statement", (F.col("newest") + 1).alias("version"))
 
 
+@register("ledger_snapshot_memory", f"""
+SELECT id, project_id, statement, status, version FROM {MEMORY_SQL}
+""")
+def ledger_snapshot_memory(spark, sf_dir):
+    """The memory appended turn class by turn class, compacted in between: snapshot and later rows give the state."""
+    history = memory_history(spark, sf_dir)
+    store = L.MemoryStore(spark, f"{ensure_checkpoint_dir(spark)}/tables/memory-{uuid.uuid4().hex[:12]}")
+    store.append(history.where("version = 2"))
+    store.append(history.where("version > 2"))
+    store.compact()
+    store.append(history.where("version < 2"))
+    return store.current().select("id", "project_id", "statement", "status", "version")
+
+
 @register("ledger_counters", f"""
 SELECT (SELECT CAST(count(*) AS BIGINT) FROM {IN_FORCE_SQL} WHERE project_id = 'default') AS active_memory,
        (SELECT CAST(count(*) AS BIGINT) FROM {MINE_SQL} WHERE rating = 'incorrect'
