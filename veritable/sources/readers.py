@@ -11,6 +11,7 @@ from __future__ import annotations
 import csv
 import os
 import re
+import uuid
 import warnings
 from collections import Counter
 from dataclasses import dataclass, field
@@ -289,12 +290,45 @@ def attach_all(tables: dict[str, DataFrame], roles: dict[str, dict[str, str]]) -
 
 
 def write_table(df: DataFrame, path: str, fmt: str = "parquet", mode: str = "overwrite") -> None:
-    """Write the cleaned table (parquet by default, CSV with a header)."""
-    writer = df.write.mode(mode)
-    if fmt == "csv":
-        writer.option("header", True).option("escape", '"').csv(path)  # quotes doubled, as the readers take them
-    else:
-        writer.format(fmt).save(path)
+    """Write the cleaned table (parquet by default, CSV with a header).
+
+    An overwrite is staged: the rows go to a folder beside ``path`` and take
+    its place by renaming once all are written. A job that fails leaves the old
+    table, and a table may be read and overwritten in one go. Dying between the
+    two renames leaves the old table as ``<path>.veritable-before``; the next overwrite
+    puts it back first.
+    """
+    def write(to: str, how: str) -> None:
+        writer = df.write.mode(how)
+        if fmt == "csv":
+            writer.option("header", True).option("escape", '"').csv(to)  # quotes doubled, as the readers take them
+        else:
+            writer.format(fmt).save(to)
+
+    if mode != "overwrite":
+        write(path, mode)
+        return
+    spark, path = df.sparkSession, path.rstrip("/")
+    at = spark._jvm.org.apache.hadoop.fs.Path
+    own, before, staged = at(path), at(f"{path}.veritable-before"), at(f"{path}.staged-{uuid.uuid4().hex[:12]}")
+    fs = own.getFileSystem(spark._jsc.hadoopConfiguration())
+    if fs.exists(before) and not fs.exists(own):
+        _renamed(fs, before, own)
+    try:
+        write(staged.toString(), "errorifexists")
+    except BaseException:
+        fs.delete(staged, True)
+        raise
+    if fs.exists(own):
+        fs.delete(before, True)
+        _renamed(fs, own, before)
+    _renamed(fs, staged, own)
+    fs.delete(before, True)
+
+
+def _renamed(fs, old, new) -> None:
+    if not fs.rename(old, new):
+        raise OSError(f"{old.toString()} can't be renamed to {new.toString()}")
 
 
 @dataclass
