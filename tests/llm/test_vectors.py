@@ -3,6 +3,7 @@
 import math
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
@@ -92,3 +93,15 @@ def test_large_whole_numbers_stay_exact(spark):
     big = spark.createDataFrame([(0, [2.0**27 + 1, 3.0]), (1, [2.0**27 + 1, 5.0])], "vec_id long, embedding array<double>")
     got = ball_tree.top_k(big, F.col("vec_id") == 0, 1).first()
     assert got.score == (2**27 + 1) ** 2 + 15
+
+
+def test_huge_components_stay_candidates():
+    """Squares beyond the range of doubles leave no bound; such rows are still weighed."""
+    vecs = [[1e200, 0.0], [1.0, 2.0], [1.5, 2.0], [-1e200, 1.0], [1e160, 1e160], [1.0, 1.0]]
+    kind = pa.schema([("vec_id", pa.int64()), ("v", pa.list_(pa.float64()))])
+    cand = pa.table({"vec_id": list(range(len(vecs))), "v": vecs}, schema=kind)
+    for q, own in enumerate(vecs):
+        with np.errstate(over="ignore"):
+            far = [(float(int8_tiles.distances(np.array([v]), np.array(own))[0]), c) for c, v in enumerate(vecs) if c != q]
+            found = int8_tiles._searcher(3)(cand, cand.slice(q, 1))
+        assert sorted(zip(found[2], found[1], strict=True)) == sorted(far)[:3]

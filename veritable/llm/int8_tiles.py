@@ -38,16 +38,22 @@ def quantised(x: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
 
 
 def tile_bounds(q, x) -> tuple[np.ndarray, np.ndarray]:
-    """(lower, upper) bounds of the distances between two lists of quantised vectors."""
+    """(lower, upper) bounds of the distances between two lists of quantised vectors.
+
+    Where squares leave the range of doubles nothing is known: 0 and infinity.
+    """
     (qc, qs, qe), (xc, xs, xe) = q, x
     kind = np.float32 if qc.shape[1] * 127 * 127 < 2**24 else np.float64  # whole products, exact in either
     products = (qc.astype(kind) @ xc.astype(kind).T).astype(np.float64)
-    q2, x2 = ((c.astype(np.float64) ** 2).sum(axis=1) * s**2 for c, s in ((qc, qs), (xc, xs)))
-    square = q2[:, None] + x2[None, :] - 2.0 * products * qs[:, None] * xs[None, :]
-    slack = 1e-12 * (q2[:, None] + x2[None, :])
-    away = qe[:, None] + xe[None, :]
-    low = np.sqrt(np.maximum(square - slack, 0.0)) - away
-    high = np.sqrt(np.maximum(square, 0.0) + slack) + away
+    with np.errstate(over="ignore", invalid="ignore"):
+        q2, x2 = ((c.astype(np.float64) ** 2).sum(axis=1) * s**2 for c, s in ((qc, qs), (xc, xs)))
+        square = q2[:, None] + x2[None, :] - 2.0 * products * qs[:, None] * xs[None, :]
+        slack = 1e-12 * (q2[:, None] + x2[None, :])
+        away = qe[:, None] + xe[None, :]
+        low = np.sqrt(np.maximum(square - slack, 0.0)) - away
+        high = np.sqrt(np.maximum(square, 0.0) + slack) + away
+    known = np.isfinite(low) & np.isfinite(high)
+    low, high = np.where(known, low, 0.0), np.where(known, high, np.inf)
     return low * (1 - 1e-9) - 1e-300, high * (1 + 1e-9) + 1e-300
 
 
