@@ -62,3 +62,26 @@ def test_whole_run(spark, monkeypatch):
     # Every distinct line of clean documents is still in some document, or is near a line that is.
     assert len(total) >= 0.5 * len({re.sub(r"\s+", " ", t) for t in source.values()})
     assert line_dedup.LEAST > 0
+
+
+def test_language_decides_what_follows(spark, docs):
+    """Languages found, not labels, part the sequences; texts in none of them go."""
+    words = {"aa": "kala mano tiru sene kolo maka lano", "bb": "grox zwift plunk brast vlimp skrent drogg"}
+    line = lambda lang, k: " ".join(words[lang].split()[(k * i + i // 3) % 7] for i in range(1, 20))
+    rows = [(k, line(lang, k), lang) for k in range(60) for lang in [("aa", "bb")[k % 2]]]
+    rows += [(200, line("aa", 5), None), (201, line("bb", 4), "aa"), (202, "漢字仮名交文書語言學習測試" * 8, "aa")]
+    frame = docs(rows).select("doc_id", "text", "lang", "source", "n_chars")
+    found = corpus_pipeline.language_id(spark, frame, "")
+    assert found.schema == frame.schema
+    lang = {r.doc_id: r.lang for r in found.collect()}
+    assert lang == {k: "aa" if t.split()[0] in words["aa"] else "bb" for k, t, _ in rows if k != 202}
+    packed = corpus_pipeline.pack(spark, found, "").collect()
+    assert sorted(r.doc_id for r in packed) == sorted(lang)
+    held = {}
+    for r in packed:
+        assert r.lang == lang[r.doc_id]
+        held.setdefault(r.sequence_id, set()).add(r.lang)
+    assert all(len(x) == 1 for x in held.values()) and {y for x in held.values() for y in x} == {"aa", "bb"}
+    for k in held:
+        own = sorted((r.offset, r.length) for r in packed if r.sequence_id == k)
+        assert all(a + n == b for (a, n), (b, _) in zip(own[:-1], own[1:], strict=True)) and own[0][0] == 0

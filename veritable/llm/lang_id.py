@@ -212,19 +212,22 @@ def identify(docs: DataFrame, order: int = ORDER, rows_per_lang: int = ROWS_PER_
     return found.select("doc_id", held_out("doc_id").alias("held_out"), "lang_pred", "score", "bits_per_byte")
 
 
-def accepted(docs: DataFrame, model: Model, text_col: str = "text", foreign: float = math.inf) -> DataFrame:
+def accepted(docs: DataFrame, model: Model, text_col: str = "text", foreign: float = math.inf,
+             lang_col: str | None = None) -> DataFrame:
     """Rows whose text has a language: not ``und``, and at most ``foreign`` bits a byte under its best model.
 
     Without a limit only ``und`` is rejected: short texts with an address or a
     key in them, and texts in two of the languages, take many bits as well. If
-    no language could be learned, every text with a letter stays. Rows are
-    filtered where they lie, with all their columns.
+    no language could be learned, every text with a letter stays. With
+    ``lang_col`` that column becomes the predicted language (it stays as it is
+    if none could be learned). Rows are filtered where they lie, with all their
+    columns.
     """
     prepare_python(docs.sparkSession)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            texts, keep, at = batch.column(text_col).to_pylist(), [], 0
+            texts, keep, found, at = batch.column(text_col).to_pylist(), [], [], 0
             if not model.langs:
                 yield batch.filter(pa.array([has_letter(t) for t in texts], pa.bool_()))
                 continue
@@ -235,7 +238,11 @@ def accepted(docs: DataFrame, model: Model, text_col: str = "text", foreign: flo
                     to += 1
                 lang, _, rate = judged(texts[at:to], model)
                 keep += [x != UNKNOWN and r <= foreign for x, r in zip(lang, rate, strict=True)]
+                found += lang
                 at = to
+            if lang_col is not None:
+                k = batch.schema.get_field_index(lang_col)
+                batch = batch.set_column(k, batch.schema.field(k), pa.array(found, batch.schema.field(k).type))
             yield batch.filter(pa.array(keep, pa.bool_()))
 
     return docs.mapInArrow(run, docs.schema)

@@ -10,6 +10,9 @@ the capacity, not on the corpus. Pieces then take the plan's places by their
 rank among the pieces of equal length; ranks come from counts per (length,
 bucket), so no length, however common, is numbered by one task.
 
+With a group column (the language, say) no sequence holds documents of two
+groups: there is one histogram and plan a group, and groups are meant to be few.
+
 Edge cases: a null or empty text is one piece holding only the end id; a null
 id and repeated rows are packed like any row; other columns are ignored.
 """
@@ -36,10 +39,10 @@ PIECES = "doc_id long, piece int, start long, length long, ids_crc32 long"
 
 
 def cut_pieces(docs: DataFrame, path: str, capacity: int = CAPACITY, end_id: int = END_ID, id_col: str = "doc_id",
-               text_col: str = "text", keep_ids: bool = False) -> DataFrame:
+               text_col: str = "text", keep_ids: bool = False, group_col: str | None = None) -> DataFrame:
     """Encode each text, add ``end_id``, cut it so that only the first piece is shorter than ``capacity``.
 
-    ``doc_id, piece, start, length, ids_crc32`` and, with ``keep_ids``, ``ids``.
+    ``doc_id, piece, start, length, ids_crc32`` and, with ``keep_ids``, ``ids``, and with ``group_col`` that column as text.
     """
     prepare_python(docs.sparkSession)
 
@@ -54,17 +57,23 @@ def cut_pieces(docs: DataFrame, path: str, capacity: int = CAPACITY, end_id: int
                 first = len(own) % capacity or capacity
                 edges = [0, *range(first, len(own) + 1, capacity)]
                 rows += [(doc, k, a, own[a:b]) for k, (a, b) in enumerate(zip(edges[:-1], edges[1:], strict=True))]
-            out = [pa.array([r[0] for r in rows], pa.int64()), pa.array([r[1] for r in rows], pa.int32()),
+            out = [pa.array([r[0]["id"] if group_col else r[0] for r in rows], pa.int64()), pa.array([r[1] for r in rows], pa.int32()),
                    pa.array([r[2] for r in rows], pa.int64()), pa.array([len(r[3]) for r in rows], pa.int64()),
                    pa.array([zlib.crc32(r[3].tobytes()) for r in rows], pa.int64())]
             names = ["doc_id", "piece", "start", "length", "ids_crc32"]
             if keep_ids:
                 out.append(pa.array([r[3].astype(np.int32) for r in rows], pa.list_(pa.int32())))
                 names.append("ids")
+            if group_col:
+                out.append(pa.array([r[0]["group"] for r in rows], pa.string()))
+                names.append(group_col)
             yield pa.RecordBatch.from_arrays(out, names)
 
-    rows = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).cast("string").alias("text"))
-    return rows.mapInArrow(run, PIECES + (", ids array<int>" if keep_ids else ""))
+    own = F.col(id_col).cast("long").alias("id")
+    if group_col:
+        own = F.struct(own, F.col(group_col).cast("string").alias("group")).alias("id")
+    rows = docs.select(own, F.col(text_col).cast("string").alias("text"))
+    return rows.mapInArrow(run, PIECES + (", ids array<int>" if keep_ids else "") + (f", `{group_col}` string" if group_col else ""))
 
 
 def fullest(space: int, counts: dict[int, int]) -> list[int]:
@@ -130,33 +139,44 @@ def plan_places(plan: list[tuple[int, list[int]]]) -> list[tuple[int, int, int,
     return out
 
 
-def pack(pieces: DataFrame, capacity: int = CAPACITY) -> DataFrame:
+def pack(pieces: DataFrame, capacity: int = CAPACITY, group_col: str | None = None) -> DataFrame:
     """Add ``sequence_id`` and ``offset`` to pieces that have ``doc_id, piece, length`` (1 to ``capacity``)."""
     spark = pieces.sparkSession
     held = shared_table(pieces, "pieces")
-    histogram = {r[0]: r[1] for r in held.groupBy("length").count().collect()}  # at most ``capacity`` rows
-    places = spark.createDataFrame(plan_places(plan_bins(histogram, capacity)) or [(0, 0, 0, 1, 0, 0)],
-                                   "length long, low long, high long, uses long, first_bin long, first_offset long")
-    buckets = max(LEAST_BUCKETS, sum(histogram.values()) // BUCKET_ROWS)
-    put = held.withColumn("bucket", F.pmod(F.xxhash64("doc_id", "piece", "start"), F.lit(buckets)))
-    counts = put.groupBy("length", "bucket").agg(F.count(F.lit(1)).alias("n"))
-    before = Window.partitionBy("length").orderBy("bucket").rowsBetween(Window.unboundedPreceding, -1)
-    counts = counts.select("length", "bucket", F.coalesce(F.sum("n").over(before), F.lit(0)).alias("base"))
-    own = Window.partitionBy("length", "bucket").orderBy("doc_id", "piece", "start", "ids_crc32")
-    ranked = put.withColumn("own", F.row_number().over(own) - 1).join(counts, ["length", "bucket"])
+    group = F.col(group_col) if group_col else F.lit(None).cast("string")
+    histograms: dict[str | None, dict[int, int]] = {}  # at most ``capacity`` rows a group
+    for r in held.groupBy(group.alias("group"), "length").agg(F.count(F.lit(1)).alias("n")).collect():
+        histograms.setdefault(r["group"], {})[r["length"]] = r["n"]
+    planned, bins = [], 0
+    for own in sorted(histograms, key=lambda g: (g is not None, g)):
+        plan = plan_bins(histograms[own], capacity)
+        planned += [(own, x, low, high, uses, bins + first, at) for x, low, high, uses, first, at in plan_places(plan)]
+        bins += sum(times for times, _ in plan)
+    places = spark.createDataFrame(planned or [(None, 0, 0, 0, 1, 0, 0)],
+                                   "group string, length long, low long, high long, uses long, first_bin long, first_offset long")
+    buckets = max(LEAST_BUCKETS, sum(n for h in histograms.values() for n in h.values()) // BUCKET_ROWS)
+    put = held.withColumn("_group", group).withColumn("bucket", F.pmod(F.xxhash64("doc_id", "piece", "start"), F.lit(buckets)))
+    counts = put.groupBy("_group", "length", "bucket").agg(F.count(F.lit(1)).alias("n"))
+    before = Window.partitionBy("_group", "length").orderBy("bucket").rowsBetween(Window.unboundedPreceding, -1)
+    counts = counts.select(F.col("_group").alias("_of"), F.col("length").alias("_length"), F.col("bucket").alias("_bucket"),
+                           F.coalesce(F.sum("n").over(before), F.lit(0)).alias("base"))
+    own = Window.partitionBy("_group", "length", "bucket").orderBy("doc_id", "piece", "start", "ids_crc32")
+    ranked = put.withColumn("own", F.row_number().over(own) - 1).join(
+        counts, F.col("_group").eqNullSafe(F.col("_of")) & (F.col("length") == F.col("_length")) & (F.col("bucket") == F.col("_bucket")))
     ranked = ranked.withColumn("rank", F.col("base") + F.col("own"))
     p = F.broadcast(places).alias("p")  # bounded by the capacity: see the module text
     r = ranked.alias("r")
-    found = r.join(p, (F.col("r.length") == F.col("p.length")) & (F.col("rank") >= F.col("low")) & (F.col("rank") < F.col("high")))
+    found = r.join(p, F.col("r._group").eqNullSafe(F.col("p.group")) & (F.col("r.length") == F.col("p.length"))
+                   & (F.col("rank") >= F.col("low")) & (F.col("rank") < F.col("high")))
     at = F.col("rank") - F.col("low")
-    return found.select(*[F.col(f"r.{c}") for c in pieces.columns],
+    return found.select(*[F.col(f"r.`{c}`") for c in pieces.columns],
                         (F.col("first_bin") + F.floor(at / F.col("uses"))).cast("long").alias("sequence_id"),
                         (F.col("first_offset") + F.pmod(at, F.col("uses")) * F.col("r.length")).cast("long").alias("offset"))
 
 
 def pack_documents(docs: DataFrame, path: str, capacity: int = CAPACITY, end_id: int = END_ID, id_col: str = "doc_id",
-                   text_col: str = "text", keep_ids: bool = False) -> DataFrame:
-    return pack(cut_pieces(docs, path, capacity, end_id, id_col, text_col, keep_ids), capacity)
+                   text_col: str = "text", keep_ids: bool = False, group_col: str | None = None) -> DataFrame:
+    return pack(cut_pieces(docs, path, capacity, end_id, id_col, text_col, keep_ids, group_col), capacity, group_col)
 
 
 def default_path() -> str:
