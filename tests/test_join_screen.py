@@ -54,3 +54,13 @@ def test_pruned_columns_stay_out_of_the_join(spark, sides):
     assert ("customer", "customer_id") in {(r.left_column, r.right_column) for r in found} and all(r.overlap >= 0.5 for r in found)
     empty = left.where("false")
     assert J.candidate_stats(empty, ["customer"], right, ["customer_id"], 0.5).collect() == []
+
+
+def test_sample_numbers_few_keys(spark):
+    """Of a column's keys only about twice the sample come to the window that numbers them, in one task a column."""
+    left = spark.range(400_000).select(F.col("id").alias("a"))
+    screened = J.screen_pairs(J.key_histogram(left, ["a"]), J.key_histogram(left, ["a"]))
+    assert [(r.sampled, r.found, r.kept) for r in screened.collect()] == [(J.SAMPLE, J.SAMPLE, True)]
+    plan = screened._jdf.queryExecution().optimizedPlan().toString()
+    below = plan[plan.index("Window [row_number"):]
+    assert "_upto" in below.split("\n")[1] + below.split("\n")[2] + below.split("\n")[3]
