@@ -69,7 +69,7 @@ def test_language_decides_what_follows(spark, docs):
     words = {"aa": "kala mano tiru sene kolo maka lano", "bb": "grox zwift plunk brast vlimp skrent drogg"}
     line = lambda lang, k: " ".join(words[lang].split()[(k * i + i // 3) % 7] for i in range(1, 20))
     rows = [(k, line(lang, k), lang) for k in range(60) for lang in [("aa", "bb")[k % 2]]]
-    rows += [(200, line("aa", 5), None), (201, line("bb", 4), "aa"), (202, "漢字仮名交文書語言學習測試" * 8, "aa")]
+    rows += [(200, line("aa", 5), None), (201, line("bb", 4), "aa"), (202, "漢字仮名交文書語言學習測試" * 8, None)]
     frame = docs(rows).select("doc_id", "text", "lang", "source", "n_chars")
     found = corpus_pipeline.language_id(spark, frame, "")
     assert found.schema == frame.schema
