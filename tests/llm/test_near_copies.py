@@ -114,6 +114,61 @@ def test_second_round_finds_links_that_leaders_miss(docs, monkeypatch):
     checked(docs, rows)
 
 
+def kept_tables(monkeypatch, *names):
+    """name -> rows of the tables of those names that ``meet`` writes from now on, in order."""
+    seen, write = {name: [] for name in names}, meet.shared_table
+
+    def shared(df, name):
+        out = write(df, name)
+        if name in seen:
+            seen[name].append(out.count())
+        return out
+
+    monkeypatch.setattr(meet, "shared_table", shared)
+    return seen
+
+
+def test_groups_below_the_threshold_give_no_pair_a_key(docs, monkeypatch):
+    """Two groups whose texts share many keys and are not linked: no row for each pair and key when every pair is asked for."""
+    rng = random.Random(4)
+    base = [f"v{i}" for i in range(1200)]
+    rows = []
+    for group in range(2):
+        text = [f"g{i}" for i in range(105)] + base[105:] if group else list(base)
+        for k in range(7):
+            own = list(text)
+            own[rng.randrange(200, 1200)] = f"n{rng.randrange(10**6)}"
+            rows.append((group * 100 + k, " ".join(own)))
+    seen = kept_tables(monkeypatch, "met")
+    checked(docs, rows)
+    assert len(seen["met"]) == 2 and seen["met"][1] <= 7 * 7
+
+
+def test_one_of_the_keys_that_hold_the_same_nodes(spark):
+    rows = [(k, n, 1, 1) for k in (5, 3, 9) for n in (1, 2, 3)] + [(4, n, 1, 1) for n in (1, 2)] + [(6, n, 1, 1) for n in (1, 4)]
+    got = meet._one_key_a_set(spark.createDataFrame(rows, "key long, node long, low long, comp long")).collect()
+    assert sorted((r.key, r.node) for r in got) == [(3, 1), (3, 2), (3, 3), (4, 1), (4, 2), (6, 1), (6, 4)]
+
+
+@pytest.mark.parametrize("groups", [ngram_join.DIMENSIONS, ngram_join.FINE])
+def test_screen_keeps_every_linked_pair_of_two_components(groups):
+    rng = np.random.default_rng(9)
+    whole = rng.integers(0, 2**63, 400).astype(np.uint64)
+    sets = [np.unique(np.concatenate([rng.permutation(whole)[int(rng.integers(0, 60)):],
+                                      rng.integers(0, 2**63, int(rng.integers(0, 30))).astype(np.uint64)])) for _ in range(40)]
+    sizes, comp = np.array([len(s) for s in sets]), rng.integers(0, 4, 40)
+    points = np.stack([ngram_join.point(s, groups) for s in sets])
+    side = np.arange(40) % 2
+    for same in (True, False):
+        i, j, _ = ngram_join.screen(sizes, comp, side, points, same)
+        got = {(min(p), max(p)) for p in zip(i.tolist(), j.tolist(), strict=True)}
+        assert all(comp[a] != comp[b] and (same or side[a] != side[b]) for a, b in got) and len(got) == len(i)
+        for a, b in combinations(range(40), 2):
+            both = len(np.intersect1d(sets[a], sets[b]))
+            if comp[a] != comp[b] and (same or side[a] != side[b]) and 100 * both >= 85 * (sizes[a] + sizes[b] - both):
+                assert (a, b) in got
+
+
 def test_every_linked_pair_shares_a_key():
     rng = np.random.default_rng(5)
     bands = ngram_join.Bands()

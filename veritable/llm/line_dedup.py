@@ -169,15 +169,16 @@ def line_points(each: DataFrame) -> DataFrame:
     return each.select("node", "line").mapInArrow(run, "node long, size long, point array<int>, extra string")
 
 
-def screen(sizes: np.ndarray, side: np.ndarray, points: np.ndarray, same: bool
+def screen(sizes: np.ndarray, comp: np.ndarray, side: np.ndarray, points: np.ndarray, same: bool
            ) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Index pairs of a task group whose signatures agree in at least ``AGREE`` places, with that number."""
+    """Index pairs of a task group, of different components, whose signatures agree in at least ``AGREE`` places, with that number."""
     left = np.arange(len(sizes)) if same else np.flatnonzero(side == 0)
     right = left if same else np.flatnonzero(side == 1)
     a, b, n = [np.empty(0, np.int64)], [np.empty(0, np.int64)], [np.empty(0, np.int64)]
     for j in right:
         agree = (points[left] == points[j]).sum(axis=1)
         near = agree >= AGREE
+        near &= comp[left] != comp[j]
         if same:
             near &= left < j
         a.append(left[near])
@@ -245,7 +246,7 @@ def line_components(docs: DataFrame) -> DataFrame:
         side = {c: found.select(F.col("node").alias(c), F.col("line").alias(f"line_{c}")) for c in ("a", "b")}
         return verified(held.join(side["a"], "a").join(side["b"], "b"))
 
-    def points(nodes: DataFrame) -> DataFrame:
+    def points(nodes: DataFrame, every: bool) -> DataFrame:
         return line_points(texts_of(nodes))
 
     return meet.components(line_keys(docs), verify, points, screen, joining)

@@ -23,6 +23,10 @@ key:
 Where links are verified inside the task groups, one round takes all pairs, and
 two nodes are compared at the smallest key they share.
 
+Two similar nodes often share many keys, and most of these hold the same nodes.
+Of the keys that hold the same nodes (equal number and two equal 64-bit sums of
+hashes) a round takes the smallest one, so that a pair is not found once a key.
+
 No key, however common, is held by one task: leaders come from a window whose
 buffer spills, and tiles are bounded.
 """
@@ -49,7 +53,7 @@ TOP = 4
 NUMBERS = ("key", "t1", "t2", "tile", "node", "low", "comp", "size")
 
 Local = Callable[[np.ndarray, np.ndarray, list[str], np.ndarray, np.ndarray, np.ndarray], tuple[np.ndarray, np.ndarray]]
-Screen = Callable[[np.ndarray, np.ndarray, np.ndarray, bool], tuple[np.ndarray, np.ndarray, np.ndarray]]
+Screen = Callable[[np.ndarray, np.ndarray, np.ndarray, np.ndarray, bool], tuple[np.ndarray, np.ndarray, np.ndarray]]
 
 
 def only(df: DataFrame, ids: DataFrame, column: str) -> DataFrame:
@@ -59,15 +63,17 @@ def only(df: DataFrame, ids: DataFrame, column: str) -> DataFrame:
     return df.join(F.broadcast(ids) if few else ids, column, "left_semi")
 
 
-def components(keys: DataFrame, verify: Callable[[DataFrame], DataFrame], points: Callable[[DataFrame], DataFrame],
+def components(keys: DataFrame, verify: Callable[[DataFrame], DataFrame], points: Callable[[DataFrame, bool], DataFrame],
                screen: Screen, local: Local | None = None) -> DataFrame:
     """(node, component) of all nodes with a link.
 
     ``verify`` takes pairs (a, b) and returns the linked ones. ``points`` takes
-    distinct nodes and returns (node, size, point array). ``screen(sizes, side, points, same)`` returns
-    the index pairs of a task group that may be linked, with a score (higher:
-    more promising); ``side`` is 0 for the rows of the first tile and 1 for
-    those of the second. With ``local``, ``points`` also gives a string
+    distinct nodes, and whether every pair is asked for, and returns (node,
+    size, point array); the points may be finer where every pair is.
+    ``screen(sizes, comp, side, points, same)`` returns the index pairs of a
+    task group that lie in different components and may be linked, with a score
+    (higher: more promising); ``side`` is 0 for the rows of the first tile and
+    1 for those of the second. With ``local``, ``points`` also gives a string
     ``extra``, and ``local(node, comp, extra, i, j, score)`` verifies the
     screened pairs inside the task and returns the links that join two
     components there: then one later round does it all, and only links leave
@@ -84,11 +90,14 @@ def components(keys: DataFrame, verify: Callable[[DataFrame], DataFrame], points
         own = own.join(found, "node", "left").select("key", "node", "low", F.coalesce("component", "node").alias("comp"))
         spread = own.withColumn("c1", F.min("comp").over(both)).withColumn("c2", F.max("comp").over(both))
         left = shared_table(spread.where("c1 <> c2").select("key", "node", "low", "comp"), "left")
+        if crowded is None:
+            left = _one_key_a_set(left)
         if left.isEmpty():
             break
         met = shared_table(_candidates(left, points, screen, top, local), "met")
         pairs = met.select("a", "b").distinct()
         if tested is not None:
+            pairs = shared_table(pairs, "pairs")  # distinct first: Spark would put it after the join
             pairs = pairs.join(tested, ["a", "b"], "left_anti")
         tested = shared_table(pairs, "tested")
         more = tested if local is not None else shared_table(verify(tested), "links")
@@ -103,19 +112,29 @@ def _closed(links: DataFrame) -> DataFrame:
     return shared_table(connected_components(links.select(F.col("a").alias("src"), F.col("b").alias("dst"))), "found")
 
 
+def _one_key_a_set(rows: DataFrame) -> DataFrame:
+    """The rows (key, node, ..) of one key, the smallest, of those that hold the same nodes."""
+    held = rows.groupBy("key").agg(F.count(F.lit(1)).alias("n"), F.bit_xor(F.xxhash64("node")).alias("x"),
+                                   F.bit_xor(F.xxhash64("node", F.lit(1))).alias("y"))
+    kept = held.groupBy("n", "x", "y").agg(F.min("key").alias("key")).select("key")
+    return shared_table(only(rows, kept, "key"), "left")
+
+
 def _candidates(left: DataFrame, points, screen: Screen, top: int | None, local: Local | None) -> DataFrame:
     """(key, a, b, more) of the tiles of every key: of each two components the ``top`` most promising pairs, all, or the links.
 
     ``more``: the group holds further pairs of these components.
     """
     both = Window.partitionBy("key")
-    rows = left.join(points(left.select("node").distinct()), "node")
+    held = shared_table(points(left.select("node").distinct(), top is None), "points")
+    rows = left.join(held.select("node", "size"), "node")
     if local:  # a node has few keys where links are verified in the groups
-        rows = rows.join(left.groupBy("node").agg(F.collect_set("key").alias("keys")), "node")
+        held = held.join(left.groupBy("node").agg(F.collect_set("key").alias("keys")), "node")
     number = Window.partitionBy("key").orderBy("size", "node")
     rows = rows.withColumn("tile", F.floor((F.row_number().over(number) - 1) / TILE).cast("int"))
     rows = rows.withColumn("tiles", F.max("tile").over(both))
     rows = rows.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("tiles"))))
+    rows = rows.join(held.drop("size"), "node")
     rows = rows.select("key", F.least("tile", "other").alias("t1"), F.greatest("tile", "other").alias("t2"), "tile",
                        "node", "low", "comp", "size", "point", *(["keys", "extra"] if local else []))
     spots = rows.repartition("key", "t1", "t2").sortWithinPartitions("key", "t1", "t2", "tile", "node")
@@ -173,8 +192,8 @@ def _pairs(rows: dict[str, np.ndarray], screen: Screen, top: int | None, local:
     """(key, a, b, more) of a task group that pass the screen, lie in different components, and were not verified in round 1."""
     node, comp, low = rows["node"], rows["comp"], rows["low"]
     same = rows["t1"][0] == rows["t2"][0]
-    i, j, score = screen(rows["size"], (rows["tile"] != rows["t1"]).astype(int), rows["point"], same)
-    keep = (comp[i] != comp[j]) & (node[i] != low[i]) & (node[j] != low[j])
+    i, j, score = screen(rows["size"], comp, (rows["tile"] != rows["t1"]).astype(int), rows["point"], same)
+    keep = (node[i] != low[i]) & (node[j] != low[j])
     i, j, score = i[keep], j[keep], score[keep]
     more = np.zeros(len(i), bool)
     if top is not None and len(i):

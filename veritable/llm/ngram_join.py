@@ -41,6 +41,8 @@ from veritable.llm.common import connected_components, free_name, prepare_python
 
 WORDS, PER_CENT = 4, 85
 DIMENSIONS, FAN = 128, 16
+#: Groups of the points by which every pair of a crowded key is screened, and such pairs weighed at a time.
+FINE, PAIRS = 8 * DIMENSIONS, 4096
 LOWER = bytes.maketrans(b"ABCDEFGHIJKLMNOPQRSTUVWXYZ", b"abcdefghijklmnopqrstuvwxyz")
 _RANDOM = np.random.default_rng(20240607).integers(0, 2**63, 256, np.uint64) * np.uint64(2) + np.uint64(1)
 _STEP, _FOLD = np.uint64(0x9E3779B97F4A7C15), np.uint64(0xD6E8FEB86659FD93)
@@ -96,9 +98,9 @@ def set_id(s: np.ndarray) -> int:
     return int(np.array(xxhash.xxh3_64_intdigest(s.tobytes()), np.uint64).view(np.int64))
 
 
-def point(s: np.ndarray) -> np.ndarray:
+def point(s: np.ndarray, groups: int = DIMENSIONS) -> np.ndarray:
     """Shingles in each group. (32 bits: a text has fewer than 2^31 bytes.)"""
-    return np.bincount((mixed(s) % np.uint64(DIMENSIONS)).astype(np.int64), minlength=DIMENSIONS).astype(np.int32)
+    return np.bincount((mixed(s) % np.uint64(groups)).astype(np.int64), minlength=groups).astype(np.int32)
 
 
 def needed(a, b):
@@ -184,28 +186,37 @@ class CountRTree:
         return query, self.order[found]
 
 
-def screen(sizes: np.ndarray, side: np.ndarray, points: np.ndarray, same: bool
+def screen(sizes: np.ndarray, comp: np.ndarray, side: np.ndarray, points: np.ndarray, same: bool
            ) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Index pairs of a task group that the count bound cannot rule out, with the bound's share of the larger size.
+    """Index pairs of a task group, of different components, that the count bound cannot rule out, with its share of the larger size.
 
-    One side's points are in the tree, the other side's are the queries.
+    One side's points are in the tree, the other side's are the queries. Finer
+    points are searched by their sums in ``DIMENSIONS`` groups; then the pairs
+    are weighed by all their counts.
     """
     sizes = sizes.astype(np.int64)
     left = np.arange(len(sizes)) if same else np.flatnonzero(side == 0)
     right = left if same else np.flatnonzero(side == 1)
     if not len(left) or not len(right):
         return np.empty(0, np.int64), np.empty(0, np.int64), np.empty(0)
+    whole, points = points, points.reshape(len(points), -1, DIMENSIONS).sum(axis=1, dtype=points.dtype)
     tree = CountRTree(sizes[left], points[left])
     a, b = [], []
     for at in range(0, len(right), FAN):
         some = right[at:at + FAN]
         query, hits = tree.search_all(sizes[some], points[some])
         j, hits = some[query], left[hits]
-        keep = hits < j if same else slice(None)
+        keep = comp[hits] != comp[j]
+        if same:
+            keep &= hits < j
         a.append(hits[keep])
         b.append(j[keep])
     i, j = np.concatenate(a), np.concatenate(b)
-    return i, j, np.minimum(points[i], points[j]).sum(axis=1, dtype=np.int64) / np.maximum(sizes[i], sizes[j])
+    bound = np.concatenate([np.empty(0, np.int64), *(
+        np.minimum(whole[i[at:at + PAIRS]], whole[j[at:at + PAIRS]]).sum(axis=1, dtype=np.int64) for at in range(0, len(i), PAIRS))])
+    keep = bound >= needed(sizes[i], sizes[j])
+    i, j = i[keep], j[keep]
+    return i, j, bound[keep] / np.maximum(sizes[i], sizes[j])
 
 
 def overlap_bound(a: Column, b: Column) -> Column:
@@ -229,6 +240,20 @@ def document_sets(docs: DataFrame) -> DataFrame:
     return docs.mapInArrow(run, "id long, node long, size long, counts array<int>")
 
 
+def fine_points(docs: DataFrame) -> DataFrame:
+    """(node, point) of every (id, text) row with a set: its shingles in each of ``FINE`` groups."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for _, texts in text_chunks(batches, "id", "text", 2 << 20):
+            sets = [s for s in shingle_sets(texts) if len(s)]
+            counts = np.concatenate([np.empty(0, np.int32), *(point(s, FINE) for s in sets)])
+            yield pa.RecordBatch.from_arrays(
+                [pa.array([set_id(s) for s in sets], pa.int64()), pa.ListArray.from_arrays(
+                    pa.array(np.arange(0, len(counts) + 1, FINE, dtype=np.int32)), pa.array(counts))], ["node", "point"])
+
+    return docs.select("id", "text").mapInArrow(run, "node long, point array<int>")
+
+
 def set_keys(docs: DataFrame) -> DataFrame:
     """(key, node): signatures of every distinct set; copies that meet in a task sign once."""
 
@@ -291,8 +316,12 @@ def join(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> Dat
         texts = {c: texts.select(F.col("id").alias(f"rep_{c}"), F.col("text").alias(f"text_{c}")) for c in ("a", "b")}
         return verified(near.join(texts["a"], "rep_a").join(texts["b"], "rep_b").select("a", "text_a", "b", "text_b")).distinct()
 
-    def points(some: DataFrame) -> DataFrame:
-        return nodes.select("node", "size", F.col("counts").alias("point"))
+    def points(some: DataFrame, every: bool) -> DataFrame:
+        if not every:
+            return nodes.join(some, "node", "left_semi").select("node", "size", F.col("counts").alias("point"))
+        chosen = shared_table(nodes.join(some, "node", "left_semi").select("node", "size", "rep"), "chosen")
+        texts = meet.only(there, chosen.select(F.col("rep").alias("id")).distinct(), "id")
+        return chosen.select("node", "size").join(fine_points(texts), "node").dropDuplicates(["node"])
 
     linked = meet.components(set_keys(there), verify, points, screen)
     linked = shared_table(linked.join(nodes.select("node", "rep"), "node"), "linked")
