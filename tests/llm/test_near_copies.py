@@ -300,6 +300,45 @@ def test_linked_lines_share_a_band():
     assert n > 100 and missed <= 0.02 * n
 
 
+def test_pairs_of_lines_are_weighed_as_their_sets():
+    rng = random.Random(6)
+    line = lambda n: "".join(rng.choice("abé😀 ") for _ in range(n))
+    left = [line(rng.randint(20, 300)) for _ in range(400)] + ["a" * 20, "ab" * 500]
+    right = [x[:len(x) // 2] + line(rng.randint(0, 1 + len(x) // 9)) + x[len(x) // 2:] for x in left[:-2]] + ["a" * 90, "ba" * 400]
+    plain = [line_dedup.alike(line_dedup.shingles(x), line_dedup.shingles(y)) for x, y in zip(left, right, strict=True)]
+    assert line_dedup.alike_pairs(left, right).tolist() == plain and 50 < sum(plain) < 380
+
+
+@pytest.mark.parametrize("n", [1, 12, 200])
+def test_lines_of_one_component_are_not_compared(n):
+    rng = np.random.default_rng(n)
+    points = rng.integers(-2**31, 2**31, (n, 80)).astype(np.int32)
+    points[n // 2:] = points[:n - n // 2]
+    points[n // 2:, :28] += rng.integers(0, 2, (n - n // 2, 28)).astype(np.int32)
+    comp, side, sizes = rng.choice([0, 0, 0, 1, 2], n), rng.integers(0, 2, n), np.ones(n, np.int64)
+    for same in (True, False):
+        i, j, agree = line_dedup.screen(sizes, comp, side, points, same)
+        got = sorted((min(a, b), max(a, b), m) for a, b, m in zip(i.tolist(), j.tolist(), agree.tolist(), strict=True))
+        plain = [(a, b, int((points[a] == points[b]).sum())) for a, b in combinations(range(n), 2)
+                 if comp[a] != comp[b] and (same or side[a] != side[b])]
+        assert got == [p for p in plain if p[2] >= line_dedup.AGREE]
+
+
+def test_normal_form_of_odd_white_space():
+    for x in (" a  B ", "a\tb", "a\u3000B", "A b\u2028", "\x1fa", "a\u200bb", "İ  Σ", "", " ", "\xa0", "plain Line"):
+        assert line_dedup.normal(x) == " ".join(x.split()).lower()
+
+
+def test_texts_of_lines_are_taken_once(docs, monkeypatch):
+    calls, own = [], line_dedup.line_texts
+    monkeypatch.setattr(line_dedup, "line_texts", lambda rows: calls.append(1) or own(rows))
+    seen = kept_tables(monkeypatch, "met")
+    rows = line_rows()
+    got = line_dedup.dedup_lines(docs(rows)).collect()
+    assert sorted(((r.doc_id, r.text, r.n_lines, r.n_dropped) for r in got), key=str) == plain_dedup(rows)
+    assert len(calls) == 1 and len(seen["met"]) == 1  # the later round took the texts that were held
+
+
 @pytest.mark.parametrize("column", ["node", "key", "row"])
 def test_clashing_names(docs, column):
     frame = docs([(1, "one line of text that is long enough")]).withColumn(column, F.lit("z"))

@@ -39,13 +39,18 @@ BANDS, HASHES = 16, 5
 AGREE = 52
 #: Characters whose hashes are worked on at a time: they stay in a core's cache.
 PART = 1 << 16
+#: Rows of a tile that are compared with all of another tile at a time, and rows up to which a task group's pairs are taken at once.
+BLOCK, SMALL = 64, 48
 _RNG = np.random.default_rng(20240611)
 _ODD = _RNG.integers(0, 2**31, BANDS * HASHES, np.uint32) * np.uint32(2) + np.uint32(1)
 _STEP = np.uint64(0x9E3779B97F4A7C15)
+_SIZES = [1 << k for k in range(SHINGLE.bit_length() - 1)]  # SHINGLE is a power of two
 
 
 def normal(line: str) -> str:
-    return " ".join(line.split()).lower()
+    if "  " in line or not line.isprintable() or line[:1] == " " or line[-1:] == " ":  # the only printable white space is the blank
+        line = " ".join(line.split())
+    return line.lower()
 
 
 def line_id(line: str) -> int:
@@ -88,21 +93,26 @@ def line_texts(docs: DataFrame) -> DataFrame:
     return docs.select("text").mapInArrow(run, "node long, line string")
 
 
-def signatures(texts: list[str]) -> np.ndarray:
-    """Min-wise hashes of each text's character shingles, one row a text (uint32)."""
-    cp = np.frombuffer("".join(texts).encode("utf-32-le"), np.uint32).astype(np.uint64)
+def shingle_hashes(texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
+    """(64-bit hash of every character shingle in order, shingles of each text); every text has one at least."""
+    h = np.frombuffer("".join(texts).encode("utf-32-le"), np.uint32).astype(np.uint64)
+    inside = np.ones(len(h), bool)
     sizes = np.array([len(t) for t in texts], np.int64)
-    n = len(cp) - SHINGLE + 1
-    h = np.zeros(n, np.uint64)
-    for k in range(SHINGLE):
-        h = h * _STEP + cp[k:k + n]
-    h = (mixed(h) >> np.uint64(32)).astype(np.uint32)
-    start = np.cumsum(sizes) - sizes
-    own = sizes - SHINGLE + 1  # every text has at least one shingle
-    inside = np.ones(n + SHINGLE - 1, bool)
+    ends = np.cumsum(sizes)
     for k in range(1, SHINGLE):
-        inside[start + sizes - k] = False
+        inside[ends - k] = False
+    for size in _SIZES:  # from the hashes of so many characters to those of twice as many
+        longer = h[:-size] * np.uint64(pow(int(_STEP), size, 1 << 64))
+        longer += h[size:]
+        h = longer
     h = h[np.flatnonzero(inside)]
+    return mixed(h), sizes - SHINGLE + 1
+
+
+def signatures(texts: list[str]) -> np.ndarray:
+    """Min-wise hashes of each text's character shingles, one row a text (uint32)."""
+    h, own = shingle_hashes(texts)
+    h = (h >> np.uint64(32)).astype(np.uint32)
     at = np.cumsum(own) - own
     out, turned = np.empty((len(_ODD), len(texts)), np.uint32), np.empty_like(h)
     for i, odd in enumerate(_ODD):  # each odd factor permutes the 32-bit hashes
@@ -113,13 +123,11 @@ def signatures(texts: list[str]) -> np.ndarray:
 
 def band_keys(signature: np.ndarray) -> np.ndarray:
     """One 64-bit key a band, one row a text."""
-    out = np.empty((len(signature), BANDS), np.uint64)
-    for band in range(BANDS):
-        key = np.full(len(signature), band + 1, np.uint64)
-        for k in range(band * HASHES, (band + 1) * HASHES):
-            key = mixed(key * _STEP + signature[:, k])
-        out[:, band] = key
-    return out.view(np.int64)
+    bands = np.ascontiguousarray(signature.T).reshape(BANDS, HASHES, len(signature))
+    key = np.repeat(np.arange(1, BANDS + 1, dtype=np.uint64)[:, None], len(signature), axis=1)
+    for k in range(HASHES):
+        key = mixed(key * _STEP + bands[:, k])
+    return np.ascontiguousarray(key.T).view(np.int64)
 
 
 def _parts(nodes: list[int], texts: list[str], limit: int = PART) -> Iterator[tuple[list[int], list[str]]]:
@@ -171,20 +179,46 @@ def line_points(each: DataFrame) -> DataFrame:
 
 def screen(sizes: np.ndarray, comp: np.ndarray, side: np.ndarray, points: np.ndarray, same: bool
            ) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Index pairs of a task group, of different components, whose signatures agree in at least ``AGREE`` places, with that number."""
+    """Index pairs of a task group, of different components, whose signatures agree in at least ``AGREE`` places, with that number.
+
+    Of two such nodes one at least is outside the group's largest component, so
+    that component's rows are not compared with each other. The low bytes of
+    the signatures, which agree at least as often, are compared first.
+    """
+    if len(sizes) <= SMALL:
+        i, j = np.nonzero(comp[:, None] != comp)
+        keep = i < j if same else side[i] < side[j]
+        i, j = i[keep], j[keep]
+        agree = (points[i] == points[j]).sum(axis=1)
+        keep = agree >= AGREE
+        return i[keep], j[keep], agree[keep]
+    _, own, many = np.unique(comp, return_inverse=True, return_counts=True)
+    rare = own != many.argmax()
     left = np.arange(len(sizes)) if same else np.flatnonzero(side == 0)
     right = left if same else np.flatnonzero(side == 1)
-    a, b, n = [np.empty(0, np.int64)], [np.empty(0, np.int64)], [np.empty(0, np.int64)]
-    for j in right:
-        agree = (points[left] == points[j]).sum(axis=1)
-        near = agree >= AGREE
-        near &= comp[left] != comp[j]
-        if same:
-            near &= left < j
-        a.append(left[near])
-        b.append(np.full(int(near.sum()), j))
-        n.append(agree[near])
-    return np.concatenate(a), np.concatenate(b), np.concatenate(n)
+    blocks = [(left, right[rare[right]])] if same else [(left, right[rare[right]]), (left[rare[left]], right[~rare[right]])]
+    low = np.ascontiguousarray((points & 0xFF).astype(np.uint8).T)
+    a, b = [np.empty(0, np.int64)], [np.empty(0, np.int64)]
+    for some, others in blocks:
+        there = low[:, some]
+        for at in range(0, len(others) if len(some) else 0, BLOCK):
+            j = others[at:at + BLOCK]
+            agree = np.zeros((len(j), len(some)), np.uint8)
+            equal = np.empty(agree.shape, bool)
+            for x, y in zip(low[:, j], there, strict=True):
+                agree += np.equal(x[:, None], y, out=equal).view(np.uint8)
+            q, p = np.nonzero(agree >= AGREE)
+            a.append(some[p])
+            b.append(j[q])
+    i, j = np.concatenate(a), np.concatenate(b)
+    keep = own[i] != own[j]
+    if same:
+        keep &= (i < j) | ~rare[i]
+    i, j = i[keep], j[keep]
+    agree = np.concatenate([np.empty(0, np.int64), *((points[i[at:at + 4096]] == points[j[at:at + 4096]]).sum(axis=1)
+                                                     for at in range(0, len(i), 4096))])
+    keep = agree >= AGREE
+    return i[keep], j[keep], agree[keep]
 
 
 def shingles(line: str) -> set[str]:
@@ -196,14 +230,36 @@ def alike(x: set[str], y: set[str]) -> bool:
     return 100 * both >= PER_CENT * (len(x) + len(y) - both)
 
 
+def alike_pairs(left: list[str], right: list[str]) -> np.ndarray:
+    """``alike`` of the pairs of lines; at most 2^16 pairs. Shingles are compared by their hashes' upper 47 bits.
+
+    A pair so near the threshold that clashing hashes could decide is weighed by its shingles.
+    """
+    n = len(left)
+    h, many = shingle_hashes([*left, *right])
+    pair = np.repeat(np.tile(np.arange(n, dtype=np.uint64), 2), many) << np.uint64(48)
+    h = pair | (h >> np.uint64(17) << np.uint64(1))
+    h[int(many[:n].sum()):] |= np.uint64(1)  # the side
+    h.sort()
+    h = h[np.concatenate([[True], h[1:] != h[:-1]])]
+    shared = h[1:][(h[1:] ^ h[:-1]) == 1]
+    total, both = (np.bincount((x >> np.uint64(48)).astype(np.int64), minlength=n) for x in (h, shared))
+    margin = 100 * both - PER_CENT * (total - both)
+    out = margin >= 0
+    for k in np.flatnonzero(np.abs(margin) <= 400):
+        out[k] = alike(shingles(left[k]), shingles(right[k]))
+    return out
+
+
 def verified(pairs: DataFrame) -> DataFrame:
     """(a, b) of the rows (a, line_a, b, line_b) whose shingle sets are similar enough."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            both = zip(batch.column("line_a").to_pylist(), batch.column("line_b").to_pylist(), strict=True)
-            keep = pa.array([alike(shingles(x), shingles(y)) for x, y in both], pa.bool_())
-            yield pa.RecordBatch.from_arrays([batch.column("a"), batch.column("b")], ["a", "b"]).filter(keep)
+            for at in range(0, batch.num_rows, 32):
+                part = batch.slice(at, 32)
+                keep = alike_pairs(part.column("line_a").to_pylist(), part.column("line_b").to_pylist())
+                yield pa.RecordBatch.from_arrays([part.column("a"), part.column("b")], ["a", "b"]).filter(pa.array(keep))
 
     return pairs.select("a", "line_a", "b", "line_b").mapInArrow(run, "a long, b long")
 
@@ -237,17 +293,18 @@ def joining(node, comp, lines: list[str], i: np.ndarray, j: np.ndarray, score: n
 def line_components(docs: DataFrame) -> DataFrame:
     """(node, component) of all long lines of (text) that are linked with another one."""
 
-    def texts_of(nodes: DataFrame) -> DataFrame:
-        return meet.only(line_texts(docs), nodes, "node").dropDuplicates(["node"])
+    texts: list[DataFrame] = []
 
     def verify(pairs: DataFrame) -> DataFrame:
         held = shared_table(pairs, "pairs")
-        found = texts_of(held.select(F.explode(F.array("a", "b")).alias("node")).distinct())
+        nodes = held.select(F.explode(F.array("a", "b")).alias("node")).distinct()
+        found = shared_table(meet.only(line_texts(docs), nodes, "node").dropDuplicates(["node"]), "texts")
+        texts.append(found)
         side = {c: found.select(F.col("node").alias(c), F.col("line").alias(f"line_{c}")) for c in ("a", "b")}
         return verified(held.join(side["a"], "a").join(side["b"], "b"))
 
     def points(nodes: DataFrame, every: bool) -> DataFrame:
-        return line_points(texts_of(nodes))
+        return line_points(meet.only(texts[0], nodes, "node"))  # the first pairs hold every node that shares a key
 
     return meet.components(line_keys(docs), verify, points, screen, joining)
 

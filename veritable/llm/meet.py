@@ -80,8 +80,10 @@ def components(keys: DataFrame, verify: Callable[[DataFrame], DataFrame], points
     the tasks.
     """
     both = Window.partitionBy("key")
-    shared = keys.withColumn("low", F.min("node").over(both)).withColumn("high", F.max("node").over(both))
-    shared = shared_table(shared.where("low <> high").select("key", "node", "low").distinct(), "meet")
+    dealt = keys.repartition("key")  # most keys have one node: they are grouped by hash, and one shuffle serves both sides
+    several = dealt.groupBy("key").agg(F.min("node").alias("low"), F.max("node").alias("high")).where("low <> high")
+    shared = dealt.join(several.select("key", "low").hint("shuffle_hash"), "key")
+    shared = shared_table(shared.select("key", "node", "low").distinct(), "meet")
     first = shared.where("node <> low").select(F.col("low").alias("a"), F.col("node").alias("b")).distinct()
     links = shared_table(verify(first), "links")
     found, tested, crowded = _closed(links), None, None
