@@ -339,6 +339,58 @@ def test_texts_of_lines_are_taken_once(docs, monkeypatch):
     assert len(calls) == 1 and len(seen["met"]) == 1  # the later round took the texts that were held
 
 
+def test_only_shared_keys_become_rows(docs):
+    rows = line_rows()
+    frame = docs(rows)
+    keys = line_dedup.line_keys(frame.selectExpr("doc_id AS row", "doc_id AS id", "text"))
+    got = sorted(map(tuple, keys.distinct().collect()))
+    lines = sorted({line for _, text in rows for _, line in line_dedup._lines(text)})
+    held = {}
+    for line, band in zip(lines, line_dedup.band_keys(line_dedup.signatures(lines)).tolist(), strict=True):
+        for key in band:
+            held.setdefault(key, set()).add(line_dedup.line_id(line))
+    assert got == sorted((key, node) for key, nodes in held.items() if len(nodes) > 1 for node in nodes) and got
+    assert line_dedup.dedup_lines(frame).count() == len(rows)
+
+
+def test_keys_are_shared_over_many_batches(monkeypatch):
+    rng = np.random.default_rng(3)
+    key, node = rng.integers(0, 900, 5000), rng.integers(0, 60, 5000)
+    want = {}
+    for k, n in zip(key.tolist(), node.tolist(), strict=True):
+        want.setdefault(k, set()).add(n)
+    rest, got = (np.empty(0, np.int64), np.empty(0, np.int64), np.empty(0, bool)), []
+    for a in range(0, 5000, 250):
+        batches, rest = meet._several(rest, [np.stack([key[a:a + 250], node[a:a + 250]], axis=1)])
+        got += [x for b in batches for x in zip(b.column("key").to_pylist(), b.column("node").to_pylist(), strict=True)]
+        assert len(rest[0]) <= 900  # a row a key, however many nodes it has
+    assert set(got) == {(k, n) for k, nodes in want.items() if len(nodes) > 1 for n in nodes}
+    monkeypatch.setattr(meet, "PACK", 3)
+    packed = meet._packed([(key, node), (-key, node)], 7)
+    back = [(p, *map(tuple, np.frombuffer(x, np.int64).reshape(-1, 2).tolist())) for p, x in
+            zip(packed.column("part").to_pylist(), packed.column("pairs").to_pylist(), strict=True)]
+    assert sorted(y for _, *x in back for y in x) == sorted(zip([*key.tolist(), *(-key).tolist()], [*node.tolist()] * 2, strict=True))
+    assert all(k % (1 << 64) % 7 == p and len(x) <= 3 for p, *x in back for k, _ in x)
+
+
+def test_lines_of_many_pairs_are_weighed_as_their_sets(monkeypatch):
+    rng = random.Random(8)
+    lines = ["".join(rng.choice("abé😀 ") for _ in range(rng.randint(20, 200))) for _ in range(30)]
+    lines += [x[:-3] + "xyz" for x in lines] + [x + x[:9] for x in lines] + ["a" * 20, "a" * 90]
+    i, j = np.array(list(combinations(range(len(lines)), 2))).T
+    plain = [line_dedup.alike(line_dedup.shingles(lines[a]), line_dedup.shingles(lines[b])) for a, b in zip(i, j, strict=True)]
+    for cells in (1 << 22, 1 << 9):
+        monkeypatch.setattr(line_dedup, "CELLS", cells)
+        assert line_dedup.alike_among(lines, i, j).tolist() == plain and 30 < sum(plain) < 1000
+
+
+def test_normal_lines_of_whole_texts():
+    for x in ("a Line\nAnother ΣΑΣ\nΣ", "ΑΣ\nΑ", "İ x\nb", "a  b\nc", " a\nb", "a \nb", "a\n b", "a\tb\nc", "a\u3000b\nc", "a\r\nb", "\n\n", "a\x1fb", "é\xa0"):
+        plain, got = [line_dedup.normal(line) for line in x.split("\n")], line_dedup.normal_lines(x)
+        assert got is None or got == plain
+    assert line_dedup.normal_lines("A Line\n\nΑΣ\nΑé") == ["a line", "", "ας", "αé"]
+
+
 @pytest.mark.parametrize("column", ["node", "key", "row"])
 def test_clashing_names(docs, column):
     frame = docs([(1, "one line of text that is long enough")]).withColumn(column, F.lit("z"))

@@ -39,11 +39,14 @@ BANDS, HASHES = 16, 5
 AGREE = 52
 #: Characters whose hashes are worked on at a time: they stay in a core's cache.
 PART = 1 << 16
+#: Pairs of a task group that are verified at a time, and lines times shingles that are marked at a time.
+PAIRS, CELLS = 64, 1 << 22
 #: Rows of a tile that are compared with all of another tile at a time, and rows up to which a task group's pairs are taken at once.
 BLOCK, SMALL = 64, 48
 _RNG = np.random.default_rng(20240611)
 _ODD = _RNG.integers(0, 2**31, BANDS * HASHES, np.uint32) * np.uint32(2) + np.uint32(1)
 _STEP = np.uint64(0x9E3779B97F4A7C15)
+_WHITE = "\t\r\v\f\x1c\x1d\x1e\x1f"  # of ASCII, without blank and line end
 _SIZES = [1 << k for k in range(SHINGLE.bit_length() - 1)]  # SHINGLE is a power of two
 
 
@@ -53,44 +56,45 @@ def normal(line: str) -> str:
     return line.lower()
 
 
+def normal_lines(text: str) -> list[str] | None:
+    """``normal`` of all lines of a text at once, where no line has white space to be changed; else None."""
+    if "  " in text or " \n" in text or "\n " in text or text[:1] == " " or text[-1:] == " ":
+        return None
+    if any(c in text for c in _WHITE) if text.isascii() else not text.replace("\n", "").isprintable():
+        return None
+    low = text.lower()
+    return low.split("\n") if len(low) == len(text) else None
+
+
 def line_id(line: str) -> int:
     out = xxhash.xxh3_64_intdigest(line)
     return out - (1 << 64) if out >> 63 else out
 
 
-def _lines(text: str | None) -> Iterator[tuple[int, str]]:
+def _lines(text: str | None) -> list[tuple[int, str]]:
     """(place, normal form) of the lines that are long enough."""
-    if text:
-        for place, line in enumerate(text.split("\n")):
-            if len(line) >= LEAST and len(own := normal(line)) >= LEAST:
-                yield place, own
-
-
-def line_places(docs: DataFrame) -> DataFrame:
-    """(row, id, place, node) of the long lines of (row, id, text)."""
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            out: list[tuple] = []
-            for row, own, text in zip(*(batch.column(c).to_pylist() for c in ("row", "id", "text")), strict=True):
-                out += [(row, own, place, line_id(line)) for place, line in _lines(text)]
-            kinds = (pa.int64(), pa.int64(), pa.int32(), pa.int64())
-            cols = [pa.array([x[k] for x in out], kind) for k, kind in enumerate(kinds)]
-            yield pa.RecordBatch.from_arrays(cols, ["row", "id", "place", "node"])
-
-    return docs.select("row", "id", "text").mapInArrow(run, "row long, id long, place int, node long")
+    if not text:
+        return []
+    if (lines := normal_lines(text)) is not None:
+        return [(place, line) for place, line in enumerate(lines) if len(line) >= LEAST]
+    return [(place, own) for place, line in enumerate(text.split("\n")) if len(line) >= LEAST and len(own := normal(line)) >= LEAST]
 
 
 def line_texts(docs: DataFrame) -> DataFrame:
-    """(node, line): the long lines in normal form; equal lines that meet in a batch come once."""
+    """(row, id, place, node, line) of the long lines of (row, id, text); of equal lines that meet in a batch one has its text."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            found = {line_id(line): line for text in batch.column("text").to_pylist() for _, line in _lines(text)}
-            yield pa.RecordBatch.from_arrays([pa.array(list(found), pa.int64()), pa.array(list(found.values()), pa.string())],
-                                             ["node", "line"])
+            found = [_lines(text) for text in batch.column("text").to_pylist()]
+            doc = pa.array(np.repeat(np.arange(len(found)), [len(x) for x in found]))
+            nodes = [line_id(line) for x in found for _, line in x]
+            seen: set[int] = set()
+            lines = [None if n in seen else seen.add(n) or line for n, (_, line) in zip(nodes, (y for x in found for y in x), strict=True)]
+            yield pa.RecordBatch.from_arrays(
+                [batch.column("row").take(doc), batch.column("id").take(doc), pa.array([k for x in found for k, _ in x], pa.int32()),
+                 pa.array(nodes, pa.int64()), pa.array(lines, pa.string())], ["row", "id", "place", "node", "line"])
 
-    return docs.select("text").mapInArrow(run, "node long, line string")
+    return docs.select("row", "id", "text").mapInArrow(run, "row long, id long, place int, node long, line string")
 
 
 def shingle_hashes(texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
@@ -142,9 +146,9 @@ def _parts(nodes: list[int], texts: list[str], limit: int = PART) -> Iterator[tu
 
 
 def line_keys(docs: DataFrame) -> DataFrame:
-    """(key, node): band keys of the long lines of (text); equal lines that meet in a task give theirs once."""
+    """(key, node): the band keys that several long lines of (text) share; equal lines that meet in a task give theirs once."""
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[np.ndarray, np.ndarray]]:
         seen: set[int] = set()
         for batch in batches:
             fresh: dict[int, str] = {}
@@ -155,10 +159,9 @@ def line_keys(docs: DataFrame) -> DataFrame:
                         seen.add(node)
                         fresh[node] = line
             for own, part in _parts(list(fresh), list(fresh.values())):
-                keys = band_keys(signatures(part))
-                yield pa.RecordBatch.from_arrays([pa.array(keys.ravel()), pa.array(np.repeat(own, BANDS))], ["key", "node"])
+                yield band_keys(signatures(part)).ravel(), np.repeat(np.array(own, np.int64), BANDS)
 
-    return docs.select("text").mapInArrow(run, "key long, node long")
+    return meet.shared_keys(docs.select("text"), run)
 
 
 def line_points(each: DataFrame) -> DataFrame:
@@ -251,6 +254,34 @@ def alike_pairs(left: list[str], right: list[str]) -> np.ndarray:
     return out
 
 
+def alike_among(lines: list[str], i: np.ndarray, j: np.ndarray) -> np.ndarray:
+    """``alike`` of the index pairs (i, j) of at most 2^16 lines, by their hashes as in ``alike_pairs``; a line may be in many pairs."""
+    h, many = shingle_hashes(lines)
+    h = h >> np.uint64(16) << np.uint64(16) | np.repeat(np.arange(len(lines), dtype=np.uint64), many)
+    h.sort()
+    h = h[np.concatenate([[True], h[1:] != h[:-1]])]
+    line, h = (h & np.uint64(0xFFFF)).astype(np.int64), h >> np.uint64(16)
+    many = np.bincount(line, minlength=len(lines))
+    again = h[1:] == h[:-1]
+    keep = np.append(again, False) | np.append(False, again)
+    line, place = line[keep], np.cumsum(~np.append(False, again)[keep]) - 1  # shingles of several lines, numbered
+    both = np.zeros(len(i), np.int64)
+    wide = max(8, CELLS // len(lines))
+    for at in range(0, int(place[-1]) + 1 if len(place) else 0, wide):  # a bit a line and shingle
+        a, b = np.searchsorted(place, (at, at + wide))
+        held = np.zeros((len(lines), min(wide, int(place[-1]) + 1 - at)), bool)
+        held[line[a:b], place[a:b] - at] = True
+        bits = np.packbits(held, axis=1)
+        both += np.bitwise_count(bits[i] & bits[j]).sum(axis=1, dtype=np.int64)
+    margin = 100 * both - PER_CENT * (many[i] + many[j] - both)
+    out = margin >= 0
+    held: dict[int, set[str]] = {}
+    for k in np.flatnonzero(np.abs(margin) <= 400).tolist():
+        a, b = (held[x] if x in held else held.setdefault(x, shingles(lines[x])) for x in (int(i[k]), int(j[k])))
+        out[k] = alike(a, b)
+    return out
+
+
 def verified(pairs: DataFrame) -> DataFrame:
     """(a, b) of the rows (a, line_a, b, line_b) whose shingle sets are similar enough."""
 
@@ -274,39 +305,41 @@ def joining(node, comp, lines: list[str], i: np.ndarray, j: np.ndarray, score: n
             c = up[c]
         return c
 
-    held: dict[int, set[str]] = {}
-    out = []
-    for k in np.argsort(-score, kind="stable").tolist():
-        a, b = int(i[k]), int(j[k])
-        p, q = root(int(comp[a])), root(int(comp[b]))
-        if p == q:
-            continue
-        for n in (a, b):
-            if n not in held:
-                held[n] = shingles(lines[n])
-        if alike(held[a], held[b]):
-            up[p] = q
-            out.append(k)
+    sizes = np.array([len(x) for x in lines])
+    order, out = np.argsort(-score, kind="stable"), []
+    while len(order):  # some pairs at a time, by number and length; those of joined components need no look
+        n = max(1, min(PAIRS, int(np.searchsorted(np.cumsum(sizes[i[order]] + sizes[j[order]]), 4 * PART))))
+        some, order = order[:n], order[n:]
+        some = [k for k, c, d in zip(some.tolist(), comp[i[some]].tolist(), comp[j[some]].tolist(), strict=True) if root(c) != root(d)]
+        own, at = np.unique(np.concatenate([i[some], j[some]]), return_inverse=True)
+        for k in np.array(some, int)[alike_among([lines[x] for x in own.tolist()], *at.reshape(2, -1))].tolist() if some else ():
+            p, q = root(int(comp[i[k]])), root(int(comp[j[k]]))
+            if p != q:
+                up[p] = q
+                out.append(k)
     return i[out], j[out]
 
 
-def line_components(docs: DataFrame) -> DataFrame:
-    """(node, component) of all long lines of (text) that are linked with another one."""
+def line_components(docs: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """(node, component) of all long lines of (row, id, text) that are linked with another one; (row, id, place, node) of all."""
 
-    texts: list[DataFrame] = []
+    tables: dict[str, DataFrame] = {}
 
     def verify(pairs: DataFrame) -> DataFrame:
         held = shared_table(pairs, "pairs")
         nodes = held.select(F.explode(F.array("a", "b")).alias("node")).distinct()
-        found = shared_table(meet.only(line_texts(docs), nodes, "node").dropDuplicates(["node"]), "texts")
-        texts.append(found)
+        lines = meet.marked(line_texts(docs), nodes, "node", "known").withColumn("line", F.when(F.col("known"), F.col("line"))).drop("known")
+        tables["places"] = shared_table(lines, "places")  # one reading gives the places of all lines and the texts of some
+        some = tables["places"].where("line IS NOT NULL").select("node", "line")
+        found = tables["texts"] = shared_table(some.dropDuplicates(["node"]), "texts")
         side = {c: found.select(F.col("node").alias(c), F.col("line").alias(f"line_{c}")) for c in ("a", "b")}
         return verified(held.join(side["a"], "a").join(side["b"], "b"))
 
     def points(nodes: DataFrame, every: bool) -> DataFrame:
-        return line_points(meet.only(texts[0], nodes, "node"))  # the first pairs hold every node that shares a key
+        return line_points(meet.only(tables["texts"], nodes, "node"))  # the first pairs hold every node that shares a key
 
-    return meet.components(line_keys(docs), verify, points, screen, joining)
+    found = meet.components(line_keys(docs), verify, points, screen, joining)
+    return found, tables["places"].drop("line")
 
 
 def dedup_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -319,8 +352,8 @@ def dedup_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text")
     text = F.col(text_col).cast("string")
     row = F.xxhash64(F.col(id_col).cast("long"), text)
     rows = docs.select(row.alias("row"), F.col(id_col).cast("long").alias("id"), text.alias("text"))
-    places = shared_table(line_places(rows), "places")
-    found = shared_table(line_components(rows), "found")
+    found, places = line_components(rows)
+    found = shared_table(found, "found")
     places = places.join(found, "node", "left").select("row", "id", "place", F.coalesce("component", "node").alias("comp"))
     order = F.struct(F.col("id").isNull().alias("last"), F.col("id"), F.col("row"), F.col("place"))
     firsts = places.groupBy("comp").agg(F.min(order).alias("first"), F.max(order).alias("end"))

@@ -41,11 +41,14 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from veritable.llm.common import connected_components, shared_table
+from veritable.llm.common import connected_components, ranges, shared_table
 
 #: Rows of a key that one task group holds, and ids up to which a semi-join sends them to every executor (8 bytes each).
 TILE, SENT_IDS = 1_500, 2_000_000
 
+#: Keys that a task packs at a time, and that one packed row holds (16 bytes each with its node).
+HELD, PACK = 1 << 20, 1 << 11
+
 #: Pairs of every two components that a task group gives before all that are left are asked for.
 TOP = 4
 
@@ -63,6 +66,89 @@ def only(df: DataFrame, ids: DataFrame, column: str) -> DataFrame:
     return df.join(F.broadcast(ids) if few else ids, column, "left_semi")
 
 
+def marked(df: DataFrame, ids: DataFrame, column: str, mark: str) -> DataFrame:
+    """``df`` with ``mark``: true where ``column`` is in ``ids``, as ``only`` finds it, else null."""
+    ids = shared_table(ids, "ids")
+    few = ids.count() <= SENT_IDS
+    ids = ids.withColumn(mark, F.lit(True))
+    return df.join(F.broadcast(ids) if few else ids, column, "left")
+
+
+def shared_keys(rows: DataFrame, found: Callable[[Iterator[pa.RecordBatch]], Iterator[tuple[np.ndarray, np.ndarray]]]) -> DataFrame:
+    """(key, node) of the keys that two different nodes have; ``found`` gives arrays of keys and of their nodes for a task's batches.
+
+    Most keys have one node, so that a row a key would be shuffled for nothing
+    but to be dropped. Each task packs its keys by the partition they belong to,
+    and each partition sorts what comes in.
+    """
+    parts = int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+
+    def pack(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held: list[tuple[np.ndarray, np.ndarray]] = []
+        for pair in found(batches):
+            held.append(pair)
+            if sum(len(key) for key, _ in held) >= HELD:
+                yield _packed(held, parts)
+                held = []
+        if held:
+            yield _packed(held, parts)
+
+    def several(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        rest = (np.empty(0, np.int64), np.empty(0, np.int64), np.empty(0, bool))
+        fresh: list[np.ndarray] = []
+        n = 0
+        for batch in batches:
+            fresh.append(np.frombuffer(b"".join(batch.column("pairs").to_pylist()), np.int64).reshape(-1, 2))
+            n += len(fresh[-1])
+            if n >= max(4 * HELD, len(rest[0])):
+                out, rest = _several(rest, fresh)
+                fresh, n = [], 0
+                yield from out
+        if fresh:
+            yield from _several(rest, fresh)[0]
+
+    packed = rows.mapInArrow(pack, "part int, pairs binary").repartitionById(parts, "part")
+    return packed.select("pairs").mapInArrow(several, "key long, node long")
+
+
+def _packed(held: list[tuple[np.ndarray, np.ndarray]], parts: int) -> pa.RecordBatch:
+    """(part, pairs): keys and nodes in turn as bytes, at most ``PACK`` pairs a row."""
+    key, node = (np.concatenate(x) for x in zip(*held, strict=True))
+    part = (key.view(np.uint64) % np.uint64(parts)).astype(np.uint16 if parts <= 1 << 16 else np.int32)  # 16 bits sort faster
+    order = np.argsort(part, kind="stable")
+    pairs = np.stack([key[order], node[order]], axis=1)
+    many = np.bincount(part, minlength=parts)
+    rows = -(-many // PACK)
+    first = ranges(np.zeros(parts, np.int64), rows) * PACK + np.repeat(np.cumsum(many) - many, rows)
+    at = pa.array(np.append(first, len(key)).astype(np.int32) * 16)
+    return pa.RecordBatch.from_arrays([pa.array(np.repeat(np.arange(parts, dtype=np.int32), rows)),
+                                       pa.Array.from_buffers(pa.binary(), len(first), [None, at.buffers()[1], pa.py_buffer(pairs)])],
+                                      ["part", "pairs"])
+
+
+def _several(rest: tuple[np.ndarray, np.ndarray, np.ndarray], fresh: list[np.ndarray]
+             ) -> tuple[Iterator[pa.RecordBatch], tuple[np.ndarray, np.ndarray, np.ndarray]]:
+    """The rows of keys that several nodes have, as far as they were not given before, and one row of each key, whether it was given."""
+    pairs = np.concatenate(fresh)
+    key, node = np.concatenate([rest[0], pairs[:, 0]]), np.concatenate([rest[1], pairs[:, 1]])
+    given = np.concatenate([rest[2], np.zeros(len(pairs), bool)])
+    order = np.argsort(key)
+    again = key[order][1:] == key[order][:-1]
+    more = np.append(again, False) | np.append(False, again) if len(key) else again
+    alone, some = order[~more], order[more]
+    some = some[np.lexsort((~given[some], node[some], key[some]))]
+    k, n = key[some], node[some]
+    some = some[np.append(True, (k[1:] != k[:-1]) | (n[1:] != n[:-1]))] if len(some) else some
+    first = np.flatnonzero(np.append(True, key[some][1:] != key[some][:-1])) if len(some) else some
+    many = np.diff(np.append(first, len(some)))
+    out = some[np.repeat(many > 1, many) & ~given[some]]
+    given[some[first[many > 1]]] = True
+    stay = np.concatenate([alone, some[first]])
+    batches = (pa.RecordBatch.from_arrays([pa.array(key[x]), pa.array(node[x])], ["key", "node"])
+               for x in (out[a:a + HELD] for a in range(0, len(out), HELD)))
+    return batches, (key[stay], node[stay], given[stay])
+
+
 def components(keys: DataFrame, verify: Callable[[DataFrame], DataFrame], points: Callable[[DataFrame, bool], DataFrame],
                screen: Screen, local: Local | None = None) -> DataFrame:
     """(node, component) of all nodes with a link.
@@ -196,6 +282,8 @@ def _pairs(rows: dict[str, np.ndarray], screen: Screen, top: int | None, local:
     same = rows["t1"][0] == rows["t2"][0]
     i, j, score = screen(rows["size"], comp, (rows["tile"] != rows["t1"]).astype(int), rows["point"], same)
     keep = (node[i] != low[i]) & (node[j] != low[j])
+    if not keep.any():
+        return (node[:0],) * 4
     i, j, score = i[keep], j[keep], score[keep]
     more = np.zeros(len(i), bool)
     if top is not None and len(i):
